@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .mixing import OP5_SQL, op5_pareto_mixing
+from .quality_rules import OP8_SQL, op8_quality_rules
 
 QUERIES = {
     "op5_pareto_mixing": op5_pareto_mixing,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 SQL = {
     "op5_pareto_mixing": OP5_SQL,
+    "op8_quality_rules": OP8_SQL,
 }
