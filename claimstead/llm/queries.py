@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from .mixing import OP5_SQL, op5_pareto_mixing
+from .line_dedup import OP2_SQL, op2_line_winnowing
 from .merkle import OP10_SQL, op10_merkle_fingerprints
 from .quality_rules import OP8_SQL, op8_quality_rules
 
 QUERIES = {
+    "op2_line_winnowing": op2_line_winnowing,
     "op5_pareto_mixing": op5_pareto_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op10_merkle_fingerprints": op10_merkle_fingerprints,
 }
 
 SQL = {
+    "op2_line_winnowing": OP2_SQL,
     "op5_pareto_mixing": OP5_SQL,
     "op8_quality_rules": OP8_SQL,
     "op10_merkle_fingerprints": OP10_SQL,
