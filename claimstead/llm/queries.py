@@ -7,7 +7,10 @@ from .line_dedup import OP2_SQL, op2_line_winnowing
 from .merkle import OP10_SQL, op10_merkle_fingerprints
 from .quality_rules import OP8_SQL, op8_quality_rules
 
+from .simhash import op7_simhash_balls
+
 QUERIES = {
+    "op7_simhash_balls": op7_simhash_balls,
     "op2_line_winnowing": op2_line_winnowing,
     "op5_pareto_mixing": op5_pareto_mixing,
     "op8_quality_rules": op8_quality_rules,
