@@ -8,9 +8,11 @@ from .merkle import OP10_SQL, op10_merkle_fingerprints
 from .quality_rules import OP8_SQL, op8_quality_rules
 
 from .simhash import op7_simhash_balls
+from .token_counts import op6_token_counts
 
 QUERIES = {
     "op7_simhash_balls": op7_simhash_balls,
+    "op6_token_counts": op6_token_counts,
     "op2_line_winnowing": op2_line_winnowing,
     "op5_pareto_mixing": op5_pareto_mixing,
     "op8_quality_rules": op8_quality_rules,
