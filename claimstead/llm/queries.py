@@ -7,11 +7,13 @@ from .line_dedup import OP2_SQL, op2_line_winnowing
 from .merkle import OP10_SQL, op10_merkle_fingerprints
 from .quality_rules import OP8_SQL, op8_quality_rules
 
+from .language_id import op4_segmentation_language_id
 from .packing import op9_best_fit_packing
 from .simhash import op7_simhash_balls
 from .token_counts import op6_token_counts
 
 QUERIES = {
+    "op4_segmentation_language_id": op4_segmentation_language_id,
     "op7_simhash_balls": op7_simhash_balls,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op6_token_counts": op6_token_counts,
