@@ -9,11 +9,13 @@ from .quality_rules import OP8_SQL, op8_quality_rules
 
 from .language_id import op4_segmentation_language_id
 from .packing import op9_best_fit_packing
+from .toxicity import op1_crf_toxicity
 from .quality_classifier import op3_fourier_quality
 from .simhash import op7_simhash_balls
 from .token_counts import op6_token_counts
 
 QUERIES = {
+    "op1_crf_toxicity": op1_crf_toxicity,
     "op3_fourier_quality": op3_fourier_quality,
     "op4_segmentation_language_id": op4_segmentation_language_id,
     "op7_simhash_balls": op7_simhash_balls,
