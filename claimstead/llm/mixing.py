@@ -16,7 +16,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
 
     sizes has source and source_size, a row per source. Sources are ordered by code point, null last, and take the weights in
     turn. The common level is found in closed form: with the sources ordered by cap * size / weight, those before the first that
-    stays under its cap are the capped ones. The windows run over a row per source, not over documents.
+    stays under its cap are the capped ones; from there on the level only falls, so it is the largest of the levels that hold. The
+    windows run over a row per source, not over documents.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     pick = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
@@ -31,7 +32,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     rest = F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
     level = ranked.withColumn("level", (total - before) / rest)
     free = F.when(F.col("limit") >= F.col("level") * F.col("weight"), F.col("level"))
-    level = level.withColumn("first_free", F.min(free).over(Window.partitionBy()))
+    level = level.withColumn("first_free", F.max(free).over(Window.partitionBy()))
     return level.select("source", "source_size", F.least(F.col("limit").cast("double"), F.col("first_free") * F.col("weight")).alias("target"))
 
 
@@ -125,7 +126,7 @@ WITH sized AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / CAST(sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM ranked
 ), targets AS (
-  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight * min(CASE WHEN 3 * source_size >= level * weight THEN level END) OVER ()) AS target FROM lev
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight * max(CASE WHEN 3 * source_size >= level * weight THEN level END) OVER ()) AS target FROM lev
 ), plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets
 ), parts AS (

@@ -144,15 +144,19 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_statistics, "doc_id long, stats array<double>")
 
 
-def classify(stats: DataFrame, truth: DataFrame, label: str = "quality") -> DataFrame:
-    """doc_id, score for every row of stats, learned from the rows of truth (doc_id, label) with a label.
+def learn(stats: DataFrame, truth: DataFrame, label: str = "quality") -> Model:
+    """A model from rows of stats and the rows of truth (doc_id, label) with a label.
 
     Texts aren't read again: labels meet statistics, not documents. Several labels of a doc_id count as their maximum; a null
-    doc_id has no label. Repeated rows get one score; empty texts are scored like others. An empty table gives an empty result.
+    doc_id has no label.
     """
     known = truth.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
-    rows = cut(stats.join(known, "doc_id").select("stats", "y"))
-    held = stats.sparkSession.sparkContext.broadcast(train(rows))
+    return train(cut(stats.join(known, "doc_id").select("stats", "y")))
+
+
+def classify(stats: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score for every row of stats. Repeated rows get one score; empty texts are scored like others; an empty table gives an empty result."""
+    held = stats.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,8 +165,20 @@ def classify(stats: DataFrame, truth: DataFrame, label: str = "quality") -> Data
     return stats.mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """Rows of docs with a score of `least` or more, in one pass without a shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            stats = np.array([statistics(t) for t in texts(batch)]).reshape(-1, len(NAMES))
+            yield batch.filter(pa.array(held.value.score(stats) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = cut(document_statistics(documents(spark, sf_dir)))
     held_out = fold("doc_id", 5) == 0
-    scored = classify(stats, labels(spark, sf_dir).where(~held_out).select("doc_id", "quality"))
+    scored = classify(stats, learn(stats, labels(spark, sf_dir).where(~held_out).select("doc_id", "quality")))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -43,7 +43,7 @@ def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             prints = np.array([fingerprint(t, width) for t in texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(prints)], ["doc_id", "tie", "print"])
 
     return run
 
@@ -117,19 +117,20 @@ def ball_links(prints: DataFrame, radius: int = 4, variants_per_group: int = VAR
 
 
 def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, print (the fingerprint as a signed long) and component_id, a row per row of docs.
+    """doc_id, tie (a hash of the text), print (the fingerprint as a signed long), root and component_id, a row per row of docs.
 
-    component_id is the least doc_id that links of at most `radius` bits reach. Texts are read once and never shuffled; only
-    fingerprints are. Null texts count as empty and have fingerprint zero, which links like any other; rows with one doc_id are
-    separate documents; a null doc_id is the least id only if no other is there. An empty table gives an empty result.
+    component_id is the least doc_id that links of at most `radius` bits reach, root the least print. Texts are read once and never
+    shuffled; only fingerprints are. Null texts count as empty and have fingerprint zero, which links like any other; rows with one
+    doc_id are separate documents; a component whose ids are all null has a null component_id. An empty table gives an empty result.
     """
-    prints = cut(docs.select("doc_id", "text").mapInArrow(_fingerprints(width), "doc_id long, print long"))
+    tied = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"), "text")
+    prints = cut(tied.mapInArrow(_fingerprints(width), "doc_id long, tie long, print long"))
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
     roots = connected_components(ball_links(prints, radius))
     grouped = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = cut(grouped.join(ids, "root").select(F.col("print").alias("_print"), "component_id"))
-    return prints.join(table, F.col("print") == F.col("_print")).select("doc_id", "print", "component_id")
+    table = cut(grouped.join(ids, "root").select(F.col("print").alias("_print"), "root", "component_id"))
+    return prints.join(table, F.col("print") == F.col("_print")).select("doc_id", "tie", "print", "root", "component_id")
 
 
 def op7_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
