@@ -26,7 +26,7 @@ def sentences(docs: DataFrame) -> DataFrame:
 def drafts(docs: DataFrame) -> DataFrame:
     """doc_id, place, subject_label, predicate, object_value, confidence: the first is/are/was/were of a sentence parts subject and object; each document also mentions its beginning."""
     said = sentences(docs).where(F.col("sentence").rlike(VERB))
-    both = F.split(F.regexp_replace("sentence", r"(?i)^(.*?)(^|[^A-Za-z0-9_])(is|are|was|were)($|[^A-Za-z0-9_])", "$1$2\u0001$4"), "\u0001", 2)
+    both = F.split(F.regexp_replace("sentence", r"(?is)^(.*?)(^|[^A-Za-z0-9_])(is|are|was|were)($|[^A-Za-z0-9_])", "$1$2\u0001$4"), "\u0001", 2)
     parts = said.select("doc_id", "place", F.trim(F.get(both, F.lit(0))).alias("subject_label"), F.lit("is").alias("predicate"), F.trim(F.get(both, F.lit(1))).alias("object_value"), F.lit(0.8).alias("confidence"))
     mention = docs.select("doc_id", F.lit(-1).alias("place"), F.lit("document").alias("subject_label"), F.lit("mentions").alias("predicate"), F.substring("text", 1, 80).alias("object_value"), F.lit(1.0).alias("confidence"))
     return parts.unionByName(mention)
