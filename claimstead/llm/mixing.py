@@ -46,9 +46,13 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
     documents of the last bin (a 16-millionth of a source) are put in order.
 
     Null or wordless texts have size 0 and are never taken; the null source is a source of its own; ties go by doc_id, then by a
-    hash of the text; equal rows share one rank and are taken or left together. An empty table gives an empty result.
+    hash of the text; equal rows share one rank and are taken or left together. Other columns of docs are kept, but for those named as
+    the new ones are. An empty table gives an empty result.
     """
-    sized = docs.withColumns({"size": word_count(F.col("text"))})
+    made = ["size", "source_size", "target", "copies", "taken"]
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("_none"))
+    sized = docs.select(row.alias("_row"), "doc_id", "text", "source", word_count(F.col("text")).alias("size"))
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     keys = cut(sized.select("doc_id", "source", "size", key.alias("tie")))
     sources = cut(source_targets(keys.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
@@ -94,7 +98,8 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
     extra = F.when((F.col("size") > 0) & (F.col("p") > 0) & (F.col("left") > 0) & below, 1).otherwise(0)
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0).cast("int"))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    kept = [c for c in docs.columns if c not in made]
+    return out.select(*[F.col(c) if c in ("doc_id", "text", "source") else F.col("_row")[c].alias(c) for c in kept], *made)
 
 
 def _straddled(rows: DataFrame, by: list[str], bin_: str, room: Column, also: str | None = None) -> DataFrame:
