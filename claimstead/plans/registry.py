@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimstead.functions import text as T
 from claimstead.functions.scope import CLASSIFICATIONS
 from claimstead.functions.temporal import stamp, visible_at
-from claimstead.operators import access, conflicts, contracts, decisions, evaluate, extract, fusion, graph, identity, policy, search, temporal, validation
+from claimstead.operators import access, conflicts, contracts, decisions, evaluate, extension, extract, fusion, graph, identity, lifecycle, policy, records, search, temporal, validation
 from claimstead.plans import fixtures as fx
 from claimstead.plans import retrieval
 from claimstead.sources import sinks
@@ -660,3 +660,47 @@ def projection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outbox_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.event_log(fx.table(spark, sf_dir, "events"))
     return sinks.outbox(e, e.where("event_id % 3 = 0").select("event_id")).select("event_id", "kind")
+
+
+# Records, lifecycle and extensions
+
+@query("""SELECT 'customer' AS k, c_mktsegment AS label, count(*) AS n, sha256(concat('entity', chr(1), 'local', chr(1), 'default', chr(1), lower(trim(c_mktsegment)))) AS entity_id FROM customer GROUP BY c_mktsegment""")
+def entity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fx.table(spark, sf_dir, "customer").select(F.lit("local").alias("tenant_id"), F.lit("default").alias("namespace_id"), F.col("c_mktsegment").alias("label"), F.array("c_name").alias("aliases"))
+    return records.entities(c).select(F.lit("customer").alias("k"), F.col("labels")[0].alias("label"), F.size("aliases").cast("long").alias("n"), "entity_id")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS from_id, l_partkey AS to_id FROM lineitem WHERE l_orderkey <> l_partkey GROUP BY ALL), e AS (SELECT from_id AS decision_id, 'from' AS role FROM r UNION ALL SELECT to_id, 'to' FROM r)
+SELECT decision_id, role, count(*) AS n FROM e JOIN orders ON o_orderkey = decision_id GROUP BY ALL""")
+def decision_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id")).where("from_id <> to_id").distinct()
+    log = records.events(pairs.withColumn("relation_id", records.make_id("relation", F.col("from_id"), F.col("to_id"))), lifecycle.KINDS["relation"], "relation_id", stamp(NOW))
+    seen = lifecycle.facts(log, "relation", "relation_id string, from_id long, to_id long")
+    return lifecycle.relations_of(fx.decisions(spark, sf_dir), seen).groupBy("decision_id", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH e AS (SELECT DISTINCT d.o_orderkey AS decision_id, e.event_id FROM orders d JOIN events e ON e.user_id = d.o_orderkey UNION SELECT DISTINCT o.o_orderkey, e.event_id FROM orders o JOIN events e ON e.user_id = o.o_custkey)
+SELECT decision_id, count(*) AS n FROM e GROUP BY decision_id""")
+def decision_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision_id"), F.col("o_custkey").cast("string").alias("claim_id"))
+    e = fx.table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("subject_id"))
+    proof = d.select("decision_id", F.lit(None).cast("string").alias("evidence_id"))
+    return lifecycle.touching(d, e, d, proof).groupBy("decision_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT c_custkey AS proposal_id, array_to_string(list_filter([CASE WHEN c_custkey % 4 = 0 THEN 'SAME_ENTITY' END, CASE WHEN (c_custkey % 5 = 0 AND c_custkey >= 5 AND c_custkey % 35 <> 0) OR (c_custkey + (c_custkey % 4) > 4 AND (c_custkey + c_custkey % 4) % 5 = 0 AND (c_custkey + c_custkey % 4) % 35 <> 0 AND c_custkey + c_custkey % 4 <= (SELECT max(c_custkey) FROM customer)) THEN 'NOT_CANONICAL' END,
+  CASE WHEN c_custkey % 6 = 1 THEN 'EQUIVALENT_PROPOSAL' END, CASE WHEN c_custkey % 9 = 0 THEN 'SIGNAL_REQUIRED' END], lambda x: x IS NOT NULL), ',') AS errors FROM customer""")
+def proposal_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    p = fx.table(spark, sf_dir, "customer").select(k.alias("proposal_id"), k.alias("source_id"), (k + k % 4).alias("candidate_id"), F.when(k % 9 == 0, 0).otherwise(2).alias("n_signals"))
+    earlier = p.where("proposal_id % 6 = 1").select("source_id", "candidate_id", F.lit("open").alias("state"))
+    return lifecycle.proposal_errors(p, earlier, identity.roots(fx.merges(spark, sf_dir))).select("proposal_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query(f"""WITH {_LEX}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM lex0) WHERE rank <= 10)
+SELECT query_id, claim_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY claim_id DESC) AS INTEGER) AS place FROM top""")
+def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _questions(spark, sf_dir)
+    hits = search.lexical_top_k(asked, _texts(spark, sf_dir), 10).join(asked.withColumnRenamed("text", "query"), "query_id")
+    order = extension.reranking(lambda q, ids: sorted(ids, reverse=True))(hits)
+    return fusion.rerank(hits, order).select("query_id", "claim_id", "place")
