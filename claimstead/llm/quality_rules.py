@@ -68,7 +68,7 @@ def divergence(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(both, F.lit(0.0))))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, guard_words: int = 50, max_class_distance: float = 0.25, max_word_distance: float = 0.35) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, guard_words: int = 50, max_class_distance: float = 0.26, max_word_distance: float = 0.3) -> DataFrame:
     """Base counts, base_failed, distances to the references of the document's language, and the verdict kept. A row per row of docs.
 
     Histograms: six character classes (lower-case and other, upper-case, digits, ASCII marks, non-ASCII, white space), and the
@@ -181,6 +181,6 @@ WITH base AS (
   FROM compared
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (n_words < 50 OR NOT (coalesce(dc, 0) > 0.25 OR coalesce(dw, 0) > 0.35)) AS kept
+  NOT base_failed AND (n_words < 50 OR NOT (coalesce(dc, 0) > 0.26 OR coalesce(dw, 0) > 0.3)) AS kept
 FROM dist
 """
