@@ -13,8 +13,8 @@ from claimstead.functions.text import name_signal, name_tokens, normal_name
 def settle(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder that the session names (a temporary one only where none is set)."""
     context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="claimstead-"))
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="claimstead-"))
     return df.checkpoint()
 
 

@@ -66,7 +66,7 @@ def sync(spark: SparkSession, path: str, folder: str, files_per_batch: int = 64)
 
 def scratch(spark: SparkSession) -> str:
     settle(spark.range(1))  # sets a checkpoint folder where none is named
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{shared.rstrip('/')}/projection-{uuid.uuid4().hex}"
 
 
