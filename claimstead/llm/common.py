@@ -30,8 +30,8 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is spark.checkpoint.dir; a session without one (tests on one machine) gets a temporary folder.
     """
     context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="claimstead-"))
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="claimstead-"))
     return df.checkpoint()
 
 
@@ -42,7 +42,8 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32(doc_id as text) mod folds; a null id counts as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")), F.lit(folds))
+    key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
 def unit(key: Column, salt: str) -> Column:
