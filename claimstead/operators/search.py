@@ -62,15 +62,25 @@ def full_text_or(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float = -2.0) -> DataFrame:
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float = -2.0, block: int = 4096) -> DataFrame:
     """query_id, claim_id, score, rank by cosine to six digits, exactly. queries and vectors: an id and an array.
 
-    The query matrix (a bounded batch of questions) is broadcast; each batch of vectors gives its own k best of every query, so only those
-    are shuffled. A zero or empty vector has cosine 0.
+    Queries are taken in blocks of about `block`, told by a hash; the matrix of a block is broadcast, and each batch of vectors gives its
+    own k best of every query, so only those are shuffled. A zero or empty vector has cosine 0.
     """
+    blocks = max(1, -(-queries.count() // block))
+    local = None
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        found = _block_top_k(part, vectors, k, least)
+        local = found if local is None else local.union(found)
+    return top_k(local, ["query_id"], k)
+
+
+def _block_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float) -> DataFrame:
     asked = queries.select("query_id", "vector").toPandas()
     ids = asked["query_id"].tolist()
-    width = max((len(v) for v in asked["vector"]), default=0)
+    width = max((len(v) for v in asked["vector"] if v is not None), default=0)
     held = queries.sparkSession.sparkContext.broadcast(_unit(asked["vector"].tolist(), width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +94,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float =
                 rows += [(ids[i], own[j], float(line[j]) + 0.0) for j in best if line[j] >= least]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "claim_id", "score"])
 
-    local = vectors.select("claim_id", "vector").mapInArrow(run, "query_id long, claim_id long, score double")
-    return top_k(local, ["query_id"], k)
+    return vectors.select("claim_id", "vector").mapInArrow(run, "query_id long, claim_id long, score double")
 
 
 def _unit(vectors: list, width: int) -> np.ndarray:

@@ -248,3 +248,12 @@ def test_projection_batches_are_idempotent_and_order_free(spark, tmp_path):
     merge(e.where("event_id % 2 = 0"), 1)
     key = lambda df: sorted(map(tuple, df.select("claim_id", "event_id").collect()))
     assert key(projection.state(spark, f"file://{tmp_path}/s").where("kind = 'claim.asserted'")) == key(projection.rebuild(e))
+
+
+def test_vector_blocks_give_one_result(spark):
+    rng = random.Random(13)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(60, [0.0] * 4), (61, None)], "claim_id long, vector array<double>")
+    q = v.where("claim_id % 3 = 0").withColumnRenamed("claim_id", "query_id")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "claim_id", "rank").collect()))
+    whole = key(search.vector_top_k(q, v, 5))
+    assert whole == key(search.vector_top_k(q, v, 5, block=4)) and len(whole) == 5 * q.count()
