@@ -19,8 +19,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = links.union(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("x"), F.least("m", "v").alias("m"))
+        least = cut(least)  # scans of their own, so that Spark can split the other side where one node has very many neighbours
         large = both.join(least, F.col("v") == F.col("x")).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "x")
+        large = cut(large)
+        low = cut(large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "x"))
         joined = large.join(low, F.col("v") == F.col("x"))
         small_star = joined.select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u")).where("u < v").distinct()
         links = cut(small_star)
