@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,16 +62,14 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches of bounded size, so that a worker's memory doesn't depend on Spark's batch size."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows and, but for single longer texts, about `size` bytes, so that a worker's memory doesn't depend on Spark's batches."""
     for batch in batches:
-        start = 0
-        sizes = batch.column(column).cast(pa.large_string()).fill_null("").to_pylist() if batch.num_rows > 1 else [""] * batch.num_rows
-        held = 0
-        for i, text in enumerate(sizes):
-            held += len(text)
-            if i + 1 - start >= rows or held >= chars:
-                yield batch.slice(start, i + 1 - start)
-                start, held = i + 1, 0
+        start, held = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), 1):
+            held += n
+            if i - start >= rows or held >= size:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
         if start < batch.num_rows:
             yield batch.slice(start)
