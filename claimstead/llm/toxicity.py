@@ -26,7 +26,7 @@ WEIGHTS, CHAIN = 1 << 18, 128
 LOG_ODDS, DEVIATIONS = 2.0, 3.0
 
 #: Words that a worker's cache holds at most.
-CACHE = 200_000
+CACHE = 300_000
 
 STRIP = ".,;:!?\"'()[]%&$*#|<>"
 
@@ -35,15 +35,16 @@ def core(word: str) -> str:
     return word.strip(STRIP).lower()
 
 
-def traits(word: str) -> list[str]:
-    """Emission features of a word: its core, affixes and shape."""
+def traits(word: str) -> list[int]:
+    """Hashed emission features of a word: its core, the core's first and last bytes, and its shape. The core comes first."""
     w = core(word)
-    shape = "u" if word.isupper() else "t" if word[:1].isupper() else "l"
-    return [f"={w}", *(f"^{w[:k]}" for k in (4, 5, 6, 7) if len(w) > k), *(f"{w[-k:]}$" for k in (3, 4) if len(w) > k), f"~{shape}{w.isalpha()}"]
-
-
-def hashed(names: list[str]) -> list[int]:
-    return [crc32(n.encode("utf-8", "surrogatepass")) % WEIGHTS for n in names]
+    b = w.encode("utf-8", "surrogatepass")
+    n = len(b)
+    shape = 4 * word.isupper() + 2 * word[:1].isupper() + w.isalpha()
+    return [
+        crc32(b) % WEIGHTS, *[crc32(b[:k], k) % WEIGHTS for k in (4, 5, 6, 7, 8) if n > k],
+        *[crc32(b[-k:], 100 + k) % WEIGHTS for k in (3, 4) if n > k], crc32(b"shape", shape) % WEIGHTS,
+    ]
 
 
 def lexical(word: str) -> list[str]:
@@ -123,7 +124,7 @@ def fit(c: Chains, truth: np.ndarray, passes: int = PASSES) -> Field:
     """Maximum likelihood by AdaGrad on whole passes, from the exact gradient: observed less expected features."""
     field, codes_names = Field.new(), vocabulary(c.words)
     codes, names = codes_names
-    features = [hashed(traits(w)) for w in names]
+    features = [traits(w) for w in names]
     width = max(map(len, features), default=1)
     table = np.full((len(names), width), WEIGHTS, np.int64)
     for i, f in enumerate(features):
@@ -177,11 +178,13 @@ class Tagger:
             self.cache, fresh = {}, list(met)
             if len(fresh) > len(self.rows):
                 self.rows = np.zeros((len(fresh), 3))
-        start, f = len(self.cache), self.field
-        for i, w in enumerate(fresh, start):
-            h = hashed(traits(w))
-            self.rows[i] = f.own[h].sum(), f.before[h[0]], f.after[h[0]]
-            self.cache[w] = i
+        if fresh:
+            start, f = len(self.cache), self.field
+            features = [traits(w) for w in fresh]
+            sizes = np.fromiter(map(len, features), np.int64, len(fresh))
+            first, flat = np.cumsum(sizes) - sizes, np.fromiter(chain.from_iterable(features), np.int64, int(sizes.sum()))
+            self.rows[start : start + len(fresh)] = np.stack([np.add.reduceat(f.own[flat], first), f.before[flat[first]], f.after[flat[first]]], 1)
+            self.cache.update(zip(fresh, range(start, start + len(fresh)), strict=True))
         return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
 
     def tag(self, found: list[str]) -> tuple[Chains, np.ndarray]:
