@@ -20,7 +20,7 @@ _S = "\t\n\x0b\x0c\r \x85\xa0"
 # Fixed value: the splitting pattern of the vocabulary file word_bpe_49k.json, with the classes spelt out for Latin-1.
 WORD_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
-#: Pre-tokens that a worker's cache holds at most; a full cache is emptied and filled anew.
+#: Pre-tokens that a worker's cache holds at most, but for those of one batch; a full cache is emptied and filled anew.
 CACHE = 400_000
 
 
@@ -57,8 +57,6 @@ class Lengths:
         self.ends = np.fromiter((t.endswith("</w>") for t in ends), bool, size)
 
     def _encode(self, fresh: list[str]) -> None:
-        if len(self.cache) + len(fresh) > len(self.frequent) + CACHE:
-            self.cache = dict(self.frequent)
         # white space is dropped and every pre-token ends in a token that ends a word, so one text can hold them all
         at = np.flatnonzero(self.ends[np.array(self.encoder.ids(" ".join(fresh)), np.int64)])
         if len(at) == len(fresh):
@@ -70,9 +68,10 @@ class Lengths:
         cut = [self.encoder.pretokens(t) if self.encoder.plain(t) else None for t in texts]
         met = set(chain.from_iterable(c for c in cut if c))
         if fresh := [t for t in met if t not in self.cache]:
+            if len(self.cache) + len(fresh) > len(self.frequent) + CACHE:
+                self.cache = dict(self.frequent)  # with it go pre-tokens of this batch, so they are encoded anew
+                fresh = [t for t in met if t not in self.cache]
             self._encode(fresh)
-            if len(self.cache) < len(met):  # the cache was emptied
-                self._encode([t for t in met if t not in self.cache] or fresh)
         known = self.cache.__getitem__
         return [len(self.encoder.ids(t)) if c is None else sum(map(known, c)) for t, c in zip(texts, cut, strict=True)]
 

@@ -227,6 +227,15 @@ def test_token_counts_equal_the_library(spark, sf_dir, odd, none):
     assert token_counts.token_counts(none, path).count() == 0
 
 
+def test_counts_survive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(pretokens, "CACHE", 3)
+    encoder = pretokens.Encoder(public.path("word_bpe_49k.json"))
+    frequent = {t: len(encoder.ids(t)) for t in ("the", "of", "and", "to", "in", "is", "was", "for")}
+    lengths = pretokens.Lengths(encoder, frequent)
+    for batch in (["alpha beta"], ["alpha gamma delta the"], ["one two three four five of"], ["alpha five"], [""]):
+        assert lengths.counts(batch) == [len(encoder.ids(t)) for t in batch]
+
+
 def test_ids_equal_the_library_on_random_latin_text():
     rng = random.Random(8)
     ids = pretokens.Ids(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
