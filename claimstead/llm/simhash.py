@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, sliced, texts
+from .common import cut, documents, sliced, small, texts
 from .components import connected_components
 
 #: Seed of the shingle hash.
@@ -20,6 +20,9 @@ SEED = 42
 #: Variants that one group of the ball join holds on average at most.
 VARIANTS_PER_GROUP = 2_000_000
 
+#: Further bits that a bucket of over twice as many variants is dealt by.
+DEAL_BITS = 6
+
 
 def fingerprint(text: str, width: int = 4) -> int:
     """64-bit SimHash of the word shingles of a text, A-Z lower-cased; repeats count; a text without words has 0."""
@@ -53,19 +56,25 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(bits), k)], np.uint64)
 
 
-def _scatter(prefix: int, half: int):
-    """Rows (bucket, print, left): the buckets, told by the first `prefix` bits, that some variant of the print falls in."""
+def _scatter(start: int, stop: int, half: int):
+    """Rows (bucket, print) of buckets told by the first `start` bits, dealt by the first `stop`: a print goes to each bucket that some variant of it falls in."""
+    step = np.uint64(stop - start)
+    heads = [ball(stop - start, left) for left in range(half + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads = ball(prefix, half)
         for batch in batches:
-            prints = batch.column("print").to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in range(0, len(prints), 4096):
-                part = prints[i : i + 4096]
-                bucket = (part >> np.uint64(64 - prefix))[:, None] ^ heads[None, :]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.ravel().astype(np.int64)), pa.array(np.repeat(part, len(heads)).view(np.int64))], ["bucket", "print"]
-                )
+            every = batch.column("print").to_numpy(zero_copy_only=False).view(np.uint64)
+            at = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in range(0, len(every), 4096):
+                part, bucket = every[i : i + 4096], at[i : i + 4096]
+                spent = np.bitwise_count((part >> np.uint64(64 - start)) ^ bucket) if start else np.zeros(len(part), np.uint8)
+                own = (part >> np.uint64(64 - stop)) & np.uint64((1 << (stop - start)) - 1)
+                for left in range(half + 1):
+                    some = spent == half - left
+                    dealt = ((bucket[some] << step) | own[some])[:, None] ^ heads[left][None, :]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(dealt.ravel().view(np.int64)), pa.array(np.repeat(part[some], len(heads[left])).view(np.int64))], ["bucket", "print"]
+                    )
 
     return run
 
@@ -76,7 +85,7 @@ def _collide(prefix: int, half: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         prints = np.unique(table.column("print").to_numpy().view(np.uint64))
-        spent = np.bitwise_count((prints >> np.uint64(64 - prefix)) ^ np.uint64(key[0]))
+        spent = np.bitwise_count((prints >> np.uint64(64 - prefix)) ^ np.int64(key[0].as_py()).view(np.uint64))
         low = prints & np.uint64((1 << (64 - prefix)) - 1)
         variants, owners = [], []
         for r in range(half + 1):
@@ -104,7 +113,9 @@ def ball_links(prints: DataFrame, radius: int = 4, variants_per_group: int = VAR
 
     Every print has all its variants within half the radius; two prints are within the radius if and only if they share a variant.
     Variants are dealt out by their first bits, so a print travels once to each bucket that a variant of it falls in, and the
-    variants of a bucket are spelt out there. The number of prefix bits follows the number of prints, so a bucket stays bounded.
+    variants of a bucket are spelt out there. The number of prefix bits follows the number of prints; buckets that hold more than
+    twice `variants_per_group` variants all the same, as families of near copies make them, are dealt further by the next DEAL_BITS
+    bits until none does. Each variant has one bucket, so dealing loses no pair, and at 64 bits a bucket is one variant.
     Holders of a variant are linked to the least of them, not to each other: all of them are within the radius, so no component is lost.
     """
     half = radius // 2
@@ -112,8 +123,23 @@ def ball_links(prints: DataFrame, radius: int = 4, variants_per_group: int = VAR
     n = distinct.count()
     size = len(ball(64, half))
     prefix = next((b for b in range(6, 25, 2) if n * size <= variants_per_group << b), 24)
-    spread = distinct.mapInArrow(_scatter(prefix, half), "bucket long, print long")
-    return spread.groupBy("bucket").applyInArrow(_collide(prefix, half), "a long, b long").distinct()
+    rows = "bucket long, print long"
+    spread = distinct.select(F.lit(0).cast("long").alias("bucket"), "print").mapInArrow(_scatter(0, prefix, half), rows)
+    links = None
+    while True:
+        # a print has spent the bits in which its bucket differs from it; the rest of the radius goes to the bits behind the prefix
+        spent = F.bit_count(F.shiftrightunsigned("print", 64 - prefix).bitwiseXOR(F.col("bucket")))
+        spelt = F.get(F.array(*[F.lit(len(ball(64 - prefix, half - k))) for k in range(half + 1)]), spent)
+        hot = cut(spread.groupBy("bucket").agg(F.sum(spelt).alias("variants")).where(F.col("variants") > 2 * variants_per_group).select("bucket")) if prefix < 64 else None
+        many = hot.count() if hot is not None else 0
+        cool = spread.join(small(hot, many), "bucket", "left_anti") if many else spread
+        found = cool.groupBy("bucket").applyInArrow(_collide(prefix, half), "a long, b long")
+        links = found if links is None else links.unionByName(found)
+        if not many:
+            return links.distinct()
+        deeper = min(prefix + DEAL_BITS, 64)
+        spread = cut(spread.join(small(hot, many), "bucket", "left_semi").select("bucket", "print").mapInArrow(_scatter(prefix, deeper, half), rows))
+        prefix = deeper
 
 
 def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:

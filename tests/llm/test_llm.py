@@ -1,6 +1,7 @@
 """The text operators on small tables: brute force, round trips, held-out accuracy, and nulls, empty and long texts, ties, repeats, extra columns."""
 
 import hashlib
+import os
 import random
 import struct
 import zlib
@@ -328,6 +329,43 @@ def test_ball_links_equal_all_pairs(spark, variants):
     assert all(((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 4 for r in links.collect())
 
 
+def test_ball_links_deal_hot_buckets_further(spark, monkeypatch, tmp_path):
+    rng = random.Random(31)
+    family = [0xABCDEF << 40 | sum(1 << b for b in range(40) if rng.random() < 0.04) for _ in range(300)]
+    prints = np.unique(np.array(family, np.uint64))
+    spelt = simhash._collide
+
+    def watched(prefix, half):
+        inner = spelt(prefix, half)
+
+        def run(key, table):
+            own = table.column("print").to_numpy().view(np.uint64)
+            left = half - np.bitwise_count((own >> np.uint64(64 - prefix)) ^ np.uint64(key[0].as_py() % (1 << 64)))
+            with open(f"{tmp_path}/{os.getpid()}", "a") as f:
+                f.write(f"{sum(len(simhash.ball(64 - prefix, int(r))) for r in left)}\n")
+            return inner(key, table)
+
+        return run
+
+    monkeypatch.setattr(simhash, "_collide", watched)
+    frame = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "print long")
+    links = {(r["a"], r["b"]) for r in simhash.ball_links(frame, 4, 20_000).collect()}
+    sizes = [int(n) for f in tmp_path.iterdir() for n in f.read_text().split()]
+    assert sum(sizes) >= len(prints) * 2081 and max(sizes) <= 40_000
+    root = {int(p): int(p) for p in prints.view(np.int64)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        assert (a ^ b).bit_count() <= 4
+        root[find(a)] = find(b)
+    signed = prints.view(np.int64).tolist()
+    assert all(find(a) == find(b) for a in signed for b in signed if (a ^ b).bit_count() <= 4)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
