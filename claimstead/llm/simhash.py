@@ -24,17 +24,23 @@ VARIANTS_PER_GROUP = 2_000_000
 DEAL_BITS = 6
 
 
-def fingerprint(text: str, width: int = 4) -> int:
-    """64-bit SimHash of the word shingles of a text, A-Z lower-cased; repeats count; a text without words has 0."""
+def shingles(text: str, width: int) -> np.ndarray:
+    """Hashes of the word shingles of a text, A-Z lower-cased, with repeats; a text of fewer words is one shingle, one without words has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
     stops = (ends - 1)[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=False)], np.uint64, len(stops))
+    return np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=False)], np.uint64, len(stops))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of shingle hashes; none have 0."""
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65_536):
         part = hashes[i : i + 65_536]
@@ -42,6 +48,11 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str, width: int = 4) -> int:
+    """64-bit SimHash of the word shingles of a text, A-Z lower-cased; repeats count; a text without words has 0."""
+    return print_of(shingles(text, width))
+
+
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from claimstead.llm.common import cut, fold, labels
 from claimstead.llm.line_dedup import line_dedup
 from claimstead.llm.mixing import pareto_mix
+from claimstead.llm.near_copies import near_copy_components
 from claimstead.llm.packing import pack_documents
 from claimstead.llm.quality_classifier import document_statistics, keep, learn
-from claimstead.llm.simhash import simhash_components
 
 #: Score from which the quality classifier keeps a document, and the folds it learns from.
 KEEP_FROM, FOLDS = 0.3, 5
@@ -41,8 +41,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the least doc_id, null last, then with the least hash of its text; of equal rows one."""
-    found = cut(simhash_components(docs))
+    """One document of each component of near copies (5-word Jaccard of 0.8 or more): that with the least doc_id, null last, then with the least hash of its text; of equal rows one."""
+    found = cut(near_copy_components(docs))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("x"))
     chosen = first.select(F.col("x.doc_id").alias("_id"), F.col("x.tie").alias("_of"))
     tied = docs.withColumn("_tie", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))

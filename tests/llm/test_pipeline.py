@@ -1,5 +1,7 @@
 """The pipeline's stages against plain Python on a small table."""
 
+import random
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -25,6 +27,28 @@ def test_one_row_of_equal_and_near_copies_stays(spark, sf_dir):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 3), (False, 5), (True, 0)]
 
 
+def test_near_copies_from_a_similarity_of_080_go_and_others_stay(spark, sf_dir):
+    rng = random.Random(5)
+
+    def grams(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    rows, gone = [], set()
+    for k in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        copy = list(base)
+        for i in rng.sample(range(300), 1 + k % 16):
+            copy[i] = f"new{k}x{i}"
+        a, b = grams(base), grams(copy)
+        rows += [(2 * k, " ".join(base), "en", "a", 1), (2 * k + 1, " ".join(copy), "en", "a", 1)]
+        if len(a & b) >= 0.8 * len(a | b):
+            gone.add(2 * k + 1)
+    assert 15 < len(gone) < 45
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()}
+    assert kept == set(range(120)) - gone
+
+
 def test_stages_take_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
