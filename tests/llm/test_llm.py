@@ -102,21 +102,75 @@ def test_toxicity_on_the_tables(spark, odd, none):
 
 def test_line_dedup_on_a_small_table(spark):
     passage = "\n".join(" ".join(f"p{i}{j}" for j in range(20)) for i in range(4))
-    rows = [(1, f"intro one\n{passage}\noutro", "en", "a"), (2, f"other start\n\n{passage}\nshort tail", "en", "a"), (3, "a b c\n" * 5, "en", "a"), (4, passage + "\n" + passage, "en", "a")]
-    got = {r["doc_id"]: r for r in line_dedup.line_dedup(table(spark, rows)).collect()}
-    assert got[1]["text"] == rows[0][1] and got[2]["text"] == "other start\n\nshort tail" and got[3]["text"] == rows[2][1] and got[4]["text"] == ""
-    assert (got[2]["n_removed"], got[2]["n_lines"], got[2]["n_chars"], got[2]["size"]) == (4, 7, 7, "own")
-
-
-def test_line_dedup_extends_to_short_lines_at_both_ends(spark):
-    wide = " ".join(f"w{i}" for i in range(60))
-    rows = [(1, f"x\nhead\n{wide}\ntail\ny", "en", "a"), (2, f"u\nhead\n{wide}\ntail\nv", "en", "a")]
-    assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(table(spark, rows)).collect()}[2] == "u\nv"
+    rows = [(1, f"intro one\n{passage}\noutro", "en", "a"), (2, f"other start\n\n{passage}\nshort tail ", "en", "a"), (3, "a b c\n" * 5, "en", "a"), (4, passage + "\n" + passage, "en", "a")]
+    rows += [(5, rows[0][1], "en", "b"), (6, rows[2][1], "en", "b"), (None, passage + " none", "en", "b"), (None, passage + " none", "en", "b")]
+    out = line_dedup.line_dedup(table(spark, rows)).collect()
+    got = {r["doc_id"]: r for r in out}
+    # a null doc_id comes first, so its two equal rows keep the passage
+    assert len(out) == len(rows) and got[None]["text"] == passage + " none"
+    assert got[1]["text"] == "intro one\noutro" and got[2]["text"] == "other start\nshort tail " and got[4]["text"] == "" and got[5]["text"] == "" and got[3]["text"] == got[6]["text"] == rows[2][1]
+    assert (got[2]["n_removed"], got[2]["n_words"], got[2]["n_chars"], got[2]["size"]) == (80, 84, 7, "own")
+
+
+def test_line_dedup_extends_matches_into_the_lines_at_both_ends(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    text = lambda n: " ".join(word() + ("." if k % 11 == 10 else "") for k in range(n))
+    shared = text(60)
+    a, b = [text(30), text(25)], [text(7), text(40)]
+    rows = [(1, f"{a[0]} {shared} {a[1]}", "en", "a"), (2, f"{b[0]} {shared} {b[1]}", "en", "a"), (3, f"{text(20)} {' '.join(shared.split()[:49])} {text(20)}", "en", "a")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert got[1] == rows[0][1] and got[2] == f"{b[0]} {b[1]}" and got[3] == rows[2][1]
+
+
+def test_line_dedup_against_all_repeated_runs(spark, sf_dir):
+    """Nothing but words of later runs of 50 words goes; what is left of those was measured at 4 % on another table."""
+    docs = sorted(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    seen, want = set(), {}
+    for i, t in docs:
+        w = t.split()
+        grams = [hash(tuple(w[k : k + 50])) for k in range(len(w) - 49)]
+        hit = set()
+        for k, g in enumerate(grams):
+            if g in seen:
+                hit.update(range(k, k + 50))
+            seen.add(g)
+        want[i] = hit
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    found = 0
+    for i, t in docs:
+        left, w = got[i]["text"].split(), t.split()
+        assert got[i]["n_words"] == len(w) and got[i]["n_removed"] == len(w) - len(left) <= len(want[i])
+        found += got[i]["n_removed"]
+    assert found >= 0.95 * sum(map(len, want.values()))
+
+
+def test_window_minima_matter(spark, monkeypatch):
+    """Only chosen pieces are joined: there are fewer of them than pieces, and every run of WINDOW words has one."""
+    rng = random.Random(4)
+    t = "".join(f"w{rng.randrange(999)}{rng.choice(['', '', '', '.', chr(10)])} " for _ in range(3000))
+    row = table(spark, [(1, t, "en", "a")]).select(line_dedup.fingerprints("text").alias("m"), line_dedup.pieces(F.col("text")).alias("p")).first()
+    chosen, sizes = {x["k"] for x in row["m"]}, list(map(len, row["p"]))
+    assert [w for p in row["p"] for w in p] == t.split() and max(sizes) <= 16 and len(chosen) < 0.6 * len(sizes)
+    for k in range(len(sizes)):
+        n = e = 0
+        while k + e < len(sizes) and n < line_dedup.WINDOW:
+            n, e = n + sizes[k + e], e + 1
+        assert n < line_dedup.WINDOW or chosen & set(range(k, k + e))
 
 
 def test_line_dedup_odd_rows(spark, odd, none):
     got = line_dedup.line_dedup(odd)
-    assert collected(got, "doc_id", "text") == sorted(((r[0], r[1]) for r in ODD), key=repr) and line_dedup.line_dedup(none).count() == 0
+    by = {r[0]: r[1] for r in ODD if r[0] != 4}
+    for r in got.collect():
+        if r["doc_id"] == 5:  # it repeats itself
+            assert 0 < r["n_removed"] < r["n_words"] == 60_000 and LONG.startswith(r["text"])
+        elif r["doc_id"] != 4:
+            assert r["text"] == by[r["doc_id"]] and r["n_removed"] == 0
+    assert got.count() == len(ODD) and line_dedup.line_dedup(none).count() == 0
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "n_lines", "n_words", "n_removed"]
+    repeated = table(spark, [(1, "x " * 70, "en", "a")] * 3 + [(2, None, None, None)] * 2)
+    assert [r["text"] for r in line_dedup.line_dedup(repeated).orderBy("doc_id").collect()][3:] == [None, None]
 
 
 # 3 quality classifier
