@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, fold, sliced, small, texts
 
+#: Runs of letters, and of numbers that aren't digits.
 LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Training documents of a language in expectation, rounds of expectation-maximisation, longest piece, longest word scored at once.
@@ -27,9 +28,16 @@ CACHE = 300_000
 _BASE, _SPREAD = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
 
 
+def letters_of(run: str) -> list[str]:
+    """The letters of a run that may hold numbers such as one half or the Roman eight, which are no digits."""
+    return "".join(c if c.isalpha() else " " for c in run).split()
+
+
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters; one of over WORD letters is cut."""
     found = LETTERS.findall(text.lower())
+    if not text.isascii() and not all(map(str.isalpha, found)):
+        found = [x for w in found for x in ([w] if w.isalpha() else letters_of(w))]
     return [w[i : i + WORD] for w in found for i in range(0, len(w), WORD)] if len(text) > WORD and any(len(w) > WORD for w in found) else found
 
 

@@ -165,7 +165,9 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> Data
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
     roots = connected_components(ball_links(prints, radius))
     grouped = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    grouped = cut(grouped)
+    # scans of their own, so that Spark can split the other side where one component has very many fingerprints
+    ids = cut(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
     table = cut(grouped.join(ids, "root").select(F.col("print").alias("_print"), "root", "component_id"))
     return prints.join(table, F.col("print") == F.col("_print")).select("doc_id", "tie", "print", "root", "component_id")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, sliced, texts
+from .common import cut, documents, sliced, texts
 from .pretokens import Encoder, Lengths
 
 #: Documents that the frequent table is drawn from, in expectation, and its entries at most. They change no count, only speed.
@@ -32,10 +32,10 @@ def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS,
 
     rows = max(1, docs.count())
     share = min(1.0, sample_docs / rows)
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
-    # a task or more of a sample that is bounded whatever the input; only its counters come here
+    # drawn by all tasks and written, so that only the sample, which is bounded whatever the input, passes the few tasks that tally it
+    drawn = cut(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text"))
     seen: Counter = Counter()
-    for row in drawn.coalesce(4).mapInArrow(tally, "token string, n long").toLocalIterator():
+    for row in drawn.coalesce(4).mapInArrow(tally, "token string, n long").collect():
         seen[row["token"]] += row["n"]
     encoder = Encoder(path)  # on the driver, for a bounded number of pre-tokens
     table = [(t, n) for t, _ in seen.most_common(entries) if "\0" not in t and (n := len(encoder.ids(t))) < 256]

@@ -218,6 +218,12 @@ def test_forward_sums_all_segmentations():
         assert f[-1][0] == pytest.approx(want, rel=1e-9) and b[0][0] == pytest.approx(want, rel=1e-9)
 
 
+def test_words_are_letters_only():
+    assert language_id.words_of("½ ² Ⅷ ٣ 12 _ --") == [] and language_id.words_of("a½b Ⅷc É x²") == ["a", "b", "c", "é", "x"]
+    for c in map(chr, range(0x3100)):
+        assert bool(language_id.words_of(c)) == any(x.isalpha() for x in c.lower())
+
+
 def test_language_held_out(spark, sf_dir, odd, none):
     got = language_id.op4_segmentation_language_id(spark, sf_dir).where("held_out").join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
@@ -226,6 +232,8 @@ def test_language_held_out(spark, sf_dir, odd, none):
     out = language_id.identify(odd, pieces, langs, p)
     by = {r["doc_id"]: r for r in out.collect()}
     assert out.count() == len(ODD) and by[1]["lang_pred"] == by[2]["lang_pred"] == by[3]["lang_pred"] == "und" and by[8]["lang_pred"] in langs
+    numbers = table(spark, [(1, "½ ²", "en", "a"), (2, "Ⅷ", "en", "a"), (3, "a ½", "en", "a")])
+    assert [r["lang_pred"] == "und" for r in language_id.identify(numbers, pieces, langs, p).orderBy("doc_id").collect()] == [True, True, False]
     assert language_id.identify(odd, pieces, *language_id.train(none, pieces)).select("lang_pred").distinct().count() == 1 and language_id.identify(none, pieces, langs, p).count() == 0
 
 
@@ -263,7 +271,37 @@ def test_mix_comes_near_its_targets_and_repeats(spark, odd, none):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 40 and all(r["taken"] == r["copies"] * r["size"] and r["copies"] <= 3 for r in own)
     again = mixing.pareto_mix(docs.repartition(7))
     assert collected(again, "doc_id", "taken") == sorted(((r["doc_id"], r["taken"]) for r in got), key=repr)
-    assert mixing.pareto_mix(odd).count() == len(ODD) and mixing.pareto_mix(none).count() == 0 and mixing.pareto_mix(odd).columns == ["doc_id", "text", "lang", "source", "n_chars", "n_lines", "size", "source_size", "target", "copies", "taken"]
+    assert mixing.pareto_mix(odd).count() == len(ODD) and mixing.pareto_mix(none).count() == 0 and mixing.pareto_mix(odd).columns == ["doc_id", "text", "lang", "source", "n_chars", "n_lines", "size", "source_size", "target", "inclusion", "copies", "taken"]
+
+
+def test_realised_inclusion_follows_the_size(spark):
+    """120 sources hold documents of the same sizes: how often each place is sampled must come near its inclusion probability, which is in proportion to its size."""
+    sizes = [8] * 30 + [16] * 30 + [32] * 20 + [64] * 10 + [300]
+    rows = [(1000 * s + i, " ".join(["w"] * n), "en", f"s{s:03d}") for s in range(120) for i, n in enumerate(sizes)]
+    got = mixing.pareto_mix(table(spark, rows).drop("size")).select("doc_id", "source", "size", "inclusion", "target", "source_size", "taken").collect()
+    seen = {}
+    for r in got:
+        whole = int(r["target"] / r["source_size"])
+        seen.setdefault((whole, r["size"], round(r["inclusion"], 9)), []).append(r["taken"] // r["size"] - whole)
+    # the whole targets of three weights: 1.875, 0.75 and 0.375 of a source
+    assert {k[0] for k in seen} == {0, 1} and all(abs(p - np.mean(hits)) < 0.08 for (_, _, p), hits in seen.items())
+    for rate in {round(r["target"] / r["source_size"], 6) for r in got}:
+        odds = {r["size"]: r["inclusion"] for r in got if round(r["target"] / r["source_size"], 6) == rate}
+        assert len({round(p / n, 9) for n, p in odds.items() if p < 1}) == 1 and len(set(odds.values())) >= 3
+
+
+def test_inclusion_sums_to_what_is_left(spark):
+    rng = random.Random(14)
+    for _ in range(3):
+        sizes = [rng.choice([1, 3, 17, 40, 999, 50_000]) + rng.randrange(3) for _ in range(60)]
+        left = rng.random() * sum(sizes)
+        cleared = lambda n: n >> max(0, n.bit_length() - 5) << max(0, n.bit_length() - 5)
+        frame = spark.createDataFrame([("a", n, left) for n in sizes], "of string, size long, left double")
+        classes = frame.groupBy("of", mixing.size_class(F.col("size")).alias("class")).agg(F.sum("size").alias("words"), F.max("left").alias("left"))
+        x = mixing.inclusion(classes, "left").first()
+        assert {r["class"] for r in classes.collect()} == {cleared(n) for n in sizes}
+        p = [1.0 if cleared(n) > x["top"] else x["factor"] * cleared(n) for n in sizes]
+        assert all(0 < v <= 1 for v in p) and sum(v * n for v, n in zip(p, sizes, strict=True)) == pytest.approx(left)
 
 
 # 6 and 9 tokens
@@ -455,15 +493,47 @@ def test_merkle_odd_rows(spark, odd, none):
     assert len(got) == len(ODD) and merkle.merkle_fingerprints(none).count() == 0
     ones = {r["fingerprint"] for r in got if r["n_chars"] == 3 and r["doc_id"] in (4, 8)}
     assert len(ones) == 1 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
-    rows = [(1, "First one. Second one.\nThird one! Fourth", "en", "a"), (5, "Other text here. And more of it.", "en", "a")]
+    rows = [(1, "First one of four sentences. Second one, which is longer.\nThird one! Fourth, that is the last", "en", "a"), (5, "Other text here, a sentence of some length. And more of it, with an end.", "en", "a")]
     out = {r["doc_id"]: r for r in merkle.merkle_fingerprints(table(spark, rows)).collect()}
     for (i, t, *_), (_, nxt, *_) in zip(rows, rows[1:] + rows[:1], strict=True):
         edited = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
-        assert out[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and out[i]["near_edited"] > out[i]["near_next"]
+        assert out[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and out[i]["near_edited"] > out[i]["near_next"] and out[i]["edited_sections"]
     alone = merkle.merkle_fingerprints(table(spark, rows[:1])).first()
     assert alone["near_next"] == 1.0
 
 
+def test_trees_locate_planted_edits(spark):
+    rng = random.Random(15)
+    rows, spots = [], []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" + (". " if rng.random() < 0.1 else " ") for _ in range(400)]
+        at = rng.randrange(400)
+        changed = [*words]
+        changed[at] = "edited. " if i % 2 else words[at].replace("w", "v")
+        rows.append((i, "".join(words), "".join(changed)))
+        spots.append(len("".join(words[:at])))
+    frame = spark.createDataFrame(rows, "i long, a string, b string")
+    prints = frame.select("*", merkle.paragraphs(F.col("a")).alias("p"), merkle.tree(F.col("a")).alias("t"), *[merkle.fingerprint(merkle.tree(F.col(c))).alias(f"f{c}") for c in "ab"])
+    got = prints.select("*", merkle.edits(F.col("fa"), F.col("fb")).alias("e"), merkle.likeness(F.col("fa"), F.col("fb")).alias("like"), merkle.edits(F.col("fa"), F.col("fa")).alias("none")).collect()
+    near = 0
+    for r in got:
+        starts = np.cumsum([0, *map(len, r["p"])])
+        ends = np.cumsum([len(t) // 16 for t in r["t"]])
+        hit = int(np.searchsorted(starts, spots[r["i"]], side="right") - 1)
+        section = int(np.searchsorted(ends, hit, side="right"))
+        found = {x["section"]: x["paragraphs"] for x in r["e"]}
+        assert section in found and hit - (ends[section - 1] if section else 0) in found[section] and r["none"] == []
+        assert r["fa"] != r["fb"] and 0 < r["like"] < 1 and len(r["fa"]) < 0.25 * len(r["a"])
+        near += len(found) <= 3 and r["like"] > 0.85
+    assert near >= 30
+
+
+def test_fingerprints_stay_smaller_than_texts(spark):
+    texts_ = ["a.b." * 2000, "x" * 500, "line\n" * 300, "é" * 200, LONG]
+    got = spark.createDataFrame([(t,) for t in texts_], "t string").select("t", merkle.fingerprint(merkle.tree(F.col("t"))).alias("f"), merkle.paragraphs(F.col("t")).alias("p")).collect()
+    assert all(len(r["f"]) < 0.5 * len(r["t"]) and "".join(r["p"]) == r["t"] for r in got)
+
+
 # Queries with SQL
 
 
