@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -29,6 +29,14 @@ def object_key(kind: Column, root: Column, datatype: Column, value: Column) -> C
     return F.when(kind == "entity", F.concat_ws(":", F.lit("entity"), root)).otherwise(F.concat(F.lit("literal:"), F.coalesce(datatype, F.lit("")), F.lit(":"), value))
 
 
+def claim_object(claims: DataFrame) -> Column:
+    """The object key of claim rows: object_entity_id, where there is such a column and it has a value, else object_datatype, if there is one, and object_value."""
+    value = F.col("object_value").cast("string")
+    datatype = F.col("object_datatype") if "object_datatype" in claims.columns else F.lit(None).cast("string")
+    entity = F.col("object_entity_id") if "object_entity_id" in claims.columns else F.lit(None).cast("string")
+    return object_key(F.when(entity.isNotNull(), "entity").otherwise("literal"), entity.cast("string"), datatype, value)
+
+
 def lexical_tokens(text: Column) -> Column:
     """Lower-cased runs of a-z and 0-9 of two or more characters, repeats kept."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: F.length(x) > 1)
@@ -42,7 +50,7 @@ def lexical_score(tokens: Column, text: Column) -> Column:
 def explain_hit(lexical: Column, vector: Column, graph: Column) -> Column:
     parts = F.concat_ws(
         "; ",
-        F.when(lexical.isNotNull(), F.concat(F.lit("lexical "), lexical.cast("string"))),
+        F.when(lexical.isNotNull(), F.concat(F.lit("lexical "), F.regexp_replace(lexical.cast("string"), r"\.0$", ""))),
         F.when(vector.isNotNull(), F.format_string("vector %.2f", vector)),
         F.when(graph.isNotNull(), F.lit("graph neighborhood")),
     )

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimstead.functions.temporal import open_end
-from claimstead.functions.text import conflict_identity
+from claimstead.functions.text import claim_object, conflict_identity
 from claimstead.operators.access import strictest_scope
+from claimstead.operators.identity import canonical_claims, small
 
 
 def rule_terms(rules: DataFrame) -> DataFrame:
@@ -15,18 +16,21 @@ def rule_terms(rules: DataFrame) -> DataFrame:
     return rules.select(F.explode("terms").alias("term"), "rule_id", F.col("max").alias("rule_max"))
 
 
-def detect(claims: DataFrame, rules: DataFrame) -> DataFrame:
+def detect(claims: DataFrame, rules: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """group columns, claim_ids, rule_id: maximal sets of claims that hold at once and have more objects than their rule allows.
 
+    Objects are entities or literals; with roots (entity_id, canonical_id), subjects and entity objects count by their roots.
+
     At each start of validity in a group (tenant, namespace, canonical subject, rule), the claims that hold are reduced to the least id
     per object; sets over the maximum are kept once, and sets inside a larger one are dropped.
     """
     group = ["tenant_id", "namespace_id", "subject_id", "rule_id"]
-    live = claims.where("status <> 'retracted'").join(F.broadcast(rule_terms(rules)), claims["predicate"] == F.col("term"))
-    live = live.select(*group, "rule_max", "claim_id", "object_value", "valid_from", open_end(F.col("valid_to")).alias("valid_end"))
+    claims = claims if roots is None else canonical_claims(claims, roots)
+    live = claims.withColumn("object", claim_object(claims)).where("status <> 'retracted'").join(small(rule_terms(rules)), F.col("predicate") == F.col("term"))
+    live = live.select(*group, "rule_max", "claim_id", "object", "valid_from", open_end(F.col("valid_to")).alias("valid_end"))
     starts = live.select(*group, F.col("valid_from").alias("at")).distinct()
     held = starts.join(live, group).where("valid_from <= at AND at < valid_end")
-    kept = held.groupBy(*group, "rule_max", "at", "object_value").agg(F.min("claim_id").alias("claim_id"))
+    kept = held.groupBy(*group, "rule_max", "at", "object").agg(F.min("claim_id").alias("claim_id"))
     sets = kept.groupBy(*group, "rule_max", "at").agg(F.sort_array(F.collect_set("claim_id")).alias("claim_ids")).where(F.size("claim_ids") > F.col("rule_max"))
     sets = sets.select(*group, "claim_ids").distinct()
     larger = sets.select(*group, F.col("claim_ids").alias("wider"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimstead.operators.identity import small
+
 
 def terms(items: DataFrame) -> DataFrame:
     """term, id: every id, IRI and alias of items (position, id, iri, aliases); the first definition of a term wins."""
@@ -46,10 +48,10 @@ def claim_issues(claims: DataFrame, predicates: DataFrame) -> DataFrame:
     """claim_id, issues: codes of a claim against the contract's predicates.
 
     claims: claim_id, predicate, object_kind, object_value, object_datatype, subject_types, object_types; predicates: id, iri, aliases,
-    position, domain, range_kind, range_types, datatype, datatype_iri, rules. Predicates are few and are broadcast.
+    position, domain, range_kind, range_types, datatype, datatype_iri, rules. Predicates are broadcast if they are few.
     """
     known = terms(predicates).join(predicates.withColumnRenamed("id", "pid"), F.col("id") == F.col("pid"))
-    found = claims.join(F.broadcast(known.withColumnRenamed("term", "_term")), claims["predicate"] == F.col("_term"), "left")
+    found = claims.join(small(known.withColumnRenamed("term", "_term")), claims["predicate"] == F.col("_term"), "left")
     outside = lambda listed, types: (F.size(listed) > 0) & (F.size(types) > 0) & ~F.arrays_overlap(listed, types)
     literal = (F.col("range_kind") == "literal") & (F.col("object_kind") == "literal")
     entity = (F.col("range_kind") == "entity") & (F.col("object_kind") == "entity")
@@ -127,8 +129,8 @@ def entity_shape(claims: DataFrame, entities: DataFrame, closure: DataFrame, pre
     """entity_id, predicate_id, n, code: counts of a predicate on an entity outside its minimum or maximum, where the predicate applies to its type."""
     typed = entities.join(closure, "type_id")
     need = predicates.select(F.col("id").alias("predicate_id"), "min_count", "max_count", F.explode("domain").alias("ancestor"))
-    due = typed.join(F.broadcast(need), "ancestor").select("entity_id", "predicate_id", "min_count", "max_count").distinct()
-    resolved = claims.join(F.broadcast(terms(predicates)), claims["predicate"] == F.col("term")).groupBy(F.col("subject_id").alias("entity_id"), F.col("id").alias("predicate_id")).agg(F.count(F.lit(1)).alias("n"))
+    due = typed.join(small(need), "ancestor").select("entity_id", "predicate_id", "min_count", "max_count").distinct()
+    resolved = claims.join(small(terms(predicates)), claims["predicate"] == F.col("term")).groupBy(F.col("subject_id").alias("entity_id"), F.col("id").alias("predicate_id")).agg(F.count(F.lit(1)).alias("n"))
     counted = due.join(resolved, ["entity_id", "predicate_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     code = F.when(F.col("n") < F.col("min_count"), "MIN_ITEMS").when(F.col("n") > F.col("max_count"), "MAX_ITEMS")
     return counted.withColumn("code", code).where("code IS NOT NULL").select("entity_id", "predicate_id", "n", "code")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimstead.operators.identity import settle, small
+
 
 def retrieval_metrics(retrieved: DataFrame, relevant: DataFrame, cases: DataFrame, k: int) -> DataFrame:
     """cases, precision_at_k, recall_at_k, hit_rate_at_k, mrr: macro means over cases; all 0 without cases or with k of 0.
@@ -31,13 +36,31 @@ def recall_at_k(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return expected.join(found, ["query_id", "claim_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("_hit", F.lit(0.0))).alias("recall"))
 
 
-def percentiles(rows: DataFrame, by: list[str], value: str, points: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Nearest-rank percentiles and the mean. Equal values are counted first, so no group is sorted row by row."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumns({"upto": F.sum("n").over(run), "total": F.sum("n").over(Window.partitionBy(*by))})
-    at = lambda p: F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("total") * p), F.lit(1)), F.col(value))).alias(f"p{int(p * 100)}")
-    return placed.groupBy(*by).agg(*[at(p) for p in points], (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"))
+def percentiles(rows: DataFrame, by: list[str], value: str, points: tuple[float, ...] = (0.5, 0.95), bins: int = 4096) -> DataFrame:
+    """Nearest-rank percentiles and the mean per group, exactly; null values don't count.
+
+    No group is sorted: the range that holds a percentile is cut into bins, counted on all tasks, and narrowed to one bin, twice; in
+    what is left equal values are counted and those few counts are ordered.
+    """
+    same = lambda a, b: reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by])
+    held = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    groups = settle(held.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.avg("_v").alias("mean")))
+    wanted = groups.select(*by, F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("point"), "lo", "hi", "n").withColumn("nth", F.greatest(F.ceil(F.col("n") * F.col("point")), F.lit(1))).drop("n")
+
+    def counted(wanted_: DataFrame, cell) -> DataFrame:
+        inside = held.alias("h").join(small(wanted_).alias("w"), same("h", "w") & F.col("_v").between(F.col("lo"), F.col("hi")))
+        cells = inside.select(*[F.col(f"w.{c}") for c in by], "point", "nth", "_v", cell.alias("cell"))
+        sums = cells.groupBy(*by, "point", "nth", "cell").agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        run = Window.partitionBy(*by, "point").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+        return sums.withColumn("upto", F.sum("n").over(run)).where((F.col("upto") >= F.col("nth")) & (F.col("upto") - F.col("n") < F.col("nth")))
+
+    width = F.col("hi") - F.col("lo")
+    bin_ = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("lo")) / width * bins), F.lit(bins - 1))).otherwise(0)
+    for _ in range(2):
+        wanted = settle(counted(wanted, bin_).select(*by, "point", "lo", "hi", (F.col("nth") - F.col("upto") + F.col("n")).alias("nth")))
+    at = lambda p: F.max(F.when(F.col("point") == p, F.col("lo"))).alias(f"p{int(p * 100)}")
+    found = counted(wanted, F.col("_v")).groupBy(*by).agg(*[at(float(p)) for p in points])
+    return groups.alias("g").join(found.alias("f"), same("g", "f")).select(*[F.col(f"g.{c}") for c in by], *[f"p{int(p * 100)}" for p in points], "mean")
 
 
 def histogram(rows: DataFrame, by: list[str], value: str, bounds: list[float]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimstead.functions.text import claim_text, hash_embedding, normal_predicate
@@ -41,8 +41,8 @@ def ingest(docs: DataFrame, tenant: str, namespace: str, dimensions: int = 16) -
     entity = F.sha2(F.concat_ws("\u0001", F.lit(tenant), F.lit(namespace), F.lower(F.trim("subject_label"))), 256)
     made = made.withColumn("subject_id", entity).withColumn("predicate", normal_predicate(F.col("predicate")))
     made = made.withColumn("claim_id", F.sha2(F.concat_ws("\u0001", F.col("doc_id").cast("string"), F.col("place").cast("string")), 256)).withColumn("status", F.lit("asserted"))
-    first = Window.partitionBy("subject_id").orderBy("doc_id", "place")
-    entities = made.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("subject_id").alias("entity_id"), F.trim("subject_label").alias("label"))
+    first = made.groupBy("subject_id").agg(F.min(F.struct("doc_id", "place", F.trim("subject_label").alias("label"))).alias("f"))
+    entities = first.select(F.col("subject_id").alias("entity_id"), "f.label")
     claims = later_conflicts(made).select("claim_id", "doc_id", "subject_id", "predicate", "object_value", "confidence", "status", "recorded_at")
     text = claim_text(F.col("predicate"), F.col("object_value"), F.col("subject_id"))
     return {"entities": entities, "claims": claims, "embeddings": claims.select("claim_id", hash_embedding(text, dimensions).alias("vector"))}

@@ -13,10 +13,15 @@ def top_k(hits: DataFrame, by: list[str], k: int, score: str = "score", id_: str
 
 
 def reciprocal_rank_fuse(lists: DataFrame, k: int = 60) -> DataFrame:
-    """query_id, claim_id, score and a component per strategy from (query_id, strategy, claim_id, rank): the sum of 1 / (k + rank)."""
+    """query_id, claim_id, score, a component per strategy and route from (query_id, strategy, claim_id, rank[, route]): the sum of 1 / (k + rank).
+
+    A claim that one list has twice adds both, and its component is that of the last; the route is that of the last list (lexical, vector, graph) that has one.
+    """
     part = 1 / (F.lit(float(k)) + F.col("rank"))
-    component = lambda s: F.max(F.when(F.col("strategy") == s, part)).alias(f"{s}_component")
-    return lists.groupBy("query_id", "claim_id").agg(F.sum(part).alias("score"), component("lexical"), component("vector"), component("graph"))
+    component = lambda s: F.max_by(F.when(F.col("strategy") == s, part), F.when(F.col("strategy") == s, F.col("rank"))).alias(f"{s}_component")
+    held = lists if "route" in lists.columns else lists.withColumn("route", F.lit(None).cast("string"))
+    order = F.when(F.col("route").isNotNull(), F.struct(F.array_position(F.lit(["lexical", "vector", "graph"]), F.col("strategy")).alias("s"), "rank"))
+    return held.groupBy("query_id", "claim_id").agg(F.sum(part).alias("score"), component("lexical"), component("vector"), component("graph"), F.max_by("route", order).alias("route"))
 
 
 def merge_best(hits: DataFrame) -> DataFrame:

@@ -15,9 +15,17 @@ def endpoints(edges: DataFrame) -> DataFrame:
     return far.unionByName(near)
 
 
-def graph_hits(seeds: DataFrame, edges: DataFrame, hops: int, scoring: str = "inverse", route: str = "frontier") -> DataFrame:
+def seed_entities(hits: DataFrame, edges: DataFrame) -> DataFrame:
+    """query_id, entity: both ends of the claims that a query hit."""
+    ends = hits.select("query_id", "claim_id").join(edges.select("claim_id", F.explode(F.array("subject_id", "object_entity_id")).alias("entity")), "claim_id")
+    return ends.where("entity IS NOT NULL").select("query_id", "entity").distinct()
+
+
+def graph_hits(seeds: DataFrame, edges: DataFrame, hops: int, scoring: str = "inverse", route: str = "frontier", limit: int | None = None) -> DataFrame:
     """query_id, claim_id, hop, score, route for claims within `hops` of a query's seed entities, each at its first hop.
 
+    A query that has `limit` claims after a hop isn't taken further: later claims rank behind those.
+
     scoring: 'inverse' gives 1 / hop, 'expansion' 0.3 / hop. route: the least frontier entity that led to the claim, or its
     subject. Frontiers hold entities seen for the first time; every hop is checkpointed.
     """
@@ -34,7 +42,10 @@ def graph_hits(seeds: DataFrame, edges: DataFrame, hops: int, scoring: str = "in
             hits = hits.join(found.select("query_id", "claim_id"), ["query_id", "claim_id"], "left_anti")
         hits = settle(hits)
         found = hits if found is None else found.unionByName(hits)
-        frontier = settle(step.select("query_id", F.col("other").alias("entity")).where("entity IS NOT NULL").distinct().join(seen, ["query_id", "entity"], "left_anti"))
+        frontier = step.select("query_id", F.col("other").alias("entity")).where("entity IS NOT NULL").distinct().join(seen, ["query_id", "entity"], "left_anti")
+        if limit is not None:
+            frontier = frontier.join(found.groupBy("query_id").count().where(F.col("count") >= limit), "query_id", "left_anti")
+        frontier = settle(frontier)
         seen = seen.unionByName(frontier)
     if found is None:
         found = seen.select("query_id", F.lit(None).cast("string").alias("claim_id"), F.lit(None).cast("string").alias("route"), F.lit(0).alias("hop")).where("false")
@@ -42,12 +53,12 @@ def graph_hits(seeds: DataFrame, edges: DataFrame, hops: int, scoring: str = "in
     return found.select("query_id", "claim_id", "hop", score.alias("score"), "route")
 
 
-def type_closure(parents: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """type_id, ancestor: each type with itself and all it extends, paths doubling each round."""
+def type_closure(parents: DataFrame) -> DataFrame:
+    """type_id, ancestor: each type with itself and all it extends, paths doubling each round until none is new."""
     own = parents.select("type_id").union(parents.select("parent_id")).distinct().select("type_id", F.col("type_id").alias("ancestor"))
     paths = settle(own.union(parents.select("type_id", "parent_id")).distinct())
     n = paths.count()
-    for _ in range(max_rounds):
+    while True:
         far = paths.select(F.col("type_id").alias("ancestor"), F.col("ancestor").alias("further"))
         paths = settle(paths.join(far, "ancestor").select("type_id", F.col("further").alias("ancestor")).distinct())
         if (m := paths.count()) == n:
@@ -56,14 +67,13 @@ def type_closure(parents: DataFrame, max_rounds: int = 40) -> DataFrame:
     return paths
 
 
-def cyclic_types(parents: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """type_id of types from which some walk reaches a cycle: types whose parents are all settled are stripped until none is left to strip."""
-    left = settle(parents.select("type_id", "parent_id").distinct())
-    n = left.count()
-    for _ in range(max_rounds):
-        kept = left.join(left.select(F.col("type_id").alias("parent_id")).distinct(), "parent_id", "left_semi").select("type_id", "parent_id")
-        left = settle(kept)
-        if (m := left.count()) == n:
-            break
+def cyclic_types(parents: DataFrame) -> DataFrame:
+    """type_id of types from which some walk reaches a cycle: those on a cycle, which reach themselves, and all that reach one of them. Paths double each round, until none is new."""
+    paths = settle(parents.select("type_id", F.col("parent_id").alias("ancestor")).distinct())
+    n = 0
+    while (m := paths.count()) != n:
         n = m
-    return left.select("type_id").distinct()
+        far = paths.select(F.col("type_id").alias("ancestor"), F.col("ancestor").alias("further"))
+        paths = settle(paths.union(paths.join(far, "ancestor").select("type_id", F.col("further").alias("ancestor"))).distinct())
+    on_cycle = paths.where("type_id = ancestor").select(F.col("type_id").alias("ancestor"))
+    return paths.join(on_cycle, "ancestor", "left_semi").select("type_id").distinct()

@@ -4,28 +4,47 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimstead.functions.text import name_signal, name_tokens, normal_name
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that the session names (a temporary one only where none is set)."""
+    """Checkpoint in the shared folder that the session names in spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="claimstead-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; without it only a session on one machine gets a temporary folder, as other nodes couldn't read one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+    return tempfile.mkdtemp(prefix="claimstead-")
+
+
+#: Rows of a side table up to which a broadcast is asked for; beyond it Spark picks the join.
+BROADCAST_ROWS = 20_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Mark a side table for broadcast if it has at most BROADCAST_ROWS rows; else leave the join to Spark."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def active_redirects(merges: DataFrame) -> DataFrame:
     """absorbed_id, surviving_id: of merges that aren't reverted the last for each absorbed entity."""
     last = merges.where("NOT reverted").groupBy("absorbed_id").agg(F.max(F.struct("event_seq", "surviving_id")).alias("m"))
     return last.select("absorbed_id", F.col("m.surviving_id").alias("surviving_id"))
 
 
-def roots(merges: DataFrame, on_cycle: str = "error", max_rounds: int = 40) -> DataFrame:
-    """entity_id, canonical_id for absorbed entities, by pointer jumping: each round halves the depth.
+def roots(merges: DataFrame, on_cycle: str = "error") -> DataFrame:
+    """entity_id, canonical_id for absorbed entities, by pointer jumping: each round halves the depth, so log2 of their number and one more settle all chains but those that end in a cycle.
 
     A chain that ends in a cycle has a final root that still redirects. Such chains raise, or, with on_cycle='stop', end where they
     enter their cycle; entities of the cycle are their own roots.
@@ -34,7 +53,7 @@ def roots(merges: DataFrame, on_cycle: str = "error", max_rounds: int = 40) -> D
     if on_cycle == "stop":
         redirects = settle(redirects.join(_on_cycles(redirects), "entity_id", "left_anti"))
     jumps = redirects
-    for _ in range(max_rounds):
+    for _ in range(redirects.count().bit_length() + 1):
         next_ = jumps.select(F.col("entity_id").alias("_at"), F.col("to").alias("_further"))
         moved = settle(jumps.join(next_, jumps["to"] == next_["_at"], "left").select("entity_id", F.coalesce("_further", "to").alias("to"), (F.col("_further").isNotNull() & (F.col("_further") != F.col("to"))).alias("moved")))
         changed = not moved.where("moved").isEmpty()
@@ -58,6 +77,13 @@ def _on_cycles(redirects: DataFrame) -> DataFrame:
     return left.select("entity_id")
 
 
+def canonical_claims(claims: DataFrame, roots_: DataFrame) -> DataFrame:
+    """Claims with subject_id and, where they have it, object_entity_id replaced by their roots."""
+    for column in [c for c in ("subject_id", "object_entity_id") if c in claims.columns]:
+        claims = canonical(claims.drop("canonical_id"), column, roots_).drop(column).withColumnRenamed("canonical_id", column)
+    return claims
+
+
 def canonical(entities: DataFrame, id_: str, roots_: DataFrame) -> DataFrame:
     """entities with canonical_id: their root, or themselves."""
     found = roots_.select(F.col("entity_id").alias("_of"), F.col("canonical_id").alias("_root"))
@@ -88,8 +114,8 @@ def candidates(queries: DataFrame, names: DataFrame, limit: int = 5, min_score:
     """query_id, entity_id, kind, score, place: the best entities of each query name.
 
     queries: query_id, name; names: entity_id, name, source (label or alias), canonical_id; all names normalised. Distinct names meet, not entities: by
-    equality, by a shared token, and for substrings by the shorter name's first three letters among the longer's. Shorter
-    names than three letters are met by equality or token. A root's best signal counts.
+    equality, by a shared token, and for substrings by the shorter name's first three letters among the longer's, or by all of it where it
+    has one or two (a query of those looks for no substrings). A root's best signal counts.
     """
     q = queries.select(F.col("name").alias("q")).distinct()
     c = names.select(F.col("name").alias("c"), "source").distinct()
@@ -97,10 +123,13 @@ def candidates(queries: DataFrame, names: DataFrame, limit: int = 5, min_score:
     grams = lambda col: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - 2, F.lit(1))), lambda i: F.substr(F.col(col), i, F.lit(3))))
     start = lambda df, col: df.where(F.length(col) >= 3).withColumn("block", F.substring(col, 1, 3))
     spread = lambda df, col: df.where(F.length(col) >= 3).withColumn("block", F.explode(grams(col)))
+    cuts = lambda col, n: F.transform(F.sequence(F.lit(1), F.length(col) - (n - 1)), lambda i: F.substr(F.col(col), i, F.lit(n)))
+    brief = q.where(F.length("q") >= 3).withColumn("block", F.explode(F.array_distinct(F.concat(cuts("q", 1), cuts("q", 2)))))
     pairs = (
         tokens(q, "q").join(tokens(c, "c"), "block").select("q", "c", "source")
         .union(start(q, "q").join(spread(c, "c"), "block").where(F.contains("c", "q")).select("q", "c", "source"))
-        .union(spread(q, "q").join(start(c, "c"), "block").where(F.contains("q", "c")).select("q", "c", "source")).distinct()
+        .union(spread(q, "q").join(start(c, "c"), "block").where(F.contains("q", "c")).select("q", "c", "source"))
+        .union(brief.join(c.where(F.length("c") < 3), F.col("block") == F.col("c")).select("q", "c", "source")).distinct()
     )
     scored = pairs.withColumn("signal", name_signal(F.col("q"), F.col("c"), F.col("source"))).where("signal IS NOT NULL").select("q", "c", "source", "signal.*")
     hits = queries.join(scored, queries["name"] == scored["q"]).drop("name").join(names.withColumnsRenamed({"name": "n", "source": "s"}), (F.col("c") == F.col("n")) & (F.col("source") == F.col("s")))

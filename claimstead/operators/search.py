@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimstead.functions.text import lexical_tokens
 from claimstead.operators.fusion import top_k
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term, times: repeated tokens count as often as they stand in the query."""
-    return queries.select("query_id", F.explode(lexical_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+from claimstead.operators.identity import settle
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -24,63 +21,131 @@ def postings(texts: DataFrame) -> DataFrame:
     return texts.select("claim_id", F.explode(runs).alias("token")).groupBy("claim_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def substring_terms(terms: DataFrame, tokens: DataFrame) -> DataFrame:
-    """term, token where token contains term. Both are blocked by letters: a term's first three (or two) among the token's."""
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.length("token") - (n - 1)), lambda i: F.substr(F.col("token"), i, F.lit(n)))
-    pieces = F.when(F.length("token") >= 3, F.concat(gram(2), gram(3))).when(F.length("token") == 2, gram(2)).otherwise(F.array().cast("array<string>"))
-    spread = tokens.select("token", F.explode(F.array_distinct(pieces)).alias("block"))
-    keyed = terms.select("term").distinct().withColumn("block", F.substring("term", 1, 3))
-    return keyed.join(spread, "block").where(F.contains("token", "term")).select("term", "token")
-
-
-def lexical_top_k(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def lexical_top_k(queries: DataFrame, texts: DataFrame, k: int, block: int = 256) -> DataFrame:
     """query_id, claim_id, score, rank: how many query tokens are substrings of the text, the k best.
 
-    A token is a run of a-z and 0-9, so a substring hit lies in one run of the text: distinct tokens meet distinct runs, and postings
-    spread the hits. No query meets a text that has none of its tokens.
+    Queries are taken in blocks of about `block`, told by a hash. The tokens of a block are broadcast as one automaton, which finds all of
+    them in one walk over a text, and each task gives its own k best of every query, so only those are shuffled. A query without a
+    token gets the first k texts by id, with score 0; other texts must have a token. Null texts have none.
     """
-    index = postings(texts).select("claim_id", "token")
-    terms = query_terms(queries)
-    hits = substring_terms(terms, index.select("token").distinct()).join(index, "token").select("term", "claim_id").distinct()
-    scored = terms.join(hits, "term").groupBy("query_id", "claim_id").agg(F.sum("times").alias("score"))
-    return top_k(scored, ["query_id"], k)
+    blocks = max(1, -(-queries.count() // block))
+    local = None
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        found = _lexical_block(part, texts, k)
+        local = found if local is None else local.union(found)
+    return top_k(local, ["query_id"], k)
+
+
+def _lexical_block(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    asked = [(r["query_id"], r["terms"] or []) for r in queries.select("query_id", lexical_tokens(F.col("text")).alias("terms")).collect()]  # a block
+    held = queries.sparkSession.sparkContext.broadcast(asked)
+    types = {f.name: f.dataType for f in (queries.schema["query_id"], texts.schema["claim_id"])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        terms = sorted({t for _, own in held.value for t in own})
+        place = {t: i for i, t in enumerate(terms)}
+        weight = np.zeros((len(terms), len(held.value)), np.float32)
+        automaton = ahocorasick.Automaton()
+        for t, i in place.items():
+            automaton.add_word(t, i)
+        if terms:
+            automaton.make_automaton()
+        for j, (_, own) in enumerate(held.value):
+            for t in own:
+                weight[place[t], j] += 1
+        blank = [not own for _, own in held.value]
+        best: list[list[tuple]] = [[] for _ in held.value]
+        names = None
+        for batch in batches:
+            names = batch.schema.field("claim_id").type
+            ids, scores = batch.column("claim_id").to_pylist(), np.zeros((batch.num_rows, len(held.value)), np.float32)
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                if text and terms:
+                    scores[i] = weight[list({at for _, at in automaton.iter(text)})].sum(axis=0)
+            order = np.array(sorted(range(len(ids)), key=ids.__getitem__), np.int64)
+            for j in range(len(best)):
+                column = scores[order, j]
+                top = order[np.argsort(-column, kind="stable")[:k]]
+                best[j] = heapq.nsmallest(k, best[j] + [(-float(scores[i, j]), ids[i]) for i in top if blank[j] or scores[i, j] > 0])
+        rows = [(q, c, int(-s)) for (q, _), own in zip(held.value, best, strict=True) for s, c in own]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], names), pa.array([r[2] for r in rows], pa.int64())], ["query_id", "claim_id", "score"])
+
+    shape = f"query_id {types['query_id'].simpleString()}, claim_id {types['claim_id'].simpleString()}, score long"
+    return texts.select("claim_id", F.lower("text").alias("text")).mapInArrow(run, shape)
 
 
 def full_text_and(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Texts that have all terms of a query, ranked by the sum of term frequencies."""
+    """Texts that have all terms of a query, ranked by the sum of term frequencies.
+
+    A query's candidates are the texts with its rarest term; the others are looked up by (text, term). A query with a term that no text has finds none.
+    """
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("token"))
-    need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    found = terms.join(postings(texts), "token").groupBy("query_id", "claim_id").agg(F.count(F.lit(1)).alias("have"), F.sum("tf").alias("score"))
-    return top_k(found.join(need, "query_id").where("have = need"), ["query_id"], k).select("query_id", "claim_id", "score", "rank")
+    index = postings(texts).join(terms.select("token").distinct(), "token", "left_semi")
+    index = settle(index)
+    often = index.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = terms.join(often, "token", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "token")).alias("r"), F.count(F.lit(1)).alias("need"))
+    could = rarest.where("r.texts > 0").select("query_id", "need", F.col("r.token").alias("token")).join(index.select("token", "claim_id"), "token").select("query_id", "need", "claim_id")
+    found = could.join(terms, "query_id").join(index, ["claim_id", "token"]).groupBy("query_id", "claim_id", "need").agg(F.count(F.lit(1)).alias("have"), F.sum("tf").alias("score"))
+    return top_k(found.where("have = need"), ["query_id"], k).select("query_id", "claim_id", "score", "rank")
 
 
 def full_text_or(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Texts that have any term of a query, unranked: the first k by id, filtered before the limit."""
+    """Texts that have any term of a query, unranked: the first k by id, filtered before the limit.
+
+    One of a query's first k texts is among the first k of the term it has, so longer lists are cut before they meet the queries.
+    """
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("token"))
-    found = terms.join(postings(texts).select("claim_id", "token"), "token").select("query_id", "claim_id").distinct()
+    index = postings(texts).select("claim_id", "token").join(terms.select("token").distinct(), "token", "left_semi")
+    heads = index.withColumn("_n", F.row_number().over(Window.partitionBy("token").orderBy("claim_id"))).where(F.col("_n") <= k)
+    found = terms.join(heads, "token").select("query_id", "claim_id").distinct()
     order = Window.partitionBy("query_id").orderBy("claim_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def vector_fault(vector: Column, width: int) -> Column:
+    """What a vector is rejected for, or null: VECTOR_MISSING, VECTOR_WIDTH or VECTOR_NOT_FINITE."""
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(vector.isNull(), "VECTOR_MISSING").when(F.size(vector) != width, "VECTOR_WIDTH").when(odd, "VECTOR_NOT_FINITE")
+
+
+def checked_vectors(vectors: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors that have the width and only finite numbers, and the others with their fault."""
+    told = vectors.withColumn("fault", vector_fault(F.col("vector"), width))
+    return told.where("fault IS NULL").drop("fault"), told.where("fault IS NOT NULL")
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float = -2.0, block: int = 4096) -> DataFrame:
     """query_id, claim_id, score, rank by cosine to six digits, exactly. queries and vectors: an id and an array.
 
     Queries are taken in blocks of about `block`, told by a hash; the matrix of a block is broadcast, and each batch of vectors gives its
-    own k best of every query, so only those are shuffled. A zero or empty vector has cosine 0.
+    own k best of every query, so only those are shuffled. A zero vector has cosine 0. All queries must have one width and finite
+    numbers, else a ValueError is raised; vectors that haven't are no candidates (checked_vectors names them).
     """
+    width = _width(queries)
     blocks = max(1, -(-queries.count() // block))
     local = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        found = _block_top_k(part, vectors, k, least)
+        found = _block_top_k(part, checked_vectors(vectors, width)[0], k, least, width)
         local = found if local is None else local.union(found)
     return top_k(local, ["query_id"], k)
 
 
-def _block_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float) -> DataFrame:
+def _width(queries: DataFrame) -> int:
+    width = queries.agg(F.max(F.size("vector")).alias("w")).first()["w"] or 0
+    faults = checked_vectors(queries, width)[1].groupBy("fault").count().collect()
+    if faults:
+        raise ValueError(f"query vectors are rejected: {sorted((r['fault'], r['count']) for r in faults)}")
+    return width
+
+
+def _block_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float, width: int) -> DataFrame:
     asked = queries.select("query_id", "vector").toPandas()
     ids = asked["query_id"].tolist()
-    width = max((len(v) for v in asked["vector"] if v is not None), default=0)
     held = queries.sparkSession.sparkContext.broadcast(_unit(asked["vector"].tolist(), width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,9 +163,7 @@ def _block_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float) -
 
 
 def _unit(vectors: list, width: int) -> np.ndarray:
-    m = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        m[i, : min(len(v or []), width)] = (v if v is not None else [])[:width]
+    m = np.array(vectors, float).reshape(len(vectors), width)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 

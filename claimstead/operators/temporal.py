@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimstead.functions.temporal import overlaps
+from claimstead.functions.text import claim_object
+from claimstead.operators.identity import canonical_claims, settle
 
 
 def latest(versions: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -38,17 +40,34 @@ def as_of_join(probes: DataFrame, versions: DataFrame, key: str, at: str, order:
 
 
 def overlap_pairs(claims: DataFrame) -> DataFrame:
-    """Pairs of unretracted claims on one subject and predicate with different objects and overlapping validity; the lesser id comes first."""
-    live = claims.where("status <> 'retracted'").select("tenant_id", "namespace_id", "subject_id", "predicate", "claim_id", "object_value", "valid_from", "valid_to")
+    """Pairs of unretracted claims on one subject and predicate with different objects, entities or literals, and overlapping validity; the lesser id comes first."""
+    live = claims.where("status <> 'retracted'").select("tenant_id", "namespace_id", "subject_id", "predicate", "claim_id", claim_object(claims).alias("object"), "valid_from", "valid_to")
     a, b = live.alias("a"), live.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("tenant_id", "namespace_id", "subject_id", "predicate")]
-    other = ~F.col("a.object_value").eqNullSafe(F.col("b.object_value")) & (F.col("a.claim_id") < F.col("b.claim_id"))
+    other = ~F.col("a.object").eqNullSafe(F.col("b.object")) & (F.col("a.claim_id") < F.col("b.claim_id"))
     during = overlaps(F.col("a.valid_from"), F.col("a.valid_to"), F.col("b.valid_from"), F.col("b.valid_to"))
     return a.join(b, [*same, other, during]).select(F.col("a.claim_id").alias("left_id"), F.col("b.claim_id").alias("right_id"), F.col("a.subject_id"), F.col("a.predicate"))
 
 
-def later_conflicts(claims: DataFrame) -> DataFrame:
-    """Claims, with status conflicted where an earlier claim on the subject and predicate has another object (validity is open-ended here)."""
-    earlier = Window.partitionBy("subject_id", "predicate").orderBy("recorded_at", "claim_id").rowsBetween(Window.unboundedPreceding, -1)
-    differs = (F.min("object_value").over(earlier) != F.col("object_value")) | (F.max("object_value").over(earlier) != F.col("object_value"))
-    return claims.withColumn("status", F.when(F.coalesce(differs, F.lit(False)), "conflicted").otherwise(F.col("status")))
+def later_conflicts(claims: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Claims, with status conflicted where an earlier claim on the subject and predicate has another object (validity is open-ended here).
+
+    With roots, subjects and entity objects count by their roots. No group is sorted: of each (subject, predicate) only the first object
+    and the first place of another one are needed, which are two minima, combined before the shuffle. A claim with the first object conflicts
+    if it comes after that place, any other does. Claims without an object neither conflict nor count.
+    """
+    counted = claims if roots is None else canonical_claims(claims, roots)
+    key = {"_s": F.col("subject_id"), "_p": F.col("predicate")}
+    told = counted.select(*[v.alias(k) for k, v in key.items()], claim_object(counted).alias("object"), F.struct("recorded_at", "claim_id").alias("place")).where("object IS NOT NULL")
+    firsts = settle(told.groupBy("_s", "_p", "object").agg(F.min("place").alias("place")))
+    # scans of their own, so that Spark can split the other side of a join where one subject has very many rows
+    first = settle(firsts.groupBy("_s", "_p").agg(F.min(F.struct("place", "object")).alias("f")).select("_s", "_p", F.col("f.object").alias("_object")))
+    second = firsts.join(first, ["_s", "_p"]).where("object <> _object").groupBy("_s", "_p").agg(F.min("place").alias("_other"))
+    known = settle(first.join(second, ["_s", "_p"], "left"))
+    own = claim_object(counted)
+    judged = counted.withColumns({**key, "_own": own}).join(known, ["_s", "_p"], "left")
+    late = F.when(F.col("_own") != F.col("_object"), True).when(F.col("_own") == F.col("_object"), F.col("_other") < F.struct("recorded_at", "claim_id"))
+    marked = judged.select("claim_id", F.coalesce(late, F.lit(False)).alias("_late")) if roots is not None else None
+    if marked is None:
+        return judged.withColumn("status", F.when(F.coalesce(late, F.lit(False)), "conflicted").otherwise(F.col("status"))).select(*claims.columns)
+    return claims.join(marked, "claim_id").withColumn("status", F.when(F.col("_late"), "conflicted").otherwise(F.col("status"))).select(*claims.columns)

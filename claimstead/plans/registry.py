@@ -264,27 +264,24 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.lexical_top_k(_questions(spark, sf_dir), _texts(spark, sf_dir), 10)
 
 
-def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = F.slice(F.array_distinct(T.lexical_tokens(F.col("text"))), 1, 3)
-    return _questions(spark, sf_dir).select("query_id", terms.alias("terms"))
+def _asked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _questions(spark, sf_dir).select("query_id", F.array_distinct(T.lexical_tokens(F.col("text"))).alias("terms"))
 
 
 _TF = """
 tf AS (SELECT claim_id, token, count(*) AS tf FROM (SELECT doc_id AS claim_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS token FROM documents) GROUP BY ALL),
-tok AS (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1)) AS token, generate_subscripts(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1), 1) AS spot FROM benchmark),
-first AS (SELECT query_id, token, min(spot) AS spot FROM tok GROUP BY ALL),
-t3 AS (SELECT query_id, token FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot) AS n FROM first) WHERE n <= 3)"""
+asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1)) AS token FROM benchmark)"""
 
 
-@query(f"""WITH {_TF}, need AS (SELECT query_id, count(*) AS need FROM t3 GROUP BY ALL), hit AS (SELECT query_id, claim_id, count(*) AS have, CAST(sum(tf) AS BIGINT) AS score FROM t3 JOIN tf USING (token) GROUP BY ALL)
+@query(f"""WITH {_TF}, need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY ALL), hit AS (SELECT query_id, claim_id, count(*) AS have, CAST(sum(tf) AS BIGINT) AS score FROM asked JOIN tf USING (token) GROUP BY ALL)
 SELECT query_id, claim_id, score, rank FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM hit h JOIN need USING (query_id) WHERE have = need) WHERE rank <= 20""")
 def inverted_index_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.full_text_and(_short(spark, sf_dir), _texts(spark, sf_dir), 20)
+    return search.full_text_and(_asked_terms(spark, sf_dir), _texts(spark, sf_dir), 20)
 
 
-@query(f"""WITH {_TF} SELECT query_id, claim_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY claim_id) AS rank FROM (SELECT DISTINCT query_id, claim_id FROM t3 JOIN tf USING (token))) WHERE rank <= 20""")
+@query(f"""WITH {_TF} SELECT query_id, claim_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY claim_id) AS rank FROM (SELECT DISTINCT query_id, claim_id FROM asked JOIN tf USING (token))) WHERE rank <= 20""")
 def inverted_index_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.full_text_or(_short(spark, sf_dir), _texts(spark, sf_dir), 20)
+    return search.full_text_or(_asked_terms(spark, sf_dir), _texts(spark, sf_dir), 20)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,33 +386,57 @@ def _doc_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("claim_id"), F.lit("local").alias("tenant_id"), F.col("lang").alias("namespace_id"), level.alias("classification"), F.lit("workspace").alias("visibility"), F.lit(None).cast("string").alias("owner_id"))
 
 
+def _doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A claim for each document, from its group of five to that of the document eleven behind."""
+    d = fx.table(spark, sf_dir, "documents")
+    group = lambda v: F.concat(F.lit("g:"), F.floor(v / 5).cast("string"))
+    return d.select(F.col("doc_id").alias("claim_id"), group(F.col("doc_id")).alias("subject_id"), group(F.col("doc_id") + 11).alias("object_entity_id"))
+
+
+def _suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth document is preferred to the next one."""
+    d = fx.table(spark, sf_dir, "documents").where("doc_id % 50 = 0")
+    return conflicts.suppressed(d.select(F.array("doc_id", F.col("doc_id") + 1).alias("claim_ids"), F.col("doc_id").alias("preferred_claim_id")))
+
+
 def _hybrid(spark: SparkSession, sf_dir: str, how) -> tuple[DataFrame, DataFrame, DataFrame]:
     embed = lambda df, id_: df.select(F.col(id_), T.hash_embedding(F.col("text"), 8).alias("vector"))
     texts, asked = _texts(spark, sf_dir), _questions(spark, sf_dir)
     questions = asked.join(embed(asked, "query_id"), "query_id")
-    hits = how(questions, texts, embed(texts, "claim_id"), PLAN)
-    return (*retrieval.answer(hits, _doc_claims(spark, sf_dir), _reader(), stamp(NOW), PLAN), questions)
+    hits = how(questions, texts, embed(texts, "claim_id"), PLAN, _doc_edges(spark, sf_dir))
+    return (*retrieval.answer(hits, _doc_claims(spark, sf_dir), _reader(), stamp(NOW), PLAN, _suppressed(spark, sf_dir)), questions)
 
 
 _HYBRID = f"""WITH {_LEX}, lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM lex0) WHERE rank <= 30),
 qe AS (SELECT item_id AS query_id, {_emb('text', 8)} AS e FROM benchmark), de AS (SELECT doc_id AS claim_id, {_emb('text', 8)} AS e FROM documents),
 vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM (SELECT query_id, claim_id, round(list_cosine_similarity(qe.e, de.e), 6) AS score FROM qe CROSS JOIN de) WHERE score >= 0.15) WHERE rank <= 50),
-acl AS (SELECT doc_id AS claim_id, ['public', 'internal', 'confidential'][1 + doc_id % 3] AS classification, doc_id % 3 < 2 AND lang IN ('en', 'fr') AS ok FROM documents)"""
+acl AS (SELECT doc_id AS claim_id, ['public', 'internal', 'confidential'][1 + doc_id % 3] AS classification, doc_id % 3 < 2 AND lang IN ('en', 'fr') AS ok FROM documents WHERE doc_id % 50 <> 1),
+edge AS (SELECT doc_id AS claim_id, concat('g:', CAST(doc_id // 5 AS VARCHAR)) AS s, concat('g:', CAST((doc_id + 11) // 5 AS VARCHAR)) AS o FROM documents),
+ends AS (SELECT s AS entity, claim_id, o AS other, s FROM edge UNION ALL SELECT o, claim_id, s, s FROM edge),
+first AS (SELECT query_id, claim_id FROM lex UNION SELECT query_id, claim_id FROM vec),
+f0 AS (SELECT DISTINCT query_id, entity FROM first JOIN ends USING (claim_id)),
+h1 AS (SELECT query_id, claim_id, entity, other, s FROM f0 JOIN ends USING (entity)), f1 AS (SELECT DISTINCT query_id, other AS entity FROM h1 EXCEPT SELECT query_id, entity FROM f0),
+h2 AS (SELECT query_id, claim_id, entity, other, s FROM f1 JOIN ends USING (entity)),
+near AS (SELECT query_id, claim_id, min(hop) AS hop, arg_min(entity, (hop, entity)) AS route FROM (SELECT query_id, claim_id, 1 AS hop, entity FROM h1 UNION ALL SELECT query_id, claim_id, 2, entity FROM h2) GROUP BY ALL HAVING (query_id, claim_id) NOT IN (SELECT (query_id, claim_id) FROM first))"""
+
+_ADDED = _HYBRID + """, hit AS (SELECT query_id, claim_id, round(coalesce(CAST(lex.score AS DOUBLE), 0.0) + coalesce(vec.score, 0.0), 6) AS score, lex.score AS lexical, vec.score AS vector, NULL AS graph FROM lex FULL JOIN vec USING (query_id, claim_id)
+  UNION ALL SELECT query_id, claim_id, round(0.3::DOUBLE / hop, 6), NULL, NULL, hop FROM near),
+shown AS (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM hit h JOIN acl USING (claim_id) WHERE ok) WHERE rank <= 20)"""
 
 
-@query(_HYBRID + """, hit AS (SELECT query_id, claim_id, round(coalesce(CAST(lex.score AS DOUBLE), 0.0) + coalesce(vec.score, 0.0), 6) AS score FROM lex FULL JOIN vec USING (query_id, claim_id))
-SELECT query_id, claim_id, score, rank FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM hit h JOIN acl USING (claim_id) WHERE ok) WHERE rank <= 20""")
+@query(_ADDED + " SELECT query_id, claim_id, score, rank FROM shown")
 def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, retrieval.additive)[0].select("query_id", "claim_id", "score", "rank")
 
 
-_FUSED = _HYBRID + """, part AS (SELECT query_id, claim_id, 1.0::DOUBLE / (60 + rank) AS c FROM lex UNION ALL SELECT query_id, claim_id, 1.0::DOUBLE / (60 + rank) FROM vec),
-hit AS (SELECT query_id, claim_id, sum(c) AS score FROM part GROUP BY ALL), shown AS (SELECT * FROM (SELECT h.query_id, h.claim_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM hit h JOIN acl USING (claim_id) WHERE ok) WHERE rank <= 20)"""
+_FUSED = _HYBRID + """, part AS (SELECT query_id, claim_id, 1.0::DOUBLE / (60 + rank) AS c, NULL AS route FROM lex UNION ALL SELECT query_id, claim_id, 1.0::DOUBLE / (60 + rank), NULL FROM vec
+  UNION ALL SELECT query_id, claim_id, 1.0::DOUBLE / (60 + rank), route FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, claim_id) AS rank FROM near) WHERE rank <= 40),
+hit AS (SELECT query_id, claim_id, sum(c) AS score, max(route) AS route FROM part GROUP BY ALL), shown AS (SELECT * FROM (SELECT h.query_id, h.claim_id, route, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM hit h JOIN acl USING (claim_id) WHERE ok) WHERE rank <= 20)"""
 
 
-@query(_FUSED + " SELECT query_id, claim_id, rank FROM shown")
+@query(_FUSED + " SELECT query_id, claim_id, rank, route FROM shown")
 def fused_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hybrid(spark, sf_dir, retrieval.fused)[0].select("query_id", "claim_id", "rank")
+    return _hybrid(spark, sf_dir, retrieval.fused)[0].select("query_id", "claim_id", "rank", "route")
 
 
 @query(_FUSED + " SELECT query_id, classification, count(*) AS omitted FROM hit JOIN acl USING (claim_id) WHERE NOT ok GROUP BY ALL")
@@ -423,10 +444,16 @@ def retrieval_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, retrieval.fused)[1]
 
 
-@query()
+@query(_ADDED + """, said AS (SELECT query_id, string_agg(concat(claim_id, ' ', array_to_string(list_filter([CASE WHEN lexical IS NOT NULL THEN concat('lexical ', lexical) END, CASE WHEN vector IS NOT NULL THEN concat('vector ', printf('%.2f', vector)) END,
+  CASE WHEN graph IS NOT NULL THEN 'graph neighborhood' END], lambda x: x IS NOT NULL), '; ')), ' | ' ORDER BY rank) AS selected FROM shown GROUP BY query_id),
+lost AS (SELECT query_id, string_agg(concat(classification, ' ', n), ' | ' ORDER BY classification) AS omissions FROM (SELECT query_id, classification, count(*) AS n FROM hit JOIN acl USING (claim_id) WHERE NOT ok GROUP BY ALL) GROUP BY query_id)
+SELECT item_id AS query_id, sha256(text) AS query_hash, selected, omissions FROM benchmark LEFT JOIN said ON query_id = item_id LEFT JOIN lost ON lost.query_id = item_id""")
 def retrieval_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked, omitted, asked = _hybrid(spark, sf_dir, retrieval.additive)
-    return retrieval.receipts(ranked, omitted, asked)
+    found = retrieval.receipts(ranked, omitted, asked)
+    chosen = F.array_join(F.transform("selected", lambda x: F.concat_ws(" ", x["claim_id"].cast("string"), x["reason"])), " | ")
+    left = F.array_join(F.transform("omissions", lambda x: F.concat_ws(" ", x["classification"], x["omitted"].cast("string"))), " | ")
+    return found.select("query_id", "query_hash", chosen.alias("selected"), left.alias("omissions"))
 
 
 @query(f"""WITH {_LEX}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM lex0) WHERE rank <= 10),
@@ -475,7 +502,9 @@ def evidence_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.evidence(rows).select("uri", "mime", "content_hash", "blob_key")
 
 
-@query()
+@query(rf"""WITH {_SENT}, made AS (SELECT doc_id, place, lower(trim(trim(concat(m.a, m.b)))) AS entity, 'is' AS predicate, trim(concat(m.d, m.e)) AS object_value FROM parts UNION ALL SELECT doc_id, -1, 'document', 'mentions', substr(text, 1, 80) FROM documents),
+told AS (SELECT *, min(object_value) OVER w AS low, max(object_value) OVER w AS high FROM (SELECT *, sha256(concat(CAST(doc_id AS VARCHAR), chr(1), CAST(place AS VARCHAR))) AS claim_id FROM made) WINDOW w AS (PARTITION BY entity, predicate ORDER BY claim_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT predicate, CASE WHEN low <> object_value OR high <> object_value THEN 'conflicted' ELSE 'asserted' END AS status, count(*) AS n FROM told GROUP BY ALL UNION ALL SELECT 'entity', 'distinct', count(DISTINCT entity) FROM made""")
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many claims of each status and entities an ingest of all documents makes."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text", stamp(NOW).alias("recorded_at"))
@@ -575,28 +604,51 @@ def decision_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.replay(d, refs, spark.range(1).select(F.explode(F.array(*_policies())).alias("p")).select("p.policy_id", "p.version"))
 
 
-@query(f"""WITH {fx.DECISIONS}, {fx.DECISION_CLAIMS}, {fx.EVENTS}, v AS (SELECT DISTINCT l_partkey AS claim_id, l_shipdate AS at, l_linenumber AS seq, CASE l_returnflag WHEN 'R' THEN 'retracted' WHEN 'A' THEN 'conflicted' ELSE 'asserted' END AS status FROM lineitem),
+_AUDIT = f"""{_POL}, {fx.DECISION_CLAIMS.strip()}, {fx.EVENTS.strip()}, v AS (SELECT DISTINCT l_partkey AS claim_id, l_shipdate AS at, l_linenumber AS seq, CASE l_returnflag WHEN 'R' THEN 'retracted' WHEN 'A' THEN 'conflicted' ELSE 'asserted' END AS status FROM lineitem),
 p AS (SELECT c.decision_id, c.claim_id, v.status, row_number() OVER (PARTITION BY c.decision_id, c.claim_id ORDER BY v.at DESC, v.seq DESC, v.status DESC) AS n FROM f_decision_claims c JOIN f_decisions d USING (decision_id) JOIN v ON v.claim_id = c.claim_id AND v.at <= d.recorded_at),
-nc AS (SELECT decision_id, count(*) AS n FROM p WHERE n = 1 AND status <> 'retracted' GROUP BY ALL),
-ev AS (SELECT DISTINCT decision_id, event_id FROM (SELECT d.decision_id, e.event_id FROM f_decisions d JOIN f_events e ON e.claim_id = d.decision_id UNION ALL SELECT c.decision_id, e.event_id FROM f_decision_claims c JOIN f_events e ON e.claim_id = c.claim_id)),
-ne AS (SELECT decision_id, count(*) AS n FROM ev GROUP BY ALL)
-SELECT decision_id, coalesce(nc.n, 0) AS n_claims, coalesce(ne.n, 0) AS n_events FROM f_decisions LEFT JOIN nc USING (decision_id) LEFT JOIN ne USING (decision_id)""")
+ev AS (SELECT DISTINCT decision_id, event_id, kind FROM (SELECT d.decision_id, e.event_id, e.kind FROM f_decisions d JOIN f_events e ON e.claim_id = d.decision_id UNION ALL SELECT c.decision_id, e.event_id, e.kind FROM f_decision_claims c JOIN f_events e ON e.claim_id = c.claim_id)),
+item AS (
+  SELECT 'claims' AS section, decision_id, claim_id AS a, '' AS z, concat('{{"claim_id":', claim_id, ',"status":"', status, '"}}') AS j FROM p WHERE n = 1 AND status <> 'retracted'
+  UNION ALL SELECT 'events', decision_id, event_id, kind, concat('{{"event_id":', event_id, ',"kind":"', kind, '"}}') FROM ev
+  UNION ALL SELECT DISTINCT 'evidence', l_orderkey, l_suppkey, '', concat('{{"evidence_id":', l_suppkey, '}}') FROM lineitem
+  UNION ALL SELECT 'policy_versions', decision_id, version, policy_id, concat('{{"policy_id":"', policy_id, '","version":', version, '}}') FROM app
+  UNION ALL SELECT DISTINCT 'authorization_receipts', l_orderkey, l_partkey, l_linestatus, concat('{{"claim_id":', l_partkey, ',"effect":"', CASE WHEN l_linestatus = 'F' THEN 'deny' ELSE 'allow' END, '"}}') FROM lineitem
+  UNION ALL SELECT DISTINCT 'relations', l_orderkey, l_partkey, '', concat('{{"to_id":', l_partkey, '}}') FROM lineitem WHERE l_orderkey <> l_partkey
+  UNION ALL SELECT section, claim_id, event_id, '', concat('{{"event_id":', event_id, '}}') FROM (SELECT CASE kind WHEN 'decision.recorded' THEN 'outcomes' WHEN 'claim.retracted' THEN 'exceptions' ELSE 'approvals' END AS section, * FROM f_events WHERE kind IN ('decision.recorded', 'claim.retracted', 'context.accessed')) WHERE claim_id IS NOT NULL
+), bundle AS (SELECT decision_id, section, count(*) AS n, sha256(concat('[', string_agg(j, ',' ORDER BY a, CASE WHEN section = 'authorization_receipts' THEN CASE WHEN z = 'F' THEN '2' ELSE '1' END ELSE z END), ']')) AS h FROM item GROUP BY decision_id, section)"""
+_AUDIT_NAMES = ["claims", "events", *decisions.SECTIONS]
+
+
+@query(_AUDIT + " SELECT decision_id, " + ", ".join(f"CAST(coalesce(max(n) FILTER (section = '{c}'), 0) AS BIGINT) AS n_{c}" for c in _AUDIT_NAMES) + " FROM f_decisions LEFT JOIN bundle USING (decision_id) GROUP BY decision_id")
 def decision_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _audit(spark, sf_dir).drop("manifest")
 
 
-@query()
+@query(_AUDIT + " SELECT decision_id, " + ", ".join(f"coalesce(max(h) FILTER (section = '{c}'), sha256('[]')) AS {c}_sha256" for c in _AUDIT_NAMES) + " FROM f_decisions LEFT JOIN bundle USING (decision_id) GROUP BY decision_id")
 def audit_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark, sf_dir).select("decision_id", F.col("manifest")["claims"].alias("claims_sha256"), F.col("manifest")["events"].alias("events_sha256"))
+    return _audit(spark, sf_dir).select("decision_id", *[F.col("manifest")[c].alias(f"{c}_sha256") for c in _AUDIT_NAMES])
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("l_returnflag") == "R", "retracted").when(F.col("l_returnflag") == "A", "conflicted").otherwise("asserted")
-    versions = fx.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("claim_id"), F.col("l_shipdate").alias("recorded_at"), F.col("l_linenumber").alias("version_seq"), status.alias("status")).distinct()
-    return decisions.audit(fx.decisions(spark, sf_dir), fx.decision_claims(spark, sf_dir), versions, fx.event_log(fx.table(spark, sf_dir, "events")))
-
-
-@query()
+    lines = fx.table(spark, sf_dir, "lineitem")
+    versions = lines.select(F.col("l_partkey").alias("claim_id"), F.col("l_shipdate").alias("recorded_at"), F.col("l_linenumber").alias("version_seq"), status.alias("status")).distinct()
+    events = fx.event_log(fx.table(spark, sf_dir, "events"))
+    fact = lambda kind: events.where((F.col("kind") == kind) & F.col("claim_id").isNotNull()).select(F.col("claim_id").alias("decision_id"), "event_id")
+    order = F.col("l_orderkey").alias("decision_id")
+    sections = {
+        "evidence": lines.select(order, F.col("l_suppkey").alias("evidence_id")),
+        "policy_versions": policy.applicable_policies(fx.decisions(spark, sf_dir), _policies()).select("decision_id", "policy.policy_id", "policy.version"),
+        "authorization_receipts": lines.select(order, F.col("l_partkey").alias("claim_id"), F.when(F.col("l_linestatus") == "F", "deny").otherwise("allow").alias("effect")),
+        "relations": lines.where("l_orderkey <> l_partkey").select(order, F.col("l_partkey").alias("to_id")),
+        "outcomes": fact("decision.recorded"), "exceptions": fact("claim.retracted"), "approvals": fact("context.accessed"),
+    }
+    return decisions.audit(fx.decisions(spark, sf_dir), fx.decision_claims(spark, sf_dir), versions, events, sections)
+
+
+@query(f"""WITH {fx.DECISIONS}, {fx.DECISION_CLAIMS}, used AS (SELECT decision_id, string_agg(concat('"', e, '"'), ',' ORDER BY e) AS used FROM (SELECT DISTINCT decision_id, concat('evidence:', CAST(claim_id AS VARCHAR)) AS e FROM f_decision_claims) GROUP BY decision_id)
+SELECT decision_id, concat('{{"type":"prov:Activity","id":"decision:', decision_id, '","wasAssociatedWith":"agent:', actor, '"', CASE WHEN used IS NOT NULL THEN concat(',"used":[', used, ']') ELSE '' END, ',"endedAtTime":"', strftime(recorded_at, '%Y-%m-%dT%H:%M:%S'), '"}}') AS prov
+FROM f_decisions LEFT JOIN used USING (decision_id)""")
 def prov_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.provenance_json(fx.decisions(spark, sf_dir), fx.decision_claims(spark, sf_dir))
 

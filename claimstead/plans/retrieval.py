@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from claimstead.functions.text import explain_hit
 from claimstead.operators import access
 from claimstead.operators.fusion import reciprocal_rank_fuse, rerank, top_k
-from claimstead.operators.graph import graph_hits
+from claimstead.operators.graph import graph_hits, seed_entities
+from claimstead.operators.identity import settle
 from claimstead.operators.search import lexical_top_k, vector_top_k
 
 
@@ -25,6 +26,11 @@ class Plan:
     k: int = 60
     least_similarity: float = 0.15
 
+    @property
+    def graph(self) -> int:
+        """Candidates of the graph at most."""
+        return max(2 * self.budget, 20)
+
 
 def candidates(strategy: str, queries: DataFrame, texts: DataFrame, vectors: DataFrame, edges: DataFrame | None, seeds: DataFrame | None, plan: Plan) -> DataFrame:
     """One signature for every strategy: query_id, claim_id, score, rank."""
@@ -33,24 +39,38 @@ def candidates(strategy: str, queries: DataFrame, texts: DataFrame, vectors: Dat
     if strategy == "vector":
         return vector_top_k(queries, vectors, plan.vector, plan.least_similarity)
     if strategy == "graph" and edges is not None and seeds is not None:
-        return top_k(graph_hits(seeds, edges, plan.hops), ["query_id"], max(2 * plan.budget, 20))
+        return top_k(graph_hits(seeds, edges, plan.hops, limit=plan.graph), ["query_id"], plan.graph)
     raise ValueError(f"unknown strategy {strategy}")
 
 
-def additive(queries: DataFrame, texts: DataFrame, vectors: DataFrame, plan: Plan) -> DataFrame:
-    """query_id, claim_id, score, components: lexical and vector scores added."""
+def additive(queries: DataFrame, texts: DataFrame, vectors: DataFrame, plan: Plan, edges: DataFrame | None = None) -> DataFrame:
+    """query_id, claim_id, score, components, route: lexical and vector scores added, then the neighbourhood of those hits.
+
+    edges: claim_id, subject_id, object_entity_id. A claim within plan.hops of a hit's ends that isn't hit itself gets .3 / hop and its subject for route.
+    """
     lex = lexical_top_k(queries, texts, plan.lexical).select("query_id", "claim_id", F.col("score").cast("double").alias("lexical"))
     vec = vector_top_k(queries, vectors, plan.vector, plan.least_similarity).select("query_id", "claim_id", F.col("score").alias("vector"))
     both = lex.join(vec, ["query_id", "claim_id"], "full")
-    return both.withColumn("score", F.round(F.coalesce("lexical", F.lit(0.0)) + F.coalesce("vector", F.lit(0.0)), 6))
+    both = both.withColumn("score", F.round(F.coalesce("lexical", F.lit(0.0)) + F.coalesce("vector", F.lit(0.0)), 6))
+    if edges is None or plan.hops < 1:
+        return both.withColumns({"graph": F.lit(None).cast("double"), "route": F.lit(None).cast("string")})
+    both = settle(both)
+    near = graph_hits(seed_entities(both, edges), edges, plan.hops, "expansion", "subject").join(both, ["query_id", "claim_id"], "left_anti")
+    near = near.select("query_id", "claim_id", F.round("score", 6).alias("score"), F.col("score").alias("graph"), "route")
+    return both.unionByName(near, allowMissingColumns=True)
 
 
-def fused(queries: DataFrame, texts: DataFrame, vectors: DataFrame, plan: Plan, graph: DataFrame | None = None) -> DataFrame:
-    """query_id, claim_id, score, components: the lists' reciprocal ranks added. graph: query_id, claim_id, rank."""
+def fused(queries: DataFrame, texts: DataFrame, vectors: DataFrame, plan: Plan, edges: DataFrame | None = None) -> DataFrame:
+    """query_id, claim_id, score, components, route: the lists' reciprocal ranks added. The graph's list starts from the ends of the other lists' claims, which it leaves out."""
     lists = lexical_top_k(queries, texts, plan.lexical).select("query_id", F.lit("lexical").alias("strategy"), "claim_id", "rank")
     lists = lists.unionByName(vector_top_k(queries, vectors, plan.vector, plan.least_similarity).select("query_id", F.lit("vector").alias("strategy"), "claim_id", "rank"))
-    if graph is not None:
-        lists = lists.unionByName(graph.select("query_id", F.lit("graph").alias("strategy"), "claim_id", "rank"))
+    lists = lists.withColumn("route", F.lit(None).cast("string"))
+    if edges is not None and plan.hops > 0:
+        lists = settle(lists)
+        # a query has at most plan.lexical + plan.vector seed claims, all of which the graph may find before others
+        near = graph_hits(seed_entities(lists, edges), edges, plan.hops, limit=plan.graph + plan.lexical + plan.vector)
+        near = top_k(near.join(lists.select("query_id", "claim_id").distinct(), ["query_id", "claim_id"], "left_anti"), ["query_id"], plan.graph)
+        lists = lists.unionByName(near.select("query_id", F.lit("graph").alias("strategy"), "claim_id", "rank", "route"))
     return reciprocal_rank_fuse(lists, plan.k)
 
 
@@ -71,7 +91,7 @@ def answer(hits: DataFrame, claims: DataFrame, reader: Column, now: Column, plan
 
 def receipts(ranked: DataFrame, omitted: DataFrame, queries: DataFrame) -> DataFrame:
     """A receipt per query: the hash of its text, the selected claims with reasons, and what was left out."""
-    reason = explain_hit(F.col("lexical"), F.col("vector"), F.lit(None).cast("double")) if "vector" in ranked.columns else F.lit("metadata match")
+    reason = explain_hit(F.col("lexical"), F.col("vector"), F.col("graph")) if "vector" in ranked.columns else F.lit("metadata match")
     chosen = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "claim_id", "score", reason.alias("reason")))).alias("selected"))
     left = omitted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("classification", "omitted"))).alias("omissions"))
     return queries.select("query_id", F.sha2("text", 256).alias("query_hash")).join(chosen, "query_id", "left").join(left, "query_id", "left")

@@ -35,12 +35,22 @@ def inline_documents(bodies: DataFrame, body: str = "body") -> DataFrame:
 
 
 def dispatch(spark: SparkSession, requests: DataFrame) -> DataFrame:
-    """Documents of ingest requests (body, path): inline beats path, and an empty path is inline. Paths are few and come from the request rows."""
-    inline = requests.where("body IS NOT NULL OR coalesce(path, '') = ''")
-    documents = inline_documents(inline)
-    for row in requests.where("body IS NULL AND coalesce(path, '') <> ''").select("path").distinct().toLocalIterator():
-        documents = documents.unionByName(decoded(files(spark, row["path"])).select("path", "text", "mime"))
-    return documents
+    """Documents of ingest requests (body, path): inline beats path, and an empty path is inline.
+
+    The folders are asked for in one scan of all of them, so the plan doesn't grow with the requests. A folder asked for twice is read once.
+    """
+    documents = inline_documents(requests.where("body IS NOT NULL OR coalesce(path, '') = ''"))
+    # a scan takes its folders from the driver: one short text for each request that names one
+    roots = sorted({r["path"] for r in requests.where("body IS NULL AND coalesce(path, '') <> ''").select("path").distinct().collect()})
+    if not roots:
+        return documents
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
+    bases = ["/" + (r.split(":", 1)[-1] if ":" in r else r).strip("/") for r in roots]
+    base = F.array_max(F.filter(F.lit(bases), lambda b: (plain == b) | F.startswith(plain, F.concat(b, F.lit("/")))))
+    relative = F.when(plain == base, F.element_at(F.split(plain, "/"), -1)).otherwise(F.substring(plain, F.length(base) + 2, F.length(plain)))
+    named = found.select(relative.alias("path"), "content").where(~F.col("path").rlike(SKIPPED))
+    return documents.unionByName(decoded(named.withColumn("mime", mime_of(F.col("path")))).select("path", "text", "mime"))
 
 
 def new_objects(listing: DataFrame, known: DataFrame) -> DataFrame:
