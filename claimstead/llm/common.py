@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimstead.operators.identity import settle, shared_folder
+
+__all__ = ["WORD", "cut", "documents", "fold", "labels", "shared_folder", "sliced", "small", "texts", "unit", "word_count"]
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,14 +29,8 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is spark.checkpoint.dir; a session without one (tests on one machine) gets a temporary folder.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="claimstead-"))
-    return df.checkpoint()
+    """Materialise a frame in the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    return settle(df)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
