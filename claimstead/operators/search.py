@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimstead.functions.text import lexical_tokens
+from claimstead.operators.evaluate import recall_at_k
 from claimstead.operators.fusion import top_k
 from claimstead.operators.identity import settle
 
@@ -130,7 +131,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float =
     local = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        found = _block_top_k(part, checked_vectors(vectors, width)[0], k, least, width)
+        found = _block_top_k(part, vectors, k, least, width)
         local = found if local is None else local.union(found)
     return top_k(local, ["query_id"], k)
 
@@ -151,24 +152,41 @@ def _block_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = held.value
         for batch in batches:
-            own = batch.column("claim_id").to_numpy(zero_copy_only=False)
-            scores = np.round(q @ _unit(batch.column("vector").to_pylist(), q.shape[1]).T, 6) if len(q) else np.zeros((0, len(own)))
-            rows: list[tuple] = []
-            for i, line in enumerate(scores):
-                best = np.lexsort((own, -line))[:k]
-                rows += [(ids[i], own[j], float(line[j]) + 0.0) for j in best if line[j] >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "claim_id", "score"])
+            good, found = _good(batch.column("vector").to_pylist(), q.shape[1])
+            own = batch.column("claim_id").to_numpy(zero_copy_only=False)[good]
+            yield _best(ids, own, np.round(q @ found.T, 6) if len(q) else np.zeros((0, len(own))), k, least)
 
     return vectors.select("claim_id", "vector").mapInArrow(run, "query_id long, claim_id long, score double")
 
 
-def _unit(vectors: list, width: int) -> np.ndarray:
+def _best(ids: list, own: np.ndarray, scores: np.ndarray, k: int, least: float) -> pa.RecordBatch:
+    """The k best columns of each row of scores that are `least` or more; ties go by id."""
+    rows: list[tuple] = []
+    for i, line in enumerate(scores):
+        best = np.lexsort((own, -line))[:k]
+        rows += [(ids[i], own[j], float(line[j]) + 0.0) for j in best if line[j] >= least]
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "claim_id", "score"])
+
+
+def _good(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and unit vectors of those that vector_fault rejects for nothing."""
+    fit = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == width], np.int64)
+    m = np.array([vectors[i] for i in fit], float).reshape(len(fit), width)
+    finite = np.isfinite(m).all(axis=1)
+    return fit[finite], _unit(m[finite], width)
+
+
+def _unit(vectors: list | np.ndarray, width: int) -> np.ndarray:
     m = np.array(vectors, float).reshape(len(vectors), width)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def ivf_cells(vectors: DataFrame, cells: int, sample: int = 20_000, seed: int = 5) -> np.ndarray:
+#: Cells that a vector lies in, and vectors that centres are fitted on, in expectation.
+SPREAD, SAMPLE = 4, 20_000
+
+
+def ivf_cells(vectors: DataFrame, cells: int, sample: int = SAMPLE, seed: int = 5) -> np.ndarray:
     """Centres of cells, fitted by k-means on about `sample` unit vectors drawn by a hash; every vector is indexed, not only those."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -176,25 +194,74 @@ def ivf_cells(vectors: DataFrame, cells: int, sample: int = 20_000, seed: int =
     n = max(1, vectors.count())
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     drawn = vectors.where(F.pmod(F.xxhash64("claim_id"), F.lit(1_000_000)) / 1e6 < min(1.0, sample / n)).select(array_to_vector(F.transform("vector", lambda x: x.cast("double") / norm)).alias("features"))
-    return np.array(KMeans(k=cells, seed=seed, maxIter=15).fit(drawn).clusterCenters())
+    return np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(drawn.cache()).clusterCenters())
 
 
-def ivf_top_k(queries: DataFrame, vectors: DataFrame, centres: np.ndarray, probes: int, k: int) -> DataFrame:
-    """Approximate top k: each vector lies in its nearest cell, a query looks into its `probes` nearest, and those are ranked exactly."""
+def ivf_index(vectors: DataFrame, centres: np.ndarray, spread: int = SPREAD) -> DataFrame:
+    """claim_id, vector, cells: every vector with its `spread` nearest cells; rejected vectors (vector_fault) are left out."""
     held = vectors.sparkSession.sparkContext.broadcast(centres)
 
-    def place(count: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = held.value
-            for batch in batches:
-                near = np.argsort(-(_unit(batch.column("vector").to_pylist(), c.shape[1]) @ c.T), axis=1)[:, :count]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = held.value
+        for batch in batches:
+            good, unit = _good(batch.column("vector").to_pylist(), c.shape[1])
+            near = np.argsort(-(unit @ c.T), axis=1)[:, :spread]
+            yield pa.RecordBatch.from_arrays([batch.column("claim_id").take(pa.array(good)), pa.array(unit.tolist(), pa.list_(pa.float64())), pa.array(near.tolist(), pa.list_(pa.int32()))], ["claim_id", "vector", "cells"])
+
+    return vectors.select("claim_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "claim_id long, vector array<double>, cells array<int>")
+
+
+def ivf_top_k(queries: DataFrame, index: DataFrame, centres: np.ndarray, probes: int, k: int, block: int = 4096) -> DataFrame:
+    """Approximate top k: a query meets the vectors that lie in one of its `probes` nearest cells, which are ranked exactly; with as many probes as cells it is exact.
+
+    Blocks of queries and their cells are broadcast and each batch of the index gives its own k best, so no cell is a key of a join.
+    """
+    _width(queries)
+    blocks = max(1, -(-queries.count() // block))
+    local = None
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        found = _probe(part, index, centres, probes, k)
+        local = found if local is None else local.union(found)
+    return top_k(local, ["query_id"], k)
+
 
-        return run
+def _probe(queries: DataFrame, index: DataFrame, centres: np.ndarray, probes: int, k: int) -> DataFrame:
+    asked = queries.select("query_id", "vector").toPandas()
+    ids, q = asked["query_id"].tolist(), _unit(asked["vector"].tolist(), centres.shape[1])
+    open_ = np.zeros((len(q), len(centres)), bool)
+    np.put_along_axis(open_, np.argsort(-(q @ centres.T), axis=1)[:, :probes], True, axis=1)
+    held = queries.sparkSession.sparkContext.broadcast((q, open_))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, open_ = held.value
+        for batch in batches:
+            own = batch.column("claim_id").to_numpy(zero_copy_only=False)
+            cells = np.array(batch.column("cells").to_pylist(), np.int64).reshape(len(own), -1)
+            met = open_[:, cells].any(axis=2) if len(own) else np.zeros((len(q), 0), bool)
+            some = np.flatnonzero(met.any(axis=0))
+            unit = np.array([batch.column("vector")[int(i)].as_py() for i in some], float).reshape(len(some), q.shape[1])
+            yield _best(ids, own[some], np.where(met[:, some], np.round(q @ unit.T, 6), -9.0), k, -2.0)
+
+    return index.mapInArrow(run, "query_id long, claim_id long, score double")
 
-    v = vectors.select("claim_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(place(1), "claim_id long, vector array<double>, cells array<int>")
-    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(place(probes), "query_id long, vector array<double>, cells array<int>")
-    from claimstead.functions.text import cosine
 
-    pairs = q.select("query_id", F.col("vector").alias("q"), F.explode("cells").alias("cell")).join(v.select("claim_id", "vector", F.col("cells")[0].alias("cell")), "cell")
-    return top_k(pairs.select("query_id", "claim_id", F.round(cosine(F.col("q"), F.col("vector")), 6).alias("score")), ["query_id"], k)
+def fit_ivf(vectors: DataFrame, k: int = 10, mean: float = 0.975, least: float = 0.9, queries: int = 64) -> tuple[DataFrame, np.ndarray, int]:
+    """An index, its centres and how many cells to probe so that recall@k of a sample reaches `mean` on average and `least` at worst.
+
+    Cells are four times the root of the number of vectors. Probes start at a twelfth of the cells and grow by a quarter until about `queries`
+    vectors, drawn by a hash and asked exactly too, pass, at the most to all cells, which is exact. Vectors without clusters need many.
+    """
+    n = max(1, vectors.count())
+    centres = ivf_cells(vectors, max(1, min(int(4 * n**0.5), n // 4, 1 << 16)))
+    index = settle(ivf_index(vectors, centres))
+    drawn = vectors.where(F.pmod(F.xxhash64(F.col("claim_id"), F.lit("probe")), F.lit(1_000_000)) / 1e6 < min(1.0, queries / n))
+    asked = settle(checked_vectors(drawn, centres.shape[1])[0].select(F.col("claim_id").alias("query_id"), "vector"))
+    exact = settle(vector_top_k(asked, vectors, k))
+    probes = max(1, len(centres) // 12)
+    while probes < len(centres):
+        got = recall_at_k(exact, ivf_top_k(asked, index, centres, probes, k)).agg(F.avg("recall").alias("m"), F.min("recall").alias("l")).first()
+        if got["m"] is None or (got["m"] >= mean and got["l"] >= least):
+            break
+        probes = min(len(centres), probes + max(1, probes // 4))
+    return index, centres, probes

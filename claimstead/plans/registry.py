@@ -305,9 +305,10 @@ def vector_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mean and least recall@10 of the cell index against the exact lists."""
     v = _vectors(spark, sf_dir)
     q = v.where("claim_id % 100 = 0").withColumnRenamed("claim_id", "query_id")
-    centres = search.ivf_cells(v, 16)
-    each = evaluate.recall_at_k(search.vector_top_k(q, v, 10), search.ivf_top_k(q, v, centres, 8, 10))
-    return each.agg(F.avg("recall").alias("mean_recall"), F.min("recall").alias("min_recall"), F.count(F.lit(1)).alias("n_queries"))
+    index, centres, probes = search.fit_ivf(v)
+    each = evaluate.recall_at_k(search.vector_top_k(q, v, 10), search.ivf_top_k(q, index, centres, probes, 10))
+    found = each.agg(F.avg("recall").alias("mean_recall"), F.min("recall").alias("min_recall"), F.count(F.lit(1)).alias("n_queries"))
+    return found.withColumns({"cells": F.lit(len(centres)), "probes": F.lit(probes)})
 
 
 _LISTS = """
