@@ -16,8 +16,8 @@ from .common import cut, documents, fold, sliced, small, texts
 #: Runs of letters, and of numbers that aren't digits.
 LETTERS = re.compile(r"[^\W\d_]+")
 
-#: Training documents of a language in expectation, rounds of expectation-maximisation, longest piece, longest word scored at once.
-DOCS_PER_LANGUAGE, ROUNDS, LONGEST, WORD = 4_000, 3, 8, 32
+#: Training documents of a language in expectation, rounds of expectation-maximisation, longest piece (that of the vocabulary), longest word scored at once.
+DOCS_PER_LANGUAGE, ROUNDS, LONGEST, WORD = 4_000, 3, 16, 32
 
 #: Probability of a letter that no piece has, and the count added to every piece.
 UNKNOWN, PRIOR = 1e-7, 0.05

@@ -118,7 +118,8 @@ def pack_documents(docs: DataFrame, path: str, ranks_path: str, pattern: str, en
     pieces = cut(pieces)
     rests = pieces.where(F.col("length") < size)
     groups = max(1, -(-rests.count() // pieces_per_group))
-    of = F.pmod(F.xxhash64("doc_id", "tie", "start"), F.lit(groups))
+    # the rows' places on the checkpoint deal equal rows apart, however many there are of one
+    of = F.pmod(F.xxhash64("doc_id", "tie", "start", F.monotonically_increasing_id()), F.lit(groups))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     packed_rests = rests.withColumn("_group", of).groupBy("_group").applyInPandas(_pack(size, groups), schema)
     full = pieces.where(F.col("length") == size)

@@ -147,7 +147,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 def learn(stats: DataFrame, truth: DataFrame, label: str = "quality") -> Model:
     """A model from rows of stats and the rows of truth (doc_id, label) with a label.
 
-    Texts aren't read again: labels meet statistics, not documents. Several labels of a doc_id count as their maximum; a null
+    Texts, of any length, were read whole; they aren't read again: labels meet statistics, not documents. Several labels of a doc_id count as their maximum; a null
     doc_id has no label.
     """
     known = truth.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, documents, small
 
-# Frequent function words of four languages.
-COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "a", "in", "is", "it", "that", "was", "for", "with"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "que", "est", "dans"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
-}
+#: Common words of a language in its histogram, and letters that such a word has at most.
+COMMON, LETTERS = 12, 4
+
+#: Share of a language's short words below which a word isn't common, so that few are ranked.
+LEAST_SHARE = 0.002
 
 #: Words of the repeated windows.
 SPAN = 5
@@ -50,12 +48,28 @@ def _equals(word: str):
     return lambda w: w == word
 
 
-def _histogram(text: str, words: str) -> tuple[Column, Column]:
+def common_words(docs: DataFrame) -> dict[str, list[str]]:
+    """The COMMON most frequent words of at most LETTERS letters, lower-cased, of each language, over all documents that name one; ties go by word.
+
+    Words are counted before the shuffle; only those over LEAST_SHARE, a few hundred a language at most, are ranked, and the driver gets COMMON of them a language.
+    """
+    short = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), lambda w: (F.length(w) <= LETTERS) & w.rlike(r"^\p{L}+$"))
+    counts = cut(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.explode_outer(short).alias("word")).where("word IS NOT NULL").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    totals = cut(counts.groupBy(F.col("lang").alias("_of")).agg(F.sum("n").alias("total")))
+    some = counts.join(small(totals), F.col("lang") == F.col("_of")).where(F.col("n") >= LEAST_SHARE * F.col("total"))
+    ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= COMMON)
+    found: dict[str, list[str]] = {}
+    for r in ranked.orderBy("lang", "place").select("lang", "word").collect():
+        found.setdefault(r["lang"], []).append(r["word"])
+    return found
+
+
+def _histogram(text: str, words: str, listed: list[str]) -> tuple[Column, Column]:
     left = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
     upper, digit, marks, high = left("[^A-Z]+"), left("[^0-9]+"), left(r"[^!-/:-@\[-`{-~]+"), left(r"[\x00-\x7F]+")
     blank = F.length(F.col(text)) - F.col("word_chars")
     classes = F.array(upper, digit, marks, high, blank.cast("int"))
-    picked = F.filter(F.transform(F.filter(words, lambda w: F.length(w) <= 4), F.lower), lambda w: w.isin(sorted({x for v in COMMON_WORDS.values() for x in v})))
+    picked = F.filter(F.transform(F.filter(words, lambda w: F.length(w) <= LETTERS), F.lower), lambda w: w.isin(listed) if listed else F.lit(False))
     return classes, picked
 
 
@@ -68,17 +82,17 @@ def divergence(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(both, F.lit(0.0))))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, guard_words: int = 50, max_class_distance: float = 0.26, max_word_distance: float = 0.3) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, guard_words: int = 50, max_class_distance: float = 0.26, max_word_distance: float = 0.3, common: dict[str, list[str]] | None = None) -> DataFrame:
     """Base counts, base_failed, distances to the references of the document's language, and the verdict kept. A row per row of docs.
 
     Histograms: six character classes (lower-case and other, upper-case, digits, ASCII marks, non-ASCII, white space), and the
-    common words of COMMON_WORDS for the language, with the rest as one more bin. A language's reference sums the histograms of all its documents
-    that pass the base rules; documents without a language, or of one without a word list, use all documents, or skip the word
-    test. A text of fewer than guard_words words is kept on the base rules alone.
+    common words of the language (learned by common_words unless given), with the rest as one more bin. A language's reference sums the histograms of all its documents
+    that pass the base rules; documents without a language, use all documents and skip the word test. A text of fewer than guard_words words is kept on the base rules alone.
 
-    Null or empty texts have no words and fail the base rules. Repeated rows are judged alike. A language whose documents all fail
+    Whole texts are counted, however long. Null or empty texts have no words and fail the base rules. Repeated rows are judged alike. A language whose documents all fail
     has no reference, so only the base rules count. Extra columns are not read; an empty table gives an empty result.
     """
+    common = common_words(docs) if common is None else common
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("doc_id", "lang", text.alias("_t")).withColumn("_words", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -91,12 +105,12 @@ def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int
     df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     for name, value in repeated_words("_words"):
         df = df.withColumn(name, value)
-    classes, picked = _histogram("_t", "_words")
+    classes, picked = _histogram("_t", "_words", sorted({x for v in common.values() for x in v}))
     df = df.withColumns({"_classes": classes, "_picked": picked})
     counts = F.lit(None).cast("array<int>")
-    for lang, listed in COMMON_WORDS.items():
-        # each pass over the picked words is short: only listed words of at most four letters are left
-        own = F.array(*[F.size(F.filter("_picked", _equals(x))) for x in listed])
+    for lang, listed in common.items():
+        # each pass over the picked words is short: only listed words are left
+        own = F.array(*[F.size(F.filter("_picked", _equals(x))) for x in listed], *[F.lit(0)] * (COMMON - len(listed)))
         counts = F.when(F.col("lang") == lang, own).otherwise(counts)
     df = df.withColumn("_common", counts)
     n, r = F.col("n_words"), F.col("n_repeat_words")
@@ -110,11 +124,11 @@ def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int
     )
     facts = cut(facts)
 
-    n_class, n_word = 6, 1 + len(COMMON_WORDS["en"])
+    n_class, n_word = 6, 1 + COMMON
     good = facts.where(~F.col("base_failed"))
     sums = [F.sum(F.get("_class_bins", F.lit(i))).alias(f"c{i}") for i in range(n_class)] + [F.sum(F.get("_word_bins", F.lit(i))).alias(f"w{i}") for i in range(n_word)]
     by_lang = good.groupBy("lang").agg(*sums)
-    known = F.col("lang").isin(list(COMMON_WORDS))
+    known = F.col("lang").isin(list(common)) if common else F.lit(False)
     class_ref = F.array(*[F.col(f"c{i}") for i in range(n_class)])
     word_ref = F.array(*[F.coalesce(F.col(f"w{i}"), F.lit(0.0)) for i in range(n_word)])
     references = by_lang.select(F.col("lang").alias("_of"), class_ref.alias("_class_ref"), F.when(known, word_ref).alias("_word_ref"))
@@ -132,14 +146,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("class_distance", "word_distance")
 
 
-_COUNTS = ",\n    ".join(
-    "CASE lang " + " ".join(f"WHEN '{g}' THEN len(list_filter(words, lambda w: lower(w) = '{v[i]}'))" for g, v in COMMON_WORDS.items()) + f" END AS b{i}" for i in range(12)
-)
-_LISTS = ", ".join(f"sum(b{i})" for i in range(12))
+_COUNTS = ", ".join(f"CASE WHEN listed IS NOT NULL THEN len(list_filter(words, lambda w: coalesce(lower(w) = listed[{i + 1}], FALSE))) END AS b{i}" for i in range(COMMON))
+_LISTS = ", ".join(f"sum(b{i})" for i in range(COMMON))
 OP8_SQL = rf"""
 WITH base AS (
   SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), freq AS (
+  SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(list_filter(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+'), lambda w: regexp_full_match(w, '\p{{L}}{{1,4}}'))) AS w FROM base WHERE lang IS NOT NULL) GROUP BY ALL
+), top AS (
+  SELECT lang AS of, list(w ORDER BY place) AS listed FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS place FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total FROM freq) WHERE n >= 0.002 * total) WHERE place <= 12 GROUP BY lang
 ), win AS (
   SELECT *, row_number() OVER () AS rid,
     list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i:i+4], ' ')) AS ws FROM base
@@ -157,7 +173,7 @@ WITH base AS (
     length(regexp_replace(t, '[^!-/:-@\[-`{{-~]', '', 'g')) AS c2, length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS c3,
     length(t) - length(array_to_string(words, '')) AS c4, length(t) AS n_all,
     {_COUNTS}
-  FROM win LEFT JOIN cover c USING (rid)
+  FROM win LEFT JOIN cover c USING (rid) LEFT JOIN top ON of = lang
 ), bins AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, [c0, c1, c2, c3, c4, n_all - c0 - c1 - c2 - c3 - c4] AS p,
     CASE WHEN b0 IS NOT NULL THEN [b0, b1, b2, b3, b4, b5, b6, b7, b8, b9, b10, b11, n_words - (b0 + b1 + b2 + b3 + b4 + b5 + b6 + b7 + b8 + b9 + b10 + b11)] END AS v

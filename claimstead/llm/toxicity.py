@@ -120,6 +120,18 @@ def shifted(values: np.ndarray, c: Chains) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
+def chain_gradient(c: Chains, s: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the labels' log-likelihood by the words' scores s and by the chain's weights b: observed less expected."""
+    p, r, q = marginals(c, s, b)
+    g = y - p
+    prev = np.flatnonzero(~c.first) - 1
+    e, (ct, tc, tt) = np.exp(np.clip(s, -30, 30))[prev + 1] * q[prev + 1], np.exp(np.clip(b[1:], -30, 30))
+    joint = np.stack([ct * e, r[prev] * tc, r[prev] * tt * e])
+    joint /= 1 + joint.sum(axis=0)
+    a, z = y[prev], y[prev + 1]
+    return g, np.array([g[c.first].sum(), ((1 - a) * z).sum() - joint[0].sum(), (a * (1 - z)).sum() - joint[1].sum(), (a * z).sum() - joint[2].sum()])
+
+
 def fit(c: Chains, truth: np.ndarray, passes: int = PASSES) -> Field:
     """Maximum likelihood by AdaGrad on whole passes, from the exact gradient: observed less expected features."""
     field, codes_names = Field.new(), vocabulary(c.words)
@@ -134,15 +146,12 @@ def fit(c: Chains, truth: np.ndarray, passes: int = PASSES) -> Field:
     sides, side2 = np.zeros((2, WEIGHTS + 1)), np.full((2, WEIGHTS + 1), 1e-2)
     chain2 = np.full(4, 1.0)
     y = truth.astype(float)
-    first, inner = c.first, ~c.first
-    prev = np.flatnonzero(inner) - 1
     n = max(1, len(c.words))
     for _ in range(passes):
         word = own[table].sum(axis=1)
         left, right = sides[0][identity][codes], sides[1][identity][codes]
         s = word[codes] + shifted(left, c)[0] + shifted(right, c)[1]
-        p, r, q = marginals(c, s, chain_)
-        g = y - p
+        g, by_chain = chain_gradient(c, s, chain_, y)
         by_word = np.bincount(codes, g, len(names))
         grad = np.bincount(table.ravel(), np.repeat(by_word, width), WEIGHTS + 1) - 1e-3 * own
         grad[WEIGHTS] = 0
@@ -153,11 +162,7 @@ def fit(c: Chains, truth: np.ndarray, passes: int = PASSES) -> Field:
             grad = np.bincount(identity, np.bincount(codes, moved, len(names)), WEIGHTS + 1) - 1e-2 * sides[k]
             side2[k] += grad**2
             sides[k] += 0.1 * grad / np.sqrt(side2[k])
-        e, (ct, tc, tt) = np.exp(np.clip(s, -30, 30))[prev + 1] * q[prev + 1], np.exp(np.clip(chain_[1:], -30, 30))
-        joint = np.stack([ct * e, r[prev] * tc, r[prev] * tt * e])
-        joint /= 1 + joint.sum(axis=0)
-        a, z = y[prev], y[prev + 1]
-        seen = np.array([g[first].sum(), ((1 - a) * z).sum() - joint[0].sum(), (a * (1 - z)).sum() - joint[1].sum(), (a * z).sum() - joint[2].sum()]) - 1e-3 * n / 100 * chain_
+        seen = by_chain - 1e-3 * n / 100 * chain_
         chain2 += seen**2
         chain_ += 0.3 * seen / np.sqrt(chain2)
     field.own, field.before, field.after, field.chain = own[:-1], sides[0][:-1], sides[1][:-1], chain_

@@ -70,6 +70,40 @@ def test_forward_backward_equals_enumeration():
     assert p == pytest.approx(want, abs=1e-12)
 
 
+def test_crf_gradient_equals_differences_of_the_likelihood():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    c = toxicity.Chains([[["a"] * 4, ["b"]], [["c"] * 3]])
+    s, b, y = rng.normal(size=8), rng.normal(size=4), rng.integers(0, 2, 8).astype(float)
+
+    def weight(s, b, i, j, y):
+        return b[0] * y[0] + sum(s[i + k] * y[k] for k in range(j - i)) + sum(b[1] * (1 - p) * q + b[2] * p * (1 - q) + b[3] * p * q for p, q in zip(y, y[1:], strict=False))
+
+    def likelihood(s, b):
+        return sum(weight(s, b, i, j, y[i:j]) - np.log(sum(np.exp(weight(s, b, i, j, v)) for v in product((0, 1), repeat=j - i))) for i, j in ((0, 4), (4, 5), (5, 8)))
+
+    by_word, by_chain = toxicity.chain_gradient(c, s, b, y)
+    for i in range(8):
+        step = np.eye(8)[i] * 1e-6
+        assert by_word[i] == pytest.approx((likelihood(s + step, b) - likelihood(s - step, b)) / 2e-6, abs=1e-6)
+    for i in range(4):
+        step = np.eye(4)[i] * 1e-6
+        assert by_chain[i] == pytest.approx((likelihood(s, b + step) - likelihood(s, b - step)) / 2e-6, abs=1e-6)
+
+
+def test_summaries_and_logistic_regression_in_plain_python():
+    c = toxicity.Chains([[["a", "b"], ["c"]], [], [["d"]]])
+    got = toxicity.summaries(c, np.array([0.9, 0.05, 0.5, 0.2]), 3)
+    assert got.tolist() == [[1, 0.9, np.log1p(1.4)], [1, 0, 0], [1, 0.2, np.log1p(0.2)]]
+    rng = np.random.default_rng(6)
+    x = np.c_[np.ones(500), rng.normal(size=(500, 2))]
+    y = (rng.random(500) < 1 / (1 + np.exp(-x @ [0.5, 2, -1]))).astype(float)
+    w = toxicity.logistic(x, y)
+    slope = x.T @ (y - 1 / (1 + np.exp(-x @ w))) - 0.1 * w  # of the penalised likelihood
+    assert np.abs(slope).max() < 1e-6
+
+
 def test_crf_fit_learns_words_and_spans_are_offsets():
     rng = random.Random(1)
     docs, truth = [], []
@@ -179,6 +213,27 @@ def test_isotonic_and_held_out_quality(spark, sf_dir):
     assert right >= 0.95 * len(got) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_features_approximate_the_kernel_and_ridge_equals_a_direct_solve(spark):
+    q = quality_classifier
+    rng = np.random.default_rng(9)
+    stats = rng.normal(size=(300, len(q.NAMES)))
+    y = (stats[:, 0] + rng.normal(size=300) > 0).astype(float)
+    rows = spark.createDataFrame([(s.tolist(), float(v)) for s, v in zip(stats, y, strict=True)], "stats array<double>, y double").repartition(5)
+    model = q.train(rows)
+    assert model.mean == pytest.approx(stats.mean(axis=0)) and model.scale == pytest.approx(stats.std(axis=0))
+    z = model.features(stats)
+    want = np.linalg.solve(z.T @ z + q.RIDGE * 300 * np.eye(z.shape[1]), z.T @ y)
+    assert model.weights == pytest.approx(want, rel=1e-6, abs=1e-8)
+    x = np.clip((stats - model.mean) / model.scale, -6, 6)
+    exact = np.exp(-(q.GAMMA**2) * ((x[:, None] - x[None]) ** 2).sum(axis=2) / 2)
+    assert np.abs(z[:, 1:] @ z[:, 1:].T - exact).mean() < 0.06
+    # calibration: isotonic over the bins of the raw scores, as plain Python has it
+    at = np.clip((model.raw(stats) + 0.5) / 2 * q.BINS, 0, q.BINS - 1).astype(int)
+    bins = sorted(set(at.tolist()))
+    levels = q.isotonic(np.array([y[at == b].sum() for b in bins]), np.array([(at == b).sum() for b in bins], float))
+    assert model.levels == pytest.approx(levels) and (np.diff(levels) >= 0).all() and model.knots == pytest.approx((np.array(bins) + 0.5) / q.BINS * 2 - 0.5)
+
+
 def test_quality_odd_rows(spark, odd, none):
     stats = quality_classifier.document_statistics(odd)
     truth = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (2, None)], "doc_id long, quality int")
@@ -485,6 +540,13 @@ def test_rules_odd_rows_and_repeats(spark, odd, none):
         assert out[i]["n_repeat_words"] == len(inside) and out[i]["n_dup_lines"] == len(lines) - len(set(lines)) and out[i]["word_chars"] == sum(map(len, w))
 
 
+def test_common_words_are_learned(spark, none):
+    docs = table(spark, [(1, "the cat sat on the mat the", "en", "a"), (2, "le chat LE 12 a1 voiture!", "fr", "a"), (3, "the the", None, "a"), (4, None, "en", "a")])
+    found = quality_rules.common_words(docs)
+    assert found == {"en": ["the", "cat", "mat", "on", "sat"], "fr": ["le", "chat"]} and quality_rules.common_words(none) == {}
+    assert quality_rules.quality_rules(docs, common={}).count() == 4
+
+
 # 10 fingerprints
 
 
