@@ -38,6 +38,18 @@ def allowed(rows: DataFrame, readers: list[Column], action: str, now: Column) ->
     return reasons(rows, readers, action, now).where("reason = 'ALLOW'")
 
 
+def read_or_reject(rows: DataFrame, reader_: Column, action: str, now: Column, purpose: str | None = None, given: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows that a reader may read, and those that are refused with their reason: a read by id is answered or refused, never silently left out."""
+    decided = reasons(rows, [reader_], action, now, purpose, given)
+    return decided.where("reason = 'ALLOW'").drop("principal_id", "reason"), decided.where("reason <> 'ALLOW'").drop("principal_id")
+
+
+def in_namespaces(rows: DataFrame, reader_: Column, id_: str) -> DataFrame:
+    """Rows of the reader's tenant over all their namespaces, in the order of the id."""
+    held = rows.withColumn("_p", reader_)
+    return held.where((F.col("tenant_id") == F.col("_p.tenant_id")) & F.array_contains("_p.namespace_ids", F.col("namespace_id"))).drop("_p").orderBy(id_)
+
+
 def receipts(decided: DataFrame, action: str, kind: str, id_: str, at: Column) -> DataFrame:
     """One receipt per decision, denied ones too."""
     effect = F.when(F.col("reason") == "ALLOW", "allow").otherwise("deny")

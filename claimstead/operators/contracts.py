@@ -91,11 +91,13 @@ def duplicates(values: DataFrame, by: list[str]) -> DataFrame:
 
 
 def lint(types: DataFrame, parents: DataFrame, predicates: DataFrame, cyclic: DataFrame) -> DataFrame:
-    """code, path for a registry of contracts: duplicate ids, unknown parents and ranges, cycles, bad cardinality, patterns and lengths."""
+    """code, path for a registry of contracts: duplicate ids, IRIs and aliases (where there are such columns), unknown parents and ranges, cycles, bad cardinality, patterns and lengths."""
     rules = predicates.select("id", F.explode("rules").alias("r"))
     parts = [
         duplicates(types, ["id"]).select(F.lit("DUPLICATE_ID").alias("code"), F.col("id").alias("path")),
         duplicates(predicates, ["id"]).select(F.lit("DUPLICATE_ID").alias("code"), F.col("id").alias("path")),
+        *[duplicates(own.where("iri IS NOT NULL"), ["iri"]).select(F.lit("DUPLICATE_IRI").alias("code"), F.col("iri").alias("path")) for own in (types, predicates) if "iri" in own.columns],
+        *[duplicates(own.select(F.explode("aliases").alias("alias")), ["alias"]).select(F.lit("DUPLICATE_ALIAS").alias("code"), F.col("alias").alias("path")) for own in (types, predicates) if "aliases" in own.columns],
         parents.join(types.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select(F.lit("UNKNOWN_PARENT").alias("code"), F.col("type_id").alias("path")),
         predicates.select("id", F.explode("domain").alias("t")).join(types.select(F.col("id").alias("t")), "t", "left_anti").select(F.lit("UNKNOWN_DOMAIN").alias("code"), F.col("id").alias("path")),
         predicates.select("id", F.explode("range_types").alias("t")).join(types.select(F.col("id").alias("t")), "t", "left_anti").select(F.lit("UNKNOWN_RANGE").alias("code"), F.col("id").alias("path")),
@@ -111,7 +113,8 @@ def lint(types: DataFrame, parents: DataFrame, predicates: DataFrame, cyclic: Da
 
 
 def conflict_rules(predicates: DataFrame, contract: str) -> DataFrame:
-    """Maximum-cardinality rules of a contract: rule_id, terms (id, IRI and aliases, sorted), max, source."""
+    """Maximum-cardinality rules of a contract: rule_id, terms (id, IRI and aliases, sorted), max, source. Where predicates have a status, only active ones make rules."""
+    predicates = predicates.where("status = 'active'") if "status" in predicates.columns else predicates
     names = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array("id", "iri"), F.coalesce("aliases", F.array().cast("array<string>"))))))
     return predicates.where("max_count IS NOT NULL").select(F.col("id").alias("rule_id"), names.alias("terms"), F.col("max_count").alias("max"), F.lit(f"semantic-contract:{contract}").alias("source"))
 
@@ -125,6 +128,14 @@ def latest_active(contracts: DataFrame) -> DataFrame:
     return contracts.where("status = 'active'").groupBy("id").agg(F.max(F.struct("version", "body")).alias("c")).select("id", "c.*")
 
 
+def closed_types(claims: DataFrame, entities: DataFrame, closure: DataFrame, predicates: DataFrame, closed: DataFrame) -> DataFrame:
+    """entity_id, predicate of claims on an entity of a closed type (closed: type_id) by a predicate that applies to none of its types."""
+    own = entities.join(closed, "type_id", "left_semi").select("entity_id").distinct()
+    applies = entities.join(closure, "type_id").join(small(predicates.select(F.col("id").alias("pid"), F.explode("domain").alias("ancestor"))), "ancestor").select("entity_id", "pid").distinct()
+    said = claims.join(small(terms(predicates)), claims["predicate"] == F.col("term"), "left").select(F.col("subject_id").alias("entity_id"), "predicate", F.col("id").alias("pid"))
+    return said.join(own, "entity_id", "left_semi").join(applies, ["entity_id", "pid"], "left_anti").select("entity_id", "predicate").distinct()
+
+
 def entity_shape(claims: DataFrame, entities: DataFrame, closure: DataFrame, predicates: DataFrame) -> DataFrame:
     """entity_id, predicate_id, n, code: counts of a predicate on an entity outside its minimum or maximum, where the predicate applies to its type."""
     typed = entities.join(closure, "type_id")

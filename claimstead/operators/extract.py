@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimstead.functions.text import claim_text, hash_embedding, normal_predicate
+from claimstead.operators import records
 from claimstead.operators.temporal import later_conflicts
 
 VERB = r"(?i)(^|[^A-Za-z0-9_])(is|are|was|were)($|[^A-Za-z0-9_])"
 
 
-def evidence(docs: DataFrame) -> DataFrame:
-    """Content-addressed evidence of (path, content, mime): hash, key and row id."""
+def evidence(docs: DataFrame, *also: str) -> DataFrame:
+    """Content-addressed evidence of (path, content, mime): hash, key and row id, and columns named besides."""
     digest = F.sha2(F.col("content"), 256)
-    return docs.select(F.sha2(F.concat_ws("\u0001", "path", digest), 256).alias("evidence_id"), F.col("path").alias("uri"), digest.alias("content_hash"), F.concat(F.lit("evidence/"), digest, F.lit("/"), F.col("path")).alias("blob_key"), "mime")
+    return docs.select(*also, F.sha2(F.concat_ws("\u0001", "path", digest), 256).alias("evidence_id"), F.col("path").alias("uri"), digest.alias("content_hash"), F.concat(F.lit("evidence/"), digest, F.lit("/"), F.col("path")).alias("blob_key"), "mime")
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def drafts(docs: DataFrame) -> DataFrame:
 
 
 def ingest(docs: DataFrame, tenant: str, namespace: str, dimensions: int = 16) -> dict[str, DataFrame]:
-    """entities, claims (with later conflicts marked) and embeddings of documents (doc_id, text, recorded_at).
+    """evidence, entities, claims (with later conflicts marked), embeddings, events and outbox of documents (doc_id, text, recorded_at).
 
     Entities are keyed by tenant, namespace and lower-cased label, so runs agree; nothing is written row by row.
     """
@@ -45,7 +46,11 @@ def ingest(docs: DataFrame, tenant: str, namespace: str, dimensions: int = 16) -
     entities = first.select(F.col("subject_id").alias("entity_id"), "f.label")
     claims = later_conflicts(made).select("claim_id", "doc_id", "subject_id", "predicate", "object_value", "confidence", "status", "recorded_at")
     text = claim_text(F.col("predicate"), F.col("object_value"), F.col("subject_id"))
-    return {"entities": entities, "claims": claims, "embeddings": claims.select("claim_id", hash_embedding(text, dimensions).alias("vector"))}
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    proof = evidence(docs.select(path.alias("path"), F.col("text").cast("binary").alias("content"), F.lit("text/plain").alias("mime"), "recorded_at"), "recorded_at")
+    log = [records.events(proof, "evidence.ingested", "evidence_id", F.col("recorded_at")), records.events(claims, "claim.asserted", "claim_id", F.col("recorded_at"))]
+    log = log[0].unionByName(log[1])
+    return {"evidence": proof, "entities": entities, "claims": claims, "embeddings": claims.select("claim_id", hash_embedding(text, dimensions).alias("vector")), "events": log, "outbox": log.select("event_id")}
 
 
 def reextract(evidence_ids: DataFrame, evidence_: DataFrame, blobs: DataFrame) -> DataFrame:

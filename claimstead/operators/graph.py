@@ -15,6 +15,11 @@ def endpoints(edges: DataFrame) -> DataFrame:
     return far.unionByName(near)
 
 
+def hubs(edges: DataFrame, degree: int) -> DataFrame:
+    """entity, claims of entities with over `degree` claims: what a frontier that reaches them grows by."""
+    return endpoints(edges).groupBy("entity").agg(F.count(F.lit(1)).alias("claims")).where(F.col("claims") > degree)
+
+
 def seed_entities(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, entity: both ends of the claims that a query hit."""
     ends = hits.select("query_id", "claim_id").join(edges.select("claim_id", F.explode(F.array("subject_id", "object_entity_id")).alias("entity")), "claim_id")

@@ -66,15 +66,17 @@ def roots(merges: DataFrame, on_cycle: str = "error") -> DataFrame:
     return jumps.select("entity_id", F.col("to").alias("canonical_id"))
 
 
+def _jumped(jumps: DataFrame) -> DataFrame:
+    next_ = jumps.select(F.col("entity_id").alias("_at"), F.col("to").alias("_further"))
+    return settle(jumps.join(next_, jumps["to"] == next_["_at"], "left").select("entity_id", F.coalesce("_further", "to").alias("to")))
+
+
 def _on_cycles(redirects: DataFrame) -> DataFrame:
-    """entity_id of entities that lie on a cycle: entities that neither come from nor lead to another one are stripped until none is."""
-    left, n = redirects, redirects.count()
-    while n:
-        left = settle(left.join(left.select(F.col("to").alias("entity_id")).distinct(), "entity_id", "left_semi").join(left.select(F.col("entity_id").alias("to")), "to", "left_semi").select("entity_id", "to"))
-        if (m := left.count()) == n:
-            break
-        n = m
-    return left.select("entity_id")
+    """entity_id of entities that lie on a cycle. After as many jumps as there are redirects every chain has come to its end or into its cycle, and a cycle's entities have come onto each other; jumps double each round."""
+    jumps = redirects
+    for _ in range(redirects.count().bit_length()):
+        jumps = _jumped(jumps)
+    return jumps.select(F.col("to").alias("entity_id")).distinct().join(redirects, "entity_id", "left_semi")
 
 
 def canonical_claims(claims: DataFrame, roots_: DataFrame) -> DataFrame:
@@ -110,34 +112,56 @@ def normal_names(entities: DataFrame, id_: str, name: str) -> DataFrame:
     return entities.select(F.col(id_).alias("entity_id"), normal_name(F.col(name)).alias("name")).where("name <> ''")
 
 
-def candidates(queries: DataFrame, names: DataFrame, limit: int = 5, min_score: float = 0.5) -> DataFrame:
-    """query_id, entity_id, kind, score, place: the best entities of each query name.
+def candidates(queries: DataFrame, names: DataFrame, limit: int = 5, min_score: float = 0.5, external: DataFrame | None = None) -> DataFrame:
+    """query_id, entity_id, kind, score, place, signals: the best entities of each query; signals are all that tell for an entity, best first, each once.
+
+    A query may have several names, and own: the root of its own cluster, which is no candidate. external: query_id, canonical_id, value of equal external ids (external_matches).
 
     queries: query_id, name; names: entity_id, name, source (label or alias), canonical_id; all names normalised. Distinct names meet, not entities: by
-    equality, by a shared token, and for substrings by the shorter name's first three letters among the longer's, or by all of it where it
+    a token of the rarest half of each, and for substrings by the shorter name's first three letters among the longer's, or by all of it where it
     has one or two (a query of those looks for no substrings). A root's best signal counts.
     """
     q = queries.select(F.col("name").alias("q")).distinct()
-    c = names.select(F.col("name").alias("c"), "source").distinct()
-    tokens = lambda df, col: df.withColumn("block", F.explode(name_tokens(F.col(col))))
+    c = names.select(F.col("name").alias("c")).distinct()
+    # names that share half of their tokens share one among the rarest of each: all but half of its tokens, and one
+    often = settle(c.select(F.explode(name_tokens(F.col("c"))).alias("block")).groupBy("block").agg(F.count(F.lit(1)).alias("n")))
+
+    def rare(df: DataFrame, col: str) -> DataFrame:
+        spread_ = df.select(col, F.explode(name_tokens(F.col(col))).alias("block")).join(often, "block", "left")
+        order = spread_.groupBy(col).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "block"))).alias("t"))
+        return order.select(col, F.explode(F.slice("t", F.lit(1), F.size("t") - F.ceil(F.size("t") / 2).cast("int") + 1)).alias("x")).select(col, F.col("x.block").alias("block"))
+
     grams = lambda col: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - 2, F.lit(1))), lambda i: F.substr(F.col(col), i, F.lit(3))))
     start = lambda df, col: df.where(F.length(col) >= 3).withColumn("block", F.substring(col, 1, 3))
     spread = lambda df, col: df.where(F.length(col) >= 3).withColumn("block", F.explode(grams(col)))
     cuts = lambda col, n: F.transform(F.sequence(F.lit(1), F.length(col) - (n - 1)), lambda i: F.substr(F.col(col), i, F.lit(n)))
     brief = q.where(F.length("q") >= 3).withColumn("block", F.explode(F.array_distinct(F.concat(cuts("q", 1), cuts("q", 2)))))
     pairs = (
-        tokens(q, "q").join(tokens(c, "c"), "block").select("q", "c", "source")
-        .union(start(q, "q").join(spread(c, "c"), "block").where(F.contains("c", "q")).select("q", "c", "source"))
-        .union(spread(q, "q").join(start(c, "c"), "block").where(F.contains("q", "c")).select("q", "c", "source"))
-        .union(brief.join(c.where(F.length("c") < 3), F.col("block") == F.col("c")).select("q", "c", "source")).distinct()
+        rare(q, "q").join(rare(c, "c"), "block").select("q", "c")
+        .union(start(q, "q").join(spread(c, "c"), "block").where(F.contains("c", "q")).select("q", "c"))
+        .union(spread(q, "q").join(start(c, "c"), "block").where(F.contains("q", "c")).select("q", "c"))
+        .union(brief.join(c.where(F.length("c") < 3), F.col("block") == F.col("c")).select("q", "c")).distinct()
     )
+    pairs = pairs.join(names.select(F.col("name").alias("c"), "source").distinct(), "c")
     scored = pairs.withColumn("signal", name_signal(F.col("q"), F.col("c"), F.col("source"))).where("signal IS NOT NULL").select("q", "c", "source", "signal.*")
-    hits = queries.join(scored, queries["name"] == scored["q"]).drop("name").join(names.withColumnsRenamed({"name": "n", "source": "s"}), (F.col("c") == F.col("n")) & (F.col("source") == F.col("s")))
-    best = hits.groupBy("query_id", "canonical_id").agg(F.max(F.struct("score", "kind")).alias("b")).select("query_id", F.col("canonical_id").alias("entity_id"), "b.kind", "b.score")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
-    return best.where(F.col("score") >= min_score).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    hits = queries.select("query_id", F.col("name").alias("_name")).join(scored, F.col("_name") == F.col("q")).drop("_name").join(names.withColumnsRenamed({"name": "n", "source": "s"}), (F.col("c") == F.col("n")) & (F.col("source") == F.col("s")))
+    told = hits.select("query_id", "canonical_id", "kind", "score", "source", F.col("c").alias("name"))
+    if external is not None:
+        told = told.unionByName(external.select("query_id", "canonical_id", F.lit("external-id-exact").alias("kind"), F.lit(1.0).alias("score"), F.lit("external-id").alias("source"), F.col("value").alias("name")))
+    if "own" in queries.columns:
+        told = told.join(queries.select("query_id", F.col("own").alias("canonical_id")).distinct(), ["query_id", "canonical_id"], "left_anti")
+    told = settle(told.distinct())
+    best = told.groupBy("query_id", "canonical_id").agg(F.max(F.struct("score", "kind")).alias("b")).select("query_id", "canonical_id", "b.kind", "b.score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "canonical_id")
+    top = best.where(F.col("score") >= min_score).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    # signals are gathered for the few chosen pairs only
+    listed = told.withColumnsRenamed({"kind": "k", "score": "s"}).join(top.select("query_id", "canonical_id"), ["query_id", "canonical_id"])
+    listed = listed.groupBy("query_id", "canonical_id").agg(F.sort_array(F.collect_set(F.struct((-F.col("s")).alias("s"), F.col("k").alias("kind"), "source", "name"))).alias("g"))
+    signals = F.transform("g", lambda x: F.struct(x["kind"].alias("kind"), (-x["s"]).alias("score"), x["source"].alias("source"), x["name"].alias("name")))
+    return top.join(listed.select("query_id", "canonical_id", signals.alias("signals")), ["query_id", "canonical_id"]).select("query_id", F.col("canonical_id").alias("entity_id"), "kind", "score", "place", "signals")
 
 
 def external_matches(queries: DataFrame, entities: DataFrame) -> DataFrame:
-    """query_id, entity_id for equal normalised (system, value) pairs; score 1."""
-    return queries.join(entities, ["system", "value"]).select("query_id", "entity_id", F.lit(1.0).alias("score")).distinct()
+    """query_id, entity_id, score (1) for equal normalised (system, value) pairs, and canonical_id and the value where entities have a canonical_id."""
+    also = ["canonical_id", "value"] if "canonical_id" in entities.columns else []
+    return queries.join(entities, ["system", "value"]).select("query_id", "entity_id", F.lit(1.0).alias("score"), *also).distinct()

@@ -21,6 +21,12 @@ def in_scope(rows: DataFrame, tenant: str, namespace: str | None = None, decisio
     return out if decision is None else out.where(F.col("decision_id") == decision)
 
 
+def proposals_of(rows: DataFrame, tenant: str, namespace: str | None = None, entity: str | None = None) -> DataFrame:
+    """Proposals of a tenant, perhaps of a namespace, and perhaps with an entity at either end."""
+    own = in_scope(rows, tenant, namespace)
+    return own if entity is None else own.where((F.col("source_id") == entity) | (F.col("candidate_id") == entity))
+
+
 def relations_of(decisions: DataFrame, relations: DataFrame) -> DataFrame:
     """decision_id, relation_id, role: a relation is seen from both ends, by one equi-join over its exploded ends."""
     ends = relations.select("relation_id", F.explode(F.array(F.struct(F.col("from_id").alias("decision_id"), F.lit("from").alias("role")), F.struct(F.col("to_id").alias("decision_id"), F.lit("to").alias("role")))).alias("e")).select("relation_id", "e.*")
@@ -56,8 +62,32 @@ def review_errors(reviews: DataFrame) -> DataFrame:
     return reviews.select("proposal_id", "decided_seq", errors.alias("errors"))
 
 
-def resolution_guard(resolutions: DataFrame, conflicts: DataFrame, resolved: DataFrame) -> DataFrame:
-    """resolution_id, errors: the conflict exists with the same claims, has no resolution yet, and the preferred claim is among its claims."""
+def merge_guard(requests: DataFrame, proposals: DataFrame, reviews: DataFrame, merges: DataFrame) -> DataFrame:
+    """request_id, errors of requests (request_id, proposal_id, surviving_id) to merge: the proposal exists, its last review approves it, the survivor is one of its two entities, and it wasn't merged before, nor by an earlier request."""
+    p = proposals.select(F.col("proposal_id").alias("_p"), "source_id", "candidate_id")
+    last = reviews.groupBy(F.col("proposal_id").alias("_r")).agg(F.max(F.struct("decided_seq", "outcome")).alias("last"))
+    done = merges.select(F.col("proposal_id").alias("_m")).distinct()
+    r = requests.join(p, F.col("proposal_id") == F.col("_p"), "left").join(last, F.col("proposal_id") == F.col("_r"), "left").join(done, F.col("proposal_id") == F.col("_m"), "left")
+    again = F.row_number().over(Window.partitionBy("proposal_id").orderBy("request_id")) > 1
+    errors = F.array_compact(F.array(
+        F.when(F.col("_p").isNull(), "UNKNOWN_PROPOSAL"), F.when(F.col("_p").isNotNull() & ~F.coalesce(F.col("last.outcome") == "approve", F.lit(False)), "NOT_APPROVED"),
+        F.when(F.col("_p").isNotNull() & ~((F.col("surviving_id") == F.col("source_id")) | (F.col("surviving_id") == F.col("candidate_id"))), "SURVIVOR_OUTSIDE_PAIR"), F.when(F.col("_m").isNotNull() | again, "ALREADY_MERGED"),
+    ))
+    return r.select("request_id", "proposal_id", errors.alias("errors"))
+
+
+def revert_guard(requests: DataFrame, merges: DataFrame) -> DataFrame:
+    """request_id, errors of requests (request_id, merge_id, reason) to revert: the merge exists, isn't reverted, nor by an earlier request, and a reason is given."""
+    m = merges.select(F.col("merge_id").alias("_m"), "reverted")
+    again = F.row_number().over(Window.partitionBy("merge_id").orderBy("request_id")) > 1
+    errors = F.array_compact(F.array(
+        F.when(F.col("_m").isNull(), "UNKNOWN_MERGE"), F.when(F.coalesce("reverted", F.lit(False)) | again, "ALREADY_REVERTED"), F.when(F.trim(F.coalesce("reason", F.lit(""))) == "", "REASON_REQUIRED"),
+    ))
+    return requests.join(m, F.col("merge_id") == F.col("_m"), "left").select("request_id", "merge_id", errors.alias("errors"))
+
+
+def resolution_guard(resolutions: DataFrame, conflicts: DataFrame, resolved: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """resolution_id, errors: the conflict exists with the same claims, has no resolution yet, the preferred claim is among its claims, and all of them exist where claims are given."""
     known = conflicts.select(F.col("conflict_id").alias("_c"), F.sort_array("claim_ids").alias("_ids"))
     done = resolved.select(F.col("conflict_id").alias("_d")).distinct()
     r = resolutions.join(known, resolutions["conflict_id"] == F.col("_c"), "left").join(done, F.col("conflict_id") == F.col("_d"), "left")
@@ -65,4 +95,9 @@ def resolution_guard(resolutions: DataFrame, conflicts: DataFrame, resolved: Dat
         F.when(F.col("_c").isNull(), "UNKNOWN_CONFLICT"), F.when(~F.col("_ids").eqNullSafe(F.sort_array("claim_ids")) & F.col("_c").isNotNull(), "CLAIM_SET_DIFFERS"),
         F.when(F.col("_d").isNotNull(), "ALREADY_RESOLVED"), F.when(~F.array_contains("claim_ids", F.col("preferred_claim_id")), "PREFERRED_OUTSIDE"),
     ))
-    return r.select("resolution_id", errors.alias("errors"))
+    if claims is None:
+        return r.select("resolution_id", errors.alias("errors"))
+    named = resolutions.select("resolution_id", F.explode("claim_ids").alias("claim_id"))
+    lost = named.join(claims.select("claim_id"), "claim_id", "left_anti").select(F.col("resolution_id").alias("_lost")).distinct()
+    missing = F.when(F.col("_lost").isNotNull(), F.array(F.lit("UNKNOWN_CLAIM"))).otherwise(F.array().cast("array<string>"))
+    return r.withColumn("errors", errors).join(lost, F.col("resolution_id") == F.col("_lost"), "left").select("resolution_id", F.concat("errors", missing).alias("errors"))

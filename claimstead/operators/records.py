@@ -21,10 +21,20 @@ def claims(rows: DataFrame, at: Column) -> DataFrame:
     return rows.withColumns({"status": status, "recorded_at": at, "asserted_at": asserted, "claim_id": make_id("claim", F.col("subject_id"), F.col("predicate"), F.col("object_value"), F.col("valid_from"))})
 
 
+def entity_key() -> Column:
+    return make_id("entity", F.col("tenant_id"), F.col("namespace_id"), F.lower(F.trim("label")))
+
+
 def entities(rows: DataFrame) -> DataFrame:
-    """Entities of (tenant_id, namespace_id, label, aliases), one per lower-cased label."""
-    key = make_id("entity", F.col("tenant_id"), F.col("namespace_id"), F.lower(F.trim("label")))
-    return rows.withColumn("entity_id", key).groupBy("entity_id", "tenant_id", "namespace_id").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"))
+    """Entities of (tenant_id, namespace_id, label, aliases), one per lower-cased label, with the least of its spellings. Names are rows of their own (entity_names), as an entity may have any number of them."""
+    return rows.groupBy(entity_key().alias("entity_id"), "tenant_id", "namespace_id").agg(F.min("label").alias("label"))
+
+
+def entity_names(rows: DataFrame) -> DataFrame:
+    """entity_id, name, source of all labels and aliases, each once."""
+    keyed = rows.withColumn("entity_id", entity_key())
+    labels = keyed.select("entity_id", F.col("label").alias("name"), F.lit("label").alias("source"))
+    return labels.unionByName(keyed.select("entity_id", F.explode("aliases").alias("name"), F.lit("alias").alias("source"))).distinct()
 
 
 def merge_events(rows: DataFrame, at: Column) -> DataFrame:

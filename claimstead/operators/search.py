@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from claimstead.functions.text import lexical_tokens
 from claimstead.operators.evaluate import recall_at_k
@@ -42,6 +43,7 @@ def _lexical_block(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     asked = [(r["query_id"], r["terms"] or []) for r in queries.select("query_id", lexical_tokens(F.col("text")).alias("terms")).collect()]  # a block
     held = queries.sparkSession.sparkContext.broadcast(asked)
     types = {f.name: f.dataType for f in (queries.schema["query_id"], texts.schema["claim_id"])}
+    arrow = [to_arrow_type(types[c]) for c in ("query_id", "claim_id")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -59,9 +61,7 @@ def _lexical_block(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                 weight[place[t], j] += 1
         blank = [not own for _, own in held.value]
         best: list[list[tuple]] = [[] for _ in held.value]
-        names = None
         for batch in batches:
-            names = batch.schema.field("claim_id").type
             ids, scores = batch.column("claim_id").to_pylist(), np.zeros((batch.num_rows, len(held.value)), np.float32)
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if text and terms:
@@ -73,7 +73,7 @@ def _lexical_block(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                 best[j] = heapq.nsmallest(k, best[j] + [(-float(scores[i, j]), ids[i]) for i in top if blank[j] or scores[i, j] > 0])
         rows = [(q, c, int(-s)) for (q, _), own in zip(held.value, best, strict=True) for s, c in own]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], names), pa.array([r[2] for r in rows], pa.int64())], ["query_id", "claim_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], arrow[0]), pa.array([r[1] for r in rows], arrow[1]), pa.array([r[2] for r in rows], pa.int64())], ["query_id", "claim_id", "score"])
 
     shape = f"query_id {types['query_id'].simpleString()}, claim_id {types['claim_id'].simpleString()}, score long"
     return texts.select("claim_id", F.lower("text").alias("text")).mapInArrow(run, shape)

@@ -13,9 +13,19 @@ def blank(value: Column) -> Column:
     return value.isNull() | (F.trim(value) == "")
 
 
+def bad_instant(value: Column) -> Column:
+    """Whether an instant is missing or, as text, doesn't parse."""
+    return value.isNull() | F.try_to_timestamp(value.cast("string")).isNull()
+
+
+def snapshot_errors(snapshot_id: Column, payload: Column) -> Column:
+    """A decision needs a context snapshot and no hidden reasoning in its payload."""
+    return F.array_compact(F.array(F.when(blank(snapshot_id), "CONTEXT_SNAPSHOT_REQUIRED"), F.when(hidden_reasoning(payload), "HIDDEN_REASONING")))
+
+
 def claim_errors(claim_id: Column, confidence: Column, valid_from: Column, valid_to: Column, evidence_ids: Column, provenance: Column) -> Column:
-    """Codes of the violated rules, in a fixed order; empty for a good claim."""
-    missing = F.lit(False)
+    """Codes of the violated rules, in a fixed order; empty for a good claim. provenance: source, actor, process and timestamp, as text or as an instant."""
+    missing = bad_instant(provenance["timestamp"])
     for field in ("source", "actor", "process"):
         missing = missing | blank(provenance[field])
     return F.array_compact(F.array(

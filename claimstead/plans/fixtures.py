@@ -128,3 +128,38 @@ MEMORY = """
 f_memory AS (
   SELECT conv_id, turn, concat('user-', CAST(conv_id % 7 AS VARCHAR)) AS owner_id, CASE role WHEN 'user' THEN 'observation' WHEN 'assistant' THEN 'note' ELSE 'thread' END AS kind, text AS body FROM conversations
 )"""
+
+
+def merge_log(events: DataFrame) -> DataFrame:
+    """The event log with merges and reverts of entities e:2 to e:59 into those of half their number, told by some policy events."""
+    log, m = event_log(events), F.floor(F.col("event_id") / 40).cast("long")
+    place = F.when(F.col("kind") == "policy.evaluated", F.col("event_id") % 40)
+    k = 2 + m % 58
+    kind = F.when(place == 0, "entity.merged").when(place == 20, "entity.merge_reverted").otherwise(F.col("kind"))
+    entity = lambda v: F.when(place.isin(0, 20), F.concat(F.lit("e:"), v.cast("string")))
+    return log.select("event_id", "occurred_at", "claim_id", kind.alias("kind"), entity(k).alias("absorbed_id"), entity(F.floor(k / 2)).alias("surviving_id"))
+
+
+def projected_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    entity = lambda n: F.concat(F.lit("e:"), (k % n).cast("string"))
+    return table(spark, sf_dir, "customer").select(
+        k.alias("claim_id"), entity(60).alias("subject_id"), F.lit("segment").alias("predicate"), F.when(k % 3 != 0, F.col("c_mktsegment")).alias("object_value"),
+        F.when(k % 3 == 0, entity(45)).alias("object_entity_id"), F.when(k % 11 == 0, "retracted").otherwise("asserted").alias("status"),
+    )
+
+
+PROJECTED = """
+f_merge_log AS (
+  SELECT *, 2 + (event_id // 40) % 58 AS k, CASE WHEN kind = 'policy.evaluated' AND event_id % 40 = 0 THEN 'entity.merged' WHEN kind = 'policy.evaluated' AND event_id % 40 = 20 THEN 'entity.merge_reverted' ELSE kind END AS kind2 FROM f_events
+), holds AS (
+  SELECT k FROM (SELECT k, arg_max(kind2, (occurred_at, event_id)) AS last FROM f_merge_log WHERE kind2 IN ('entity.merged', 'entity.merge_reverted') GROUP BY k) WHERE last = 'entity.merged'
+), walk AS (
+  SELECT n AS entity, n AS spot, 0 AS depth FROM range(0, 60) r(n) UNION ALL SELECT w.entity, w.spot // 2, depth + 1 FROM walk w JOIN holds ON k = w.spot
+), root AS (
+  SELECT entity, arg_max(spot, depth) AS root FROM walk GROUP BY entity
+), f_projected AS (
+  SELECT c_custkey AS claim_id, r.root AS s, o.root AS o, concat('segment ', CASE WHEN c_custkey % 3 = 0 THEN concat('e:', c_custkey % 45) ELSE c_mktsegment END) AS text
+  FROM customer JOIN root r ON r.entity = c_custkey % 60 JOIN root o ON o.entity = c_custkey % 45
+  WHERE c_custkey % 11 <> 0 AND c_custkey IN (SELECT claim_id FROM f_events WHERE kind IN ('claim.asserted', 'claim.retracted'))
+)"""

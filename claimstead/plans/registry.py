@@ -142,15 +142,15 @@ def strictest_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {fx.CLAIMS}, raw AS (
   SELECT claim_id, CASE WHEN confidence > 0.95 THEN confidence + 1 ELSE confidence END AS confidence, valid_from, CASE WHEN confidence < 0.05 THEN valid_from ELSE valid_to END AS valid_to,
-    CASE WHEN visibility = 'private' THEN 0 ELSE 1 END AS n_evidence, CASE WHEN object_value = 'P' THEN ' ' ELSE 'crm' END AS source FROM f_claims
+    CASE WHEN visibility = 'private' THEN 0 ELSE 1 END AS n_evidence, CASE WHEN object_value = 'P' THEN ' ' ELSE 'crm' END AS source, classification = 'tlp:red' AS undated FROM f_claims
 ), coded AS (
-  SELECT claim_id, list_filter([CASE WHEN NOT confidence BETWEEN 0 AND 1 THEN 'CONFIDENCE_RANGE' END, CASE WHEN valid_to <= valid_from THEN 'INVALID_INTERVAL' END, CASE WHEN n_evidence < 1 THEN 'EVIDENCE_REQUIRED' END, CASE WHEN trim(source) = '' THEN 'PROVENANCE_REQUIRED' END], lambda x: x IS NOT NULL) AS e FROM raw
+  SELECT claim_id, list_filter([CASE WHEN NOT confidence BETWEEN 0 AND 1 THEN 'CONFIDENCE_RANGE' END, CASE WHEN valid_to <= valid_from THEN 'INVALID_INTERVAL' END, CASE WHEN n_evidence < 1 THEN 'EVIDENCE_REQUIRED' END, CASE WHEN trim(source) = '' OR undated THEN 'PROVENANCE_REQUIRED' END], lambda x: x IS NOT NULL) AS e FROM raw
 ) SELECT claim_id, array_to_string(e, ',') AS errors FROM coded WHERE len(e) > 0""")
 def validation_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fx.claims(spark, sf_dir).withColumns({
         "confidence": F.when(F.col("confidence") > 0.95, F.col("confidence") + 1).otherwise(F.col("confidence")), "valid_to": F.when(F.col("confidence") < 0.05, F.col("valid_from")).otherwise(F.col("valid_to")),
         "evidence_ids": F.when(F.col("visibility") == "private", F.array().cast("array<string>")).otherwise(F.array("claim_id")),
-        "provenance": F.struct(F.when(F.col("object_value") == "P", " ").otherwise("crm").alias("source"), F.lit("loader").alias("actor"), F.lit("import").alias("process")),
+        "provenance": F.struct(F.when(F.col("object_value") == "P", " ").otherwise("crm").alias("source"), F.lit("loader").alias("actor"), F.lit("import").alias("process"), F.when(F.col("classification") == "tlp:red", "soon").otherwise("2024-01-01T00:00:00Z").alias("timestamp")),
     })
     errors = validation.claim_errors(*[F.col(c) for c in ("claim_id", "confidence", "valid_from", "valid_to", "evidence_ids", "provenance")])
     return validation.split(raw, errors)[1].select("claim_id", F.array_join("errors", ",").alias("errors"))
@@ -202,7 +202,32 @@ def er_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = identity.normal_names(p, "p_partkey", "p_name")
     alias = identity.normal_names(p.withColumn("full", F.concat_ws(" ", "p_name", "p_brand")), "p_partkey", "full")
     names = own.withColumn("source", F.lit("label")).union(alias.withColumn("source", F.lit("alias"))).withColumn("canonical_id", F.col("entity_id"))
-    return identity.candidates(own.where("entity_id % 100 = 0").withColumnRenamed("entity_id", "query_id"), names)
+    return identity.candidates(own.where("entity_id % 100 = 0").withColumnRenamed("entity_id", "query_id"), names).drop("signals")
+
+
+_ER_OWN = f"""WITH n AS (SELECT p_partkey // 3 AS root, {_NORMAL.format('p_name')} AS c, 'label' AS source FROM part UNION ALL SELECT p_partkey // 3, {_NORMAL.format("concat(p_name, ' ', p_brand)")}, 'alias' FROM part),
+q AS (SELECT DISTINCT p_partkey AS query_id, p_partkey // 3 AS own, unnest([{_NORMAL.format('p_name')}, {_NORMAL.format("concat(p_name, ' ', p_brand)")}]) AS q FROM part WHERE p_partkey % 100 = 0),
+dq AS (SELECT DISTINCT q FROM q), dn AS (SELECT DISTINCT c, source FROM n),
+s AS (SELECT q, c, source, len(list_intersect(list_distinct(string_split(q, ' ')), list_distinct(string_split(c, ' ')))) AS i, len(list_distinct(list_concat(string_split(q, ' '), string_split(c, ' ')))) AS u FROM dq CROSS JOIN dn),
+k AS (SELECT q, c, source, CASE WHEN q = c AND source = 'label' THEN 1.0 WHEN q = c THEN 0.92 WHEN i / u >= 0.8 THEN 0.82 WHEN i / u >= 0.5 THEN 0.68 WHEN length(q) >= 3 AND (contains(c, q) OR contains(q, c)) THEN 0.58 END AS score,
+  CASE WHEN q = c AND source = 'label' THEN 'label-exact' WHEN q = c THEN 'alias-exact' WHEN i / u >= 0.8 THEN 'strong-token-overlap' WHEN i / u >= 0.5 THEN 'partial-token-overlap' ELSE 'substring' END AS kind FROM s),
+told AS (SELECT DISTINCT query_id, root, kind, CAST(score AS DOUBLE) AS score, source, c FROM q JOIN k USING (q) JOIN n USING (c, source) WHERE score IS NOT NULL AND root <> own
+  UNION SELECT a.p_partkey, b.p_partkey // 3, 'external-id-exact', 1.0, 'external-id', concat(a.p_brand, '-', CAST(a.p_size AS VARCHAR)) FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey % 100 = 0 AND a.p_partkey // 3 <> b.p_partkey // 3),
+b AS (SELECT query_id, root AS entity_id, max(score) AS score, max(kind) FILTER (score = top) AS kind, count(*) AS n_signals FROM (SELECT *, max(score) OVER (PARTITION BY query_id, root) AS top FROM told) GROUP BY ALL)
+SELECT query_id, entity_id, kind, score, place, n_signals FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS INTEGER) AS place FROM b WHERE score >= 0.5) WHERE place <= 5"""
+
+
+@query(_ER_OWN)
+def er_candidates_for_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of existing parts by all their names and an external id, without their own cluster of three."""
+    p = fx.table(spark, sf_dir, "part").withColumn("full", F.concat_ws(" ", "p_name", "p_brand"))
+    root = F.floor(F.col("entity_id") / 3).cast("long")
+    names = identity.normal_names(p, "p_partkey", "p_name").withColumn("source", F.lit("label")).union(identity.normal_names(p, "p_partkey", "full").withColumn("source", F.lit("alias")))
+    names = names.withColumn("canonical_id", root)
+    asked = names.where("entity_id % 100 = 0").select(F.col("entity_id").alias("query_id"), "name", F.col("canonical_id").alias("own")).distinct()
+    ids = p.select(F.col("p_partkey").alias("entity_id"), F.lit("sku").alias("system"), F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("value")).withColumn("canonical_id", root)
+    same = identity.external_matches(ids.where("entity_id % 100 = 0").select(F.col("entity_id").alias("query_id"), "system", "value"), ids)
+    return identity.candidates(asked, names, external=same).select("query_id", "entity_id", "kind", "score", "place", F.size("signals").cast("long").alias("n_signals"))
 
 
 # Conflicts
@@ -590,19 +615,45 @@ def policy_whatif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {fx.DECISIONS}, {fx.DECISION_CLAIMS}, t AS (SELECT * FROM f_decisions WHERE decision_id % 100 = 0), n AS (SELECT decision_id, count(*) AS n FROM f_decision_claims GROUP BY ALL),
 c AS (SELECT a.decision_id AS t, b.decision_id AS d, count(*) AS c FROM f_decision_claims a JOIN f_decision_claims b USING (claim_id) WHERE a.decision_id % 100 = 0 AND a.decision_id <> b.decision_id GROUP BY ALL),
-s AS (SELECT t.decision_id, d.decision_id AS precedent_id, round(0.6 * coalesce(CAST(c.c AS DOUBLE) / (nt.n + nd.n - c.c), 0) + CASE WHEN d.selected_outcome = t.selected_outcome THEN 0.25 ELSE 0.0 END + CASE WHEN d.purpose = t.purpose THEN 0.15 ELSE 0.0 END, 9) AS score
+s AS (SELECT t.decision_id, d.decision_id AS precedent_id, coalesce(c.c, 0) AS c, d.selected_outcome = t.selected_outcome AS same_o, d.purpose = t.purpose AS same_p, round(0.6 * coalesce(CAST(c.c AS DOUBLE) / (nt.n + nd.n - c.c), 0) + CASE WHEN d.selected_outcome = t.selected_outcome THEN 0.25 ELSE 0.0 END + CASE WHEN d.purpose = t.purpose THEN 0.15 ELSE 0.0 END, 9) AS score
   FROM t JOIN f_decisions d ON d.decision_id <> t.decision_id LEFT JOIN c ON c.t = t.decision_id AND c.d = d.decision_id LEFT JOIN n nt ON nt.decision_id = t.decision_id LEFT JOIN n nd ON nd.decision_id = d.decision_id)
-SELECT decision_id, precedent_id, CAST(score AS DOUBLE) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY score DESC, precedent_id) AS place FROM s WHERE score > 0) WHERE place <= 5""")
+SELECT decision_id, precedent_id, CAST(score AS DOUBLE) AS score, place, array_to_string(list_filter([CASE WHEN c > 0 THEN 'shared context' END, CASE WHEN same_o THEN 'same outcome' END, CASE WHEN same_p THEN 'same purpose' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY score DESC, precedent_id) AS place FROM s WHERE score > 0) WHERE place <= 5""")
 def decision_precedents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fx.decisions(spark, sf_dir)
-    return decisions.precedents(d, fx.decision_claims(spark, sf_dir), d.where("decision_id % 100 = 0").select("decision_id"))
+    return decisions.precedents(d, fx.decision_claims(spark, sf_dir), d.where("decision_id % 100 = 0").select("decision_id")).withColumn("reasons", F.array_join("reasons", ", "))
 
 
-@query(f"""WITH {fx.DECISIONS} SELECT decision_id, decision_id % 7 <> 0 AS complete, CASE WHEN decision_id % 7 = 0 THEN 'p-gone@3' ELSE '' END AS missing FROM f_decisions""")
+@query(_POL + f""", refs AS (SELECT decision_id, CASE WHEN confidence < 0.1 THEN 'p-gone' ELSE policy_id END AS policy_id, version FROM app),
+lost AS (SELECT decision_id, string_agg(concat(policy_id, '@', version), ',' ORDER BY policy_id, version) AS lost FROM refs WHERE policy_id = 'p-gone' GROUP BY decision_id),
+told AS (SELECT d.decision_id, lost, CASE WHEN c.c_custkey IS NULL THEN concat('snapshot:', 's-', d.actor) WHEN c.c_nationkey % 5 = 0 THEN concat('receipt:', 'r-', c.c_nationkey) END AS gone FROM f_decisions d LEFT JOIN lost USING (decision_id) LEFT JOIN customer c ON c.c_custkey = d.actor AND c.c_acctbal > 0)
+SELECT decision_id, lost IS NULL AND gone IS NULL AS complete, concat_ws(',', lost, gone) AS missing FROM told""")
 def decision_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fx.decisions(spark, sf_dir)
-    refs = d.select("decision_id", F.explode(F.array(F.struct(F.lit("p-conf").alias("policy_id"), F.lit(1).alias("version")), F.when(F.col("decision_id") % 7 == 0, F.struct(F.lit("p-gone").alias("policy_id"), F.lit(3).alias("version"))))).alias("r")).where("r IS NOT NULL").select("decision_id", "r.*")
-    return decisions.replay(d, refs, spark.range(1).select(F.explode(F.array(*_policies())).alias("p")).select("p.policy_id", "p.version"))
+    """Every decision against the policy versions, the snapshots of customers in credit, and the receipts of four nations in five."""
+    d = fx.decisions(spark, sf_dir).withColumn("snapshot_id", fx.text_of("actor", "s-"))
+    refs = policy.applicable_policies(d, _policies()).select("decision_id", F.when(F.col("confidence") < 0.1, "p-gone").otherwise(F.col("policy.policy_id")).alias("policy_id"), "policy.version")
+    known = spark.range(1).select(F.explode(F.array(*_policies())).alias("p")).select("p.policy_id", "p.version")
+    kept = fx.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(fx.text_of("c_custkey", "s-").alias("snapshot_id"), fx.text_of("c_nationkey", "r-").alias("receipt_id"))
+    receipts = fx.table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0").select(fx.text_of("n_nationkey", "r-").alias("receipt_id"))
+    return decisions.replay(d, refs, known, kept, receipts)
+
+
+@query("""WITH r AS (SELECT o_orderkey AS request_id, c.c_custkey IS NULL AS bare, o_orderkey % 13 = 0 AS hidden, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS confidence, o_orderstatus AS outcome, o_orderpriority IN ('1-URGENT', '2-HIGH') AS bound FROM orders LEFT JOIN customer c ON c_custkey = o_custkey AND c_acctbal > 0)
+SELECT request_id, CASE WHEN bare OR hidden THEN array_to_string(list_filter([CASE WHEN bare THEN 'CONTEXT_SNAPSHOT_REQUIRED' END, CASE WHEN hidden THEN 'HIDDEN_REASONING' END], lambda x: x IS NOT NULL), ',') ELSE 'recorded' END AS state,
+CAST(CASE WHEN NOT bare AND NOT hidden AND bound THEN 1 ELSE 0 END AS BIGINT) AS evaluated, CAST(CASE WHEN NOT bare AND NOT hidden AND bound AND (confidence < 0.25 OR outcome NOT IN ('F', 'O')) THEN 1 ELSE 0 END AS BIGINT) AS violated FROM r""")
+def decision_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a decision request; customers in credit have a context snapshot, every thirteenth payload carries hidden reasoning."""
+    payload = F.when(F.col("o_orderkey") % 13 == 0, '{"hiddenCoT": "x"}').otherwise('{"note": "x"}')
+    requests = fx.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("query_id"), F.col("o_custkey").alias("actor"), F.col("o_orderpriority").alias("purpose"), F.col("o_orderstatus").alias("selected_outcome"),
+        (F.col("o_orderkey") % 101 / 100).alias("confidence"), payload.alias("payload"),
+    )
+    credit = fx.table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    kept = credit.select(F.col("c_custkey").alias("query_id"), fx.text_of("c_custkey", "s-").alias("snapshot_id"), F.array().cast("array<string>").alias("evidence_ids"), F.array().cast("array<struct<policy_id:string,version:int>>").alias("policy_refs"))
+    made = decisions.record(requests, kept, _policies(), stamp("1995-06-01 00:00:00"))
+    judged = made["evaluations"].groupBy("decision_id").agg(F.count(F.lit(1)).alias("evaluated"), F.sum(F.when(F.col("compliant"), 0).otherwise(1)).alias("violated"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    good = made["decisions"].join(judged, "decision_id", "left").select("request_id", F.lit("recorded").alias("state"), zero("evaluated"), zero("violated"))
+    return good.unionByName(made["rejected"].select("request_id", F.array_join("errors", ",").alias("state"), F.lit(0).cast("long").alias("evaluated"), F.lit(0).cast("long").alias("violated")))
 
 
 _AUDIT = f"""{_POL}, {fx.DECISION_CLAIMS.strip()}, {fx.EVENTS.strip()}, v AS (SELECT DISTINCT l_partkey AS claim_id, l_shipdate AS at, l_linenumber AS seq, CASE l_returnflag WHEN 'R' THEN 'retracted' WHEN 'A' THEN 'conflicted' ELSE 'asserted' END AS status FROM lineitem),
@@ -701,12 +752,33 @@ def projection_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.sync(spark, f"{sf_dir}/events.parquet", projection.scratch(spark)).select("claim_id", "event_id")
 
 
+_CONTENT = f"""WITH RECURSIVE {fx.EVENTS.strip()}, {fx.PROJECTED.strip()}, e AS (SELECT *, {_emb('text', 8)} AS r FROM f_projected)
+SELECT claim_id, concat('e:', s) AS canonical_subject, CASE WHEN claim_id % 3 = 0 THEN concat('e:', o) END AS canonical_object, text, array_to_string(list_transform(r, lambda x: printf('%.6f', round(x / sqrt(list_sum(list_transform(r, lambda y: y * y))), 6) + 0.0)), ',') AS vector FROM e"""
+
+
+def _shown_content(rows: DataFrame) -> DataFrame:
+    shown = F.array_join(F.transform("vector", lambda x: F.format_string("%.6f", F.round(x, 6) + 0.0)), ",")
+    return rows.select("claim_id", "canonical_subject", "canonical_object", "text", shown.alias("vector"))
+
+
+@query(_CONTENT)
+def projection_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = fx.merge_log(fx.table(spark, sf_dir, "events"))
+    return _shown_content(projection.content(fx.projected_claims(spark, sf_dir), log, lambda t: T.hash_embedding(t, 8)))
+
+
+@query(_CONTENT)
+def projection_content_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = projection.sync_content(spark, f"{sf_dir}/events.parquet", projection.scratch(spark), lambda session: fx.projected_claims(session, sf_dir), lambda t: T.hash_embedding(t, 8), fx.merge_log)
+    return _shown_content(kept)
+
+
 @query(f"""WITH {fx.EVENTS}, r AS (SELECT * FROM f_events WHERE kind IN ('claim.asserted', 'claim.retracted')), p AS (SELECT * FROM r WHERE event_id % 10 = 9)
-SELECT (SELECT count(*) FROM p) AS pending, (SELECT strftime(max(occurred_at), '%Y-%m-%d %H:%M:%S') FROM r) AS latest_event, TRUE AS stale, FALSE AS ready""")
+SELECT (SELECT count(*) FROM p) AS pending, (SELECT strftime(max(occurred_at), '%Y-%m-%d %H:%M:%S') FROM r) AS latest_event, (SELECT (epoch_us(TIMESTAMP '2030-01-01') - epoch_us(max(occurred_at))) // 1000 FROM p) AS lag_ms, TRUE AS stale, FALSE AS ready""")
 def projection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.event_log(fx.table(spark, sf_dir, "events"))
     s = projection.status(e, e.where("event_id % 10 <> 9"), stamp("2030-01-01 00:00:00"))
-    return s.select("pending", F.date_format("latest_event", "yyyy-MM-dd HH:mm:ss").alias("latest_event"), "stale", "ready")
+    return s.select("pending", F.date_format("latest_event", "yyyy-MM-dd HH:mm:ss").alias("latest_event"), "lag_ms", "stale", "ready")
 
 
 @query(f"WITH {fx.EVENTS} SELECT event_id, kind FROM f_events WHERE event_id % 3 <> 0")
@@ -720,7 +792,8 @@ def outbox_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'customer' AS k, c_mktsegment AS label, count(*) AS n, sha256(concat('entity', chr(1), 'local', chr(1), 'default', chr(1), lower(trim(c_mktsegment)))) AS entity_id FROM customer GROUP BY c_mktsegment""")
 def entity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fx.table(spark, sf_dir, "customer").select(F.lit("local").alias("tenant_id"), F.lit("default").alias("namespace_id"), F.col("c_mktsegment").alias("label"), F.array("c_name").alias("aliases"))
-    return records.entities(c).select(F.lit("customer").alias("k"), F.col("labels")[0].alias("label"), F.size("aliases").cast("long").alias("n"), "entity_id")
+    counts = records.entity_names(c).where("source = 'alias'").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    return records.entities(c).join(counts, "entity_id").select(F.lit("customer").alias("k"), "label", "n", "entity_id")
 
 
 @query("""WITH r AS (SELECT l_orderkey AS from_id, l_partkey AS to_id FROM lineitem WHERE l_orderkey <> l_partkey GROUP BY ALL), e AS (SELECT from_id AS decision_id, 'from' AS role FROM r UNION ALL SELECT to_id, 'to' FROM r)

@@ -38,13 +38,24 @@ def put_embeddings(stored: DataFrame, changes: DataFrame) -> DataFrame:
     return latest(stored.unionByName(changes), "claim_id", ["written_at"])
 
 
+def clear_embeddings(stored: DataFrame) -> DataFrame:
+    """The table without a vector, to be written over it."""
+    return stored.limit(0)
+
+
+def append(rows: DataFrame, folder: str, by: list[str] | None = None) -> None:
+    """Appends records (receipts, snapshots, decisions, memories, policies, conflicts, resolutions) to their table, laid out by the columns `by`."""
+    writer = rows.write.mode("append")
+    (writer.partitionBy(*by) if by else writer).parquet(folder)
+
+
 def write_requests(requests: DataFrame, folder: str) -> None:
     requests.write.mode("append").json(folder)
 
 
 def projection(claims: DataFrame, events: DataFrame, roots: DataFrame, embed) -> DataFrame:
-    """The retrieval projection rebuilt: claims that some claim event names and that aren't retracted, with canonical ends, text and vector."""
-    named = events.where(F.col("kind").isin(RELEVANT)).select("claim_id").distinct()
+    """The retrieval projection rebuilt: claims that some claim event names and that aren't retracted, with canonical ends, text and vector (embed makes it from the text's column)."""
+    named = events.where(F.col("kind").isin(CLAIM_EVENTS)).select("claim_id").distinct()
     live = claims.join(named, "claim_id", "left_semi").where("status <> 'retracted'")
     subject = roots.select(F.col("entity_id").alias("_s"), F.col("canonical_id").alias("_sc"))
     object_ = roots.select(F.col("entity_id").alias("_o"), F.col("canonical_id").alias("_oc"))
@@ -53,5 +64,12 @@ def projection(claims: DataFrame, events: DataFrame, roots: DataFrame, embed) ->
     return joined.withColumns({"canonical_subject": F.coalesce("_sc", "subject_id"), "canonical_object": F.coalesce("_oc", "object_entity_id"), "text": text}).withColumn("vector", embed(F.col("text"))).drop("_s", "_sc", "_o", "_oc")
 
 
+def upsert(projected: DataFrame, touched: DataFrame, rows: DataFrame) -> DataFrame:
+    """A projection with the rows of touched claim_ids replaced: those without a new row are deleted."""
+    return projected.join(touched.select("claim_id").distinct(), "claim_id", "left_anti").unionByName(rows)
+
+
 # Event kinds that a projection follows.
-RELEVANT = ["claim.asserted", "claim.retracted", "entity.merged", "entity.merge_reverted"]
+CLAIM_EVENTS = ["claim.asserted", "claim.retracted"]
+MERGE_EVENTS = ["entity.merged", "entity.merge_reverted"]
+RELEVANT = [*CLAIM_EVENTS, *MERGE_EVENTS]

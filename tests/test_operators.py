@@ -204,8 +204,8 @@ def test_datatypes(spark):
 
 
 def test_validation_codes(spark):
-    good = validation.claim_errors(F.lit("c"), F.lit(0.5), stamp("2024-01-01 00:00:00"), F.lit(None).cast("timestamp_ntz"), F.array(F.lit("e")), F.struct(F.lit("a").alias("source"), F.lit("b").alias("actor"), F.lit("c").alias("process")))
-    bad = validation.claim_errors(F.lit(" "), F.lit(float("nan")), stamp("2024-01-02 00:00:00"), stamp("2024-01-01 00:00:00"), F.array().cast("array<string>"), F.lit(None).cast("struct<source:string,actor:string,process:string>"))
+    good = validation.claim_errors(F.lit("c"), F.lit(0.5), stamp("2024-01-01 00:00:00"), F.lit(None).cast("timestamp_ntz"), F.array(F.lit("e")), F.struct(F.lit("a").alias("source"), F.lit("b").alias("actor"), F.lit("c").alias("process"), F.lit("2024-01-01T00:00:00Z").alias("timestamp")))
+    bad = validation.claim_errors(F.lit(" "), F.lit(float("nan")), stamp("2024-01-02 00:00:00"), stamp("2024-01-01 00:00:00"), F.array().cast("array<string>"), F.lit(None).cast("struct<source:string,actor:string,process:string,timestamp:string>"))
     assert one(spark, good) == [] and one(spark, bad) == ["BLANK_ID", "CONFIDENCE_RANGE", "INVALID_INTERVAL", "EVIDENCE_REQUIRED", "PROVENANCE_REQUIRED"]
     assert one(spark, validation.hidden_reasoning(F.lit('{"hiddenCoT": "x"}'))) and not one(spark, validation.hidden_reasoning(F.lit('{"a": 1}')))
 
