@@ -17,6 +17,9 @@ from .simhash import ball_links, print_of, shingles
 #: Bands of least shingles and shingles in each: at a similarity of 0.8 two texts share a band with probability 0.9996.
 BANDS, ROWS = 20, 5
 
+#: Orders of texts by a hash; a band's leader is the least of its holders in the band's order, so a text meets several leaders of its family.
+ORDERS = 5
+
 #: Pairs of one leader that one row of its text serves; a leader of more is dealt out by a hash.
 LEADER_PAIRS = 500
 
@@ -69,9 +72,9 @@ def near_copy_components(docs: DataFrame, width: int = 5, least: float = 0.8, ra
     """doc_id, tie (a hash of the text) and root (the least tie that links reach), a row per row of docs.
 
     Links are pairs of texts whose sets of shingles of `width` words have a Jaccard similarity of `least` or more, verified on the
-    texts. Candidates share a SimHash ball of `radius` bits or a band of least shingles. Holders of a band are held against the
-    least of them, not against each other, so a pair is missed where it has no band in common, or in each only third texts as
-    leaders that are unlike one of the two. Texts are read twice; only those of candidates are shuffled. Texts without words are
+    texts. Candidates share a SimHash ball of `radius` bits or a band of least shingles. Holders of a band are held against one
+    of them, not against each other, so a pair is missed where it has no band in common, or in each only third texts as
+    leaders that are unlike one of the two; bands have ORDERS different orders to choose a leader by, so a family has several. Texts are read twice; only those of candidates are shuffled. Texts without words are
     equal; an empty table gives an empty result.
     """
     tied = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -82,11 +85,12 @@ def near_copy_components(docs: DataFrame, width: int = 5, least: float = 0.8, ra
     one = by_print.select(F.col("print").alias("a"), F.col("m").alias("u"))
     two = by_print.select(F.col("print").alias("b"), F.col("m").alias("v"))
     balls = ball_links(nodes.select("print"), radius).join(one, "a").join(two, "b").select("u", "v")
-    keyed = nodes.select("tie", F.explode("bands").alias("key"))
-    leaders = cut(keyed.groupBy("key").agg(F.min("tie").alias("m"), F.max("tie").alias("x")).where("m < x").select("key", "m"))
+    keyed = nodes.select("tie", F.posexplode("bands").alias("band", "key")).withColumn("order", F.xxhash64("tie", F.col("band") % ORDERS))
+    first = keyed.groupBy("key").agg(F.min(F.struct("order", "tie")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = cut(first.select("key", F.col("m.tie").alias("m")))
     banded = keyed.join(leaders, "key").select(F.col("m").alias("u"), F.col("tie").alias("v"))
-    pairs = same.union(balls).union(banded).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = cut(pairs.where("u < v").distinct())
+    # u stays the leader, as only its rows are dealt out
+    pairs = cut(same.union(balls).union(banded).where("u <> v").distinct())
     ends = pairs.select(F.explode(F.array("u", "v")).alias("tie")).distinct()
     held = cut(tied.select("tie", "text").join(ends, "tie", "left_semi").dropDuplicates(["tie"]))
     many = cut(pairs.groupBy("u").count().where(F.col("count") > LEADER_PAIRS).select("u", F.ceil(F.col("count") / LEADER_PAIRS).cast("int").alias("parts")))
