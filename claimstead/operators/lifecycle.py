@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimstead.operators.records import events, make_id
+
 # Event kinds of the facts.
 KINDS = {"relation": "decision.related", "outcome": "decision.outcome_observed", "exception": "policy.exception_recorded", "approval": "decision.approved"}
 
 
-def facts(events: DataFrame, fact: str, schema: str) -> DataFrame:
+def facts(log: DataFrame, fact: str, schema: str) -> DataFrame:
     """Payload columns of one kind of fact, with its event id and instant."""
-    own = events.where(F.col("kind") == KINDS[fact])
+    own = log.where(F.col("kind") == KINDS[fact])
     return own.select("event_id", "occurred_at", F.from_json("payload", schema).alias("p")).select("event_id", "occurred_at", "p.*")
 
 
+def recorded_facts(rows: DataFrame, fact: str, at: Column) -> DataFrame:
+    """The events that record facts about decisions (relations, outcomes, exceptions, approvals), each with an id of all its columns."""
+    id_ = f"{fact}_id"
+    return events(rows.withColumn(id_, make_id(fact, *[F.col(c) for c in rows.columns], at)), KINDS[fact], id_, at)
+
+
+def applied(requests: DataFrame, guard: DataFrame, on: list[str], kind: str, at: Column) -> dict[str, DataFrame]:
+    """accepted, events, outbox and rejected of requests to change a state (reviews, merges, reverts, resolutions), by their guard's errors.
+
+    An accepted request has one event of the kind, which is put in the outbox too; the state is read from those events, nothing is updated in place.
+    """
+    judged = requests.join(guard.select(*on, "errors"), on)
+    good = judged.where(F.size("errors") == 0).drop("errors")
+    keyed = good.withColumn("request_key", make_id(kind, *[F.col(c) for c in on]))
+    log = events(keyed, kind, "request_key", at)
+    return {"accepted": good, "events": log, "outbox": log.select("event_id"), "rejected": judged.where(F.size("errors") > 0).select(*on, "errors")}
+
+
 def in_scope(rows: DataFrame, tenant: str, namespace: str | None = None, decision: str | None = None) -> DataFrame:
     out = rows.where(F.col("tenant_id") == tenant)
     out = out if namespace is None else out.where(F.col("namespace_id") == namespace)
@@ -33,9 +53,9 @@ def relations_of(decisions: DataFrame, relations: DataFrame) -> DataFrame:
     return decisions.select("decision_id").join(ends, "decision_id")
 
 
-def touching(decisions: DataFrame, events: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
+def touching(decisions: DataFrame, log: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """decision_id, event_id of events about a decision, its claims or its evidence: three equi-joins and a union."""
-    about = events.select("event_id", "subject_id")
+    about = log.select("event_id", "subject_id")
     parts = [decisions.select("decision_id", F.col("decision_id").cast("string").alias("subject_id")), claims.select("decision_id", F.col("claim_id").alias("subject_id")), evidence.select("decision_id", F.col("evidence_id").alias("subject_id"))]
     found = [p.join(about, "subject_id").select("decision_id", "event_id") for p in parts]
     return found[0].union(found[1]).union(found[2]).distinct()

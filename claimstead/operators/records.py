@@ -42,6 +42,11 @@ def merge_events(rows: DataFrame, at: Column) -> DataFrame:
     return rows.select(make_id("merge", F.col("surviving_id"), F.array_join(F.sort_array("absorbed_ids"), ",")).alias("event_id"), F.lit("entity.merged").alias("kind"), "surviving_id", "absorbed_ids", at.alias("occurred_at"))
 
 
+def memories(rows: DataFrame, at: Column) -> DataFrame:
+    """Memory rows with ids by owner, kind, body and instant."""
+    return rows.withColumns({"memory_id": make_id("memory", F.col("owner_id"), F.col("kind"), F.col("body"), at), "recorded_at": at})
+
+
 def decisions(rows: DataFrame, at: Column) -> DataFrame:
     """Decision rows with ids by actor, purpose and instant; confidence stays null where it isn't given."""
     return rows.withColumns({"decision_id": make_id("decision", F.col("actor"), F.col("purpose"), at), "recorded_at": at})

@@ -194,7 +194,10 @@ def ivf_cells(vectors: DataFrame, cells: int, sample: int = SAMPLE, seed: int =
     n = max(1, vectors.count())
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     drawn = vectors.where(F.pmod(F.xxhash64("claim_id"), F.lit(1_000_000)) / 1e6 < min(1.0, sample / n)).select(array_to_vector(F.transform("vector", lambda x: x.cast("double") / norm)).alias("features"))
-    return np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(drawn.cache()).clusterCenters())
+    drawn = drawn.cache()  # a bounded sample that every round of k-means reads
+    centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(drawn).clusterCenters())
+    drawn.unpersist()
+    return centres
 
 
 def ivf_index(vectors: DataFrame, centres: np.ndarray, spread: int = SPREAD) -> DataFrame:

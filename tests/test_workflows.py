@@ -177,6 +177,25 @@ def test_review_and_merge_guards(spark):
     assert rows(lifecycle.resolution_guard(choice, known, known.where("false"), live), "resolution_id", "errors") == [(1, []), (2, ["CLAIM_SET_DIFFERS", "PREFERRED_OUTSIDE", "UNKNOWN_CLAIM"]), (3, ["UNKNOWN_CONFLICT"])]
 
 
+def test_accepted_requests_have_events_and_others_are_rejected(spark):
+    at = stamp("2024-01-01 00:00:00")
+    proposals = spark.createDataFrame([("p1", "a", "b"), ("p2", "c", "d")], "proposal_id string, source_id string, candidate_id string")
+    reviews = spark.createDataFrame([("p1", 1, "approve", "same"), ("p1", 2, "reject", "late"), ("p2", 1, "approve", "")], "proposal_id string, decided_seq int, outcome string, reason string")
+    made = lifecycle.applied(reviews, lifecycle.review_errors(reviews), ["proposal_id", "decided_seq"], "entity.resolution_decided", at)
+    assert rows(made["accepted"], "proposal_id", "decided_seq") == [("p1", 1)] and rows(made["rejected"], "proposal_id", "errors") == [("p1", ["ALREADY_DECIDED"]), ("p2", ["REASON_REQUIRED"])]
+    asked = spark.createDataFrame([(1, "p1", "a"), (2, "p2", "c")], "request_id int, proposal_id string, surviving_id string")
+    none = spark.createDataFrame([], "proposal_id string, merge_id string, reverted boolean")
+    merged = lifecycle.applied(asked, lifecycle.merge_guard(asked, proposals, made["accepted"], none), ["request_id"], "entity.merged", at)
+    assert rows(merged["accepted"], "proposal_id") == [("p1",)] and rows(merged["events"], "kind") == [("entity.merged",)] and merged["outbox"].count() == 1
+    state = identity.resolution_state(proposals, made["accepted"], merged["accepted"].select("proposal_id", F.lit(False).alias("reverted")))
+    assert rows(state, "proposal_id", "state") == [("p1", "merged"), ("p2", "open")]
+    facts = spark.createDataFrame([("d1", "good")], "decision_id string, outcome string")
+    log = lifecycle.recorded_facts(facts, "outcome", at)
+    assert rows(lifecycle.facts(log, "outcome", "decision_id string, outcome string"), "decision_id", "outcome") == [("d1", "good")]
+    kept = records.memories(spark.createDataFrame([("me", "note", "x")] * 2, "owner_id string, kind string, body string"), at)
+    assert kept.select("memory_id").distinct().count() == 1
+
+
 def test_validation_of_other_records(spark):
     empty = F.array().cast("array<string>")
     assert one(spark, validation.merge_errors(F.lit("a"), empty)) == ["ABSORBED_REQUIRED"] and one(spark, validation.merge_errors(F.lit("a"), F.array(F.lit("a")))) == ["SURVIVOR_ABSORBED"]
