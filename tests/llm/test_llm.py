@@ -385,7 +385,7 @@ def test_ids_equal_the_library_on_random_latin_text():
     ids = pretokens.Ids(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
     lengths = pretokens.Lengths(pretokens.Encoder(public.path("word_bpe_49k.json")), {})
     for _ in range(3000):
-        t = "".join(rng.choice("abÀéßªµº²¼1 09 \t\n\r\x0b\x85\xa0\x1c'stredml.,!|<>-_ÿÞ×÷ thing") for _ in range(rng.randrange(14)))
+        t = "".join(rng.choice("abÀéßªµº²¼1 09 \t\n\r\x0b\x85\xa0\x1c'stredml.,!|<>-_ÿÞ×÷ thing") for _ in range(rng.randrange(rng.choice((14, 14, 300)))))
         assert ids.encode(t).tolist() == ids.encoder.ids(t)
         assert lengths.counts([t]) == [len(lengths.encoder.ids(t))]
 
