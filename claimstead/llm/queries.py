@@ -6,10 +6,13 @@ from .language_id import op4_segmentation_language_id
 from .line_dedup import OP2_SQL, op2_line_winnowing
 from .merkle import OP10_SQL, op10_merkle_fingerprints
 from .mixing import OP5_SQL, op5_pareto_mixing
+from .multi_index import op13_multi_index
 from .packing import op9_best_fit_packing
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_classifier import op3_fourier_quality
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .simhash import op7_simhash_balls
+from .source_divergence import OP12_SQL, op12_source_divergence
 from .token_counts import op6_token_counts
 from .toxicity import op1_crf_toxicity
 
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_merkle_fingerprints": op10_merkle_fingerprints,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_multi_index": op13_multi_index,
 }
 
 SQL = {
@@ -31,4 +37,6 @@ SQL = {
     "op5_pareto_mixing": OP5_SQL,
     "op8_quality_rules": OP8_SQL,
     "op10_merkle_fingerprints": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
