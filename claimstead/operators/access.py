@@ -50,10 +50,10 @@ def in_namespaces(rows: DataFrame, reader_: Column, id_: str) -> DataFrame:
     return held.where((F.col("tenant_id") == F.col("_p.tenant_id")) & F.array_contains("_p.namespace_ids", F.col("namespace_id"))).drop("_p").orderBy(id_)
 
 
-def receipts(decided: DataFrame, action: str, kind: str, id_: str, at: Column) -> DataFrame:
-    """One receipt per decision, denied ones too."""
+def receipts(decided: DataFrame, action: str, kind: str, id_: str, at: Column, also: list[str] | None = None) -> DataFrame:
+    """One receipt per decision, denied ones too; also: further columns to keep."""
     effect = F.when(F.col("reason") == "ALLOW", "allow").otherwise("deny")
-    return decided.select(F.col("principal_id"), F.lit(action).alias("action"), F.lit(kind).alias("resource_kind"), F.col(id_).alias("resource_id"), effect.alias("effect"), "reason", at.alias("evaluated_at"))
+    return decided.select(*(also or []), F.col("principal_id"), F.lit(action).alias("action"), F.lit(kind).alias("resource_kind"), F.col(id_).alias("resource_id"), effect.alias("effect"), "reason", at.alias("evaluated_at"))
 
 
 def unique_receipts(rows: DataFrame) -> DataFrame:

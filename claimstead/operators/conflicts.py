@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimstead.functions.temporal import open_end
 from claimstead.functions.text import claim_object, conflict_identity
+from claimstead.operators import sweep
 from claimstead.operators.access import strictest_scope
 from claimstead.operators.identity import canonical_claims, small
 
@@ -16,26 +17,20 @@ def rule_terms(rules: DataFrame) -> DataFrame:
     return rules.select(F.explode("terms").alias("term"), "rule_id", F.col("max").alias("rule_max"))
 
 
-def detect(claims: DataFrame, rules: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def detect(claims: DataFrame, rules: DataFrame, roots: DataFrame | None = None, per_range: int = sweep.RANGE) -> DataFrame:
     """group columns, claim_ids, rule_id: maximal sets of claims that hold at once and have more objects than their rule allows.
 
     Objects are entities or literals; with roots (entity_id, canonical_id), subjects and entity objects count by their roots.
 
     At each start of validity in a group (tenant, namespace, canonical subject, rule), the claims that hold are reduced to the least id
-    per object; sets over the maximum are kept once, and sets inside a larger one are dropped.
+    per object; sets over the maximum are kept once, and sets inside a larger one are dropped. A plane sweep (sweep.held_sets): starts are joined with no claims, and sets only with those that
+    share their rarest member.
     """
     group = ["tenant_id", "namespace_id", "subject_id", "rule_id"]
     claims = claims if roots is None else canonical_claims(claims, roots)
     live = claims.withColumn("object", claim_object(claims)).where("status <> 'retracted'").join(small(rule_terms(rules)), F.col("predicate") == F.col("term"))
     live = live.select(*group, "rule_max", "claim_id", "object", "valid_from", open_end(F.col("valid_to")).alias("valid_end"))
-    starts = live.select(*group, F.col("valid_from").alias("at")).distinct()
-    held = starts.join(live, group).where("valid_from <= at AND at < valid_end")
-    kept = held.groupBy(*group, "rule_max", "at", "object").agg(F.min("claim_id").alias("claim_id"))
-    sets = kept.groupBy(*group, "rule_max", "at").agg(F.sort_array(F.collect_set("claim_id")).alias("claim_ids")).where(F.size("claim_ids") > F.col("rule_max"))
-    sets = sets.select(*group, "claim_ids").distinct()
-    larger = sets.select(*group, F.col("claim_ids").alias("wider"))
-    inside = [sets[c].eqNullSafe(larger[c]) for c in group] + [F.size("wider") > F.size("claim_ids"), F.size(F.array_except("claim_ids", "wider")) == 0]
-    return sets.join(larger, inside, "left_anti")
+    return sweep.widest(sweep.held_sets(live, group, "rule_max", per_range), group)
 
 
 def records(found: DataFrame, claims: DataFrame, cause: str) -> DataFrame:
@@ -50,5 +45,5 @@ def not_recorded(found: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 def suppressed(resolutions: DataFrame) -> DataFrame:
-    """claim_id of all claims of a resolved conflict but the preferred one."""
-    return resolutions.select(F.explode(F.array_remove(F.col("claim_ids"), F.col("preferred_claim_id"))).alias("claim_id")).distinct()
+    """claim_id, and tenant_id where resolutions have it, of all claims of a resolved conflict but the preferred one."""
+    return resolutions.select(*[c for c in ("tenant_id",) if c in resolutions.columns], F.explode(F.array_remove(F.col("claim_ids"), F.col("preferred_claim_id"))).alias("claim_id")).distinct()

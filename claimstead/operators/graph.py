@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimstead.operators.identity import settle
+from claimstead.operators.perspective import CLAIM, QUESTION, seen as in_perspective
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
-    """A row per end of each edge, so that a hop is an equi-join: entity, claim_id, other, subject_id."""
-    far = edges.select(F.col("subject_id").alias("entity"), "claim_id", F.col("object_entity_id").alias("other"), "subject_id")
-    near = edges.where("object_entity_id IS NOT NULL").select(F.col("object_entity_id").alias("entity"), "claim_id", F.col("subject_id").alias("other"), "subject_id")
+    """A row per end of each edge, so that a hop is an equi-join: entity, claim_id, other, subject_id, and what edges have of a claim's place and time."""
+    also = [c for c in CLAIM if c in edges.columns]
+    far = edges.select(F.col("subject_id").alias("entity"), "claim_id", F.col("object_entity_id").alias("other"), "subject_id", *also)
+    near = edges.where("object_entity_id IS NOT NULL").select(F.col("object_entity_id").alias("entity"), "claim_id", F.col("subject_id").alias("other"), "subject_id", *also)
     return far.unionByName(near)
 
 
@@ -26,19 +28,30 @@ def seed_entities(hits: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.where("entity IS NOT NULL").select("query_id", "entity").distinct()
 
 
-def graph_hits(seeds: DataFrame, edges: DataFrame, hops: int, scoring: str = "inverse", route: str = "frontier", limit: int | None = None) -> DataFrame:
+def graph_hits(seeds: DataFrame, edges: DataFrame, hops: int, scoring: str = "inverse", route: str = "frontier", limit: int | None = None, questions: DataFrame | None = None) -> DataFrame:
     """query_id, claim_id, hop, score, route for claims within `hops` of a query's seed entities, each at its first hop.
 
     A query that has `limit` claims after a hop isn't taken further: later claims rank behind those.
 
     scoring: 'inverse' gives 1 / hop, 'expansion' 0.3 / hop. route: the least frontier entity that led to the claim, or its
-    subject. Frontiers hold entities seen for the first time; every hop is checkpointed.
+    subject. Frontiers hold entities seen for the first time; every hop is checkpointed. questions (query_id, perspective): a question's hops then go over the
+    claims of its perspective alone.
     """
     ends = endpoints(edges)
+    asked = None if questions is None else settle(questions.select("query_id", *QUESTION))
+
+    def reached(frontier_: DataFrame) -> DataFrame:
+        columns = ["query_id", "claim_id", "entity", "other", "subject_id"]
+        if asked is None:
+            return frontier_.join(ends, "entity").select(columns)
+        q, e = frontier_.join(asked, "query_id").alias("q"), ends.alias("e")
+        met = q.join(e, (F.col("q.entity") == F.col("e.entity")) & in_perspective("e", "q"))
+        return met.select(*[F.col(f"{"q" if c == "query_id" else "e"}.{c}").alias(c) for c in columns])
+
     seen = settle(seeds.select("query_id", "entity").distinct())
     frontier, found = seen, None
     for hop in range(1, hops + 1):
-        step = settle(frontier.join(ends, "entity").select("query_id", "claim_id", "entity", "other", "subject_id"))
+        step = settle(reached(frontier))
         if step.isEmpty():
             break
         lead = F.min("entity") if route == "frontier" else F.min("subject_id")

@@ -28,13 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="claimstead-")
 
 
-#: Rows of a side table up to which a broadcast is asked for; beyond it Spark picks the join.
-BROADCAST_ROWS = 20_000
+#: Rows of a side table, and bytes of them as JSON, up to which a broadcast is asked for; beyond it Spark picks the join.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 16_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Mark a side table for broadcast if it has at most BROADCAST_ROWS rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Mark a side table for broadcast if it has at most BROADCAST_ROWS rows of BROADCAST_BYTES in all; else leave the join to Spark."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 def active_redirects(merges: DataFrame) -> DataFrame:

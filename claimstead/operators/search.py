@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from claimstead.functions.text import lexical_tokens
-from claimstead.operators.evaluate import recall_at_k
 from claimstead.operators.fusion import top_k
 from claimstead.operators.identity import settle
+from claimstead.operators.perspective import QUESTION, claim_columns, open_to, question_columns
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -23,32 +23,47 @@ def postings(texts: DataFrame) -> DataFrame:
     return texts.select("claim_id", F.explode(runs).alias("token")).groupBy("claim_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _by_blocks(queries: DataFrame, block: int, k: int, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The k best of each query, queries taken in blocks of about `block`, told by a hash; after every sixteen blocks what was found is written, so that plans stay short."""
+    blocks = max(1, -(-queries.count() // block))
+    local = None
+    for b in range(blocks):
+        part = found(queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+        local = part if local is None else local.union(part)
+        if b % 16 == 15:
+            local = settle(local)
+    return top_k(local, ["query_id"], k)
+
+
+def _scoped(queries: DataFrame, claims: DataFrame) -> tuple[list[Column], list[Column]]:
+    """Columns that tell what a query may see, of queries and claims, where both have them; else none, and every query sees all."""
+    if set(QUESTION) <= set(queries.columns):
+        return question_columns(), claim_columns()
+    return [], []
+
+
 def lexical_top_k(queries: DataFrame, texts: DataFrame, k: int, block: int = 256) -> DataFrame:
     """query_id, claim_id, score, rank: how many query tokens are substrings of the text, the k best.
 
-    Queries are taken in blocks of about `block`, told by a hash. The tokens of a block are broadcast as one automaton, which finds all of
+    Queries are taken in blocks of about `block`. The tokens of a block are broadcast as one automaton, which finds all of
     them in one walk over a text, and each task gives its own k best of every query, so only those are shuffled. A query without a
-    token gets the first k texts by id, with score 0; other texts must have a token. Null texts have none.
+    token gets the first k texts by id, with score 0; other texts must have a token. Null texts have none. Where queries have a perspective (perspective.asked) and
+    texts its columns, only texts in it count, before the limit; texts are then taken to be not retracted.
     """
-    blocks = max(1, -(-queries.count() // block))
-    local = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        found = _lexical_block(part, texts, k)
-        local = found if local is None else local.union(found)
-    return top_k(local, ["query_id"], k)
+    return _by_blocks(queries, block, k, lambda part: _lexical_block(part, texts, k))
 
 
 def _lexical_block(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    asked = [(r["query_id"], r["terms"] or []) for r in queries.select("query_id", lexical_tokens(F.col("text")).alias("terms")).collect()]  # a block
+    where, of = _scoped(queries, texts)
+    asked = [(r["query_id"], r["terms"] or [], tuple(r)[2:]) for r in queries.select("query_id", lexical_tokens(F.col("text")).alias("terms"), *where).collect()]  # a block
     held = queries.sparkSession.sparkContext.broadcast(asked)
     types = {f.name: f.dataType for f in (queries.schema["query_id"], texts.schema["claim_id"])}
-    arrow = [to_arrow_type(types[c]) for c in ("query_id", "claim_id")]
+    arrow, scoped = [to_arrow_type(types[c]) for c in ("query_id", "claim_id")], bool(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        terms = sorted({t for _, own in held.value for t in own})
+        terms = sorted({t for _, own, _ in held.value for t in own})
         place = {t: i for i, t in enumerate(terms)}
         weight = np.zeros((len(terms), len(held.value)), np.float32)
         automaton = ahocorasick.Automaton()
@@ -56,27 +71,28 @@ def _lexical_block(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
             automaton.add_word(t, i)
         if terms:
             automaton.make_automaton()
-        for j, (_, own) in enumerate(held.value):
+        for j, (_, own, _) in enumerate(held.value):
             for t in own:
                 weight[place[t], j] += 1
-        blank = [not own for _, own in held.value]
+        blank = np.array([not own for _, own, _ in held.value])
         best: list[list[tuple]] = [[] for _ in held.value]
         for batch in batches:
             ids, scores = batch.column("claim_id").to_pylist(), np.zeros((batch.num_rows, len(held.value)), np.float32)
+            fits = open_to(batch, [q for *_, q in held.value]).T if scoped else None
             for i, text in enumerate(batch.column("text").to_pylist()):
-                if text and terms:
+                if text and terms and (fits is None or fits[i].any()):
                     scores[i] = weight[list({at for _, at in automaton.iter(text)})].sum(axis=0)
+            scores[~((scores > 0) | blank) | (False if fits is None else ~fits)] = -1
             order = np.array(sorted(range(len(ids)), key=ids.__getitem__), np.int64)
             for j in range(len(best)):
-                column = scores[order, j]
-                top = order[np.argsort(-column, kind="stable")[:k]]
-                best[j] = heapq.nsmallest(k, best[j] + [(-float(scores[i, j]), ids[i]) for i in top if blank[j] or scores[i, j] > 0])
-        rows = [(q, c, int(-s)) for (q, _), own in zip(held.value, best, strict=True) for s, c in own]
+                top = order[np.argsort(-scores[order, j], kind="stable")[:k]]
+                best[j] = heapq.nsmallest(k, best[j] + [(-float(scores[i, j]), ids[i]) for i in top if scores[i, j] >= 0])
+        rows = [(q, c, int(-s)) for (q, *_), own in zip(held.value, best, strict=True) for s, c in own]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], arrow[0]), pa.array([r[1] for r in rows], arrow[1]), pa.array([r[2] for r in rows], pa.int64())], ["query_id", "claim_id", "score"])
 
     shape = f"query_id {types['query_id'].simpleString()}, claim_id {types['claim_id'].simpleString()}, score long"
-    return texts.select("claim_id", F.lower("text").alias("text")).mapInArrow(run, shape)
+    return texts.select("claim_id", F.lower("text").alias("text"), *of).mapInArrow(run, shape)
 
 
 def full_text_and(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -122,18 +138,13 @@ def checked_vectors(vectors: DataFrame, width: int) -> tuple[DataFrame, DataFram
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float = -2.0, block: int = 4096) -> DataFrame:
     """query_id, claim_id, score, rank by cosine to six digits, exactly. queries and vectors: an id and an array.
 
-    Queries are taken in blocks of about `block`, told by a hash; the matrix of a block is broadcast, and each batch of vectors gives its
+    Queries are taken in blocks of about `block`; the matrix of a block is broadcast, and each batch of vectors gives its
     own k best of every query, so only those are shuffled. A zero vector has cosine 0. All queries must have one width and finite
-    numbers, else a ValueError is raised; vectors that haven't are no candidates (checked_vectors names them).
+    numbers, else a ValueError is raised; vectors that haven't are no candidates (checked_vectors names them). Where queries have a perspective and vectors its
+    columns, only vectors in it count, before the limit.
     """
     width = _width(queries)
-    blocks = max(1, -(-queries.count() // block))
-    local = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        found = _block_top_k(part, vectors, k, least, width)
-        local = found if local is None else local.union(found)
-    return top_k(local, ["query_id"], k)
+    return _by_blocks(queries, block, k, lambda part: _block_top_k(part, vectors, k, least, width))
 
 
 def _width(queries: DataFrame) -> int:
@@ -145,18 +156,22 @@ def _width(queries: DataFrame) -> int:
 
 
 def _block_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float, width: int) -> DataFrame:
-    asked = queries.select("query_id", "vector").toPandas()
-    ids = asked["query_id"].tolist()
-    held = queries.sparkSession.sparkContext.broadcast(_unit(asked["vector"].tolist(), width))
+    where, of = _scoped(queries, vectors)
+    rows = queries.select("query_id", "vector", *where).collect()  # a block
+    ids, asked = [r["query_id"] for r in rows], [tuple(r)[2:] for r in rows]
+    held, scoped = queries.sparkSession.sparkContext.broadcast((_unit([r["vector"] for r in rows], width), asked)), bool(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = held.value
+        q, asked_ = held.value
         for batch in batches:
             good, found = _good(batch.column("vector").to_pylist(), q.shape[1])
             own = batch.column("claim_id").to_numpy(zero_copy_only=False)[good]
-            yield _best(ids, own, np.round(q @ found.T, 6) if len(q) else np.zeros((0, len(own))), k, least)
+            scores = np.round(q @ found.T, 6) if len(q) else np.zeros((0, len(own)))
+            if scoped:
+                scores[~open_to(batch, asked_)[:, good]] = -9.0
+            yield _best(ids, own, scores, k, least)
 
-    return vectors.select("claim_id", "vector").mapInArrow(run, "query_id long, claim_id long, score double")
+    return vectors.select("claim_id", "vector", *of).mapInArrow(run, "query_id long, claim_id long, score double")
 
 
 def _best(ids: list, own: np.ndarray, scores: np.ndarray, k: int, least: float) -> pa.RecordBatch:
@@ -180,91 +195,3 @@ def _unit(vectors: list | np.ndarray, width: int) -> np.ndarray:
     m = np.array(vectors, float).reshape(len(vectors), width)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-
-
-#: Cells that a vector lies in, and vectors that centres are fitted on, in expectation.
-SPREAD, SAMPLE = 4, 20_000
-
-
-def ivf_cells(vectors: DataFrame, cells: int, sample: int = SAMPLE, seed: int = 5) -> np.ndarray:
-    """Centres of cells, fitted by k-means on about `sample` unit vectors drawn by a hash; every vector is indexed, not only those."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = max(1, vectors.count())
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    drawn = vectors.where(F.pmod(F.xxhash64("claim_id"), F.lit(1_000_000)) / 1e6 < min(1.0, sample / n)).select(array_to_vector(F.transform("vector", lambda x: x.cast("double") / norm)).alias("features"))
-    drawn = drawn.cache()  # a bounded sample that every round of k-means reads
-    centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(drawn).clusterCenters())
-    drawn.unpersist()
-    return centres
-
-
-def ivf_index(vectors: DataFrame, centres: np.ndarray, spread: int = SPREAD) -> DataFrame:
-    """claim_id, vector, cells: every vector with its `spread` nearest cells; rejected vectors (vector_fault) are left out."""
-    held = vectors.sparkSession.sparkContext.broadcast(centres)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = held.value
-        for batch in batches:
-            good, unit = _good(batch.column("vector").to_pylist(), c.shape[1])
-            near = np.argsort(-(unit @ c.T), axis=1)[:, :spread]
-            yield pa.RecordBatch.from_arrays([batch.column("claim_id").take(pa.array(good)), pa.array(unit.tolist(), pa.list_(pa.float64())), pa.array(near.tolist(), pa.list_(pa.int32()))], ["claim_id", "vector", "cells"])
-
-    return vectors.select("claim_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "claim_id long, vector array<double>, cells array<int>")
-
-
-def ivf_top_k(queries: DataFrame, index: DataFrame, centres: np.ndarray, probes: int, k: int, block: int = 4096) -> DataFrame:
-    """Approximate top k: a query meets the vectors that lie in one of its `probes` nearest cells, which are ranked exactly; with as many probes as cells it is exact.
-
-    Blocks of queries and their cells are broadcast and each batch of the index gives its own k best, so no cell is a key of a join.
-    """
-    _width(queries)
-    blocks = max(1, -(-queries.count() // block))
-    local = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        found = _probe(part, index, centres, probes, k)
-        local = found if local is None else local.union(found)
-    return top_k(local, ["query_id"], k)
-
-
-def _probe(queries: DataFrame, index: DataFrame, centres: np.ndarray, probes: int, k: int) -> DataFrame:
-    asked = queries.select("query_id", "vector").toPandas()
-    ids, q = asked["query_id"].tolist(), _unit(asked["vector"].tolist(), centres.shape[1])
-    open_ = np.zeros((len(q), len(centres)), bool)
-    np.put_along_axis(open_, np.argsort(-(q @ centres.T), axis=1)[:, :probes], True, axis=1)
-    held = queries.sparkSession.sparkContext.broadcast((q, open_))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, open_ = held.value
-        for batch in batches:
-            own = batch.column("claim_id").to_numpy(zero_copy_only=False)
-            cells = np.array(batch.column("cells").to_pylist(), np.int64).reshape(len(own), -1)
-            met = open_[:, cells].any(axis=2) if len(own) else np.zeros((len(q), 0), bool)
-            some = np.flatnonzero(met.any(axis=0))
-            unit = np.array([batch.column("vector")[int(i)].as_py() for i in some], float).reshape(len(some), q.shape[1])
-            yield _best(ids, own[some], np.where(met[:, some], np.round(q @ unit.T, 6), -9.0), k, -2.0)
-
-    return index.mapInArrow(run, "query_id long, claim_id long, score double")
-
-
-def fit_ivf(vectors: DataFrame, k: int = 10, mean: float = 0.975, least: float = 0.9, queries: int = 64) -> tuple[DataFrame, np.ndarray, int]:
-    """An index, its centres and how many cells to probe so that recall@k of a sample reaches `mean` on average and `least` at worst.
-
-    Cells are four times the root of the number of vectors. Probes start at a twelfth of the cells and grow by a quarter until about `queries`
-    vectors, drawn by a hash and asked exactly too, pass, at the most to all cells, which is exact. Vectors without clusters need many.
-    """
-    n = max(1, vectors.count())
-    centres = ivf_cells(vectors, max(1, min(int(4 * n**0.5), n // 4, 1 << 16)))
-    index = settle(ivf_index(vectors, centres))
-    drawn = vectors.where(F.pmod(F.xxhash64(F.col("claim_id"), F.lit("probe")), F.lit(1_000_000)) / 1e6 < min(1.0, queries / n))
-    asked = settle(checked_vectors(drawn, centres.shape[1])[0].select(F.col("claim_id").alias("query_id"), "vector"))
-    exact = settle(vector_top_k(asked, vectors, k))
-    probes = max(1, len(centres) // 12)
-    while probes < len(centres):
-        got = recall_at_k(exact, ivf_top_k(asked, index, centres, probes, k)).agg(F.avg("recall").alias("m"), F.min("recall").alias("l")).first()
-        if got["m"] is None or (got["m"] >= mean and got["l"] >= least):
-            break
-        probes = min(len(centres), probes + max(1, probes // 4))
-    return index, centres, probes

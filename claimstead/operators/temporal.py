@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimstead.functions.temporal import overlaps
+from claimstead.functions.temporal import open_end
 from claimstead.functions.text import claim_object
+from claimstead.operators import sweep
 from claimstead.operators.identity import canonical_claims, settle
 
 
@@ -39,14 +40,11 @@ def as_of_join(probes: DataFrame, versions: DataFrame, key: str, at: str, order:
     return seen.select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in [*order, *rest]])
 
 
-def overlap_pairs(claims: DataFrame) -> DataFrame:
-    """Pairs of unretracted claims on one subject and predicate with different objects, entities or literals, and overlapping validity; the lesser id comes first."""
-    live = claims.where("status <> 'retracted'").select("tenant_id", "namespace_id", "subject_id", "predicate", "claim_id", claim_object(claims).alias("object"), "valid_from", "valid_to")
-    a, b = live.alias("a"), live.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("tenant_id", "namespace_id", "subject_id", "predicate")]
-    other = ~F.col("a.object").eqNullSafe(F.col("b.object")) & (F.col("a.claim_id") < F.col("b.claim_id"))
-    during = overlaps(F.col("a.valid_from"), F.col("a.valid_to"), F.col("b.valid_from"), F.col("b.valid_to"))
-    return a.join(b, [*same, other, during]).select(F.col("a.claim_id").alias("left_id"), F.col("b.claim_id").alias("right_id"), F.col("a.subject_id"), F.col("a.predicate"))
+def overlap_pairs(claims: DataFrame, per_range: int = sweep.RANGE) -> DataFrame:
+    """left_id, right_id, subject_id, predicate: pairs of unretracted claims on one subject and predicate with different objects, entities or literals, and overlapping validity; the lesser id comes first. A plane sweep: no group is joined with itself."""
+    group = ["tenant_id", "namespace_id", "subject_id", "predicate"]
+    live = claims.where("status <> 'retracted'").select(*group, "claim_id", claim_object(claims).alias("object"), "valid_from", open_end(F.col("valid_to")).alias("valid_end"))
+    return sweep.overlap_pairs(live, group, per_range).select("left_id", "right_id", "subject_id", "predicate")
 
 
 def later_conflicts(claims: DataFrame, roots: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimstead.functions.scope import CLASSIFICATIONS
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,13 +88,45 @@ f_merges AS (
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("decision_id"), F.col("o_custkey").alias("actor"), F.col("o_orderstatus").alias("selected_outcome"), F.col("o_orderpriority").alias("purpose"),
-        (F.col("o_orderkey") % 101 / 100).alias("confidence"), F.col("o_orderdate").alias("recorded_at"),
+        (F.col("o_orderkey") % 101 / 100).alias("confidence"), F.col("o_orderdate").alias("recorded_at"), F.concat(F.lit("ns-"), (F.col("o_custkey") % 25).cast("string")).alias("namespace_id"),
+        F.get(F.lit(CLASSIFICATIONS), (F.floor(F.col("o_orderkey") / 3) % 5).cast("int")).alias("classification"),
     )
 
 
 DECISIONS = """
 f_decisions AS (
-  SELECT o_orderkey AS decision_id, o_custkey AS actor, o_orderstatus AS selected_outcome, o_orderpriority AS purpose, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS confidence, o_orderdate AS recorded_at FROM orders
+  SELECT o_orderkey AS decision_id, o_custkey AS actor, o_orderstatus AS selected_outcome, o_orderpriority AS purpose, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS confidence, o_orderdate AS recorded_at,
+    concat('ns-', CAST(o_custkey % 25 AS VARCHAR)) AS namespace_id, ['public', 'internal', 'confidential', 'tlp:amber', 'tlp:red'][1 + o_orderkey // 3 % 5] AS classification FROM orders
+)"""
+
+
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy version for each part: a window of days, lists of purposes, namespaces and classifications, and rules, each of which some haven't."""
+    k = F.col("p_partkey")
+    pick = lambda values, v: F.get(F.lit(values), F.pmod(v, F.lit(len(values))).cast("int"))
+    space = lambda v: F.concat(F.lit("ns-"), (v % 25).cast("string"))
+    since = F.lit("1992-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((k * 37 % 2400).cast("int"), F.lit(12))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p-"), (k % 40).cast("string")).alias("policy_id"), k.alias("version"), F.when(k % 9 == 0, "draft").otherwise("active").alias("status"),
+        F.when(k % 31 != 0, since).alias("effective_from"), F.when(k % 6 != 0, since + F.make_dt_interval((F.col("p_size") * 8).cast("int"))).alias("effective_to"),
+        F.when(k % 4 != 0, F.array(pick(PURPOSES, k))).alias("purposes"), F.when(k % 50 != 0, F.array(space(k), space(k + 7))).alias("namespace_ids"),
+        F.when(k % 3 != 0, F.array(pick(CLASSIFICATIONS, k), pick(CLASSIFICATIONS, k + 2))).alias("classifications"), F.when(k % 4 != 0, (k % 4) / 4).alias("min_confidence"),
+        F.when(k % 3 == 1, F.array(F.lit("F"), F.lit("O"))).when(k % 3 == 2, F.array(F.lit("O"))).alias("allowed_outcomes"), F.when(k % 2 == 0, pick(CLASSIFICATIONS, F.floor(k / 2))).alias("max_classification"),
+    )
+
+
+PURPOSES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_LEVELS = "['public', 'internal', 'confidential', 'tlp:amber', 'tlp:red']"
+
+POLICIES = f"""
+f_policies AS (
+  SELECT concat('p-', CAST(p_partkey % 40 AS VARCHAR)) AS policy_id, p_partkey AS version, CASE WHEN p_partkey % 9 = 0 THEN 'draft' ELSE 'active' END AS status,
+    CASE WHEN p_partkey % 31 <> 0 THEN since END AS effective_from, CASE WHEN p_partkey % 6 <> 0 THEN since + to_days(CAST(p_size * 8 AS INTEGER)) END AS effective_to,
+    CASE WHEN p_partkey % 4 <> 0 THEN [['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][1 + p_partkey % 5]] END AS purposes,
+    CASE WHEN p_partkey % 50 <> 0 THEN [concat('ns-', CAST(p_partkey % 25 AS VARCHAR)), concat('ns-', CAST((p_partkey + 7) % 25 AS VARCHAR))] END AS namespace_ids,
+    CASE WHEN p_partkey % 3 <> 0 THEN [{_LEVELS}[1 + p_partkey % 5], {_LEVELS}[1 + (p_partkey + 2) % 5]] END AS classifications, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 4 / 4.0::DOUBLE END AS min_confidence,
+    CASE p_partkey % 3 WHEN 1 THEN ['F', 'O'] WHEN 2 THEN ['O'] END AS allowed_outcomes, CASE WHEN p_partkey % 2 = 0 THEN p_partkey // 2 % 5 END AS max_level
+  FROM (SELECT *, TIMESTAMP '1992-01-01 12:00:00' + to_days(CAST(p_partkey * 37 % 2400 AS INTEGER)) AS since FROM part)
 )"""
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimstead.functions import text as T
 from claimstead.functions.scope import CLASSIFICATIONS
 from claimstead.functions.temporal import stamp, visible_at
-from claimstead.operators import access, conflicts, contracts, decisions, evaluate, extension, extract, fusion, graph, identity, lifecycle, policy, records, search, temporal, validation
+from claimstead.operators import access, conflicts, contracts, decisions, evaluate, extension, extract, fusion, graph, identity, lifecycle, perspective, policy, records, search, temporal, validation, vector_graph
 from claimstead.plans import fixtures as fx
 from claimstead.plans import retrieval
 from claimstead.sources import sinks
@@ -327,13 +327,26 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vector_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mean and least recall@10 of the cell index against the exact lists."""
-    v = _vectors(spark, sf_dir)
-    q = v.where("claim_id % 100 = 0").withColumnRenamed("claim_id", "query_id")
-    index, centres, probes = search.fit_ivf(v)
-    each = evaluate.recall_at_k(search.vector_top_k(q, v, 10), search.ivf_top_k(q, index, centres, probes, 10))
-    found = each.agg(F.avg("recall").alias("mean_recall"), F.min("recall").alias("min_recall"), F.count(F.lit(1)).alias("n_queries"))
-    return found.withColumns({"cells": F.lit(len(centres)), "probes": F.lit(probes)})
+    """Recall@10 of the graph index against the exact lists in three scenarios of filters, and the shares of a tenant's codes and vectors that were read.
+
+    broad: tenant and time; medium: also a namespace that half the vectors have; narrow: also one that a tenth has.
+    """
+    k = F.col("vec_id")
+    first = stamp("2026-01-01 00:00:00")
+    v = fx.table(spark, sf_dir, "embeddings").select(
+        k.alias("claim_id"), F.when(k % 7 == 0, "other").otherwise("bench").alias("tenant_id"), F.when(k % 10 == 0, "rare").when(k % 3 == 0, "b").otherwise("a").alias("namespace_id"),
+        F.when(k % 13 == 0, stamp("2027-01-01 00:00:00")).otherwise(first).alias("valid_from"), F.when(k % 17 == 0, stamp("2026-06-01 00:00:00")).alias("valid_to"), first.alias("recorded_at"), F.col("embedding").cast("array<double>").alias("vector"),
+    )
+    ways = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(space).cast("string").alias("namespace_id")) for n, space in (("broad", None), ("medium", "a"), ("narrow", "rare"))])
+    asked = v.where("claim_id % 100 = 0").select("claim_id", F.posexplode(ways).alias("n", "way"), "vector")
+    asked = identity.settle(asked.select((F.col("claim_id") * 3 + F.col("n")).alias("query_id"), "way.scenario", F.lit("bench").alias("tenant_id"), "way.namespace_id", stamp("2026-07-01 00:00:00").alias("valid_at"), stamp("2026-07-01 00:00:00").alias("known_at"), "vector"))
+    index = identity.settle(vector_graph.build(v))
+    hits = identity.settle(vector_graph.search(index, asked, 10))
+    each = evaluate.recall_at_k(search.vector_top_k(asked, v, 10), fusion.top_k(hits.where("claim_id IS NOT NULL"), ["query_id"], 10))
+    read = hits.groupBy("query_id", "codes_read", "vectors_read").count().groupBy("query_id").agg(F.sum("codes_read").alias("codes"), F.sum("vectors_read").alias("vectors"))
+    held = v.where("tenant_id = 'bench'").agg(F.count(F.lit(1)).alias("held"))
+    found = asked.select("query_id", "scenario").join(each, "query_id").join(read, "query_id").crossJoin(F.broadcast(held)).groupBy("scenario")
+    return found.agg(F.avg("recall").alias("mean_recall"), F.min("recall").alias("min_recall"), F.count(F.lit(1)).alias("n_queries"), F.avg(F.col("codes") / F.col("held")).alias("codes_read"), F.avg(F.col("vectors") / F.col("held")).alias("vectors_read"))
 
 
 _LISTS = """
@@ -402,52 +415,80 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLAN = retrieval.Plan(lexical=30, vector=50, budget=20)
 
 
-def _reader():
-    return access.reader("reader", "local", ["en", "fr"], "internal", ["viewer"])
-
-
 def _doc_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fx.table(spark, sf_dir, "documents")
-    level = F.get(F.lit(CLASSIFICATIONS), F.pmod(F.col("doc_id"), F.lit(3)).cast("int"))
-    return d.select(F.col("doc_id").alias("claim_id"), F.lit("local").alias("tenant_id"), F.col("lang").alias("namespace_id"), level.alias("classification"), F.lit("workspace").alias("visibility"), F.lit(None).cast("string").alias("owner_id"))
+    """A claim for each document that isn't retracted, with its text, scope and times, from its group of five to that of the document eleven behind."""
+    d, k = fx.table(spark, sf_dir, "documents"), F.col("doc_id")
+    days = lambda base, n: base + F.make_dt_interval(n.cast("int"))
+    group = lambda v: F.concat(F.lit("g:"), F.floor(v / 5).cast("string"))
+    since = days(F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"), k % 600)
+    return d.where("doc_id % 13 <> 0").select(
+        k.alias("claim_id"), "text", F.when(k % 3 == 0, "south").otherwise("north").alias("tenant_id"), F.col("lang").alias("namespace_id"), F.get(F.lit(CLASSIFICATIONS), F.pmod(k, F.lit(5)).cast("int")).alias("classification"),
+        F.when(k % 7 == 0, "private").otherwise("workspace").alias("visibility"), F.concat(F.lit("reader-"), (k % 2).cast("string")).alias("owner_id"),
+        since.alias("valid_from"), F.when(k % 4 != 0, days(since, F.lit(300))).alias("valid_to"), days(since, k % 11).alias("recorded_at"), group(k).alias("subject_id"), group(k + 11).alias("object_entity_id"),
+    )
 
 
-def _doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A claim for each document, from its group of five to that of the document eleven behind."""
-    d = fx.table(spark, sf_dir, "documents")
-    group = lambda v: F.concat(F.lit("g:"), F.floor(v / 5).cast("string"))
-    return d.select(F.col("doc_id").alias("claim_id"), group(F.col("doc_id")).alias("subject_id"), group(F.col("doc_id") + 11).alias("object_entity_id"))
+def _asking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of four readers in turn, at an instant of validity and knowledge or, every other one, at an older as_of; one reader is an agent whose delegation every other question has."""
+    k = F.col("query_id")
+    who = [
+        access.reader("reader-0", "north", ["en", "fr"], "internal", ["viewer"]), access.reader("reader-1", "north", ["fr", "en"], "confidential", ["editor"]),
+        access.reader("reader-0", "south", ["en"], "tlp:red", ["viewer"]), access.reader("agent-1", "south", ["de", "en"], "tlp:amber", ["editor"], "agent", "reader-1"),
+    ]
+    reader = F.get(F.array(*who), F.pmod(k, F.lit(4)).cast("int"))
+    both = F.struct(stamp("2021-01-01 00:00:00").alias("valid_at"), stamp("2021-01-05 00:00:00").alias("known_at"))
+    questions = _questions(spark, sf_dir).select(
+        "query_id", "text", T.hash_embedding(F.col("text"), 8).alias("vector"), reader.alias("reader"), F.when(k % 2 == 0, both).alias("temporal"), F.when(k % 2 == 1, stamp("2020-10-01 00:00:00")).alias("as_of"),
+        F.lit("audit").alias("purpose"), F.when(k % 8 == 3, access.delegation("reader-1", ["knowledge.read"], "2025-01-01 00:00:00", "audit")).alias("delegation"),
+    )
+    return identity.settle(perspective.asked(questions))
 
 
 def _suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth document is preferred to the next one."""
+    """Every fiftieth document is preferred to the next one, for its own tenant."""
     d = fx.table(spark, sf_dir, "documents").where("doc_id % 50 = 0")
-    return conflicts.suppressed(d.select(F.array("doc_id", F.col("doc_id") + 1).alias("claim_ids"), F.col("doc_id").alias("preferred_claim_id")))
-
-
-def _hybrid(spark: SparkSession, sf_dir: str, how) -> tuple[DataFrame, DataFrame, DataFrame]:
-    embed = lambda df, id_: df.select(F.col(id_), T.hash_embedding(F.col("text"), 8).alias("vector"))
-    texts, asked = _texts(spark, sf_dir), _questions(spark, sf_dir)
-    questions = asked.join(embed(asked, "query_id"), "query_id")
-    hits = how(questions, texts, embed(texts, "claim_id"), PLAN, _doc_edges(spark, sf_dir))
-    return (*retrieval.answer(hits, _doc_claims(spark, sf_dir), _reader(), stamp(NOW), PLAN, _suppressed(spark, sf_dir)), questions)
-
-
-_HYBRID = f"""WITH {_LEX}, lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM lex0) WHERE rank <= 30),
+    tenant = F.when(F.col("doc_id") % 3 == 0, "south").otherwise("north")
+    return conflicts.suppressed(d.select(tenant.alias("tenant_id"), F.array("doc_id", F.col("doc_id") + 1).alias("claim_ids"), F.col("doc_id").alias("preferred_claim_id")))
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, how) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    held, questions = _doc_claims(spark, sf_dir), _asking(spark, sf_dir)
+    place = ["tenant_id", "namespace_id", "valid_from", "valid_to", "recorded_at"]
+    vectors = held.select("claim_id", T.hash_embedding(F.col("text"), 8).alias("vector"), *place)
+    hits = how(questions, held.select("claim_id", "text", *place), vectors, PLAN, held.select("claim_id", "subject_id", "object_entity_id", *place))
+    scope = held.select("claim_id", "tenant_id", "namespace_id", "classification", "visibility", "owner_id")
+    return (*retrieval.answer(hits, scope, questions, stamp(NOW), PLAN, _suppressed(spark, sf_dir)), questions)
+
+
+_HYBRID = f"""WITH {_LEX}, asks AS (
+  SELECT item_id AS query_id, text, ['reader-0', 'reader-1', 'reader-0', 'agent-1'][1 + item_id % 4] AS principal_id, CASE WHEN item_id % 4 < 2 THEN 'north' ELSE 'south' END AS tenant_id, ['en', 'fr', 'en', 'de'][1 + item_id % 4] AS namespace_id,
+    [1, 2, 4, 3][1 + item_id % 4] AS clearance, ['reader-0', 'reader-1', 'reader-0', 'reader-1'][1 + item_id % 4] AS acting_as, item_id % 8 = 7 AS undelegated,
+    CASE WHEN item_id % 2 = 0 THEN TIMESTAMP '2021-01-01' ELSE TIMESTAMP '2020-10-01' END AS valid_at, CASE WHEN item_id % 2 = 0 THEN TIMESTAMP '2021-01-05' END AS known_at FROM benchmark
+), held AS (
+  SELECT doc_id AS claim_id, text, CASE WHEN doc_id % 3 = 0 THEN 'south' ELSE 'north' END AS tenant_id, lang AS namespace_id, doc_id % 5 AS level, doc_id % 7 = 0 AS private, concat('reader-', doc_id % 2) AS owner_id,
+    TIMESTAMP '2020-01-01' + to_days(CAST(doc_id % 600 AS INTEGER)) AS valid_from, CASE WHEN doc_id % 4 <> 0 THEN TIMESTAMP '2020-01-01' + to_days(CAST(doc_id % 600 + 300 AS INTEGER)) END AS valid_to,
+    TIMESTAMP '2020-01-01' + to_days(CAST(doc_id % 600 + doc_id % 11 AS INTEGER)) AS recorded_at FROM documents WHERE doc_id % 13 <> 0
+), open AS (
+  SELECT query_id, claim_id FROM asks q JOIN held c USING (tenant_id, namespace_id) WHERE c.valid_from <= q.valid_at AND (c.valid_to IS NULL OR q.valid_at < c.valid_to) AND (q.known_at IS NULL OR c.recorded_at <= q.known_at)
+), lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM lex0 JOIN open USING (query_id, claim_id)) WHERE rank <= 30),
 qe AS (SELECT item_id AS query_id, {_emb('text', 8)} AS e FROM benchmark), de AS (SELECT doc_id AS claim_id, {_emb('text', 8)} AS e FROM documents),
-vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM (SELECT query_id, claim_id, round(list_cosine_similarity(qe.e, de.e), 6) AS score FROM qe CROSS JOIN de) WHERE score >= 0.15) WHERE rank <= 50),
-acl AS (SELECT doc_id AS claim_id, ['public', 'internal', 'confidential'][1 + doc_id % 3] AS classification, doc_id % 3 < 2 AND lang IN ('en', 'fr') AS ok FROM documents WHERE doc_id % 50 <> 1),
-edge AS (SELECT doc_id AS claim_id, concat('g:', CAST(doc_id // 5 AS VARCHAR)) AS s, concat('g:', CAST((doc_id + 11) // 5 AS VARCHAR)) AS o FROM documents),
+vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM (SELECT query_id, claim_id, round(list_cosine_similarity(qe.e, de.e), 6) AS score FROM open JOIN qe USING (query_id) JOIN de USING (claim_id)) WHERE score >= 0.15) WHERE rank <= 50),
+acl AS (
+  SELECT query_id, claim_id, q.principal_id, ['public', 'internal', 'confidential', 'tlp:amber', 'tlp:red'][1 + c.level] AS classification,
+    CASE WHEN q.clearance < c.level THEN 'CLASSIFICATION_DENIED' WHEN q.undelegated THEN 'DELEGATION_DENIED' WHEN c.private AND c.owner_id <> q.acting_as THEN 'VISIBILITY_DENIED' ELSE 'ALLOW' END AS reason
+  FROM open JOIN asks q USING (query_id) JOIN held c USING (claim_id) WHERE NOT (claim_id % 50 = 1 AND CASE WHEN (claim_id - 1) % 3 = 0 THEN 'south' ELSE 'north' END = q.tenant_id)
+),
+edge AS (SELECT claim_id, concat('g:', CAST(claim_id // 5 AS VARCHAR)) AS s, concat('g:', CAST((claim_id + 11) // 5 AS VARCHAR)) AS o FROM held),
 ends AS (SELECT s AS entity, claim_id, o AS other, s FROM edge UNION ALL SELECT o, claim_id, s, s FROM edge),
 first AS (SELECT query_id, claim_id FROM lex UNION SELECT query_id, claim_id FROM vec),
 f0 AS (SELECT DISTINCT query_id, entity FROM first JOIN ends USING (claim_id)),
-h1 AS (SELECT query_id, claim_id, entity, other, s FROM f0 JOIN ends USING (entity)), f1 AS (SELECT DISTINCT query_id, other AS entity FROM h1 EXCEPT SELECT query_id, entity FROM f0),
-h2 AS (SELECT query_id, claim_id, entity, other, s FROM f1 JOIN ends USING (entity)),
+h1 AS (SELECT query_id, claim_id, entity, other, s FROM f0 JOIN ends USING (entity) JOIN open USING (query_id, claim_id)), f1 AS (SELECT DISTINCT query_id, other AS entity FROM h1 EXCEPT SELECT query_id, entity FROM f0),
+h2 AS (SELECT query_id, claim_id, entity, other, s FROM f1 JOIN ends USING (entity) JOIN open USING (query_id, claim_id)),
 near AS (SELECT query_id, claim_id, min(hop) AS hop, arg_min(entity, (hop, entity)) AS route FROM (SELECT query_id, claim_id, 1 AS hop, entity FROM h1 UNION ALL SELECT query_id, claim_id, 2, entity FROM h2) GROUP BY ALL HAVING (query_id, claim_id) NOT IN (SELECT (query_id, claim_id) FROM first))"""
 
 _ADDED = _HYBRID + """, hit AS (SELECT query_id, claim_id, round(coalesce(CAST(lex.score AS DOUBLE), 0.0) + coalesce(vec.score, 0.0), 6) AS score, lex.score AS lexical, vec.score AS vector, NULL AS graph FROM lex FULL JOIN vec USING (query_id, claim_id)
   UNION ALL SELECT query_id, claim_id, round(0.3::DOUBLE / hop, 6), NULL, NULL, hop FROM near),
-shown AS (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM hit h JOIN acl USING (claim_id) WHERE ok) WHERE rank <= 20)"""
+shown AS (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM hit h JOIN acl USING (query_id, claim_id) WHERE reason = 'ALLOW') WHERE rank <= 20)"""
 
 
 @query(_ADDED + " SELECT query_id, claim_id, score, rank FROM shown")
@@ -457,7 +498,7 @@ def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FUSED = _HYBRID + """, part AS (SELECT query_id, claim_id, 1.0::DOUBLE / (60 + rank) AS c, NULL AS route FROM lex UNION ALL SELECT query_id, claim_id, 1.0::DOUBLE / (60 + rank), NULL FROM vec
   UNION ALL SELECT query_id, claim_id, 1.0::DOUBLE / (60 + rank), route FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, claim_id) AS rank FROM near) WHERE rank <= 40),
-hit AS (SELECT query_id, claim_id, sum(c) AS score, max(route) AS route FROM part GROUP BY ALL), shown AS (SELECT * FROM (SELECT h.query_id, h.claim_id, route, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM hit h JOIN acl USING (claim_id) WHERE ok) WHERE rank <= 20)"""
+hit AS (SELECT query_id, claim_id, sum(c) AS score, max(route) AS route FROM part GROUP BY ALL), shown AS (SELECT * FROM (SELECT h.query_id, h.claim_id, route, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM hit h JOIN acl USING (query_id, claim_id) WHERE reason = 'ALLOW') WHERE rank <= 20)"""
 
 
 @query(_FUSED + " SELECT query_id, claim_id, rank, route FROM shown")
@@ -465,21 +506,33 @@ def fused_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, retrieval.fused)[0].select("query_id", "claim_id", "rank", "route")
 
 
-@query(_FUSED + " SELECT query_id, classification, count(*) AS omitted FROM hit JOIN acl USING (claim_id) WHERE NOT ok GROUP BY ALL")
+@query(_FUSED + " SELECT query_id, classification, count(*) AS omitted FROM hit JOIN acl USING (query_id, claim_id) WHERE reason <> 'ALLOW' GROUP BY ALL")
 def retrieval_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, retrieval.fused)[1]
 
 
+@query(_FUSED + " SELECT query_id, principal_id, 'knowledge.read' AS action, 'claim' AS resource_kind, claim_id AS resource_id, CASE WHEN reason = 'ALLOW' THEN 'allow' ELSE 'deny' END AS effect, reason FROM hit JOIN acl USING (query_id, claim_id)")
+def retrieval_authorizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The access receipts of every hit, allowed or denied."""
+    return _hybrid(spark, sf_dir, retrieval.fused)[2].drop("evaluated_at")
+
+
 @query(_ADDED + """, said AS (SELECT query_id, string_agg(concat(claim_id, ' ', array_to_string(list_filter([CASE WHEN lexical IS NOT NULL THEN concat('lexical ', lexical) END, CASE WHEN vector IS NOT NULL THEN concat('vector ', printf('%.2f', vector)) END,
-  CASE WHEN graph IS NOT NULL THEN 'graph neighborhood' END], lambda x: x IS NOT NULL), '; ')), ' | ' ORDER BY rank) AS selected FROM shown GROUP BY query_id),
-lost AS (SELECT query_id, string_agg(concat(classification, ' ', n), ' | ' ORDER BY classification) AS omissions FROM (SELECT query_id, classification, count(*) AS n FROM hit JOIN acl USING (claim_id) WHERE NOT ok GROUP BY ALL) GROUP BY query_id)
-SELECT item_id AS query_id, sha256(text) AS query_hash, selected, omissions FROM benchmark LEFT JOIN said ON query_id = item_id LEFT JOIN lost ON lost.query_id = item_id""")
+  CASE WHEN graph IS NOT NULL THEN 'graph neighborhood' END], lambda x: x IS NOT NULL), '; '), ' ', source), ' | ' ORDER BY rank) AS selected FROM shown JOIN documents ON doc_id = claim_id GROUP BY query_id),
+judged AS (SELECT query_id, claim_id, classification, reason FROM hit JOIN acl USING (query_id, claim_id)),
+lost AS (SELECT query_id, string_agg(concat(classification, ' ', n), ' | ' ORDER BY classification) AS omissions FROM (SELECT query_id, classification, count(*) AS n FROM judged WHERE reason <> 'ALLOW' GROUP BY ALL) GROUP BY query_id),
+allow AS (SELECT query_id, string_agg(concat(claim_id, ' ', reason), ' | ' ORDER BY claim_id) AS authorizations FROM judged GROUP BY query_id)
+SELECT query_id, sha256(text) AS query_hash, principal_id, tenant_id, namespace_id, 'audit' AS purpose, valid_at, known_at, 'retrieval-v2' AS plan_version, selected, omissions, authorizations FROM asks LEFT JOIN said USING (query_id) LEFT JOIN lost USING (query_id) LEFT JOIN allow USING (query_id)""")
 def retrieval_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, omitted, asked = _hybrid(spark, sf_dir, retrieval.additive)
-    found = retrieval.receipts(ranked, omitted, asked)
-    chosen = F.array_join(F.transform("selected", lambda x: F.concat_ws(" ", x["claim_id"].cast("string"), x["reason"])), " | ")
-    left = F.array_join(F.transform("omissions", lambda x: F.concat_ws(" ", x["classification"], x["omitted"].cast("string"))), " | ")
-    return found.select("query_id", "query_hash", chosen.alias("selected"), left.alias("omissions"))
+    ranked, omitted, allow, asked = _hybrid(spark, sf_dir, retrieval.additive)
+    proof = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), F.col("source").alias("evidence_id"))
+    found = retrieval.receipts(ranked, omitted, asked, allow, proof)
+    joined = lambda c, f: F.array_join(F.transform(c, f), " | ").alias(c)
+    return found.select(
+        "query_id", "query_hash", "principal_id", "tenant_id", "namespace_id", "purpose", "valid_at", "known_at", "plan_version",
+        joined("selected", lambda x: F.concat_ws(" ", x["claim_id"].cast("string"), x["reason"], F.array_join(x["evidence_ids"], " "))), joined("omissions", lambda x: F.concat_ws(" ", x["classification"], x["omitted"].cast("string"))),
+        joined("authorizations", lambda x: F.concat_ws(" ", x["resource_id"].cast("string"), x["reason"])),
+    )
 
 
 @query(f"""WITH {_LEX}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM lex0) WHERE rank <= 10),
@@ -588,29 +641,29 @@ def entity_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Policies and decisions
 
-def _policies() -> list:
-    return [policy.policy("p-conf", 1, 0.25, ["F", "O"], purposes=["1-URGENT", "2-HIGH"], since="1993-01-01 00:00:00", until="1999-01-01 00:00:00"), policy.policy("p-conf", 2, 0.5, ["F"], since="1999-01-01 00:00:00"), policy.policy("p-old", 1, 0.9, status="draft")]
-
+_RULES = f"""(d.confidence < p.min_confidence) IS TRUE AS a, (p.allowed_outcomes IS NOT NULL AND NOT list_contains(p.allowed_outcomes, d.selected_outcome)) AS b,
+    (list_position(['public', 'internal', 'confidential', 'tlp:amber', 'tlp:red'], d.classification) - 1 > p.max_level) IS TRUE AS c, p.min_confidence AS m, ['public', 'internal', 'confidential', 'tlp:amber', 'tlp:red'][1 + p.max_level] AS top"""
+_LISTED = """(p.purposes IS NULL OR list_contains(p.purposes, d.purpose)) AND (p.namespace_ids IS NULL OR list_contains(p.namespace_ids, d.namespace_id)) AND (p.classifications IS NULL OR list_contains(p.classifications, d.classification))
+  AND p.status = 'active' AND (p.effective_from IS NULL OR d.recorded_at >= p.effective_from) AND (p.effective_to IS NULL OR d.recorded_at < p.effective_to)"""
+_POL = f"""WITH {fx.DECISIONS}, {fx.POLICIES.strip()}, app AS (SELECT d.*, p.policy_id, p.version, {_RULES} FROM f_decisions d JOIN f_policies p ON {_LISTED})"""
+_BROKEN = """list_filter([CASE WHEN a THEN concat('confidence below ', CASE m WHEN 0.25 THEN '0.25' WHEN 0.5 THEN '0.5' ELSE '0.75' END) END, CASE WHEN b THEN concat('outcome ', selected_outcome, ' is not allowed') END, CASE WHEN c THEN concat('classification exceeds ', top) END], lambda x: x IS NOT NULL)"""
 
-_POL = f"""WITH {fx.DECISIONS}, app AS (
-  SELECT d.*, 'p-conf' AS policy_id, 1 AS version, confidence < 0.25 AS a, selected_outcome NOT IN ('F', 'O') AS b, '0.25' AS m FROM f_decisions d WHERE recorded_at >= TIMESTAMP '1993-01-01' AND recorded_at < TIMESTAMP '1999-01-01' AND purpose IN ('1-URGENT', '2-HIGH')
-  UNION ALL SELECT d.*, 'p-conf', 2, confidence < 0.5, selected_outcome <> 'F', '0.5' FROM f_decisions d WHERE recorded_at >= TIMESTAMP '1999-01-01'
-)"""
 
-
-@query(_POL + """ SELECT decision_id, policy_id, version, NOT a AND NOT b AS compliant, array_to_string(list_filter([CASE WHEN a THEN concat('confidence below ', m) END, CASE WHEN b THEN concat('outcome ', selected_outcome, ' is not allowed') END], lambda x: x IS NOT NULL), '; ') AS violations FROM app""")
+@query(_POL + f" SELECT decision_id, policy_id, version, NOT a AND NOT b AND NOT c AS compliant, array_to_string({_BROKEN}, '; ') AS violations FROM app")
 def policy_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.evaluate(fx.decisions(spark, sf_dir), _policies()).withColumn("violations", F.array_join("violations", "; "))
+    return policy.evaluate(fx.decisions(spark, sf_dir), fx.policies(spark, sf_dir)).withColumn("violations", F.array_join("violations", "; "))
 
 
 @query(_POL + " SELECT decision_id, policy_id, version FROM app")
 def policy_applicable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.applicable_policies(fx.decisions(spark, sf_dir), _policies()).select("decision_id", "policy.policy_id", "policy.version")
+    return policy.applicable_policies(fx.decisions(spark, sf_dir), fx.policies(spark, sf_dir)).select("decision_id", "policy.policy_id", "policy.version")
 
 
-@query(f"""WITH {fx.DECISIONS} SELECT decision_id, 'candidate' AS policy_id, confidence < 0.75 OR selected_outcome <> 'O' AS would_fail, CAST((confidence < 0.75)::INT + (selected_outcome <> 'O')::INT AS INTEGER) AS n FROM f_decisions""")
+@query(f"""WITH {fx.DECISIONS}, {fx.POLICIES.strip()}, app AS (SELECT d.*, p.policy_id, p.version, {_RULES} FROM f_decisions d CROSS JOIN f_policies p WHERE p.version % 500 = 4)
+SELECT decision_id, policy_id, version, a OR b OR c AS would_fail, array_to_string({_BROKEN}, '; ') AS violations FROM app""")
 def policy_whatif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.what_if(fx.decisions(spark, sf_dir), [policy.policy("candidate", 1, 0.75, ["O"])]).select("decision_id", "policy_id", "would_fail", F.size("violations").alias("n"))
+    """Every decision against the candidate versions, one in five hundred, applicable or not."""
+    return policy.what_if(fx.decisions(spark, sf_dir), fx.policies(spark, sf_dir).where("version % 500 = 4")).withColumn("violations", F.array_join("violations", "; "))
 
 
 @query(f"""WITH {fx.DECISIONS}, {fx.DECISION_CLAIMS}, t AS (SELECT * FROM f_decisions WHERE decision_id % 100 = 0), n AS (SELECT decision_id, count(*) AS n FROM f_decision_claims GROUP BY ALL),
@@ -624,32 +677,32 @@ def decision_precedents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_POL + f""", refs AS (SELECT decision_id, CASE WHEN confidence < 0.1 THEN 'p-gone' ELSE policy_id END AS policy_id, version FROM app),
-lost AS (SELECT decision_id, string_agg(concat(policy_id, '@', version), ',' ORDER BY policy_id, version) AS lost FROM refs WHERE policy_id = 'p-gone' GROUP BY decision_id),
+lost AS (SELECT decision_id, string_agg(concat(policy_id, '@', version), ',' ORDER BY concat(policy_id, '@', version)) AS lost FROM refs WHERE policy_id = 'p-gone' GROUP BY decision_id),
 told AS (SELECT d.decision_id, lost, CASE WHEN c.c_custkey IS NULL THEN concat('snapshot:', 's-', d.actor) WHEN c.c_nationkey % 5 = 0 THEN concat('receipt:', 'r-', c.c_nationkey) END AS gone FROM f_decisions d LEFT JOIN lost USING (decision_id) LEFT JOIN customer c ON c.c_custkey = d.actor AND c.c_acctbal > 0)
 SELECT decision_id, lost IS NULL AND gone IS NULL AS complete, concat_ws(',', lost, gone) AS missing FROM told""")
 def decision_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every decision against the policy versions, the snapshots of customers in credit, and the receipts of four nations in five."""
     d = fx.decisions(spark, sf_dir).withColumn("snapshot_id", fx.text_of("actor", "s-"))
-    refs = policy.applicable_policies(d, _policies()).select("decision_id", F.when(F.col("confidence") < 0.1, "p-gone").otherwise(F.col("policy.policy_id")).alias("policy_id"), "policy.version")
-    known = spark.range(1).select(F.explode(F.array(*_policies())).alias("p")).select("p.policy_id", "p.version")
+    held = fx.policies(spark, sf_dir)
+    refs = policy.applicable_policies(d, held).select("decision_id", F.when(F.col("confidence") < 0.1, "p-gone").otherwise(F.col("policy.policy_id")).alias("policy_id"), "policy.version")
+    known = held.select("policy_id", "version")
     kept = fx.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(fx.text_of("c_custkey", "s-").alias("snapshot_id"), fx.text_of("c_nationkey", "r-").alias("receipt_id"))
     receipts = fx.table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0").select(fx.text_of("n_nationkey", "r-").alias("receipt_id"))
     return decisions.replay(d, refs, known, kept, receipts)
 
 
-@query("""WITH r AS (SELECT o_orderkey AS request_id, c.c_custkey IS NULL AS bare, o_orderkey % 13 = 0 AS hidden, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS confidence, o_orderstatus AS outcome, o_orderpriority IN ('1-URGENT', '2-HIGH') AS bound FROM orders LEFT JOIN customer c ON c_custkey = o_custkey AND c_acctbal > 0)
-SELECT request_id, CASE WHEN bare OR hidden THEN array_to_string(list_filter([CASE WHEN bare THEN 'CONTEXT_SNAPSHOT_REQUIRED' END, CASE WHEN hidden THEN 'HIDDEN_REASONING' END], lambda x: x IS NOT NULL), ',') ELSE 'recorded' END AS state,
-CAST(CASE WHEN NOT bare AND NOT hidden AND bound THEN 1 ELSE 0 END AS BIGINT) AS evaluated, CAST(CASE WHEN NOT bare AND NOT hidden AND bound AND (confidence < 0.25 OR outcome NOT IN ('F', 'O')) THEN 1 ELSE 0 END AS BIGINT) AS violated FROM r""")
+@query(f"""WITH {fx.DECISIONS}, {fx.POLICIES.strip()}, r AS (SELECT d.* REPLACE (TIMESTAMP '1995-06-01' AS recorded_at), c.c_custkey IS NULL AS bare, decision_id % 13 = 0 AS hidden FROM f_decisions d LEFT JOIN customer c ON c_custkey = actor AND c_acctbal > 0),
+app AS (SELECT d.decision_id, {_RULES} FROM r d JOIN f_policies p ON {_LISTED} WHERE NOT bare AND NOT hidden), judged AS (SELECT decision_id, count(*) AS evaluated, count(*) FILTER (a OR b OR c) AS violated FROM app GROUP BY ALL)
+SELECT decision_id AS request_id, CASE WHEN bare OR hidden THEN array_to_string(list_filter([CASE WHEN bare THEN 'CONTEXT_SNAPSHOT_REQUIRED' END, CASE WHEN hidden THEN 'HIDDEN_REASONING' END], lambda x: x IS NOT NULL), ',') ELSE 'recorded' END AS state,
+coalesce(evaluated, 0) AS evaluated, coalesce(violated, 0) AS violated FROM r LEFT JOIN judged USING (decision_id)""")
 def decision_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a decision request; customers in credit have a context snapshot, every thirteenth payload carries hidden reasoning."""
-    payload = F.when(F.col("o_orderkey") % 13 == 0, '{"hiddenCoT": "x"}').otherwise('{"note": "x"}')
-    requests = fx.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("query_id"), F.col("o_custkey").alias("actor"), F.col("o_orderpriority").alias("purpose"), F.col("o_orderstatus").alias("selected_outcome"),
-        (F.col("o_orderkey") % 101 / 100).alias("confidence"), payload.alias("payload"),
-    )
+    given = fx.decisions(spark, sf_dir).withColumnRenamed("decision_id", "request_id").withColumn("query_id", F.col("actor"))
+    payload = F.when(F.col("request_id") % 13 == 0, '{"hiddenCoT": "x"}').otherwise('{"note": "x"}')
+    requests = given.select("request_id", "query_id", "actor", "purpose", "selected_outcome", "confidence", "namespace_id", "classification", payload.alias("payload"))
     credit = fx.table(spark, sf_dir, "customer").where("c_acctbal > 0")
     kept = credit.select(F.col("c_custkey").alias("query_id"), fx.text_of("c_custkey", "s-").alias("snapshot_id"), F.array().cast("array<string>").alias("evidence_ids"), F.array().cast("array<struct<policy_id:string,version:int>>").alias("policy_refs"))
-    made = decisions.record(requests, kept, _policies(), stamp("1995-06-01 00:00:00"))
+    made = decisions.record(requests, kept, fx.policies(spark, sf_dir), stamp("1995-06-01 00:00:00"))
     judged = made["evaluations"].groupBy("decision_id").agg(F.count(F.lit(1)).alias("evaluated"), F.sum(F.when(F.col("compliant"), 0).otherwise(1)).alias("violated"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     good = made["decisions"].join(judged, "decision_id", "left").select("request_id", F.lit("recorded").alias("state"), zero("evaluated"), zero("violated"))
@@ -663,7 +716,7 @@ item AS (
   SELECT 'claims' AS section, decision_id, claim_id AS a, '' AS z, concat('{{"claim_id":', claim_id, ',"status":"', status, '"}}') AS j FROM p WHERE n = 1 AND status <> 'retracted'
   UNION ALL SELECT 'events', decision_id, event_id, kind, concat('{{"event_id":', event_id, ',"kind":"', kind, '"}}') FROM ev
   UNION ALL SELECT DISTINCT 'evidence', l_orderkey, l_suppkey, '', concat('{{"evidence_id":', l_suppkey, '}}') FROM lineitem
-  UNION ALL SELECT 'policy_versions', decision_id, version, policy_id, concat('{{"policy_id":"', policy_id, '","version":', version, '}}') FROM app
+  UNION ALL SELECT 'policy_versions', decision_id, version, policy_id, concat('{{"version":', version, ',"policy_id":"', policy_id, '"}}') FROM app
   UNION ALL SELECT DISTINCT 'authorization_receipts', l_orderkey, l_partkey, l_linestatus, concat('{{"claim_id":', l_partkey, ',"effect":"', CASE WHEN l_linestatus = 'F' THEN 'deny' ELSE 'allow' END, '"}}') FROM lineitem
   UNION ALL SELECT DISTINCT 'relations', l_orderkey, l_partkey, '', concat('{{"to_id":', l_partkey, '}}') FROM lineitem WHERE l_orderkey <> l_partkey
   UNION ALL SELECT section, claim_id, event_id, '', concat('{{"event_id":', event_id, '}}') FROM (SELECT CASE kind WHEN 'decision.recorded' THEN 'outcomes' WHEN 'claim.retracted' THEN 'exceptions' ELSE 'approvals' END AS section, * FROM f_events WHERE kind IN ('decision.recorded', 'claim.retracted', 'context.accessed')) WHERE claim_id IS NOT NULL
@@ -690,7 +743,7 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.col("l_orderkey").alias("decision_id")
     sections = {
         "evidence": lines.select(order, F.col("l_suppkey").alias("evidence_id")),
-        "policy_versions": policy.applicable_policies(fx.decisions(spark, sf_dir), _policies()).select("decision_id", "policy.policy_id", "policy.version"),
+        "policy_versions": policy.applicable_policies(fx.decisions(spark, sf_dir), fx.policies(spark, sf_dir)).select("decision_id", "policy.version", "policy.policy_id"),
         "authorization_receipts": lines.select(order, F.col("l_partkey").alias("claim_id"), F.when(F.col("l_linestatus") == "F", "deny").otherwise("allow").alias("effect")),
         "relations": lines.where("l_orderkey <> l_partkey").select(order, F.col("l_partkey").alias("to_id")),
         "outcomes": fact("decision.recorded"), "exceptions": fact("claim.retracted"), "approvals": fact("context.accessed"),
