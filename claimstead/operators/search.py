@@ -74,7 +74,7 @@ def _lexical_block(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
         for j, (_, own, _) in enumerate(held.value):
             for t in own:
                 weight[place[t], j] += 1
-        blank = np.array([not own for _, own, _ in held.value])
+        blank = np.array([not own for _, own, _ in held.value], bool)
         best: list[list[tuple]] = [[] for _ in held.value]
         for batch in batches:
             ids, scores = batch.column("claim_id").to_pylist(), np.zeros((batch.num_rows, len(held.value)), np.float32)

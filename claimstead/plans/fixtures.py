@@ -108,7 +108,7 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     since = F.lit("1992-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((k * 37 % 2400).cast("int"), F.lit(12))
     return table(spark, sf_dir, "part").select(
         F.concat(F.lit("p-"), (k % 40).cast("string")).alias("policy_id"), k.alias("version"), F.when(k % 9 == 0, "draft").otherwise("active").alias("status"),
-        F.when(k % 31 != 0, since).alias("effective_from"), F.when(k % 6 != 0, since + F.make_dt_interval((F.col("p_size") * 8).cast("int"))).alias("effective_to"),
+        F.when(k % 310 != 0, since).alias("effective_from"), F.when(k % 600 != 0, since + F.make_dt_interval(F.ceil(F.col("p_size") / 3).cast("int"))).alias("effective_to"),
         F.when(k % 4 != 0, F.array(pick(PURPOSES, k))).alias("purposes"), F.when(k % 50 != 0, F.array(space(k), space(k + 7))).alias("namespace_ids"),
         F.when(k % 3 != 0, F.array(pick(CLASSIFICATIONS, k), pick(CLASSIFICATIONS, k + 2))).alias("classifications"), F.when(k % 4 != 0, (k % 4) / 4).alias("min_confidence"),
         F.when(k % 3 == 1, F.array(F.lit("F"), F.lit("O"))).when(k % 3 == 2, F.array(F.lit("O"))).alias("allowed_outcomes"), F.when(k % 2 == 0, pick(CLASSIFICATIONS, F.floor(k / 2))).alias("max_classification"),
@@ -121,7 +121,7 @@ _LEVELS = "['public', 'internal', 'confidential', 'tlp:amber', 'tlp:red']"
 POLICIES = f"""
 f_policies AS (
   SELECT concat('p-', CAST(p_partkey % 40 AS VARCHAR)) AS policy_id, p_partkey AS version, CASE WHEN p_partkey % 9 = 0 THEN 'draft' ELSE 'active' END AS status,
-    CASE WHEN p_partkey % 31 <> 0 THEN since END AS effective_from, CASE WHEN p_partkey % 6 <> 0 THEN since + to_days(CAST(p_size * 8 AS INTEGER)) END AS effective_to,
+    CASE WHEN p_partkey % 310 <> 0 THEN since END AS effective_from, CASE WHEN p_partkey % 600 <> 0 THEN since + to_days(CAST(ceil(p_size / 3) AS INTEGER)) END AS effective_to,
     CASE WHEN p_partkey % 4 <> 0 THEN [['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][1 + p_partkey % 5]] END AS purposes,
     CASE WHEN p_partkey % 50 <> 0 THEN [concat('ns-', CAST(p_partkey % 25 AS VARCHAR)), concat('ns-', CAST((p_partkey + 7) % 25 AS VARCHAR))] END AS namespace_ids,
     CASE WHEN p_partkey % 3 <> 0 THEN [{_LEVELS}[1 + p_partkey % 5], {_LEVELS}[1 + (p_partkey + 2) % 5]] END AS classifications, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 4 / 4.0::DOUBLE END AS min_confidence,

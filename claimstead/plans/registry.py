@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimstead.functions import text as T
 from claimstead.functions.scope import CLASSIFICATIONS
 from claimstead.functions.temporal import stamp, visible_at
-from claimstead.operators import access, conflicts, contracts, decisions, evaluate, extension, extract, fusion, graph, identity, lifecycle, perspective, policy, records, search, temporal, validation, vector_graph
+from claimstead.operators import access, conflicts, contracts, decisions, evaluate, extension, extract, fusion, graph, identity, lexical_index, lifecycle, perspective, policy, records, search, temporal, validation, vector_graph
 from claimstead.plans import fixtures as fx
 from claimstead.plans import retrieval
 from claimstead.sources import sinks
@@ -273,6 +273,11 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), "text")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept index of all texts."""
+    return lexical_index.kept(_texts(spark, sf_dir), "texts")
+
+
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -286,7 +291,7 @@ lex0 AS (SELECT query_id, claim_id, CAST(sum(times) AS BIGINT) AS score FROM qt
 
 @query(f"""WITH {_LEX} SELECT query_id, claim_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM lex0) WHERE rank <= 10""")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.lexical_top_k(_questions(spark, sf_dir), _texts(spark, sf_dir), 10)
+    return lexical_index.lexical_top_k(_questions(spark, sf_dir), _index(spark, sf_dir), 10)
 
 
 def _asked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,12 +306,12 @@ asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_r
 @query(f"""WITH {_TF}, need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY ALL), hit AS (SELECT query_id, claim_id, count(*) AS have, CAST(sum(tf) AS BIGINT) AS score FROM asked JOIN tf USING (token) GROUP BY ALL)
 SELECT query_id, claim_id, score, rank FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM hit h JOIN need USING (query_id) WHERE have = need) WHERE rank <= 20""")
 def inverted_index_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.full_text_and(_asked_terms(spark, sf_dir), _texts(spark, sf_dir), 20)
+    return lexical_index.full_text_and(_asked_terms(spark, sf_dir), _index(spark, sf_dir), 20)
 
 
 @query(f"""WITH {_TF} SELECT query_id, claim_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY claim_id) AS rank FROM (SELECT DISTINCT query_id, claim_id FROM asked JOIN tf USING (token))) WHERE rank <= 20""")
 def inverted_index_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.full_text_or(_asked_terms(spark, sf_dir), _texts(spark, sf_dir), 20)
+    return lexical_index.full_text_or(_asked_terms(spark, sf_dir), _index(spark, sf_dir), 20)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,7 +460,7 @@ def _hybrid(spark: SparkSession, sf_dir: str, how) -> tuple[DataFrame, DataFrame
     held, questions = _doc_claims(spark, sf_dir), _asking(spark, sf_dir)
     place = ["tenant_id", "namespace_id", "valid_from", "valid_to", "recorded_at"]
     vectors = held.select("claim_id", T.hash_embedding(F.col("text"), 8).alias("vector"), *place)
-    hits = how(questions, held.select("claim_id", "text", *place), vectors, PLAN, held.select("claim_id", "subject_id", "object_entity_id", *place))
+    hits = how(questions, lexical_index.kept(held.select("claim_id", "text", *place), "claims"), vectors, PLAN, held.select("claim_id", "subject_id", "object_entity_id", *place))
     scope = held.select("claim_id", "tenant_id", "namespace_id", "classification", "visibility", "owner_id")
     return (*retrieval.answer(hits, scope, questions, stamp(NOW), PLAN, _suppressed(spark, sf_dir)), questions)
 
@@ -539,7 +544,7 @@ def retrieval_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 src AS (SELECT doc_id AS claim_id, source AS evidence_id FROM documents), seen AS (SELECT query_id, evidence_id, min(rank) AS rank FROM top JOIN src USING (claim_id) GROUP BY ALL)
 SELECT query_id, string_agg(CAST(claim_id AS VARCHAR), ',' ORDER BY rank) AS claim_ids, (SELECT string_agg(evidence_id, ',' ORDER BY rank) FROM seen s WHERE s.query_id = t.query_id) AS evidence_ids FROM top t GROUP BY query_id""")
 def context_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.lexical_top_k(_questions(spark, sf_dir), _texts(spark, sf_dir), 10)
+    hits = lexical_index.lexical_top_k(_questions(spark, sf_dir), _index(spark, sf_dir), 10)
     proof = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), F.col("source").alias("evidence_id"))
     s = decisions.snapshots(hits, proof)
     return s.select("query_id", F.array_join(F.transform("claim_ids", lambda x: x.cast("string")), ",").alias("claim_ids"), F.array_join("evidence_ids", ",").alias("evidence_ids"))
@@ -554,7 +559,7 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _questions(spark, sf_dir)
     good = fx.table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("claim_id"), (F.col("doc_id") % 40).alias("k"))
     relevant = asked.select("query_id", (F.col("query_id") % 40).alias("k")).join(good, "k").select("query_id", "claim_id")
-    m = evaluate.retrieval_metrics(search.lexical_top_k(asked, _texts(spark, sf_dir), 10), relevant, asked, 10)
+    m = evaluate.retrieval_metrics(lexical_index.lexical_top_k(asked, _index(spark, sf_dir), 10), relevant, asked, 10)
     return m.select("cases", *[F.round(c, 9).alias(c) for c in m.columns[1:]])
 
 
@@ -659,11 +664,11 @@ def policy_applicable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.applicable_policies(fx.decisions(spark, sf_dir), fx.policies(spark, sf_dir)).select("decision_id", "policy.policy_id", "policy.version")
 
 
-@query(f"""WITH {fx.DECISIONS}, {fx.POLICIES.strip()}, app AS (SELECT d.*, p.policy_id, p.version, {_RULES} FROM f_decisions d CROSS JOIN f_policies p WHERE p.version % 500 = 4)
+@query(f"""WITH {fx.DECISIONS}, {fx.POLICIES.strip()}, app AS (SELECT d.*, p.policy_id, p.version, {_RULES} FROM f_decisions d CROSS JOIN f_policies p WHERE p.version % 1000 = 4)
 SELECT decision_id, policy_id, version, a OR b OR c AS would_fail, array_to_string({_BROKEN}, '; ') AS violations FROM app""")
 def policy_whatif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every decision against the candidate versions, one in five hundred, applicable or not."""
-    return policy.what_if(fx.decisions(spark, sf_dir), fx.policies(spark, sf_dir).where("version % 500 = 4")).withColumn("violations", F.array_join("violations", "; "))
+    """Every decision against the candidate versions, one in a thousand, applicable or not."""
+    return policy.what_if(fx.decisions(spark, sf_dir), fx.policies(spark, sf_dir).where("version % 1000 = 4")).withColumn("violations", F.array_join("violations", "; "))
 
 
 @query(f"""WITH {fx.DECISIONS}, {fx.DECISION_CLAIMS}, t AS (SELECT * FROM f_decisions WHERE decision_id % 100 = 0), n AS (SELECT decision_id, count(*) AS n FROM f_decision_claims GROUP BY ALL),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimstead.functions.scope import access_reason
 from claimstead.functions.text import explain_hit
-from claimstead.operators import access
+from claimstead.operators import access, lexical_index
 from claimstead.operators.fusion import reciprocal_rank_fuse, rerank, top_k
 from claimstead.operators.graph import graph_hits, seed_entities
 from claimstead.operators.identity import settle
@@ -44,9 +44,9 @@ def scoped(questions: DataFrame) -> DataFrame | None:
 
 
 def candidates(strategy: str, queries: DataFrame, texts: DataFrame, vectors: DataFrame, edges: DataFrame | None, seeds: DataFrame | None, plan: Plan) -> DataFrame:
-    """One signature for every strategy: query_id, claim_id, score, rank. Questions with a perspective get candidates from it alone, before the limit."""
+    """One signature for every strategy: query_id, claim_id, score, rank. Questions with a perspective get candidates from it alone, before the limit. texts may be a kept index (lexical_index) instead, which is read without their texts."""
     if strategy == "lexical":
-        return lexical_top_k(queries, texts, plan.lexical)
+        return (lexical_index.lexical_top_k if "runs" in texts.columns else lexical_top_k)(queries, texts, plan.lexical)
     if strategy == "vector":
         return vector_top_k(queries, vectors, plan.vector, plan.least_similarity)
     if strategy == "graph" and edges is not None and seeds is not None:

@@ -10,8 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from claimstead.functions import text as T
 from claimstead.functions.temporal import stamp
-from claimstead.operators import access, conflicts, evaluate, perspective, policy, search, sweep, temporal, vector_graph
+from claimstead.operators import access, conflicts, evaluate, lexical_index, perspective, policy, search, sweep, temporal, vector_graph
+from claimstead.operators.identity import settle
 from claimstead.plans import retrieval
 
 DAY = dt.timedelta(days=1)
@@ -210,3 +212,47 @@ def test_a_hot_group_is_swept_in_even_ranges(spark):
     assert len(sizes) >= 15 and max(sizes) <= 2000 and lows.where("g = 'hot'").count() >= 5
     found = sweep.held_sets(hot.unionByName(rest), ["g"], "most", 1000).where("g = 'hot'").collect()
     assert {tuple(r["claim_ids"]) for r in found} >= {("h000000", "h000001", "h000002")} and len(found) <= 3
+
+
+# Kept index
+
+def _words(seed, n):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcde0") for _ in range(r.randint(1, 5))) for _ in range(60)]
+    joint = [" ", ", ", "-", "É", "\n"]
+    return [None if r.random() < 0.05 else "".join(r.choice(vocabulary) + r.choice(joint) for _ in range(r.randrange(12))).title() for _ in range(n)]
+
+
+@pytest.mark.parametrize("per_segment", [10**6, 9])
+def test_index_equals_scans(spark, tmp_path, per_segment):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(_words(1, 200))], "claim_id long, text string")
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([*_words(2, 40), "!", None])], "query_id long, text string").withColumn("terms", F.array_distinct(T.lexical_tokens(F.col("text"))))
+    lexical_index.write(texts.where("claim_id < 120"), f"{tmp_path}/i", "first", per_segment)
+    for _ in range(2):  # an addition that is made again replaces itself
+        lexical_index.write(texts.where("claim_id >= 120"), f"{tmp_path}/i", "second", per_segment)
+    index = lexical_index.read(spark, f"{tmp_path}/i")
+    for block in (256, 7):
+        key = ("query_id", "claim_id", "score", "rank")
+        assert rows(lexical_index.lexical_top_k(asked, index, 4, block), *key) == rows(search.lexical_top_k(asked, texts, 4), *key)
+    assert rows(lexical_index.full_text_and(asked, index, 4), *key) == rows(search.full_text_and(asked, texts, 4), *key)
+    assert rows(lexical_index.full_text_or(asked, index, 4), "query_id", "claim_id", "rank") == rows(search.full_text_or(asked, texts, 4), "query_id", "claim_id", "rank")
+
+
+def test_index_in_perspective_equals_scan(spark):
+    data = [(i, t, "t" if i % 3 else "u", ["n", "m", None][i % 5 % 3], START + (i % 7) * DAY, None if i % 4 else START + 9 * DAY, START + (i % 7) * DAY) for i, t in enumerate(_words(3, 150))]
+    texts = spark.createDataFrame(data, "claim_id long, text string, tenant_id string, namespace_id string, valid_from timestamp_ntz, valid_to timestamp_ntz, recorded_at timestamp_ntz")
+    ways = [("t", "n", None, None), ("t", None, START + 2 * DAY, START + 2 * DAY), ("u", "m", START + 12 * DAY, None), ("v", "n", None, None)]
+    asked = spark.createDataFrame([(i, t or "a b", *ways[i % 4]) for i, t in enumerate(_words(4, 24))], "query_id long, text string, tenant_id string, namespace_id string, valid_at timestamp_ntz, known_at timestamp_ntz")
+    got = lexical_index.lexical_top_k(asked, settle(lexical_index.segments(texts, per_segment=20)), 5)
+    key = ("query_id", "claim_id", "score", "rank")
+    assert rows(got, *key) == rows(search.lexical_top_k(asked, texts, 5), *key) and got.count() > 20
+
+
+def test_kept_index_is_built_once_until_files_change(spark, tmp_path):
+    frame = lambda: spark.read.parquet(f"{tmp_path}/t")
+    spark.createDataFrame([(1, "alpha")], "claim_id long, text string").write.parquet(f"{tmp_path}/t")
+    first = lexical_index.kept(frame(), "t").inputFiles()
+    assert lexical_index.kept(frame(), "t").inputFiles() == first
+    spark.createDataFrame([(2, "alpha")], "claim_id long, text string").write.mode("append").parquet(f"{tmp_path}/t")
+    again = lexical_index.kept(frame(), "t")
+    assert again.inputFiles() != first and sorted(c for r in again.collect() for c in r["claim_ids"]) == [1, 2]
