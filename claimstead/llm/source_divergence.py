@@ -140,7 +140,7 @@ def pair_values(cells: DataFrame, groups: DataFrame, block: int = BLOCK, side: i
     dealt = dealt.select("lang", "block", F.least(own, "other").alias("a"), F.greatest(own, "other").alias("b"), "term", "place", "p", "rows")
     found = dealt.groupBy("lang", "block", "a", "b").applyInPandas(lambda frame: _product(frame, side), "lang string, i int, j int, value long")
     # a side with itself gives both orders of a pair, two sides one
-    one = found.groupBy("lang", "i", "j").agg(F.sum("value").alias("value")).where("i <> j")
+    one = cut(found.groupBy("lang", "i", "j").agg(F.sum("value").alias("value")).where("i <> j"))
     both = one.unionByName(one.where(F.floor(F.col("i") / side) != F.floor(F.col("j") / side)).select("lang", F.col("j").alias("i"), F.col("i").alias("j"), "value"))
     name = lambda place, as_: small(groups.select("lang", F.col("place").alias(place), F.col("source").alias(as_)))
     return both.join(name("i", "source"), ["lang", "i"]).join(name("j", "item"), ["lang", "j"]).select("lang", "source", "item", "value")
