@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimstead.functions import text as T
 from claimstead.functions.scope import CLASSIFICATIONS
 from claimstead.functions.temporal import stamp, visible_at
-from claimstead.operators import access, conflicts, contracts, decisions, evaluate, extension, extract, fusion, graph, identity, lexical_index, lifecycle, perspective, policy, records, search, temporal, validation, vector_graph
+from claimstead.operators import access, conflicts, contracts, decisions, evaluate, extension, extract, fusion, graph, identity, lexical_index, lifecycle, listing, perspective, policy, records, search, temporal, validation, vector_graph
 from claimstead.plans import fixtures as fx
 from claimstead.plans import retrieval
 from claimstead.sources import sinks
@@ -763,6 +763,12 @@ def prov_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.provenance_json(fx.decisions(spark, sf_dir), fx.decision_claims(spark, sf_dir))
 
 
+@query(f"""WITH {fx.DECISIONS} SELECT decision_id, place, place // 50 AS page FROM (SELECT decision_id, row_number() OVER (ORDER BY recorded_at NULLS FIRST, decision_id) - 1 AS place FROM f_decisions)""")
+def decision_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of fifty and the place of every decision in the order of their recording."""
+    return listing.pages(fx.decisions(spark, sf_dir).select("decision_id", "recorded_at"), ["recorded_at", "decision_id"], 50).drop("recorded_at")
+
+
 # Memory, events, measures
 
 @query(f"""WITH {fx.MEMORY} SELECT conv_id, turn, owner_id, kind FROM f_memory WHERE contains(lower(body), 'the') AND (kind <> 'note' OR owner_id = 'user-3')""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import os
 import random
 
 import numpy as np
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from claimstead.functions import text as T
 from claimstead.functions.temporal import stamp
-from claimstead.operators import access, conflicts, evaluate, lexical_index, perspective, policy, search, sweep, temporal, vector_graph
+from claimstead.operators import access, conflicts, evaluate, lexical_index, listing, perspective, policy, search, sweep, temporal, vector_graph
 from claimstead.operators.identity import settle
 from claimstead.plans import retrieval
+from claimstead.sources import knowledge
 
 DAY = dt.timedelta(days=1)
 START = dt.datetime(2020, 1, 1)
@@ -256,3 +258,60 @@ def test_kept_index_is_built_once_until_files_change(spark, tmp_path):
     spark.createDataFrame([(2, "alpha")], "claim_id long, text string").write.mode("append").parquet(f"{tmp_path}/t")
     again = lexical_index.kept(frame(), "t")
     assert again.inputFiles() != first and sorted(c for r in again.collect() for c in r["claim_ids"]) == [1, 2]
+
+
+# Knowledge source and listings
+
+def test_source_takes_only_new_and_changed_objects(spark, tmp_path):
+    root, folder = tmp_path / "in", str(tmp_path / "out")
+    (root / "sub").mkdir(parents=True)
+    (root / "a.md").write_text("a")
+    (root / "sub" / "b.txt").write_text("b")
+    assert rows(knowledge.discover(spark, str(root)), "object_id", "mime", "size") == [("a.md", "text/markdown", 1), ("sub/b.txt", "text/plain", 1)]
+    taken = lambda: rows(knowledge.taken_objects(spark, folder), "object_id", "content")
+    knowledge.ingest(spark, str(root), folder, per_task=1)
+    assert taken() == [("a.md", b"a"), ("sub/b.txt", b"b")]
+    (root / "a.md").write_text("a2")
+    (root / "c.bin").write_bytes(b"c")
+    os.utime(root / "sub" / "b.txt", (1, 1))  # touched, not changed
+    knowledge.ingest(spark, str(root), folder)
+    assert taken() == [("a.md", b"a"), ("a.md", b"a2"), ("c.bin", b"c"), ("sub/b.txt", b"b")]
+    assert rows(knowledge.latest_objects(spark, folder), "object_id", "content") == [("a.md", b"a2"), ("c.bin", b"c"), ("sub/b.txt", b"b")]
+    knowledge.ingest(spark, str(root), folder)
+    assert len(taken()) == 4
+
+
+def test_source_restarts_in_the_middle_of_a_batch(spark, tmp_path):
+    """A run breaks off within a batch; the next one takes the same objects, those that came meanwhile follow, and none is there twice."""
+    root, folder = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    for i in range(5):
+        (root / f"{i}.txt").write_text(str(i))
+    stream = spark.readStream.format("knowledge").option("path", str(root)).option("state", f"{folder}/listings").load()
+
+    def broken(batch, batch_id):
+        batch.limit(2).write.mode("overwrite").parquet(f"{folder}/objects/batch={batch_id}/half")
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        stream.writeStream.foreachBatch(broken).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    (root / "9.txt").write_text("9")
+    knowledge.ingest(spark, str(root), folder)
+    knowledge.ingest(spark, str(root), folder)
+    assert rows(knowledge.taken_objects(spark, folder), "object_id") == [(f"{i}.txt",) for i in (0, 1, 2, 3, 4, 9)]
+
+
+def test_pages_join_to_the_whole_order(spark):
+    r = random.Random(3)
+    data = [(r.choice([None, 1, 2, 3]), i) for i in range(57)]
+    df = spark.createDataFrame(data, "at int, id long").repartition(5)
+    want = sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    found, cursor, n = [], None, 0
+    while n == 0 or cursor is not None:
+        part, cursor = listing.page(df, ["at", "id"], 10, cursor)
+        found += [tuple(x) for x in part.orderBy(F.col("at").asc_nulls_first(), "id").collect()]
+        n += 1
+    assert found == want and n == 6
+    whole = listing.pages(df, ["at", "id"], 10, per_range=9).orderBy("place").collect()
+    assert [(x["at"], x["id"]) for x in whole] == want and [(x["place"], x["page"]) for x in whole] == [(i, i // 10) for i in range(57)]
+    assert listing.pages(df.where("false"), ["at", "id"], 10).count() == 0
