@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimstead.functions.text import name_signal, name_tokens, normal_name
@@ -113,10 +114,11 @@ def normal_names(entities: DataFrame, id_: str, name: str) -> DataFrame:
     return entities.select(F.col(id_).alias("entity_id"), normal_name(F.col(name)).alias("name")).where("name <> ''")
 
 
-def candidates(queries: DataFrame, names: DataFrame, limit: int = 5, min_score: float = 0.5, external: DataFrame | None = None) -> DataFrame:
+def candidates(queries: DataFrame, names: DataFrame, limit: int = 5, min_score: float = 0.5, external: DataFrame | None = None, readable: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """query_id, entity_id, kind, score, place, signals: the best entities of each query; signals are all that tell for an entity, best first, each once.
 
     A query may have several names, and own: the root of its own cluster, which is no candidate. external: query_id, canonical_id, value of equal external ids (external_matches).
+    readable keeps, of rows with query_id and entity_id, those whose entity the query's reader may read (readable_entities): others neither are nor support a candidate.
 
     queries: query_id, name; names: entity_id, name, source (label or alias), canonical_id; all names normalised. Distinct names meet, not entities: by
     a token of the rarest half of each, and for substrings by the shorter name's first three letters among the longer's, or by all of it where it
@@ -146,6 +148,7 @@ def candidates(queries: DataFrame, names: DataFrame, limit: int = 5, min_score:
     pairs = pairs.join(names.select(F.col("name").alias("c"), "source").distinct(), "c")
     scored = pairs.withColumn("signal", name_signal(F.col("q"), F.col("c"), F.col("source"))).where("signal IS NOT NULL").select("q", "c", "source", "signal.*")
     hits = queries.select("query_id", F.col("name").alias("_name")).join(scored, F.col("_name") == F.col("q")).drop("_name").join(names.withColumnsRenamed({"name": "n", "source": "s"}), (F.col("c") == F.col("n")) & (F.col("source") == F.col("s")))
+    hits = hits if readable is None else readable(hits)
     told = hits.select("query_id", "canonical_id", "kind", "score", "source", F.col("c").alias("name"))
     if external is not None:
         told = told.unionByName(external.select("query_id", "canonical_id", F.lit("external-id-exact").alias("kind"), F.lit(1.0).alias("score"), F.lit("external-id").alias("source"), F.col("value").alias("name")))
@@ -162,6 +165,20 @@ def candidates(queries: DataFrame, names: DataFrame, limit: int = 5, min_score:
     return top.join(listed.select("query_id", "canonical_id", signals.alias("signals")), ["query_id", "canonical_id"]).select("query_id", F.col("canonical_id").alias("entity_id"), "kind", "score", "place", "signals")
 
 
+def readable_entities(questions: DataFrame, entities: DataFrame, now: Column) -> Callable[[DataFrame], DataFrame]:
+    """For candidates: questions has query_id and reader, entities entity_id and a resource's scope."""
+    from claimstead.functions.scope import access_reason
+
+    def keep(hits: DataFrame) -> DataFrame:
+        scope = entities.select(F.col("entity_id").alias("_e"), F.struct("tenant_id", "namespace_id", "classification", "visibility", "owner_id").alias("_r"))
+        who = questions.select(F.col("query_id").alias("_q"), F.col("reader").alias("_p")).distinct()
+        beside = hits.join(scope, F.col("entity_id") == F.col("_e")).join(who, F.col("query_id") == F.col("_q"))
+        given = F.struct(F.col("_p.tenant_id").alias("tenant_id"), now.alias("now"), F.lit("entity-resolution").alias("purpose"), F.lit(None).cast("struct<delegator_id: string, scope: array<string>, expires_at: timestamp_ntz, purpose: string>").alias("delegation"))
+        return beside.where(access_reason(F.col("_p"), F.lit("knowledge.read"), F.col("_r"), given) == "ALLOW").drop("_e", "_r", "_q", "_p")
+
+    return keep
+
+
 def external_matches(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """query_id, entity_id, score (1) for equal normalised (system, value) pairs, and canonical_id and the value where entities have a canonical_id."""
     also = ["canonical_id", "value"] if "canonical_id" in entities.columns else []

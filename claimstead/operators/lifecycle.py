@@ -23,12 +23,14 @@ def recorded_facts(rows: DataFrame, fact: str, at: Column) -> DataFrame:
     return events(rows.withColumn(id_, make_id(fact, *[F.col(c) for c in rows.columns], at)), KINDS[fact], id_, at)
 
 
-def applied(requests: DataFrame, guard: DataFrame, on: list[str], kind: str, at: Column) -> dict[str, DataFrame]:
-    """accepted, events, outbox and rejected of requests to change a state (reviews, merges, reverts, resolutions), by their guard's errors.
+def applied(requests: DataFrame, guard: DataFrame, on: list[str], kind: str, at: Column, allowed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """allowed: the guard of a write check (write_access.entity_write) by request_id, whose errors count too. accepted, events, outbox and rejected of requests to change a state (reviews, merges, reverts, resolutions), by their guard's errors.
 
     An accepted request has one event of the kind, which is put in the outbox too; the state is read from those events, nothing is updated in place.
     """
     judged = requests.join(guard.select(*on, "errors"), on)
+    if allowed is not None:
+        judged = judged.join(allowed.select("request_id", F.col("errors").alias("_denied")), "request_id").withColumn("errors", F.concat("_denied", "errors")).drop("_denied")
     good = judged.where(F.size("errors") == 0).drop("errors")
     keyed = good.withColumn("request_key", make_id(kind, *[F.col(c) for c in on]))
     log = events(keyed, kind, "request_key", at)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimstead.functions import text as T
 from claimstead.functions.scope import CLASSIFICATIONS
 from claimstead.functions.temporal import stamp, visible_at
-from claimstead.operators import access, conflicts, contracts, decisions, evaluate, extension, extract, fusion, graph, identity, lexical_index, lifecycle, listing, perspective, policy, records, search, temporal, validation, vector_graph
+from claimstead.operators import access, conflicts, contracts, decisions, evaluate, extension, extract, fusion, graph, identity, lexical_index, lifecycle, listing, memory, perspective, policy, records, search, temporal, validation, vector_graph, write_access
 from claimstead.plans import fixtures as fx
 from claimstead.plans import retrieval
 from claimstead.sources import sinks
@@ -771,10 +771,30 @@ def decision_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Memory, events, measures
 
-@query(f"""WITH {fx.MEMORY} SELECT conv_id, turn, owner_id, kind FROM f_memory WHERE contains(lower(body), 'the') AND (kind <> 'note' OR owner_id = 'user-3')""")
+@query(f"""WITH {fx.MEMORY}, q AS (SELECT * FROM (VALUES (1, 'THE', 'user-3', 1), (2, '', 'user-5', 0), (3, 'que', 'user-3', 1)) AS v(query_id, text, principal_id, clearance))
+SELECT query_id, conv_id, turn, owner_id, kind FROM f_memory m JOIN q ON contains(lower(coalesce(m.body, '')), lower(q.text)) WHERE q.clearance >= CASE WHEN turn % 3 = 0 THEN 0 ELSE 1 END AND (kind <> 'note' OR owner_id = q.principal_id)""")
 def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.memory(spark, sf_dir).where(F.contains(F.lower("body"), F.lit("the"))).withColumns({"tenant_id": F.lit("local"), "namespace_id": F.lit("default"), "classification": F.lit("internal"), "visibility": F.when(F.col("kind") == "note", "private").otherwise("workspace")})
-    return access.allowed(rows, [access.reader("user-3", "local", ["default"], "internal", ["editor"])], "memory.read", stamp(NOW)).select("conv_id", "turn", "owner_id", "kind")
+    """Three questions of two readers over all memories; one is empty and finds all that its reader may read."""
+    scope = {"tenant_id": F.lit("local"), "namespace_id": F.lit("default"), "classification": F.when(F.col("turn") % 3 == 0, "public").otherwise("internal"), "visibility": F.when(F.col("kind") == "note", "private").otherwise("workspace")}
+    who = [access.reader("user-3", "local", ["default"], "internal", ["editor"]), access.reader("user-5", "local", ["default"], "public", ["editor"])]
+    asked = [F.struct(F.lit(i).alias("query_id"), F.lit(t).alias("text"), w.alias("reader")) for i, t, w in ((1, "THE", who[0]), (2, "", who[1]), (3, "que", who[0]))]
+    questions = spark.range(1).select(F.explode(F.array(*asked)).alias("q")).select("q.*")
+    return memory.search(fx.memory(spark, sf_dir).withColumns(scope), questions, stamp(NOW)).select("query_id", "conv_id", "turn", "owner_id", "kind")
+
+
+@query(f"""WITH {fx.DECISIONS}, w AS (SELECT decision_id, ['public', 'internal', 'confidential', 'tlp:amber', 'tlp:red'] AS lv, classification, namespace_id, actor, decision_id % 4 AS w FROM f_decisions),
+d AS (SELECT *, CASE WHEN [4, 2, 4, 4][1 + w] < list_position(lv, classification) - 1 THEN 'CLASSIFICATION_DENIED' WHEN w <> 1 AND CAST(substr(namespace_id, 4) AS INTEGER) >= 20 THEN 'NAMESPACE_DENIED' WHEN w = 2 THEN 'ACTION_DENIED' END AS a,
+  CASE WHEN c.c_custkey IS NULL THEN 'EVIDENCE_NOT_FOUND' WHEN [4, 2, 4, 4][1 + w] < c.c_nationkey % 5 THEN 'CLASSIFICATION_DENIED' END AS b FROM w LEFT JOIN customer c ON c.c_custkey = actor AND c.c_acctbal > 0)
+SELECT decision_id AS request_id, CASE WHEN a IS NULL AND b IS NULL THEN 'recorded' ELSE concat_ws(',', a, b) END AS state FROM d""")
+def recorded_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outcome of every decision, told by one of four writers with a customer in credit for evidence: recorded, or refused for the writer's access to the decision, for evidence that isn't there, or that the writer may not read."""
+    spaces = [f"ns-{i}" for i in range(25)]
+    who = [access.reader("w0", "t", spaces[:20], "tlp:red", ["editor"]), access.reader("w1", "t", spaces, "confidential", ["editor"]), access.reader("w2", "t", spaces[:20], "tlp:red", ["viewer"]), access.reader("w3", "t", spaces[:20], "tlp:red", ["admin", "viewer"])]
+    d = fx.decisions(spark, sf_dir).withColumns({"tenant_id": F.lit("t"), "visibility": F.lit("workspace")})
+    rows = d.select(F.col("decision_id").alias("request_id"), "decision_id", F.get(F.array(*who), F.pmod("decision_id", F.lit(4)).cast("int")).alias("writer"), F.lit("done").alias("outcome"), F.array("actor").alias("evidence_ids"))
+    proof = fx.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("evidence_id"), F.lit("t").alias("tenant_id"), F.lit("ns-0").alias("namespace_id"), F.get(F.lit(CLASSIFICATIONS), F.col("c_nationkey").cast("int") % 5).alias("classification"), F.lit("workspace").alias("visibility"))
+    made = write_access.record_facts(rows, "outcome", d, stamp(NOW), proof)
+    return made["records"].select("request_id", F.lit("recorded").alias("state")).unionByName(made["rejected"].select("request_id", F.array_join("errors", ",").alias("state")))
 
 
 @query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type""")

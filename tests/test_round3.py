@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from claimstead.functions import text as T
 from claimstead.functions.temporal import stamp
-from claimstead.operators import access, conflicts, evaluate, lexical_index, listing, perspective, policy, search, sweep, temporal, vector_graph
+from claimstead.operators import access, conflicts, decisions, evaluate, identity, lexical_index, lifecycle, listing, memory, perspective, policy, search, sweep, temporal, vector_graph, write_access
 from claimstead.operators.identity import settle
 from claimstead.plans import retrieval
 from claimstead.sources import knowledge
@@ -315,3 +315,52 @@ def test_pages_join_to_the_whole_order(spark):
     whole = listing.pages(df, ["at", "id"], 10, per_range=9).orderBy("place").collect()
     assert [(x["at"], x["id"]) for x in whole] == want and [(x["place"], x["page"]) for x in whole] == [(i, i // 10) for i in range(57)]
     assert listing.pages(df.where("false"), ["at", "id"], 10).count() == 0
+
+
+# Write checks
+
+def test_entities_are_merged_by_writers_alone(spark):
+    held = spark.createDataFrame([("a", "t", "n", "public"), ("b", "t", "n", "tlp:red"), ("c", "t", "m", "public")], "resource_id string, tenant_id string, namespace_id string, classification string").withColumns({"visibility": F.lit("workspace"), "owner_id": F.lit("x")})
+    who = [access.reader("w0", "t", ["n"], "tlp:red", ["editor"]), access.reader("w1", "t", ["n"], "public", ["editor"]), access.reader("w2", "t", ["n", "m"], "tlp:red", ["viewer"])]
+    asked = spark.createDataFrame([(1, 0, ["a", "b"]), (2, 1, ["a", "b"]), (3, 0, ["a", "c"]), (4, 2, ["a", "a"]), (5, 0, ["a", "zz"])], "request_id int, w int, members array<string>").withColumn("writer", F.get(F.array(*who), F.col("w")))
+    told, receipts = write_access.entity_write(asked, asked.select("request_id", F.explode("members").alias("resource_id")), held, "entity.merge", stamp("2024-01-01 00:00:00"))
+    assert rows(told, "request_id", "errors") == [(1, []), (2, ["CLASSIFICATION_DENIED"]), (3, ["NAMESPACE_DENIED"]), (4, ["ACTION_DENIED"]), (5, ["NOT_FOUND"])]
+    assert rows(receipts, "request_id", "resource_id", "effect")[:4] == [(1, "a", "allow"), (1, "b", "allow"), (2, "a", "allow"), (2, "b", "deny")]
+    fine = asked.select("request_id", F.array().cast("array<string>").alias("errors"))
+    made = lifecycle.applied(asked, fine, ["request_id"], "entity.merged", stamp("2024-01-01 00:00:00"), told)
+    assert rows(made["accepted"], "request_id") == [(1,)] and rows(made["rejected"], "request_id")[0] == (2,) and made["events"].count() == 1
+
+
+def test_facts_and_decisions_need_a_writer_and_readable_evidence(spark):
+    d = spark.createDataFrame([(1, "t", "n", "public"), (2, "t", "n", "tlp:red")], "decision_id long, tenant_id string, namespace_id string, classification string").withColumn("visibility", F.lit("workspace"))
+    proof = spark.createDataFrame([("e", "t", "n", "public"), ("s", "t", "n", "tlp:red")], "evidence_id string, tenant_id string, namespace_id string, classification string")
+    w = access.reader("w", "t", ["n"], "internal", ["editor"])
+    asked = spark.createDataFrame([(1, 1, ["e"]), (2, 1, ["e", "s"]), (3, 1, ["zz"]), (4, 2, []), (5, 9, ["e"])], "request_id int, decision_id long, evidence_ids array<string>").withColumns({"writer": w, "outcome": F.lit("ok")})
+    made = write_access.record_facts(asked, "outcome", d, stamp("2024-01-01 00:00:00"), proof)
+    assert rows(made["records"], "request_id", "recorded_by") == [(1, "w")] and rows(made["events"], "kind") == [("decision.outcome_observed",)]
+    assert rows(made["rejected"], "request_id", "errors") == [(2, ["CLASSIFICATION_DENIED"]), (3, ["EVIDENCE_NOT_FOUND"]), (4, ["CLASSIFICATION_DENIED"]), (5, ["NOT_FOUND"])]
+    assert made["receipts"].count() == 10 and made["records"].select("outcome_id").first()[0]
+    for fact in ("relation", "exception", "approval"):
+        assert write_access.record_facts(asked.drop("evidence_ids"), fact, d, stamp("2024-01-01 00:00:00"))["records"].count() == 3
+    requests = spark.createDataFrame([(1, 1, "me", "loan", "yes", 0.9, "{}", "public"), (2, 1, "me", "loan", "yes", 0.9, "{}", "tlp:red")], "request_id long, query_id long, actor string, purpose string, selected_outcome string, confidence double, payload string, classification string")
+    requests = requests.withColumns({"tenant_id": F.lit("t"), "namespace_id": F.lit("n"), "visibility": F.lit("workspace"), "writer": w})
+    kept = spark.createDataFrame([(1, "s", [], [])], "query_id long, snapshot_id string, evidence_ids array<string>, policy_refs array<struct<policy_id:string,version:int>>")
+    done = decisions.record(requests, kept, [policy.policy("p", 1, 0.95)], stamp("2024-01-01 00:00:00"))
+    assert rows(done["decisions"], "request_id", "tenant_id") == [(1, "t")] and rows(done["rejected"], "request_id", "errors") == [(2, ["CLASSIFICATION_DENIED"])] and done["evaluations"].count() == 1
+
+
+def test_unreadable_entities_are_no_candidates(spark):
+    names = spark.createDataFrame([(1, "acme corp", "label", 1), (2, "acme corp", "label", 2), (3, "acme", "label", 3)], "entity_id long, name string, source string, canonical_id long")
+    scope = spark.createDataFrame([(1, "n"), (2, "m"), (3, "n")], "entity_id long, namespace_id string").withColumns({"tenant_id": F.lit("t"), "classification": F.lit("public"), "visibility": F.lit("workspace"), "owner_id": F.lit(None).cast("string")})
+    asked = spark.createDataFrame([(7, "acme corp"), (8, "acme corp")], "query_id long, name string").withColumn("reader", F.when(F.col("query_id") == 7, access.reader("a", "t", ["n"], "public", ["viewer"])).otherwise(access.reader("b", "t", ["n", "m"], "public", ["viewer"])))
+    found = identity.candidates(asked.drop("reader"), names, readable=identity.readable_entities(asked, scope, stamp("2024-01-01 00:00:00")))
+    assert rows(found, "query_id", "entity_id") == [(7, 1), (7, 3), (8, 1), (8, 2), (8, 3)]
+
+
+def test_memories_are_recorded_and_found(spark):
+    w = access.reader("me", "t", ["n"], "internal", ["editor"])
+    asked = spark.createDataFrame([(1, "me", "note", "Blue Sky", "n"), (2, "me", "note", None, "n"), (3, "you", "note", "blue", "m")], "request_id int, owner_id string, kind string, body string, namespace_id string").withColumns({"tenant_id": F.lit("t"), "classification": F.lit("public"), "visibility": F.lit("private"), "writer": w})
+    kept, refused = memory.record(asked, stamp("2024-01-01 00:00:00"))
+    assert rows(refused, "request_id", "reason") == [(3, "VISIBILITY_DENIED")] and kept.count() == 2
+    q = spark.createDataFrame([(1, "BLUE s"), (2, None), (3, "red")], "query_id int, text string").withColumn("reader", w)
+    assert rows(memory.search(kept, q, stamp("2024-01-01 00:00:00")), "query_id", "request_id") == [(1, 1), (2, 1), (2, 2)]
