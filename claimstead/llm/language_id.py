@@ -243,6 +243,7 @@ def identify(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray
 
     A null text or one without a letter gives und and 0, and so does every text if no language was learned. Equal posteriors go to
     the first language by name. Repeated rows are judged alike; extra columns are not read; an empty table gives an empty result.
+    Very long texts are read whole; a run of over WORD (32) letters is scored in parts of 32, so its segmentations don't cross those cuts.
     """
     held = docs.sparkSession.sparkContext.broadcast(p)
     return docs.select("doc_id", "text").mapInArrow(_score(held, langs, pieces), "doc_id long, lang_pred string, score double")

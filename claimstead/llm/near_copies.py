@@ -75,7 +75,7 @@ def near_copy_components(docs: DataFrame, width: int = 5, least: float = 0.8, ra
     texts. Candidates share a SimHash ball of `radius` bits or a band of least shingles. Holders of a band are held against one
     of them, not against each other, so a pair is missed where it has no band in common, or in each only third texts as
     leaders that are unlike one of the two; bands have ORDERS different orders to choose a leader by, so a family has several. Texts are read twice; only those of candidates are shuffled. Texts without words are
-    equal; an empty table gives an empty result.
+    equal; an empty table gives an empty result. Ids play no part, so null and repeated ids are rows like others; repeated rows share a tie and so a root; very long texts are shingled whole.
     """
     tied = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sketches = cut(tied.mapInArrow(_sketches(width), "doc_id long, tie long, print long, bands array<long>"))

@@ -158,7 +158,7 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> Data
 
     component_id is the least doc_id that links of at most `radius` bits reach, root the least print. Texts are read once and never
     shuffled; only fingerprints are. Null texts count as empty and have fingerprint zero, which links like any other; rows with one
-    doc_id are separate documents; a component whose ids are all null has a null component_id. An empty table gives an empty result.
+    doc_id are separate documents; a component whose ids are all null has a null component_id. Very long texts are shingled whole, repeats included. An empty table gives an empty result.
     """
     tied = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"), "text")
     prints = cut(tied.mapInArrow(_fingerprints(width), "doc_id long, tie long, print long"))

@@ -327,7 +327,7 @@ def score(docs: DataFrame, field: Field, with_spans: bool = True) -> DataFrame:
 
     The score is the logistic of a document's largest marginal and of its expected number of toxic words. Null and empty texts have
     no words: their score is that of no evidence and they have no spans. Repeated rows are scored alike; an empty table gives an
-    empty result; extra columns are not read.
+    empty result; extra columns are not read. Very long texts are read whole; a line of over CHAIN (128) words is cut into chains of so many, each of which loses the transition into it.
     """
     held = docs.sparkSession.sparkContext.broadcast(field)
 
