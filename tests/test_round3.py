@@ -15,7 +15,7 @@ from claimstead.functions import text as T
 from claimstead.functions.temporal import stamp
 from claimstead.operators import access, conflicts, decisions, evaluate, identity, lexical_index, lifecycle, listing, memory, perspective, policy, search, sweep, temporal, vector_graph, write_access
 from claimstead.operators.identity import settle
-from claimstead.plans import retrieval
+from claimstead.plans import retrieval, serving
 from claimstead.sources import knowledge
 
 DAY = dt.timedelta(days=1)
@@ -364,3 +364,29 @@ def test_memories_are_recorded_and_found(spark):
     assert rows(refused, "request_id", "reason") == [(3, "VISIBILITY_DENIED")] and kept.count() == 2
     q = spark.createDataFrame([(1, "BLUE s"), (2, None), (3, "red")], "query_id int, text string").withColumn("reader", w)
     assert rows(memory.search(kept, q, stamp("2024-01-01 00:00:00")), "query_id", "request_id") == [(1, 1), (2, 1), (2, 2)]
+
+
+# Serving
+
+def test_questions_fall_back_where_indexes_are_missing_or_stale(spark):
+    data = [(i, t or "x", "t" if i % 2 else "u", "n", START, None, START) for i, t in enumerate(_words(5, 80))]
+    texts = spark.createDataFrame(data, "claim_id long, text string, tenant_id string, namespace_id string, valid_from timestamp_ntz, valid_to timestamp_ntz, recorded_at timestamp_ntz")
+    vectors = texts.withColumn("vector", T.hash_embedding(F.col("text"), 4))
+    asked = spark.createDataFrame([(i, t or "a b", "t" if i % 2 else "u", "n", None, None) for i, t in enumerate(_words(6, 8))], "query_id long, text string, tenant_id string, namespace_id string, valid_at timestamp_ntz, known_at timestamp_ntz").withColumn("vector", T.hash_embedding(F.col("text"), 4))
+    indexes = serving.Indexes(settle(lexical_index.segments(texts)), settle(vector_graph.build(vectors)), spark.createDataFrame([("t", START), ("u", START)], "tenant_id string, indexed_at timestamp_ntz"))
+    log = spark.createDataFrame([("t", "claim.asserted", START), ("u", "claim.asserted", START), ("u", "context.accessed", START + DAY)], "tenant_id string, kind string, occurred_at timestamp_ntz")
+    now = stamp("2020-01-02 00:00:00")
+    rate = lambda df: tuple(serving.rates(df).first())
+    healthy = serving.routed(asked, serving.freshness(indexes.catalogue, log, now))
+    assert rate(healthy) == (8, 0, 0.0) and rate(serving.routed(asked, None)) == (8, 8, 1.0) and rate(healthy.where("false")) == (0, 0, 0.0)
+    late = log.union(spark.createDataFrame([("u", "claim.retracted", START + 10 * dt.timedelta(minutes=1))], log.schema))
+    half = serving.routed(asked, serving.freshness(indexes.catalogue, late, now))
+    assert rows(half, "tenant_id", "route", "fallback")[0] == ("t", "projection", None) and rate(half) == (8, 4, 0.5) and {r["fallback"] for r in half.collect()} == {None, "stale"}
+    assert rate(serving.routed(asked, serving.freshness(indexes.catalogue, late, stamp("2020-01-01 00:10:20")))) == (8, 0, 0.0)  # within the lag that is allowed
+    assert {r["fallback"] for r in serving.routed(asked.withColumn("known_at", stamp("2020-01-01 00:00:00")), serving.freshness(indexes.catalogue, log, now)).collect()} == {"known-at"}
+    plan = retrieval.Plan(lexical=5, vector=6)
+    for strategy in ("lexical", "vector"):
+        ways = [serving.candidates(strategy, routes, indexes, texts, vectors, plan) for routes in (healthy, half, serving.routed(asked, None))]
+        answers = [rows(w, "query_id", "claim_id", "score", "rank") for w in ways]
+        assert answers[0] == answers[1] == answers[2] and len(answers[0]) > 10
+        assert {r["route"] for r in ways[1].collect()} == {"projection", "canonical"}
