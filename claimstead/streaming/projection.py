@@ -36,13 +36,13 @@ class Versions:
     each bucket the last few versions are kept. A version counts once it is complete.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS, keep: int = 3) -> None:
-        self.spark, self.folder, self.buckets, self.keep = spark, folder, buckets, keep
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS, keep: int = 3, key: str = "claim_id") -> None:
+        self.spark, self.folder, self.buckets, self.keep, self.key = spark, folder, buckets, keep, key
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64("claim_id"), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def _names(self, folder: str) -> list[str]:
         at = self._path(folder)
@@ -126,27 +126,43 @@ def content(claims: DataFrame, events: DataFrame, embed) -> DataFrame:
     return sinks.projection(claims, events, roots(merges_of(events)), embed)
 
 
-def content_batch(folder: str, claims, embed):
-    """For foreachBatch: keeps the projection's content in step with the events.
+def content_batch(folder: str, claims, embed, buckets: int = BUCKETS):
+    """For foreachBatch: keeps the projection's content in step with the events, from state and not from past events.
 
-    A batch with a merge or a revert may change any claim's ends, so it rebuilds all; any other batch projects the claims it names anew and
-    deletes those that are retracted or gone. claims: a function of the session, as rows are read when a batch runs.
+    State below folder: the claims that some claim event has named, the last event of each pair of merged entities, the roots that follow, and the content. A batch writes the
+    buckets of the claims it names; with a merge or revert it works out the roots of the merges that there are and projects anew, besides, the claims at whose ends a root has
+    changed, and no others. A batch that is run again reads the state below its number. claims: a function of the session, as rows are read when a batch runs.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        own = batch.where(F.col("kind").isin(RELEVANT))
-        own.write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
-        log = spark.read.schema(batch.schema).parquet(*[f"{folder}/events/{n}" for n in Versions(spark, folder)._names(f"{folder}/events") if int(n[6:]) <= batch_id])
-        table = Versions(spark, f"{folder}/content")
+        table, named = Versions(spark, f"{folder}/content", buckets), Versions(spark, f"{folder}/named", buckets)
+        pairs, held_roots = Versions(spark, f"{folder}/merges", buckets, key="absorbed_id"), Versions(spark, f"{folder}/roots", buckets, key="entity_id")
+        own = settle(batch.where(F.col("kind").isin(RELEVANT)))
+        touched = settle(own.where(F.col("kind").isin(CLAIM_EVENTS) & F.col("claim_id").isNotNull()).select("claim_id").distinct())
+        before = named.read(batch_id, touched_buckets(touched, named))
+        named.write(touched if before is None else before.select("claim_id").union(touched).distinct(), batch_id)
         known = claims(spark)
-        if not own.where(F.col("kind").isin(MERGE_EVENTS)).isEmpty():
-            table.write(content(known, log, embed), batch_id, whole=True)
-            return
-        touched = settle(own.select("claim_id").distinct())
-        rows = content(known.join(touched, "claim_id", "left_semi"), log, embed)
-        before = table.read(batch_id, touched_buckets(touched, table))
-        table.write(rows if before is None else sinks.upsert(before.select(rows.columns), touched, rows), batch_id)
+        none = spark.createDataFrame([], "entity_id string, canonical_id string")
+        last = held_roots.read(batch_id)
+        now = none if last is None else last.select("entity_id", "canonical_id")
+        changes = own.where(F.col("kind").isin(MERGE_EVENTS)).select("absorbed_id", "surviving_id", "occurred_at", "event_id", "kind")
+        if not changes.isEmpty():
+            old = pairs.read(batch_id, touched_buckets(changes, pairs))
+            both = changes if old is None else changes.unionByName(old.select(changes.columns))
+            newest_ = both.groupBy("absorbed_id", "surviving_id").agg(F.max(F.struct("occurred_at", "event_id", "kind")).alias("e")).select("absorbed_id", "surviving_id", "e.*")
+            pairs.write(newest_, batch_id)
+            was, now = now, settle(roots(merges_of(pairs.read(batch_id + 1))))
+            moved = was.select("entity_id", F.col("canonical_id").alias("_was")).join(now, "entity_id", "full").where(~F.coalesce("_was", "entity_id").eqNullSafe(F.coalesce("canonical_id", "entity_id"))).select("entity_id")
+            held_roots.write(now, batch_id, whole=True)
+            moved = settle(moved)
+            ends = [known.join(moved, known[c] == moved["entity_id"], "left_semi").select("claim_id") for c in ("subject_id", "object_entity_id")]
+            touched = settle(touched.union(ends[0]).union(ends[1]).distinct())
+        every = named.read(batch_id + 1)
+        spoken = (touched.where("false") if every is None else every.select("claim_id")).withColumn("kind", F.lit(CLAIM_EVENTS[0]))
+        rows = sinks.projection(known.join(touched, "claim_id", "left_semi"), spoken, now, embed)
+        held = table.read(batch_id, touched_buckets(touched, table))
+        table.write(rows if held is None else sinks.upsert(held.select(rows.columns), touched, rows), batch_id)
 
     return merge
 
