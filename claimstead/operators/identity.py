@@ -121,7 +121,7 @@ def candidates(queries: DataFrame, names: DataFrame, limit: int = 5, min_score:
     readable keeps, of rows with query_id and entity_id, those whose entity the query's reader may read (readable_entities): others neither are nor support a candidate.
 
     queries: query_id, name; names: entity_id, name, source (label or alias), canonical_id; all names normalised. Distinct names meet, not entities: by
-    a token of the rarest half of each, and for substrings by the shorter name's first three letters among the longer's, or by all of it where it
+    a token of the rarest half of each, and for substrings by that run of three letters of the shorter name that the fewest longer ones have, or by all of it where it
     has one or two (a query of those looks for no substrings). A root's best signal counts.
     """
     q = queries.select(F.col("name").alias("q")).distinct()
@@ -135,14 +135,20 @@ def candidates(queries: DataFrame, names: DataFrame, limit: int = 5, min_score:
         return order.select(col, F.explode(F.slice("t", F.lit(1), F.size("t") - F.ceil(F.size("t") / 2).cast("int") + 1)).alias("x")).select(col, F.col("x.block").alias("block"))
 
     grams = lambda col: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - 2, F.lit(1))), lambda i: F.substr(F.col(col), i, F.lit(3))))
-    start = lambda df, col: df.where(F.length(col) >= 3).withColumn("block", F.substring(col, 1, 3))
     spread = lambda df, col: df.where(F.length(col) >= 3).withColumn("block", F.explode(grams(col)))
+
+    def rarest(short: DataFrame, col: str, long: DataFrame) -> DataFrame:
+        """Names with the run of three that the fewest of the longer names have; a name with a run that none has lies in none."""
+        held = long.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+        met = spread(short, col).join(held, "block").groupBy(col).agg(F.count(F.lit(1)).alias("runs"), F.min(F.struct("n", "block")).alias("r"))
+        return met.where(F.col("runs") == F.size(grams(col))).select(col, F.col("r.block").alias("block"))
+
     cuts = lambda col, n: F.transform(F.sequence(F.lit(1), F.length(col) - (n - 1)), lambda i: F.substr(F.col(col), i, F.lit(n)))
     brief = q.where(F.length("q") >= 3).withColumn("block", F.explode(F.array_distinct(F.concat(cuts("q", 1), cuts("q", 2)))))
     pairs = (
         rare(q, "q").join(rare(c, "c"), "block").select("q", "c")
-        .union(start(q, "q").join(spread(c, "c"), "block").where(F.contains("c", "q")).select("q", "c"))
-        .union(spread(q, "q").join(start(c, "c"), "block").where(F.contains("q", "c")).select("q", "c"))
+        .union(rarest(q, "q", spread(c, "c")).join(spread(c, "c"), "block").where(F.contains("c", "q")).select("q", "c"))
+        .union(spread(q, "q").join(rarest(c, "c", spread(q, "q")), "block").where(F.contains("q", "c")).select("q", "c"))
         .union(brief.join(c.where(F.length("c") < 3), F.col("block") == F.col("c")).select("q", "c")).distinct()
     )
     pairs = pairs.join(names.select(F.col("name").alias("c"), "source").distinct(), "c")

@@ -17,6 +17,9 @@ from claimstead.operators.fusion import top_k
 from claimstead.operators.identity import settle, shared_folder, small
 from claimstead.operators.perspective import CLAIM, QUESTION, claim_columns, open_to, question_columns
 
+#: Counts up with every change of what a segment holds, so that a kept index of an older kind is not read.
+FORMAT = 1
+
 #: Texts of a segment, and questions that are taken at once, in expectation.
 SEGMENT, BLOCK = 1024, 256
 
@@ -87,7 +90,7 @@ def kept(texts: DataFrame, name: str) -> DataFrame:
         s = at.getFileSystem(conf).getFileStatus(at)
         return f"{file} {s.getLen()} {s.getModificationTime()}"
 
-    mark = hashlib.sha256("\n".join([name, *texts.columns, *sorted(map(told, texts.inputFiles()))]).encode()).hexdigest()[:24]
+    mark = hashlib.sha256("\n".join([str(FORMAT), name, *texts.columns, *sorted(map(told, texts.inputFiles()))]).encode()).hexdigest()[:24]
     root = _folders.setdefault(spark.sparkContext.applicationId, shared_folder(spark)).rstrip("/")
     folder = f"{root}/lexical-{mark}"
     at = jvm.org.apache.hadoop.fs.Path(folder)
