@@ -44,10 +44,6 @@ def repeated_words(words: str) -> list[tuple[str, Column]]:
     return [("_h", hashes), ("_w", windows), ("_s", ordered), ("_p", starts), ("n_repeat_words", F.coalesce(gaps, F.lit(0)).cast("long"))]
 
 
-def _equals(word: str):
-    return lambda w: w == word
-
-
 def common_words(docs: DataFrame) -> dict[str, list[str]]:
     """The COMMON most frequent words of at most LETTERS letters, lower-cased, of each language, over all documents that name one; ties go by word.
 
@@ -107,12 +103,11 @@ def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int
         df = df.withColumn(name, value)
     classes, picked = _histogram("_t", "_words", sorted({x for v in common.values() for x in v}))
     df = df.withColumns({"_classes": classes, "_picked": picked})
-    counts = F.lit(None).cast("array<int>")
-    for lang, listed in common.items():
-        # each pass over the picked words is short: only listed words are left
-        own = F.array(*[F.size(F.filter("_picked", _equals(x))) for x in listed], *[F.lit(0)] * (COMMON - len(listed)))
-        counts = F.when(F.col("lang") == lang, own).otherwise(counts)
-    df = df.withColumn("_common", counts)
+    # the lists are one constant map, looked up once a row; each pass over the picked words is short, as only listed words are left
+    lists = F.create_map(*[x for lang, listed in common.items() for x in (F.lit(lang), F.lit(listed))]) if common else F.lit(None).cast("map<string, array<string>>")
+    df = df.withColumn("_listed", F.try_element_at(lists, F.col("lang")))
+    own = F.transform("_listed", lambda x: F.size(F.filter("_picked", lambda w: w == x)))
+    df = df.withColumn("_common", F.concat(own, F.array_repeat(F.lit(0), F.lit(COMMON) - F.size("_listed"))))
     n, r = F.col("n_words"), F.col("n_repeat_words")
     lower = (F.length("_t") - F.aggregate("_classes", F.lit(0), lambda a, v: a + v)).cast("double")
     rest = (n - F.aggregate("_common", F.lit(0), lambda a, v: a + v)).cast("double")
