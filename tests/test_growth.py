@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from claimstead.operators import policy
+from claimstead.operators import decisions, policy
 
 POLICY = "policy_id string, version long, status string, effective_from timestamp_ntz, effective_to timestamp_ntz, purposes array<string>, namespace_ids array<string>, classifications array<string>, min_confidence double, allowed_outcomes array<string>, max_classification string"
 DAY = [datetime(2020, 1, d) for d in range(1, 29)]
@@ -39,3 +39,30 @@ def test_policies_by_scope_and_by_lists_are_those_of_the_rule(decided, policies,
 def test_decisions_in_one_piece_are_dealt_before_they_meet_candidates(decided, policies):
     found = policy.what_if(decided.coalesce(1), policies.where("version < 4"))
     assert found.rdd.getNumPartitions() > 1 and found.count() == 4 * decided.count()
+
+
+def test_tally_is_counted_once_a_case(spark, decided, policies):
+    twice = decided.union(decided.withColumn("decision_id", F.col("decision_id") + 1000))
+    assert policy.cases(twice, policy.SCOPE + policy.JUDGED)[1].count() <= decided.count()
+    near = spark.createDataFrame([(1, datetime(2020, 1, 1, 0, 0, 0, 1)), (2, datetime(2020, 1, 1, 0, 0, 0, 2)), (3, None), (4, None)], "decision_id long, recorded_at timestamp_ntz")
+    assert policy.cases(near, policy.SCOPE)[1].count() == 3
+    per = policy.evaluate(twice, policies).groupBy("decision_id").agg(F.count(F.lit(1)).alias("evaluated"), F.sum(F.when(F.col("compliant"), 0).otherwise(1)).alias("violated"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(policy.tally(twice, policies)) == key(per)
+
+
+def test_sections_and_references_of_a_case_are_those_of_its_decisions(spark, decided, policies):
+    named, each = policy.cases(decided, policy.SCOPE)
+    shape = lambda rows, schema: spark.createDataFrame(rows, schema)
+    # versions at the very instant count, the later of two at one instant holds, retracted ones and decisions without an instant don't
+    versions = shape([(7, DAY[1], 1, "asserted"), (7, DAY[2], 1, "conflicted"), (7, DAY[2], 2, "asserted"), (8, DAY[1], 1, "asserted"), (8, DAY[3], 1, "retracted"), (9, None, 1, "asserted")], "claim_id long, recorded_at timestamp_ntz, version_seq int, status string")
+    linked = decided.select("decision_id", F.explode(F.lit([7, 8, 9, 7]).cast("array<long>")).alias("claim_id"))
+    log = shape([(1, 7, "k"), (2, 0, "k")], "event_id long, claim_id long, kind string")
+    refs = lambda df, key: policy.applicable_policies(df, policies).select(key, "policy.version", "policy.policy_id")
+    key = lambda df: sorted((r["decision_id"], *map(repr, r[1:])) for r in df.collect())
+    told = decisions.audit(named, linked, versions, log, {"policy_versions": refs(each, "case_id")})
+    assert key(told) == key(decisions.audit(decided, linked, versions, log, {"policy_versions": refs(decided, "decision_id")}))
+    n = {r["decision_id"]: r["n_claims"] for r in told.collect()}
+    assert [n[i] for i in range(4)] == [0, 2, 1, 1]
+    known = policies.where("version % 2 = 0").select("policy_id", "version")
+    assert key(decisions.replay(named, refs(each, "case_id"), known)) == key(decisions.replay(decided, refs(decided, "decision_id"), known))
