@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from claimstead.operators import decisions, policy
+from claimstead.operators import decisions, identity, policy
 
 POLICY = "policy_id string, version long, status string, effective_from timestamp_ntz, effective_to timestamp_ntz, purposes array<string>, namespace_ids array<string>, classifications array<string>, min_confidence double, allowed_outcomes array<string>, max_classification string"
 DAY = [datetime(2020, 1, d) for d in range(1, 29)]
@@ -66,3 +66,16 @@ def test_sections_and_references_of_a_case_are_those_of_its_decisions(spark, dec
     assert [n[i] for i in range(4)] == [0, 2, 1, 1]
     known = policies.where("version % 2 = 0").select("policy_id", "version")
     assert key(decisions.replay(named, refs(each, "case_id"), known)) == key(decisions.replay(decided, refs(decided, "decision_id"), known))
+
+
+def test_many_entities_of_one_name_do_not_multiply(spark, monkeypatch):
+    names = spark.range(400).select(F.col("id").alias("entity_id"), F.when(F.col("id") % 2 == 0, "red fox").otherwise("red fox den").alias("name"), F.lit("label").alias("source"), F.col("id").alias("canonical_id"))
+    asked = spark.range(10).select(F.col("id").alias("query_id"), F.lit("red fox").alias("name"), F.col("id").alias("own"))
+    same = spark.range(300).select(F.lit(3).cast("long").alias("query_id"), (F.col("id") + 7).alias("canonical_id"), F.lit("x").alias("value"))
+    sizes, settle = [], identity.settle
+    monkeypatch.setattr(identity, "settle", lambda df: (lambda kept: sizes.append(kept.count()) or kept)(settle(df)))
+    found = identity.candidates(asked, names, external=same)
+    got = {q: [(r["entity_id"], r["kind"], len(r["signals"])) for r in sorted(rows, key=lambda r: r["place"])] for q, rows in ((q, [r for r in found.collect() if r["query_id"] == q]) for q in (0, 3))}
+    assert got[0] == [(i, "label-exact", 1) for i in (2, 4, 6, 8, 10)]
+    assert got[3] == [(0, "label-exact", 1), (2, "label-exact", 1), (4, "label-exact", 1), (6, "label-exact", 1), (7, "external-id-exact", 2)]
+    assert max(sizes) <= 200
