@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -23,6 +24,9 @@ FORMAT = 1
 #: Texts of a segment, and questions that are taken at once, in expectation.
 SEGMENT, BLOCK = 1024, 256
 
+#: Distinct runs whose tokens a task remembers from segment to segment.
+MEMORY = 200_000
+
 
 def segments(texts: DataFrame, batch: str = "0", per_segment: int = SEGMENT) -> DataFrame:
     """A row for each segment of texts (claim_id, text, and CLAIM where they have it): claim ids in order, their place and times, the distinct runs in order, and of each run the texts that have it, how often, and the most.
@@ -32,7 +36,7 @@ def segments(texts: DataFrame, batch: str = "0", per_segment: int = SEGMENT) ->
     """
     scoped = set(CLAIM) <= set(texts.columns)
     where = ["tenant_id", "namespace_id"] if scoped else []
-    held = texts.select("claim_id", F.lower("text").alias("text"), *(claim_columns() if scoped else []))
+    held = texts.select("claim_id", "text", *(claim_columns() if scoped else []))
     sizes = settle(held.groupBy(*where).agg(F.count(F.lit(1)).alias("_n")) if scoped else held.agg(F.count(F.lit(1)).alias("_n")))
     beside = held.join(small(sizes), [held[c].eqNullSafe(sizes[c]) for c in where]).drop(*[sizes[c] for c in where]) if scoped else held.crossJoin(F.broadcast(sizes))
     dealt = beside.withColumn("_part", F.pmod(F.xxhash64("claim_id"), F.greatest(F.ceil(F.col("_n") / per_segment), F.lit(1)))).drop("_n")
@@ -41,17 +45,16 @@ def segments(texts: DataFrame, batch: str = "0", per_segment: int = SEGMENT) ->
 
     def pack(part: pa.Table) -> pa.Table:
         part = part.sort_by("claim_id")
-        found: dict[str, list[tuple[int, int]]] = {}
-        for place, text in enumerate(part.column("text").to_pylist()):
-            if text:
-                for run, times_ in Counter(_runs(text)).items():
-                    found.setdefault(run, []).append((place, times_))
-        runs = sorted(found)
-        lists = [found[r] for r in runs]
+        runs, number, place_ = _runs(part.column("text").combine_chunks())
+        posting, tf = np.unique(number * max(part.num_rows, 1) + place_, return_counts=True)
+        number, place_ = np.divmod(posting, max(part.num_rows, 1))
+        counts = np.bincount(number, minlength=len(runs))
+        most = np.maximum.reduceat(tf, np.cumsum(counts) - counts) if len(runs) else tf
+        whole = lambda values, type_: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, type_))
         columns = {
             "batch": pa.array([batch]), "part": part.column("_part").slice(0, 1), **{c: part.column(c).slice(0, 1) for c in where}, "claim_ids": pa.array([part.column("claim_id").to_pylist()], pa.list_(id_)),
-            **{c: pa.array([part.column(c).to_pylist()], pa.list_(pa.int64())) for c in times}, "runs": pa.array([runs], pa.list_(pa.string())), "counts": pa.array([[len(x) for x in lists]], pa.list_(pa.int32())),
-            "places": pa.array([[p for x in lists for p, _ in x]], pa.list_(pa.int32())), "tf": pa.array([[t for x in lists for _, t in x]], pa.list_(pa.int32())), "most": pa.array([[max(t for _, t in x) for x in lists]], pa.list_(pa.int32())),
+            **{c: pa.array([part.column(c).to_pylist()], pa.list_(pa.int64())) for c in times}, "runs": whole(runs, pa.string()), "counts": whole(counts, pa.int32()),
+            "places": whole(place_, pa.int32()), "tf": whole(tf, pa.int32()), "most": whole(most, pa.int32()),
         }
         return pa.table(columns)
 
@@ -60,12 +63,33 @@ def segments(texts: DataFrame, batch: str = "0", per_segment: int = SEGMENT) ->
     return dealt.groupBy(*where, "_part").applyInArrow(pack, shape)
 
 
-_OTHER = {i: " " for i in range(128) if not chr(i).isalnum()}
-
-
-def _runs(text: str) -> list[str]:
-    """Runs of a-z and 0-9 of a text in lower case; every other character parts them."""
-    return text.encode("ascii", "replace").decode().translate(_OTHER).split() if not text.isascii() else text.translate(_OTHER).split()
+#: A byte of a text in lower case; 0 for those that part runs.
+_LETTERS = np.zeros(256, np.uint8)
+for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
+    _LETTERS[_c] = _LETTERS[ord(chr(_c).upper())] = _c
+#: The other characters whose lower case has a letter of a-z.
+_LOWER = {"\u212a": "k", "\u0130": "i\u0307"}
+
+
+def _runs(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The distinct runs of a-z and 0-9 of texts in lower case, in order; and of every run in the texts its number there and its text's place. Bytes are worked on all at once."""
+    texts = pc.fill_null(texts, "")
+    for sign, lower in _LOWER.items():
+        texts = pc.replace_substring(texts, sign, lower)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    signs = _LETTERS[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    ends = ends.astype(np.int64) - ends[0]
+    inside = np.r_[False, signs > 0, False]
+    cut = np.zeros(len(inside), bool)  # a text begins here
+    cut[ends + 1] = True
+    first = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[1:-1]))
+    last = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[2:]))
+    offsets = np.r_[0, np.cumsum(last - first + 1)].astype(np.int32)
+    every = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(signs[inside[1:-1]])).dictionary_encode()
+    order = pc.sort_indices(every.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return every.dictionary.take(pa.array(order)), rank[every.indices.to_numpy()], np.searchsorted(ends, first, "right") - 1
 
 
 def write(texts: DataFrame, folder: str, batch: str = "0", per_segment: int = SEGMENT) -> None:
@@ -106,7 +130,7 @@ class Segment:
 
     def __init__(self, batch: pa.RecordBatch, at: int) -> None:
         numbers = lambda c: batch.column(c)[at].values.to_numpy(zero_copy_only=False)
-        self.ids, self.runs = batch.column("claim_ids")[at].values.to_pylist(), batch.column("runs")[at].values.to_pylist()
+        self.ids, self.runs = batch.column("claim_ids")[at].values.to_pylist(), batch.column("runs")[at].values
         self.counts, self.places, self.tf, self.most = (numbers(c).astype(np.int64) for c in ("counts", "places", "tf", "most"))
         self.starts = np.r_[0, np.cumsum(self.counts)]
         self.batch, self.at = batch, at
@@ -116,6 +140,18 @@ class Segment:
         columns = [*place, *(self.batch.column(c)[self.at].values for c in ("valid_from", "valid_to", "recorded_at"))]
         return open_to(pa.RecordBatch.from_arrays(columns, CLAIM), questions)
 
+    def known(self, terms: list[str]) -> np.ndarray:
+        """The number of each term among the runs; -1 where the segment hasn't got it."""
+        return pc.fill_null(pc.index_in(pa.array(terms, pa.string()), value_set=self.runs), -1).to_numpy().astype(np.int64)
+
+    def bits(self, runs: np.ndarray) -> np.ndarray:
+        """A row of bits, a multiple of 64 of them, for each of some runs: the places of the texts that have it."""
+        number, at = self.postings(runs)
+        out = np.zeros((len(runs), -(-len(self.ids) // 64) * 8), np.uint8)
+        places = self.places[at]
+        np.bitwise_or.at(out, (number, places >> 3), (128 >> (places & 7)).astype(np.uint8))
+        return out
+
     def postings(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of some runs, one after another: the number of the run in the list, and the places in the postings."""
         sizes = self.counts[runs]
@@ -177,48 +213,58 @@ def _asked(index: DataFrame, queries: DataFrame, k: int, block: int, terms, scor
 def lexical_top_k(queries: DataFrame, index: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """search.lexical_top_k from the index: query_id, claim_id, score, rank.
 
-    A question's tokens are looked for in a segment's distinct runs, all at once by an automaton, not in its texts. As many tokens as a segment has at all bound what its texts
+    A question's tokens are looked for in a segment's distinct runs, all at once by an automaton, not in its texts; the texts that have a token are bits. As many tokens as a segment has at all bound what its texts
     can score: where that is under a question's k-th score so far, its postings aren't touched for it.
     """
 
     def score(questions: list[tuple]) -> Callable:
         import ahocorasick
 
-        terms = sorted({t for _, own, _ in questions for t in own})
-        place = {t: i for i, t in enumerate(terms)}
-        weight = np.zeros((len(terms), len(questions)), np.float32)
-        for j, (_, own, _) in enumerate(questions):
-            for t in own:
-                weight[place[t], j] += 1
+        terms, own, starts, asking = _listed(questions)
         automaton = ahocorasick.Automaton()
-        for t, i in place.items():
+        for i, t in enumerate(terms):
             automaton.add_word(t, i)
         if terms:
             automaton.make_automaton()
-        blank = [j for j, (_, own, _) in enumerate(questions) if not own]
+        blank = [j for j, (_, own_, _) in enumerate(questions) if not own_]
+        each, memory = np.split(own, starts[1:]), {}
 
         def work(segment: Segment, fits: np.ndarray | None, best: Best) -> None:
             n = len(segment.ids)
             everywhere = np.arange(n)
             for j in blank:
                 best.add(j, segment.ids, np.zeros(n), everywhere if fits is None else np.flatnonzero(fits[j]))
-            met = np.array([(end, t) for end, t in automaton.iter("\n".join(segment.runs))], np.int64).reshape(-1, 2) if terms else np.zeros((0, 2), np.int64)
-            if not len(met):
+            if not terms:
+                return
+            tokens = []
+            for r in segment.runs.to_pylist():
+                if (own_ := memory.get(r)) is None:
+                    own_ = memory[r] = tuple({t for _, t in automaton.iter(r)})
+                tokens.append(own_)
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            number = np.fromiter(chain.from_iterable(tokens), np.uint16 if len(terms) < 1 << 16 else np.int64, sizes.sum())  # small numbers are sorted much faster
+            if len(memory) > MEMORY:
+                memory.clear()
+            if not len(number):
                 return
-            ends = np.cumsum([len(r) + 1 for r in segment.runs]) - 1
-            pairs = np.unique(np.c_[met[:, 1], np.searchsorted(ends, met[:, 0])], axis=0)
-            present, row = np.unique(pairs[:, 0], return_inverse=True)
-            bound = weight[present].sum(axis=0)
-            least = np.array([best.least(j) for j in range(len(questions))])
-            open_ = np.flatnonzero((bound > 0) & (bound >= least) & (True if fits is None else fits.any(axis=1)))
+            order = np.argsort(number, kind="stable")
+            present, at = np.unique(number[order], return_index=True)
+            has = np.zeros(len(terms), np.int64)
+            has[present] = 1
+            bound = np.add.reduceat(has[own], starts)
+            least = np.array([best.least(j) for j in asking])
+            open_ = np.flatnonzero((bound > 0) & (bound >= least) & (True if fits is None else fits[asking].any(axis=1)))
             if not len(open_):
                 return
-            has = np.zeros((len(present), n), np.float32)
-            number, at = segment.postings(pairs[:, 1])
-            has[row[number], segment.places[at]] = 1
-            scores = weight[present][:, open_].T @ has
-            for line, j in zip(scores, open_.tolist(), strict=True):
-                good = (line > 0) & (line >= least[j])
+            row = np.repeat(np.cumsum(sizes > 0) - 1, sizes)[order]
+            texts = segment.bits(np.flatnonzero(sizes)).view(np.uint64)
+            where = np.zeros((len(terms), texts.shape[1]), np.uint64)
+            for t, since, until in zip(present.tolist(), at.tolist(), [*at[1:].tolist(), len(row)], strict=True):
+                np.bitwise_or.reduce(texts[row[since:until]], axis=0, out=where[t])
+            within = np.unpackbits(where.view(np.uint8), axis=1)[:, :n]
+            for i in open_.tolist():
+                j, line = int(asking[i]), within[each[i]].sum(axis=0, dtype=np.int64)
+                good = (line > 0) & (line >= least[i])
                 best.add(j, segment.ids, line, np.flatnonzero(good if fits is None else good & fits[j]))
 
         return work
@@ -226,22 +272,27 @@ def lexical_top_k(queries: DataFrame, index: DataFrame, k: int, block: int = BLO
     return _asked(index, queries, k, block, lexical_tokens(F.col("text")), score)
 
 
-def _known(segment: Segment, terms: set[str]) -> dict[str, int]:
-    runs = segment.runs
-    return {r: i for i, r in enumerate(runs) if r in terms}
+def _listed(questions: list[tuple]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms in order; the numbers of all questions' terms one after another, where each question's begin, and which questions those are: the ones that have any."""
+    terms = sorted({t for _, own, _ in questions for t in own})
+    place = {t: i for i, t in enumerate(terms)}
+    sizes = np.array([len(own) for _, own, _ in questions], np.int64)
+    asking = np.flatnonzero(sizes)
+    return terms, np.array([place[t] for _, own, _ in questions for t in own], np.int64), np.cumsum(sizes[asking]) - sizes[asking], asking
 
 
 def full_text_and(queries: DataFrame, index: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """search.full_text_and from the index: texts that have all `terms` of a question, by the sum of term frequencies. A segment that lacks a term, or whose greatest frequencies add up to less than the k-th score so far, is left out."""
 
     def score(questions: list[tuple]) -> Callable:
-        every = {t for _, own, _ in questions for t in own}
+        terms, own, starts, asking = _listed(questions)
+        each = [np.unique(part) for part in np.split(own, starts[1:])]
 
         def work(segment: Segment, fits: np.ndarray | None, best: Best) -> None:
-            known, n = _known(segment, every), len(segment.ids)
-            for j, (_, own, _) in enumerate(questions):
-                runs = np.array(sorted({known[t] for t in own if t in known}), np.int64)
-                if not len(runs) or len(runs) < len(set(own)) or segment.most[runs].sum() < best.least(j):
+            known, n = segment.known(terms), len(segment.ids)
+            for j, part in zip(asking.tolist(), each, strict=False):
+                runs = known[part]
+                if runs.min() < 0 or segment.most[runs].sum() < best.least(j):
                     continue
                 _, at = segment.postings(runs)
                 places, tf = segment.places[at], segment.tf[at]
@@ -258,16 +309,18 @@ def full_text_or(queries: DataFrame, index: DataFrame, k: int, block: int = BLOC
     """search.full_text_or from the index: the first k texts by id that have any of a question's `terms`."""
 
     def score(questions: list[tuple]) -> Callable:
-        every = {t for _, own, _ in questions for t in own}
+        terms, own, starts, asking = _listed(questions)
 
         def work(segment: Segment, fits: np.ndarray | None, best: Best) -> None:
-            known, n = _known(segment, every), len(segment.ids)
-            for j, (_, own, _) in enumerate(questions):
-                runs = np.array(sorted({known[t] for t in own if t in known}), np.int64)
-                if len(runs):
-                    _, at = segment.postings(runs)
-                    places = np.unique(segment.places[at])
-                    best.add(j, segment.ids, np.zeros(n), places if fits is None else places[fits[j][places]])
+            known, n = segment.known(terms), len(segment.ids)
+            bits = segment.bits(known[known >= 0])
+            where = np.zeros((len(terms), bits.shape[1]), np.uint8)
+            where[known >= 0] = bits
+            any_ = np.bitwise_or.reduceat(where[own], starts, axis=0) if len(own) else where
+            for j, line in zip(asking.tolist(), np.unpackbits(any_, axis=1)[:, :n].astype(bool), strict=False):
+                places = np.flatnonzero(line if fits is None else line & fits[j])[:k]
+                if len(places):
+                    best.add(j, segment.ids, np.zeros(n), places)
 
         return work
 

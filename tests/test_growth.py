@@ -1,12 +1,15 @@
 """What grows with the tables: spread over tasks, work per case, results on odd inputs."""
 
 import itertools
+import re
+from collections import Counter
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from claimstead.operators import decisions, identity, policy
+from claimstead.operators import decisions, identity, lexical_index, policy, search
 
 POLICY = "policy_id string, version long, status string, effective_from timestamp_ntz, effective_to timestamp_ntz, purposes array<string>, namespace_ids array<string>, classifications array<string>, min_confidence double, allowed_outcomes array<string>, max_classification string"
 DAY = [datetime(2020, 1, d) for d in range(1, 29)]
@@ -79,3 +82,24 @@ def test_many_entities_of_one_name_do_not_multiply(spark, monkeypatch):
     assert got[0] == [(i, "label-exact", 1) for i in (2, 4, 6, 8, 10)]
     assert got[3] == [(0, "label-exact", 1), (2, "label-exact", 1), (4, "label-exact", 1), (6, "label-exact", 1), (7, "external-id-exact", 2)]
     assert max(sizes) <= 200
+
+
+def test_runs_of_all_texts_are_found_at_once(spark):
+    """Bytes of a whole segment, cut between texts; signs whose lower case has a letter, nulls and a slice."""
+    texts = ["skipped", "Ab1 c-ab1", "ab1", None, "", "\u212aELVIN \u0130x \u00c9t\u00e9 stra\u00dfe", "--", "a", "b"]
+    runs, number, place = lexical_index._runs(pa.array(texts)[1:])
+    want = Counter((r, i) for i, t in enumerate(spark.createDataFrame([(i, t) for i, t in enumerate(texts[1:])], "i int, t string").selectExpr("lower(t)").collect()) for r in re.findall("[a-z0-9]+", t[0] or ""))
+    assert Counter(zip((runs.to_pylist()[n] for n in number), place.tolist(), strict=True)) == want and runs.to_pylist() == sorted({r for r, _ in want})
+    assert len(lexical_index._runs(pa.array([None, ""], pa.string()))[0]) == 0 and len(lexical_index._runs(pa.array([], pa.string()))[0]) == 0
+
+
+def test_index_of_many_texts_equals_scan_while_runs_are_forgotten(spark, monkeypatch):
+    """Segments of more than one word of bits; a task remembers few runs."""
+    monkeypatch.setattr(lexical_index, "MEMORY", 3)
+    texts = spark.range(300).select(F.col("id").alias("claim_id"), F.concat_ws(" ", F.concat(F.lit("run"), F.col("id") % 7), F.concat(F.lit("x"), F.col("id"))).alias("text"))
+    asked = spark.createDataFrame([(1, "run1 x2 run1"), (2, "un x29 zz"), (3, "-"), (4, "zz")], "query_id long, text string").withColumn("terms", F.array("text"))
+    index, key = identity.settle(lexical_index.segments(texts, per_segment=100)), lambda df: sorted(map(tuple, df.select("query_id", "claim_id", "score", "rank").collect()))
+    assert key(lexical_index.lexical_top_k(asked, index, 5)) == key(search.lexical_top_k(asked, texts, 5)) and max(len(r["claim_ids"]) for r in index.collect()) > 64
+    some = asked.withColumn("terms", F.split("text", " "))
+    pick = lambda df: sorted(map(tuple, df.select("query_id", "claim_id", "rank").collect()))
+    assert pick(lexical_index.full_text_or(some, index, 50)) == pick(search.full_text_or(some, texts, 50))
