@@ -25,7 +25,7 @@ FORMAT = 1
 SEGMENT, BLOCK = 1024, 256
 
 #: Distinct runs whose tokens a task remembers from segment to segment.
-MEMORY = 200_000
+MEMORY = 100_000
 
 
 def segments(texts: DataFrame, batch: str = "0", per_segment: int = SEGMENT) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from claimstead.functions import text as T
 from claimstead.operators import decisions, identity, lexical_index, policy, search
 
 POLICY = "policy_id string, version long, status string, effective_from timestamp_ntz, effective_to timestamp_ntz, purposes array<string>, namespace_ids array<string>, classifications array<string>, min_confidence double, allowed_outcomes array<string>, max_classification string"
@@ -103,3 +104,13 @@ def test_index_of_many_texts_equals_scan_while_runs_are_forgotten(spark, monkeyp
     some = asked.withColumn("terms", F.split("text", " "))
     pick = lambda df: sorted(map(tuple, df.select("query_id", "claim_id", "rank").collect()))
     assert pick(lexical_index.full_text_or(some, index, 50)) == pick(search.full_text_or(some, texts, 50))
+
+
+def test_embedding_reads_characters_in_numpy(spark):
+    """Sums of codes are those of plain Python, also past the first table of places and outside the first plane; the plan has no function per character."""
+    texts = ["", "a", "Éa\U0001f600b", "xy" * 5000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: (r["s0"], r["s1"]) for r in df.where("t IS NOT NULL").select("i", T.code_sums(F.col("t")).alias("s")).select("i", "s.*").collect()}
+    assert got == {i: (sum(map(ord, t)), sum(ord(c) * n for n, c in enumerate(t))) for i, t in enumerate(texts) if t is not None}
+    vectors = df.select("i", T.hash_embedding(F.col("t"), 4).alias("v"))
+    assert {r["i"]: r["v"] for r in vectors.collect()}[4] == [None] * 4 and "split(" not in vectors._jdf.queryExecution().toString()
