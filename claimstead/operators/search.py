@@ -17,6 +17,10 @@ from claimstead.operators.identity import settle
 from claimstead.operators.perspective import QUESTION, claim_columns, open_to, question_columns
 
 
+#: Vectors whose products with a block of queries are held at once.
+SLICE = 512
+
+
 def postings(texts: DataFrame) -> DataFrame:
     """claim_id, token, tf: the inverted index, with every run of a-z and 0-9."""
     runs = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
@@ -138,8 +142,8 @@ def checked_vectors(vectors: DataFrame, width: int) -> tuple[DataFrame, DataFram
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float = -2.0, block: int = 4096) -> DataFrame:
     """query_id, claim_id, score, rank by cosine to six digits, exactly. queries and vectors: an id and an array.
 
-    Queries are taken in blocks of about `block`; the matrix of a block is broadcast, and each batch of vectors gives its
-    own k best of every query, so only those are shuffled. A zero vector has cosine 0. All queries must have one width and finite
+    Queries are taken in blocks of about `block`; the matrix of a block is broadcast, and each task gives its
+    own k best of every query, so only those are shuffled. It holds the products of `SLICE` vectors at once. A zero vector has cosine 0. All queries must have one width and finite
     numbers, else a ValueError is raised; vectors that haven't are no candidates (checked_vectors names them). Where queries have a perspective and vectors its
     columns, only vectors in it count, before the limit.
     """
@@ -163,24 +167,41 @@ def _block_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, asked_ = held.value
-        for batch in batches:
+        best = Nearest(len(q), k, least)
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             good, found = _good(batch.column("vector").to_pylist(), q.shape[1])
             own = batch.column("claim_id").to_numpy(zero_copy_only=False)[good]
             scores = np.round(q @ found.T, 6) if len(q) else np.zeros((0, len(own)))
             if scoped:
                 scores[~open_to(batch, asked_)[:, good]] = -9.0
-            yield _best(ids, own, scores, k, least)
+            best.add(own, scores)
+        yield from best.rows(ids)
 
     return vectors.select("claim_id", "vector", *of).mapInArrow(run, "query_id long, claim_id long, score double")
 
 
-def _best(ids: list, own: np.ndarray, scores: np.ndarray, k: int, least: float) -> pa.RecordBatch:
-    """The k best columns of each row of scores that are `least` or more; ties go by id."""
-    rows: list[tuple] = []
-    for i, line in enumerate(scores):
-        best = np.lexsort((own, -line))[:k]
-        rows += [(ids[i], own[j], float(line[j]) + 0.0) for j in best if line[j] >= least]
-    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "claim_id", "score"])
+class Nearest:
+    """The k best vectors of each of n queries so far, of those that score `least` or more; ties go by id."""
+
+    def __init__(self, n: int, k: int, least: float) -> None:
+        self.k, self.least = k, least
+        self.scores, self.ids = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+
+    def add(self, own: np.ndarray, scores: np.ndarray) -> None:
+        """A column of scores for each vector of own. Only what reaches a query's k-th score so far is sorted."""
+        bound = np.maximum(self.scores[:, -1:], self.least)
+        if self.k == 0 or scores.shape[1] == 0:
+            return
+        for i in np.flatnonzero((scores >= bound).any(axis=1)).tolist():
+            at = np.flatnonzero(scores[i] >= bound[i])
+            line, ids = np.r_[self.scores[i], scores[i, at]], np.r_[self.ids[i], own[at]]
+            top = np.lexsort((ids, -line))[: self.k]
+            self.scores[i], self.ids[i] = line[top], ids[top]
+
+    def rows(self, ids: list) -> Iterator[pa.RecordBatch]:
+        n, place = np.nonzero(self.scores > -np.inf)
+        columns = [pa.array(np.array(ids, np.int64)[n]), pa.array(self.ids[n, place]), pa.array(self.scores[n, place] + 0.0)]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", "claim_id", "score"])
 
 
 def _good(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,8 +16,8 @@ from claimstead.operators.perspective import CLAIM, QUESTION, claim_columns, ope
 
 #: Vectors of a graph and questions of a unit of work at most, in expectation; links that a node chooses, out of so many near ones; results that a walk keeps.
 SHARD, BLOCK, LINKS, NEAR, KEPT = 20_000, 1024, 16, 64, 24
-#: Nodes that a walk starts from.
-STARTS = 8
+#: Nodes that a walk starts from, and nodes whose products with a whole shard are held at once.
+STARTS, ROWS = 8, 64
 
 INDEX = "shard int, claim_id long, tenant_id string, namespace_id string, valid_from long, valid_to long, recorded_at long, vector array<double>, code binary, scale double, node int, links array<int>"
 
@@ -37,11 +37,12 @@ def neighbours(unit: np.ndarray, links: int = LINKS, near: int = NEAR) -> list[n
     if near < 1:
         return [np.zeros(0, np.int64) for _ in range(n)]
     close = np.empty((n, near), np.int64)
-    for at in range(0, n, 1024):  # so the table of products stays small
-        part = unit[at : at + 1024] @ unit.T
+    for at in range(0, n, ROWS):  # so the table of products stays small
+        part = unit[at : at + ROWS] @ unit.T
         part[np.arange(len(part)), np.arange(at, at + len(part))] = -np.inf
-        best = np.argpartition(-part, near - 1, axis=1)[:, :near]
-        close[at : at + 1024] = np.take_along_axis(best, np.argsort(-np.take_along_axis(part, best, axis=1), axis=1, kind="stable"), axis=1)
+        np.negative(part, out=part)
+        best = np.argpartition(part, near - 1, axis=1)[:, :near]
+        close[at : at + ROWS] = np.take_along_axis(best, np.argsort(np.take_along_axis(part, best, axis=1), axis=1, kind="stable"), axis=1)
     taken: list[set[int]] = [set() for _ in range(n)]
     for i in range(n):
         own = close[i]
@@ -82,7 +83,7 @@ def build(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
         links = neighbours(unit)
         scale = np.maximum(np.abs(unit).max(axis=1, initial=0.0), 1e-300) / 127
         codes = np.rint(unit / scale[:, None]).astype(np.int8)
-        made = [pa.array(unit.tolist(), pa.list_(pa.float64())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(np.arange(len(unit), dtype=np.int32)), pa.array([x.tolist() for x in links], pa.list_(pa.int32()))]
+        made = [pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * width), pa.array(unit.ravel())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(np.arange(len(unit), dtype=np.int32)), pa.array([x.tolist() for x in links], pa.list_(pa.int32()))]
         return pa.Table.from_arrays([*columns, *made], ["shard", "claim_id", *CLAIM, "vector", "code", "scale", "node", "links"])
 
     return dealt.select("shard", "claim_id", *CLAIM, "vector").groupBy("tenant_id", "shard").applyInArrow(link, INDEX)

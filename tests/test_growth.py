@@ -2,15 +2,17 @@
 
 import itertools
 import re
+import tracemalloc
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from claimstead.functions import text as T
-from claimstead.operators import decisions, identity, lexical_index, policy, search
+from claimstead.operators import decisions, identity, lexical_index, policy, search, vector_graph
 
 POLICY = "policy_id string, version long, status string, effective_from timestamp_ntz, effective_to timestamp_ntz, purposes array<string>, namespace_ids array<string>, classifications array<string>, min_confidence double, allowed_outcomes array<string>, max_classification string"
 DAY = [datetime(2020, 1, d) for d in range(1, 29)]
@@ -114,3 +116,21 @@ def test_embedding_reads_characters_in_numpy(spark):
     assert got == {i: (sum(map(ord, t)), sum(ord(c) * n for n, c in enumerate(t))) for i, t in enumerate(texts) if t is not None}
     vectors = df.select("i", T.hash_embedding(F.col("t"), 4).alias("v"))
     assert {r["i"]: r["v"] for r in vectors.collect()}[4] == [None] * 4 and "split(" not in vectors._jdf.queryExecution().toString()
+
+
+def test_vectors_are_held_against_in_small_tables(spark):
+    """A graph's table of products is a slice of its shard's, and lists of slices are those of the whole."""
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(2000, 8))
+    tracemalloc.start()
+    vector_graph.neighbours(unit)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+    scores, ids = np.round(rng.normal(size=(6, 900)), 1), rng.permutation(900)
+    scores[5] = -9.0
+    best = search.Nearest(6, 7, -2.0)
+    for at in range(0, 900, 50):
+        best.add(ids[at : at + 50], scores[:, at : at + 50])
+    got = sorted(tuple(r.values()) for batch in best.rows(list(range(6))) for r in batch.to_pylist())
+    assert got == sorted((i, int(ids[j]), float(scores[i, j])) for i in range(5) for j in np.lexsort((ids, -scores[i]))[:7])
