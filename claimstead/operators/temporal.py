@@ -21,12 +21,19 @@ def latest(versions: DataFrame, key: str, order: list[str]) -> DataFrame:
 def known_at_each(versions: DataFrame, instants: list[Column], key: str = "claim_id", order: tuple[str, ...] = ("recorded_at", "version_seq")) -> DataFrame:
     """For each instant and key the last version recorded by then (as-of read for a list of instants).
 
-    A version is dealt to the instants it precedes, and a maximum per (instant, key) is combined before the shuffle: no join.
+    A version counts once, from the first instant on that it precedes: a maximum per key and span between instants is combined before the shuffle, and an instant
+    takes that of the last span which has one. No join, and no row per version and instant.
     """
     rest = [c for c in versions.columns if c != key and c not in order]
-    dealt = versions.withColumn("known_at", F.explode(F.filter(F.array(*instants), lambda t: t >= F.col(order[0]))))
-    top = dealt.groupBy("known_at", key).agg(F.max(F.struct(*order, *rest)).alias("_top"))
-    return top.select("known_at", key, *[F.col(f"_top.{c}").alias(c) for c in [*order, *rest]])
+    at = F.array_sort(F.array_distinct(F.array_compact(F.array(*instants))))
+    spans = range(len(instants))
+    since = F.filter(at, lambda t: t >= F.col(order[0]))
+    first = F.size(at) - F.size(since)  # the span of a version, those after the last instant have none
+    told = versions.withColumn("_span", F.when(F.size(since) > 0, first))
+    top = told.where("_span IS NOT NULL").groupBy(key).agg(*[F.max(F.when(F.col("_span") == i, F.struct(*order, *rest))).alias(f"_{i}") for i in spans])
+    held = F.array(*[F.struct(F.get(at, F.lit(i)).alias("known_at"), F.coalesce(*[f"_{j}" for j in range(i, -1, -1)]).alias("top")) for i in spans])
+    each = top.select(key, F.explode(F.filter(held, lambda x: x["known_at"].isNotNull() & x["top"].isNotNull())).alias("_h"))
+    return each.select("_h.known_at", key, *[F.col(f"_h.top.{c}").alias(c) for c in [*order, *rest]])
 
 
 def as_of_join(probes: DataFrame, versions: DataFrame, key: str, at: str, order: list[str]) -> DataFrame:

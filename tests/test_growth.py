@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimstead.functions import text as T
-from claimstead.operators import decisions, identity, lexical_index, policy, search, vector_graph
+from claimstead.operators import decisions, identity, lexical_index, lifecycle, policy, search, temporal, vector_graph
 
 POLICY = "policy_id string, version long, status string, effective_from timestamp_ntz, effective_to timestamp_ntz, purposes array<string>, namespace_ids array<string>, classifications array<string>, min_confidence double, allowed_outcomes array<string>, max_classification string"
 DAY = [datetime(2020, 1, d) for d in range(1, 29)]
@@ -134,3 +134,21 @@ def test_vectors_are_held_against_in_small_tables(spark):
         best.add(ids[at : at + 50], scores[:, at : at + 50])
     got = sorted(tuple(r.values()) for batch in best.rows(list(range(6))) for r in batch.to_pylist())
     assert got == sorted((i, int(ids[j]), float(scores[i, j])) for i in range(5) for j in np.lexsort((ids, -scores[i]))[:7])
+
+
+def test_versions_count_once_however_many_instants(spark):
+    """Instants in any order, twice and null; versions at an instant, after the last, without time; the plan has no row per version and instant."""
+    versions = spark.createDataFrame([("a", DAY[1], 1, "x"), ("a", DAY[3], 2, "y"), ("a", DAY[3], 3, None), ("a", DAY[9], 4, "z"), ("b", DAY[6], 1, "x"), ("c", None, 1, "x"), ("d", DAY[9], 1, "x")], "claim_id string, recorded_at timestamp_ntz, version_seq int, status string")
+    instants = [F.lit(d).cast("timestamp_ntz") for d in (DAY[6], DAY[0], DAY[3], DAY[6], None, DAY[4])]
+    found = temporal.known_at_each(versions, instants)
+    assert found.columns == ["known_at", "claim_id", "recorded_at", "version_seq", "status"]
+    assert sorted((r["known_at"], r["claim_id"], r["version_seq"]) for r in found.collect()) == [(DAY[3], "a", 3), (DAY[4], "a", 3), (DAY[6], "a", 3), (DAY[6], "b", 1)]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1]
+
+
+def test_ends_of_relations_are_dealt_by_their_number(spark):
+    seen = spark.range(1000).select(F.col("id").cast("string").alias("relation_id"), (F.col("id") % 90).alias("from_id"), (F.col("id") % 70).alias("to_id"))
+    known = spark.range(80).withColumnRenamed("id", "decision_id")
+    key = lambda df: sorted(map(tuple, df.select("decision_id", "relation_id", "role").collect()))
+    dealt = lifecycle.relations_of(known, seen, 23)
+    assert key(dealt) == key(lifecycle.relations_of(known, seen)) and dealt.rdd.getNumPartitions() == 23
