@@ -11,6 +11,10 @@ from claimstead.operators.records import events, make_id
 KINDS = {"relation": "decision.related", "outcome": "decision.outcome_observed", "exception": "policy.exception_recorded", "approval": "decision.approved"}
 
 
+#: Rows of a task where rows are dealt by their number, in expectation.
+ROWS = 1_000_000
+
+
 def facts(log: DataFrame, fact: str, schema: str) -> DataFrame:
     """Payload columns of one kind of fact, with its event id and instant."""
     own = log.where(F.col("kind") == KINDS[fact])
@@ -49,10 +53,10 @@ def proposals_of(rows: DataFrame, tenant: str, namespace: str | None = None, ent
     return own if entity is None else own.where((F.col("source_id") == entity) | (F.col("candidate_id") == entity))
 
 
-def relations_of(decisions: DataFrame, relations: DataFrame) -> DataFrame:
-    """decision_id, relation_id, role: a relation is seen from both ends, by one equi-join over its exploded ends."""
+def relations_of(decisions: DataFrame, relations: DataFrame, tasks: int | None = None) -> DataFrame:
+    """decision_id, relation_id, role: a relation is seen from both ends, by one equi-join over its exploded ends, which are dealt over `tasks` by their decisions if that is given."""
     ends = relations.select("relation_id", F.explode(F.array(F.struct(F.col("from_id").alias("decision_id"), F.lit("from").alias("role")), F.struct(F.col("to_id").alias("decision_id"), F.lit("to").alias("role")))).alias("e")).select("relation_id", "e.*")
-    return decisions.select("decision_id").join(ends, "decision_id")
+    return decisions.select("decision_id").join(ends if tasks is None else ends.repartition(tasks, "decision_id"), "decision_id")
 
 
 def touching(decisions: DataFrame, log: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
