@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -19,19 +20,19 @@ from claimstead.operators.identity import settle, shared_folder, small
 from claimstead.operators.perspective import CLAIM, QUESTION, claim_columns, open_to, question_columns
 
 #: Counts up with every change of what a segment holds, so that a kept index of an older kind is not read.
-FORMAT = 1
+FORMAT = 2
 
 #: Texts of a segment, and questions that are taken at once, in expectation.
 SEGMENT, BLOCK = 1024, 256
 
-#: Distinct runs whose tokens a task remembers from segment to segment.
+#: Distinct runs of a segment in which tokens are looked for at once.
 MEMORY = 100_000
 
 
 def segments(texts: DataFrame, batch: str = "0", per_segment: int = SEGMENT) -> DataFrame:
     """A row for each segment of texts (claim_id, text, and CLAIM where they have it): claim ids in order, their place and times, the distinct runs in order, and of each run the texts that have it, how often, and the most.
 
-    A segment lies in one tenant and namespace, so that a question's perspective leaves whole segments out. Null texts have no runs. batch tells segments of later
+    Runs are one text, parted by blanks, and numbers are bytes (_packed): as arrays Spark reads and writes them one by one, which takes longer than the search. A segment lies in one tenant and namespace, so that a question's perspective leaves whole segments out. Null texts have no runs. batch tells segments of later
     additions apart.
     """
     scoped = set(CLAIM) <= set(texts.columns)
@@ -50,19 +51,29 @@ def segments(texts: DataFrame, batch: str = "0", per_segment: int = SEGMENT) ->
         number, place_ = np.divmod(posting, max(part.num_rows, 1))
         counts = np.bincount(number, minlength=len(runs))
         most = np.maximum.reduceat(tf, np.cumsum(counts) - counts) if len(runs) else tf
-        whole = lambda values, type_: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, type_))
+        joined = pa.array([" ".join(runs.to_pylist())], pa.string())
         columns = {
             "batch": pa.array([batch]), "part": part.column("_part").slice(0, 1), **{c: part.column(c).slice(0, 1) for c in where}, "claim_ids": pa.array([part.column("claim_id").to_pylist()], pa.list_(id_)),
-            **{c: pa.array([part.column(c).to_pylist()], pa.list_(pa.int64())) for c in times}, "runs": whole(runs, pa.string()), "counts": whole(counts, pa.int32()),
-            "places": whole(place_, pa.int32()), "tf": whole(tf, pa.int32()), "most": whole(most, pa.int32()),
+            **{c: pa.array([part.column(c).to_pylist()], pa.list_(pa.int64())) for c in times}, "runs": joined,
+            **{c: pa.array([_packed(values)], pa.binary()) for c, values in (("counts", counts), ("places", place_), ("tf", tf), ("most", most))},
         }
         return pa.table(columns)
 
     place = ", ".join(f"{c} string" for c in where) + (", " if scoped else "")
-    shape = f"batch string, part long, {place}claim_ids array<{texts.schema['claim_id'].dataType.simpleString()}>, " + "".join(f"{c} array<long>, " for c in times) + "runs array<string>, counts array<int>, places array<int>, tf array<int>, most array<int>"
+    shape = f"batch string, part long, {place}claim_ids array<{texts.schema['claim_id'].dataType.simpleString()}>, " + "".join(f"{c} array<long>, " for c in times) + "runs string, counts binary, places binary, tf binary, most binary"
     return dealt.groupBy(*where, "_part").applyInArrow(pack, shape)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0, each in as few bytes as the greatest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))).newbyteorder("<")).tobytes()
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    """n numbers as _packed gives them."""
+    return np.frombuffer(packed, f"<u{len(packed) // n}" if n else "<u1")
+
+
 #: A byte of a text in lower case; 0 for those that part runs.
 _LETTERS = np.zeros(256, np.uint8)
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
@@ -126,13 +137,21 @@ def kept(texts: DataFrame, name: str) -> DataFrame:
 
 
 class Segment:
-    """A row of a batch of segments as arrays."""
+    """A row of a batch of segments as arrays, of the columns that it has."""
 
     def __init__(self, batch: pa.RecordBatch, at: int) -> None:
-        numbers = lambda c: batch.column(c)[at].values.to_numpy(zero_copy_only=False)
-        self.ids, self.runs = batch.column("claim_ids")[at].values.to_pylist(), batch.column("runs")[at].values
-        self.counts, self.places, self.tf, self.most = (numbers(c).astype(np.int64) for c in ("counts", "places", "tf", "most"))
+        self.ids, self.text = batch.column("claim_ids")[at].values.to_pylist(), batch.column("runs")[at].as_py()
+        signs = np.frombuffer(self.text.encode(), np.uint8)
+        blanks = np.flatnonzero(signs == 32)
+        #: Where each run begins in the text, and where the next one would.
+        self.begins = np.r_[0, blanks + 1, len(signs) + 1] if len(signs) else np.zeros(1, np.int64)
+        n = len(self.begins) - 1
+        offsets = (self.begins - np.arange(n + 1)).astype(np.int32)
+        self.runs = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(signs[signs != 32]))
+        packed = lambda c, n: _unpacked(batch.column(c)[at].as_py(), n) if c in batch.schema.names else None
+        self.counts, self.most = packed("counts", n).astype(np.int64), packed("most", n)
         self.starts = np.r_[0, np.cumsum(self.counts)]
+        self.places, self.tf = packed("places", self.starts[-1]), packed("tf", self.starts[-1])
         self.batch, self.at = batch, at
 
     def fits(self, questions: list[tuple]) -> np.ndarray:
@@ -144,13 +163,25 @@ class Segment:
         """The number of each term among the runs; -1 where the segment hasn't got it."""
         return pc.fill_null(pc.index_in(pa.array(terms, pa.string()), value_set=self.runs), -1).to_numpy().astype(np.int64)
 
-    def bits(self, runs: np.ndarray) -> np.ndarray:
-        """A row of bits, a multiple of 64 of them, for each of some runs: the places of the texts that have it."""
+    def holding(self, automaton) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+        """The pairs of a term of the automaton and a run that has it within, in order: numbers of terms, and of runs."""
+        n, pairs = len(self.begins) - 1, []
+        for at in range(0, n, MEMORY):
+            since, until = self.begins[at], self.begins[min(at + MEMORY, n)] - 1
+            ends, terms = np.fromiter(chain.from_iterable(automaton.iter(self.text[since:until])), np.int64).reshape(-1, 2).T
+            pairs.append(np.unique(terms * n + np.searchsorted(self.begins, ends + since, "right") - 1))
+        return np.divmod(np.sort(np.concatenate(pairs)), n) if pairs else (np.zeros(0, np.int64),) * 2
+
+    def bits(self, runs: np.ndarray, until: int | None = None) -> np.ndarray:
+        """A row of bits, a multiple of 64 of them, for each of some runs: the places, before until, of the texts that have it."""
         number, at = self.postings(runs)
-        out = np.zeros((len(runs), -(-len(self.ids) // 64) * 8), np.uint8)
         places = self.places[at]
-        np.bitwise_or.at(out, (number, places >> 3), (128 >> (places & 7)).astype(np.uint8))
-        return out
+        if until is not None:
+            number, places = number[places < until], places[places < until]
+        width = -(-len(self.ids) // 64) * 8
+        out = np.zeros(len(runs) * width, np.uint8)
+        np.bitwise_or.at(out, number * width + (places >> 3), (128 >> (places & 7)).astype(np.uint8))
+        return out.reshape(len(runs), width)
 
     def postings(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of some runs, one after another: the number of the run in the list, and the places in the postings."""
@@ -174,9 +205,10 @@ class Best:
         self.held[j] = sorted(self.held[j] + [(-float(scores[i]), ids[i]) for i in top])[: self.k]
 
 
-def _asked(index: DataFrame, queries: DataFrame, k: int, block: int, terms, score: Callable) -> DataFrame:
-    """Blocks of questions are broadcast; every task goes through its segments and gives its k best of each question, so only those are shuffled."""
+def _asked(index: DataFrame, queries: DataFrame, k: int, block: int, terms, score: Callable, reads: tuple[str, ...] = ("runs", "counts", "places")) -> DataFrame:
+    """Blocks of questions are broadcast; every task goes through the columns of its segments that the score reads and gives its k best of each question, so only those are shuffled."""
     scoped = set(QUESTION) <= set(queries.columns) and "tenant_id" in index.columns
+    index = index.select(*(CLAIM if scoped else []), "claim_ids", *reads)
     columns = question_columns() if scoped else []
     id_ = index.schema["claim_ids"].dataType.elementType
     types = {"query_id": queries.schema["query_id"].dataType, "claim_id": id_}
@@ -227,7 +259,7 @@ def lexical_top_k(queries: DataFrame, index: DataFrame, k: int, block: int = BLO
         if terms:
             automaton.make_automaton()
         blank = [j for j, (_, own_, _) in enumerate(questions) if not own_]
-        each, memory = np.split(own, starts[1:]), {}
+        each = np.split(own, starts[1:])
 
         def work(segment: Segment, fits: np.ndarray | None, best: Best) -> None:
             n = len(segment.ids)
@@ -236,19 +268,10 @@ def lexical_top_k(queries: DataFrame, index: DataFrame, k: int, block: int = BLO
                 best.add(j, segment.ids, np.zeros(n), everywhere if fits is None else np.flatnonzero(fits[j]))
             if not terms:
                 return
-            tokens = []
-            for r in segment.runs.to_pylist():
-                if (own_ := memory.get(r)) is None:
-                    own_ = memory[r] = tuple({t for _, t in automaton.iter(r)})
-                tokens.append(own_)
-            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            number = np.fromiter(chain.from_iterable(tokens), np.uint16 if len(terms) < 1 << 16 else np.int64, sizes.sum())  # small numbers are sorted much faster
-            if len(memory) > MEMORY:
-                memory.clear()
+            number, run = segment.holding(automaton)
             if not len(number):
                 return
-            order = np.argsort(number, kind="stable")
-            present, at = np.unique(number[order], return_index=True)
+            present, at = np.unique(number, return_index=True)
             has = np.zeros(len(terms), np.int64)
             has[present] = 1
             bound = np.add.reduceat(has[own], starts)
@@ -256,8 +279,8 @@ def lexical_top_k(queries: DataFrame, index: DataFrame, k: int, block: int = BLO
             open_ = np.flatnonzero((bound > 0) & (bound >= least) & (True if fits is None else fits[asking].any(axis=1)))
             if not len(open_):
                 return
-            row = np.repeat(np.cumsum(sizes > 0) - 1, sizes)[order]
-            texts = segment.bits(np.flatnonzero(sizes)).view(np.uint64)
+            held, row = np.unique(run, return_inverse=True)
+            texts = segment.bits(held).view(np.uint64)
             where = np.zeros((len(terms), texts.shape[1]), np.uint64)
             for t, since, until in zip(present.tolist(), at.tolist(), [*at[1:].tolist(), len(row)], strict=True):
                 np.bitwise_or.reduce(texts[row[since:until]], axis=0, out=where[t])
@@ -302,18 +325,22 @@ def full_text_and(queries: DataFrame, index: DataFrame, k: int, block: int = BLO
 
         return work
 
-    return _asked(index, queries, k, block, F.col("terms"), score)
+    return _asked(index, queries, k, block, F.col("terms"), score, ("runs", "counts", "places", "tf", "most"))
 
 
 def full_text_or(queries: DataFrame, index: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """search.full_text_or from the index: the first k texts by id that have any of a question's `terms`."""
+    """search.full_text_or from the index: the first k texts by id that have any of a question's `terms`. Of a segment only texts before the last of the k-th so far are looked at."""
 
     def score(questions: list[tuple]) -> Callable:
         terms, own, starts, asking = _listed(questions)
 
         def work(segment: Segment, fits: np.ndarray | None, best: Best) -> None:
-            known, n = segment.known(terms), len(segment.ids)
-            bits = segment.bits(known[known >= 0])
+            n = len(segment.ids)
+            until = max((bisect_left(segment.ids, best.held[j][-1][1]) if len(best.held[j]) == k else n for j in asking.tolist()), default=0)
+            if not until:
+                return
+            known = segment.known(terms)
+            bits = segment.bits(known[known >= 0], until)
             where = np.zeros((len(terms), bits.shape[1]), np.uint8)
             where[known >= 0] = bits
             any_ = np.bitwise_or.reduceat(where[own], starts, axis=0) if len(own) else where

@@ -152,3 +152,19 @@ def test_ends_of_relations_are_dealt_by_their_number(spark):
     key = lambda df: sorted(map(tuple, df.select("decision_id", "relation_id", "role").collect()))
     dealt = lifecycle.relations_of(known, seen, 23)
     assert key(dealt) == key(lifecycle.relations_of(known, seen)) and dealt.rdd.getNumPartitions() == 23
+
+
+def test_or_reads_no_more_of_the_index_than_it_needs(spark, tmp_path):
+    """Postings are bytes as narrow as their numbers; frequencies aren't read; several segments in a task, questions with many, few and no texts."""
+    for values in ([], [0, 255], [3, 256], [70_000, 0], [1 << 31]):
+        packed = lexical_index._packed(np.array(values, np.int64))
+        assert lexical_index._unpacked(packed, len(values)).tolist() == values and len(packed) == len(values) * (1 if max(values, default=0) < 256 else 2 if max(values) < 65_536 else 4)
+    texts = spark.range(400).select(F.col("id").alias("claim_id"), F.when(F.col("id") % 50 != 7, F.concat_ws(" ", F.concat(F.lit("run"), F.col("id") % 7), F.concat(F.lit("x"), F.col("id")))).alias("text"))
+    lexical_index.write(texts.coalesce(1), f"{tmp_path}/i", per_segment=20)
+    asked = spark.createDataFrame([(1, ["run1", "run2"]), (2, ["x390", "x4", "zz"]), (3, ["zz"]), (4, []), (5, ["run6"])], "query_id long, terms array<string>")
+    pick = lambda df: sorted(map(tuple, df.select("query_id", "claim_id", "rank").collect()))
+    for questions in (asked, asked.where("query_id IN (1, 5)")):
+        found = lexical_index.full_text_or(questions, lexical_index.read(spark, f"{tmp_path}/i").coalesce(1), 5)
+        assert pick(found) == pick(search.full_text_or(questions, texts, 5))
+        scans = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in line and "claim_ids" in line]
+        assert scans and all("places:binary" in line and "tf:" not in line and "most:" not in line for line in scans)
