@@ -25,8 +25,8 @@ FORMAT = 2
 #: Texts of a segment, and questions that are taken at once, in expectation.
 SEGMENT, BLOCK = 1024, 256
 
-#: Distinct runs of a segment in which tokens are looked for at once.
-MEMORY = 100_000
+#: Distinct runs of a segment in which tokens are looked for at once, and the letters of tokens that are told by a table of all such.
+MEMORY, SHORT = 100_000, 4
 
 
 def segments(texts: DataFrame, batch: str = "0", per_segment: int = SEGMENT) -> DataFrame:
@@ -78,6 +78,10 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
 _LETTERS = np.zeros(256, np.uint8)
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
     _LETTERS[_c] = _LETTERS[ord(chr(_c).upper())] = _c
+#: The signs of runs and of what parts them in a segment, and the number of each.
+_SIGNS = b" 0123456789abcdefghijklmnopqrstuvwxyz"
+_CODES = np.zeros(256, np.int32)
+_CODES[list(_SIGNS)] = np.arange(len(_SIGNS))
 #: The other characters whose lower case has a letter of a-z.
 _LOWER = {"\u212a": "k", "\u0130": "i\u0307"}
 
@@ -136,6 +140,44 @@ def kept(texts: DataFrame, name: str) -> DataFrame:
     return read(spark, folder)
 
 
+class Within:
+    """Finds terms of a-z and 0-9 within a text of such runs: those of up to SHORT letters, which nearly all runs have some of, in tables of all such, a text at once; longer ones by an automaton."""
+
+    def __init__(self, terms: list[str]) -> None:
+        import ahocorasick
+
+        self.tables, self.longer = {n: np.full(len(_SIGNS) ** n, -1, np.int32) for n in {len(t) for t in terms} if n <= SHORT}, ahocorasick.Automaton()
+        for i, t in enumerate(terms):
+            if len(t) <= SHORT:
+                self.tables[len(t)][[code for _, code in self._codes(t, len(t))][-1]] = i
+            else:
+                self.longer.add_word(t, i)
+        self.longer.make_automaton()
+
+    @staticmethod
+    def _codes(text: str, most: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each length up to most the codes of all windows of it, as numbers to the base of the signs there are."""
+        signs = _CODES[np.frombuffer(text.encode(), np.uint8)]
+        codes = signs
+        for n in range(1, most + 1):
+            yield n, codes
+            codes = codes[:-1] * len(_SIGNS) + signs[n:]
+
+    def found(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of terms, and the place in the text of a letter of each; in no order, a term as often as it occurs."""
+        terms, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, codes in self._codes(text, max(self.tables, default=0)):
+            if n in self.tables:
+                number = self.tables[n][codes]
+                places.append(np.flatnonzero(number >= 0))
+                terms.append(number[places[-1]].astype(np.int64))
+        if len(self.longer):
+            ends, numbers = np.fromiter(chain.from_iterable(self.longer.iter(text)), np.int64).reshape(-1, 2).T
+            places.append(ends)
+            terms.append(numbers)
+        return np.concatenate(terms), np.concatenate(places)
+
+
 class Segment:
     """A row of a batch of segments as arrays, of the columns that it has."""
 
@@ -145,6 +187,7 @@ class Segment:
         blanks = np.flatnonzero(signs == 32)
         #: Where each run begins in the text, and where the next one would.
         self.begins = np.r_[0, blanks + 1, len(signs) + 1] if len(signs) else np.zeros(1, np.int64)
+        self.run_at = np.cumsum(signs == 32)
         n = len(self.begins) - 1
         offsets = (self.begins - np.arange(n + 1)).astype(np.int32)
         self.runs = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(signs[signs != 32]))
@@ -163,14 +206,15 @@ class Segment:
         """The number of each term among the runs; -1 where the segment hasn't got it."""
         return pc.fill_null(pc.index_in(pa.array(terms, pa.string()), value_set=self.runs), -1).to_numpy().astype(np.int64)
 
-    def holding(self, automaton) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-        """The pairs of a term of the automaton and a run that has it within, in order: numbers of terms, and of runs."""
-        n, pairs = len(self.begins) - 1, []
+    def holding(self, within: Within) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of a term and a run that has it within, each once, in order: numbers of terms, and of runs."""
+        n, pairs = len(self.runs), []
         for at in range(0, n, MEMORY):
             since, until = self.begins[at], self.begins[min(at + MEMORY, n)] - 1
-            ends, terms = np.fromiter(chain.from_iterable(automaton.iter(self.text[since:until])), np.int64).reshape(-1, 2).T
-            pairs.append(np.unique(terms * n + np.searchsorted(self.begins, ends + since, "right") - 1))
-        return np.divmod(np.sort(np.concatenate(pairs)), n) if pairs else (np.zeros(0, np.int64),) * 2
+            terms, places = within.found(self.text[since:until])
+            pairs.append(terms * n + self.run_at[places + since])
+        found = np.sort(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        return np.divmod(found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found, max(n, 1))
 
     def bits(self, runs: np.ndarray, until: int | None = None) -> np.ndarray:
         """A row of bits, a multiple of 64 of them, for each of some runs: the places, before until, of the texts that have it."""
@@ -245,19 +289,13 @@ def _asked(index: DataFrame, queries: DataFrame, k: int, block: int, terms, scor
 def lexical_top_k(queries: DataFrame, index: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """search.lexical_top_k from the index: query_id, claim_id, score, rank.
 
-    A question's tokens are looked for in a segment's distinct runs, all at once by an automaton, not in its texts; the texts that have a token are bits. As many tokens as a segment has at all bound what its texts
+    A question's tokens are looked for in a segment's distinct runs, all at once, not in its texts; the texts that have a token are bits. As many tokens as a segment has at all bound what its texts
     can score: where that is under a question's k-th score so far, its postings aren't touched for it.
     """
 
     def score(questions: list[tuple]) -> Callable:
-        import ahocorasick
-
         terms, own, starts, asking = _listed(questions)
-        automaton = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            automaton.add_word(t, i)
-        if terms:
-            automaton.make_automaton()
+        within = Within(terms)
         blank = [j for j, (_, own_, _) in enumerate(questions) if not own_]
         each = np.split(own, starts[1:])
 
@@ -268,10 +306,11 @@ def lexical_top_k(queries: DataFrame, index: DataFrame, k: int, block: int = BLO
                 best.add(j, segment.ids, np.zeros(n), everywhere if fits is None else np.flatnonzero(fits[j]))
             if not terms:
                 return
-            number, run = segment.holding(automaton)
+            number, run = segment.holding(within)
             if not len(number):
                 return
-            present, at = np.unique(number, return_index=True)
+            at = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+            present = number[at]
             has = np.zeros(len(terms), np.int64)
             has[present] = 1
             bound = np.add.reduceat(has[own], starts)
@@ -279,14 +318,13 @@ def lexical_top_k(queries: DataFrame, index: DataFrame, k: int, block: int = BLO
             open_ = np.flatnonzero((bound > 0) & (bound >= least) & (True if fits is None else fits[asking].any(axis=1)))
             if not len(open_):
                 return
-            held, row = np.unique(run, return_inverse=True)
-            texts = segment.bits(held).view(np.uint64)
+            texts = segment.bits(np.arange(len(segment.runs))).view(np.uint64)
             where = np.zeros((len(terms), texts.shape[1]), np.uint64)
-            for t, since, until in zip(present.tolist(), at.tolist(), [*at[1:].tolist(), len(row)], strict=True):
-                np.bitwise_or.reduce(texts[row[since:until]], axis=0, out=where[t])
-            within = np.unpackbits(where.view(np.uint8), axis=1)[:, :n]
+            for t, since, until in zip(present.tolist(), at.tolist(), [*at[1:].tolist(), len(run)], strict=True):
+                np.bitwise_or.reduce(texts[run[since:until]], axis=0, out=where[t])
+            has_it = np.unpackbits(where.view(np.uint8), axis=1)[:, :n]
             for i in open_.tolist():
-                j, line = int(asking[i]), within[each[i]].sum(axis=0, dtype=np.int64)
+                j, line = int(asking[i]), has_it[each[i]].sum(axis=0, dtype=np.int64)
                 good = (line > 0) & (line >= least[i])
                 best.add(j, segment.ids, line, np.flatnonzero(good if fits is None else good & fits[j]))
 

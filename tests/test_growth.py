@@ -168,3 +168,36 @@ def test_or_reads_no_more_of_the_index_than_it_needs(spark, tmp_path):
         assert pick(found) == pick(search.full_text_or(questions, texts, 5))
         scans = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in line and "claim_ids" in line]
         assert scans and all("places:binary" in line and "tf:" not in line and "most:" not in line for line in scans)
+
+
+def test_tokens_of_any_length_are_found_in_all_runs_at_once(monkeypatch):
+    """Short terms by tables, long ones by the automaton; at both ends of a run and of the text, never over a blank; a term twice in a run counts once; only one kind, or none, of terms."""
+    runs = ["0", "aa", "aaa", "abc", "abcabc", "abcde", "bc", "bcdeabcd", "c", "zzzzzzzz"]
+    packed = {"claim_ids": [[1]], "runs": [" ".join(runs)], **{c: [lexical_index._packed(np.array(v))] for c, v in (("counts", [1] * 10), ("places", [0] * 10))}}
+    segment = lexical_index.Segment(pa.RecordBatch.from_pydict(packed), 0)
+    assert segment.runs.to_pylist() == runs
+    for terms in (["a", "aa", "abc", "abcd", "abcde", "bcdea", "ca", "zzzz", "zzzzz"], ["abcde", "zzzzz"], ["bc"], ["qq", "qqqqqq"], []):
+        for memory in (100_000, 3):
+            monkeypatch.setattr(lexical_index, "MEMORY", memory)
+            number, run = segment.holding(lexical_index.Within(terms))
+            assert list(zip(number.tolist(), run.tolist(), strict=True)) == [(i, j) for i, t in enumerate(terms) for j, r in enumerate(runs) if t in r]
+    empty = lexical_index.Segment(pa.RecordBatch.from_pydict({**packed, "runs": [""], "counts": [b""], "places": [b""]}), 0)
+    assert len(empty.runs) == 0 and len(empty.holding(lexical_index.Within(["ab"]))[0]) == 0
+
+
+def test_a_search_runs_once_for_a_snapshot(spark):
+    """Snapshots and contexts need hits twice, or three times; rows of the search are counted."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    hits = spark.createDataFrame([(1, 10, 1, "r1"), (1, 11, 2, "r1"), (2, 11, 1, "r2")], "query_id long, claim_id long, rank int, receipt_id string").mapInArrow(count, "query_id long, claim_id long, rank int, receipt_id string")
+    evidence = spark.createDataFrame([(10, "e2"), (11, "e1"), (11, "e2")], "claim_id long, evidence_id string")
+    got = decisions.snapshots(hits, evidence).collect()
+    assert {r["query_id"]: (r["claim_ids"], r["evidence_ids"]) for r in got} == {1: ([10, 11], ["e2", "e1"]), 2: ([11], ["e1", "e2"])} and seen.value == 3
+    requests = spark.createDataFrame([(1, "audit")], "query_id long, purpose string")
+    policies = spark.createDataFrame([(1, "p", 2)], "query_id long, policy_id string, version int")
+    assert decisions.context(requests, hits, evidence, policies, 5, F.lit(DAY[0])).collect()[0]["receipt_id"] == "r1" and seen.value == 6
