@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from claimstead.functions import text as T
 from claimstead.operators import decisions, identity, lexical_index, lifecycle, policy, search, temporal, vector_graph
+from claimstead.plans import fixtures as fx
+from claimstead.plans import registry
 
 POLICY = "policy_id string, version long, status string, effective_from timestamp_ntz, effective_to timestamp_ntz, purposes array<string>, namespace_ids array<string>, classifications array<string>, min_confidence double, allowed_outcomes array<string>, max_classification string"
 DAY = [datetime(2020, 1, d) for d in range(1, 29)]
@@ -87,6 +89,22 @@ def test_many_entities_of_one_name_do_not_multiply(spark, monkeypatch):
     assert max(sizes) <= 200
 
 
+def test_every_part_is_asked_for_its_candidates(spark, sf_dir):
+    asked = registry.er_candidates(spark, sf_dir).select("query_id").distinct().count()
+    assert asked == fx.table(spark, sf_dir, "part").count()
+
+
+def test_queries_of_the_same_names_are_answered_once(spark, monkeypatch):
+    names = spark.createDataFrame([(1, "red fox"), (2, "red fox den"), (3, "blue")], "entity_id long, name string").withColumns({"source": F.lit("label"), "canonical_id": F.col("entity_id")})
+    asked = spark.range(300).select(F.col("id").alias("query_id"), F.explode(F.when(F.col("id") % 3 == 0, F.array(F.lit("red fox"), F.lit("blue"))).otherwise(F.array(F.lit("red fox")))).alias("name"))
+    sizes, settle = [], identity.settle
+    monkeypatch.setattr(identity, "settle", lambda df: (lambda kept: sizes.append(kept.count()) or kept)(settle(df)))
+    got = {(r["query_id"], r["entity_id"], r["kind"], r["place"]) for r in identity.candidates(asked, names).collect()}
+    both = [(1, "label-exact", 1), (3, "label-exact", 2), (2, "partial-token-overlap", 3)]
+    assert got == {(q, *row) for q in range(300) for row in (both if q % 3 == 0 else [both[0], (2, "partial-token-overlap", 2)])}
+    assert max(sizes) < 20
+
+
 def test_runs_of_all_texts_are_found_at_once(spark):
     """Bytes of a whole segment, cut between texts; signs whose lower case has a letter, nulls and a slice."""
     texts = ["skipped", "Ab1 c-ab1", "ab1", None, "", "\u212aELVIN \u0130x \u00c9t\u00e9 stra\u00dfe", "--", "a", "b"]
