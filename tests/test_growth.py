@@ -49,6 +49,40 @@ def test_decisions_in_one_piece_are_dealt_before_they_meet_candidates(decided, p
     assert found.rdd.getNumPartitions() > 1 and found.count() == 4 * decided.count()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_violations_of_pairs_are_those_of_the_rule_as_list_and_as_text(decided, policies):
+    rows = decided.crossJoin(policies.select(F.struct("*").alias("policy")))
+    rule = policy.violations(F.col("policy"), F.col("confidence"), F.col("selected_outcome"), F.col("classification"))
+    want = sorted((r[0], r[1], tuple(r[2])) for r in rows.select("decision_id", "policy.version", rule).collect())
+    found, text = policy.what_if(decided, policies), policy.what_if(decided, policies, joined="; ")
+    assert sorted((r["decision_id"], r["version"], tuple(r["violations"])) for r in found.collect()) == want
+    assert sorted((r["decision_id"], r["version"], r["violations"]) for r in text.collect()) == sorted((d, v, "; ".join(x)) for d, v, x in want)
+    assert "lambda" not in plan_of(found) and all(r["would_fail"] == bool(r["violations"]) for r in text.collect())
+    meet = {(r[0], r[1]) for r in policy.applicable_policies(decided, policies).select("decision_id", "policy.version").collect()}
+    judged = policy.evaluate(decided, policies, joined="; ")
+    assert sorted((r["decision_id"], r["version"], r["violations"]) for r in judged.collect()) == sorted((d, v, "; ".join(x)) for d, v, x in want if (d, v) in meet)
+    assert all(r["compliant"] == (not r["violations"]) for r in judged.collect())
+
+
+def test_a_decision_is_looked_up_once_for_all_short_windows_and_once_for_open_ones(spark, decided, policies):
+    short = [("p", 100 + n, "active", DAY[1], DAY[1 + n], None, None, None, 0.5, ["F"], "internal") for n in (1, 2, 4, 8, 15, 25)]
+    every = policies.union(spark.createDataFrame(short, POLICY))
+    (cells,) = [line for line in plan_of(policy.evaluate(decided, every)).splitlines() if "explode(CASE WHEN isnotnull(recorded_at" in line]
+    assert cells.count("shiftright") == 1
+
+
+def test_only_wanted_fields_of_policies_are_shuffled(decided, policies):
+    found = policy.applicable_policies(decided, policies, ["version"])
+    assert found.schema["policy"].dataType.names == ["version"]
+    laid = re.findall(r"\[([^\[\]]*)\], false, \[_cell#", plan_of(found))
+    assert laid and "_p_version" in laid[0] and not re.search("purposes|namespace_ids|classifications|allowed", laid[0])
+    every = policy.applicable_policies(decided, policies)
+    assert sorted(found.select("decision_id", "policy.version").collect()) == sorted(every.select("decision_id", "policy.version").collect())
+
+
 def test_tally_is_counted_once_a_case(spark, decided, policies):
     twice = decided.union(decided.withColumn("decision_id", F.col("decision_id") + 1000))
     assert policy.cases(twice, policy.SCOPE + policy.JUDGED)[1].count() <= decided.count()
