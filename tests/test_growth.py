@@ -83,6 +83,57 @@ def test_only_wanted_fields_of_policies_are_shuffled(decided, policies):
     assert sorted(found.select("decision_id", "policy.version").collect()) == sorted(every.select("decision_id", "policy.version").collect())
 
 
+def test_policies_folded_for_a_decision_are_those_it_meets_as_pairs(spark, decided, policies, monkeypatch):
+    more = [("p", 200, "active", datetime(1990, 1, 1), DAY[0], None, None, None, 0.5, ["F"], "internal"), ("p", 201, "active", DAY[27], None, None, None, None, 0.5, ["F"], "internal"), ("p", 202, "active", DAY[2], DAY[2], None, None, None, 0.5, ["F"], "internal")]
+    every = policies.union(policies.where("version < 20")).union(spark.createDataFrame(more, POLICY)).repartition(3)
+    pairs, item = policy.applicable_policies(decided, every), F.to_json(F.struct("version", "policy_id"))
+    rows = pairs.select("decision_id", F.struct("policy.version", "policy.policy_id").alias("p")).groupBy("decision_id").agg(F.sort_array(F.collect_set("p")).alias("p"))
+    want = {r[0]: (r[1], r[2], r[3]) for r in rows.select("decision_id", F.size("p"), F.sha2(F.to_json("p"), 256), F.array_join(F.transform("p", lambda x: x["version"].cast("string")), ",")).collect()}
+    assert len(want) > 100
+    got = lambda item, order, fold, rows=decided: {r[0]: (r["n"], r["folded"]) for r in policy.folded_policies(rows, every, item, order, fold, ["decision_id"]).collect()}
+    met = policy.folded_policies(decided, every, item, ["version", "policy_id"], "sha256", ["decision_id"])
+    assert not re.search(r"Join.*_until", plan_of(met))
+    one = decided.where("purpose = 'a' AND namespace_id = 'a' AND classification = 'a'")
+    few = {r["decision_id"] for r in one.collect()}
+    for scopes in (5000, 3):
+        monkeypatch.setattr(policy, "SCOPES", scopes)
+        assert got(item, ["version", "policy_id"], "sha256") == {r["decision_id"]: want.get(r["decision_id"], (0,))[:2] for r in decided.collect()}
+        assert {k: v[0] for k, v in got(item, ["version"], None).items()} == {k: v[0] for k, v in want.items()}
+        text = {k: v[1] for k, v in got(F.lpad(F.col("version").cast("string"), 3, "0"), None, "joined", one).items()}
+        assert text == {k: ",".join(f"{int(v):03}" for v in want[k][2].split(",")) for k in few}
+
+
+def test_groups_of_policies_go_on_over_batches_and_results_are_handed_on_in_parts(monkeypatch):
+    us = pa.timestamp("us")
+    row = lambda of, asks, since, until, item, k: {"_of": of, "_range": 0, "_asks": asks, "_since": since, "_until": until, "_item": item, "_k_id": k}
+    rows = [row(1, 0, 5, 9, "a", None), row(1, 0, None, 7, "b", None), row(1, 0, 6, None, "b", None), row(1, 1, None, None, None, 1), row(1, 1, 5, None, None, 2), row(1, 1, 6, None, None, 3), row(1, 1, 6, None, None, 4), row(1, 1, 9, None, None, 5), row(2, 1, 6, None, None, 6), row(3, 0, 1, 2, "c", None)]
+    schema = pa.schema([("_of", pa.int64()), ("_range", pa.int32()), ("_asks", pa.int32()), ("_since", us), ("_until", us), ("_item", pa.string()), ("_k_id", pa.int64())])
+    want = [(1, 2, "a,b"), (2, 2, "a,b"), (3, 2, "a,b"), (4, 2, "a,b"), (5, 1, "b"), (6, 0, "")]
+    for size, held, together in ((1, 16, 64), (3, 1, 1), (10, 4, 2), (10, 16_000_000, 64)):
+        monkeypatch.setattr(policy, "HELD_BYTES", held)
+        monkeypatch.setattr(policy, "TOGETHER", together)
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + size], schema) for i in range(0, len(rows), size)]
+        assert [tuple(r.values()) for b in policy._folds(policy.FOLDS["joined"], ["id"])(iter(batches)) for r in b.to_pylist()] == want
+
+
+def test_sections_of_one_frame_and_folded_ones_are_those_of_their_rows(spark, decided, policies):
+    shape = lambda rows, schema: spark.createDataFrame(rows, schema)
+    versions = shape([(7, DAY[1], 1, "asserted"), (7, DAY[1], 1, "asserted")], "claim_id long, recorded_at timestamp_ntz, version_seq int, status string")
+    linked = decided.select("decision_id", F.explode(F.lit([7, 7, 0]).cast("array<long>")).alias("claim_id"))
+    # an event of a claim that is the decision too, one without an id, one told of two claims
+    log = shape([(1, 7, "k"), (2, 0, "k"), (None, 7, "j"), (3, 7, "k"), (3, 0, "k"), (4, None, "k")], "event_id long, claim_id long, kind string")
+    lines = decided.select("decision_id", F.explode(F.lit([3, 1, 3, 2]).cast("array<long>")).alias("x"), F.col("purpose").alias("y"))
+    odd = F.when((F.col("x") % 2 == 1) & (F.col("decision_id") > 5), F.struct("x", "y"))
+    item = F.to_json(F.struct("version", "policy_id"))
+    folded = policy.folded_policies(decided, policies, item, ["version", "policy_id"], "sha256", ["decision_id"])
+    key = lambda df: sorted((r["decision_id"], *map(repr, r[1:])) for r in df.collect())
+    told = decisions.audit(decided, linked, versions, log, {"policy_versions": folded, "relations": (lines, F.struct("x")), "evidence": (lines, odd)})
+    plain = {"policy_versions": policy.applicable_policies(decided, policies).select("decision_id", "policy.version", "policy.policy_id"), "relations": lines.select("decision_id", "x"), "evidence": lines.where("x % 2 = 1 AND decision_id > 5").select("decision_id", "x", "y")}
+    assert key(told) == key(decisions.audit(decided, linked, versions, log, plain))
+    first = told.where("decision_id = 3").first()
+    assert (first["n_claims"], first["n_events"], first["n_relations"], first["n_evidence"]) == (1, 4, 3, 0)
+
+
 def test_tally_is_counted_once_a_case(spark, decided, policies):
     twice = decided.union(decided.withColumn("decision_id", F.col("decision_id") + 1000))
     assert policy.cases(twice, policy.SCOPE + policy.JUDGED)[1].count() <= decided.count()
