@@ -116,6 +116,24 @@ def test_groups_of_policies_go_on_over_batches_and_results_are_handed_on_in_part
         assert [tuple(r.values()) for b in policy._folds(policy.FOLDS["joined"], ["id"])(iter(batches)) for r in b.to_pylist()] == want
 
 
+def test_replay_where_policies_are_met_is_that_of_references(spark, decided, policies, monkeypatch):
+    asked = decided.withColumn("snapshot_id", F.concat(F.lit("s"), F.col("decision_id") % 3))
+    kept, receipts = spark.sql("SELECT 's0' AS snapshot_id, 'r0' AS receipt_id UNION ALL SELECT 's1', 'r1'"), spark.sql("SELECT 'r0' AS receipt_id")
+    known, doubled = policies.where("version % 3 = 0").select("policy_id", "version"), policies.union(policies.where("version > 10"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    refs = lambda some: policy.applicable_policies(asked, some).select("decision_id", "policy.policy_id", "policy.version")
+    want = key(decisions.replay(asked, refs(doubled), known, kept, receipts))
+    assert any(m.count("@") > 2 and m.endswith("receipt:r1") for _, _, m in want)
+    told = decisions.replay_applicable(asked, doubled, known, kept, receipts)
+    assert key(told) == want and not re.search(r"Exchange hashpartitioning[^\n]*\n[^\n]*MapInArrow", plan_of(told))
+    assert key(decisions.replay_applicable(asked, doubled, known)) == key(decisions.replay(asked, refs(doubled), known))
+    real = doubled.where("policy_id IS NOT NULL")
+    whole = key(decisions.replay_applicable(asked, real, real, kept))
+    assert whole == key(decisions.replay(asked, refs(real), real, kept)) and {done for _, done, _ in whole} == {True, False}
+    monkeypatch.setattr(policy, "SCOPES", 3)
+    assert key(decisions.replay_applicable(asked, doubled, known, kept, receipts)) == want
+
+
 def test_sections_of_one_frame_and_folded_ones_are_those_of_their_rows(spark, decided, policies):
     shape = lambda rows, schema: spark.createDataFrame(rows, schema)
     versions = shape([(7, DAY[1], 1, "asserted"), (7, DAY[1], 1, "asserted")], "claim_id long, recorded_at timestamp_ntz, version_seq int, status string")
